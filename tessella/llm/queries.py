@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tessella.llm.licenses import op10_license_scan
 from tessella.llm.simhash import op3_simhash
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {}
