@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tessella.llm.language import op4_language
 from tessella.llm.licenses import op10_license_scan
 from tessella.llm.simhash import op3_simhash
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_language": op4_language,
     "op10_license_scan": op10_license_scan,
 }
 
