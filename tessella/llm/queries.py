@@ -5,10 +5,12 @@ from __future__ import annotations
 from tessella.llm.language import op4_language
 from tessella.llm.licenses import op10_license_scan
 from tessella.llm.simhash import op3_simhash
+from tessella.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
 }
 
