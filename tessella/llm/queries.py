@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessella.llm.decontaminate import op7_decontaminate
 from tessella.llm.language import op4_language
 from tessella.llm.licenses import op10_license_scan
 from tessella.llm.simhash import op3_simhash
@@ -10,6 +11,7 @@ from tessella.llm.toxicity import op9_toxicity
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op7_decontaminate": op7_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
 }
