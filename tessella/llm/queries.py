@@ -5,10 +5,12 @@ from __future__ import annotations
 from tessella.llm.decontaminate import op7_decontaminate
 from tessella.llm.language import op4_language
 from tessella.llm.licenses import op10_license_scan
+from tessella.llm.mixing import mixing_sql, op2_mixing
 from tessella.llm.simhash import op3_simhash
 from tessella.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
     "op7_decontaminate": op7_decontaminate,
@@ -16,4 +18,6 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing_sql(),
+}
