@@ -5,11 +5,13 @@ from __future__ import annotations
 from tessella.llm.decontaminate import op7_decontaminate
 from tessella.llm.language import op4_language
 from tessella.llm.licenses import op10_license_scan
+from tessella.llm.lines import line_sql, op1_line_dedup
 from tessella.llm.mixing import mixing_sql, op2_mixing
 from tessella.llm.simhash import op3_simhash
 from tessella.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_sql(),
     "op2_mixing": mixing_sql(),
 }
