@@ -7,6 +7,8 @@ from tessella.llm.language import op4_language
 from tessella.llm.licenses import op10_license_scan
 from tessella.llm.lines import line_sql, op1_line_dedup
 from tessella.llm.mixing import mixing_sql, op2_mixing
+from tessella.llm.neighbours import op6_neighbours
+from tessella.llm.passages import op5_passages
 from tessella.llm.simhash import op3_simhash
 from tessella.llm.toxicity import op9_toxicity
 
@@ -15,6 +17,8 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op5_passages": op5_passages,
+    "op6_neighbours": op6_neighbours,
     "op7_decontaminate": op7_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
