@@ -10,6 +10,7 @@ from tessella.llm.mixing import mixing_sql, op2_mixing
 from tessella.llm.neighbours import op6_neighbours
 from tessella.llm.passages import op5_passages
 from tessella.llm.simhash import op3_simhash
+from tessella.llm.suffixes import op8_suffixes
 from tessella.llm.toxicity import op9_toxicity
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_passages": op5_passages,
     "op6_neighbours": op6_neighbours,
     "op7_decontaminate": op7_decontaminate,
+    "op8_suffixes": op8_suffixes,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
 }
