@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
+
+from tessella import plans
+from tessella.plans.base import ORACLES, QUERIES
+
+for _module in pkgutil.iter_modules(plans.__path__):
+    importlib.import_module(f"{plans.__name__}.{_module.name}")
+
 FLAGSHIP = "AG8"
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
