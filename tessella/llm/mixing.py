@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import stored, table
 
 #: Share of the way from the natural mix's entropy to that of equal sources that the mix goes.
 ENTROPY_GAIN = 0.5
@@ -28,8 +28,7 @@ _NO_SOURCE = ""
 
 def tokens_of(text: Column) -> Column:
     """Words between spaces, as a long; null and blank texts have none."""
-    kept = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", " "))
-    return F.when(kept == "", F.lit(0)).otherwise(F.length(kept) - F.length(F.replace(kept, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t\\n\\x0B\\f\\r]+")).cast("long")
 
 
 def _hashed(*parts: Column) -> Column:
@@ -80,41 +79,48 @@ def temperature(totals: DataFrame, gain: float = ENTROPY_GAIN, max_repeats: floa
     return joined.select("source", "tokens", F.coalesce("all_tokens", F.lit(0)).alias("all_tokens"), F.coalesce("exponent", F.lit(1.0)).alias("exponent"), weight.alias("weight"))
 
 
-def mix(docs: DataFrame, gain: float = ENTROPY_GAIN, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mix(
+    docs: DataFrame, gain: float = ENTROPY_GAIN, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS,
+    tokens: str | None = None, tie: str | None = None,
+) -> DataFrame:
     """docs as the mix shows them, with mix_epoch (from 0), mix_block and mix_order (place within the block, from 1).
 
     As many tokens as docs have are shared out by weight. A source that gets r times its tokens stands there whole
     floor(r) times, and for the rest every block takes, in the order of its permutation, the documents that begin
     before the block's share is spent. Epochs of one document lie in different blocks where there are several. Null
     sources are one source, documents without a token are left out, repeated rows count apart and are ordered together;
-    an empty table gives an empty result. Columns of docs named like the new ones are replaced.
+    an empty table gives an empty result. Columns of docs named like the new ones are replaced. tokens and tie name
+    columns that hold the number of tokens and the md5 of the text, where they are known.
     """
     names = [c for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_order")]
-    rows = docs.select(*names, tokens_of(F.col("text").cast("string")).alias("_tokens"), F.coalesce(F.col("source").cast("string"), F.lit(_NO_SOURCE)).alias("_source"))
-    rows = rows.filter("_tokens > 0")
-    slim = docs.select(tokens_of(F.col("text").cast("string")).alias("tokens"), F.coalesce(F.col("source").cast("string"), F.lit(_NO_SOURCE)).alias("source"))
-    totals = slim.filter("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    count = F.col(tokens) if tokens else tokens_of(F.col("text").cast("string"))
+    mark = F.col(tie) if tie else F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(_NO_SOURCE))
+    totals = docs.select(count.alias("tokens"), source.alias("source")).filter("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("tokens"))
     weights = temperature(totals, gain, max_repeats).select(
         F.col("source").alias("_source"), (F.col("weight") * F.col("all_tokens") / F.col("tokens")).alias("_repeats"),
         F.greatest(F.lit(1), F.ceil(F.col("all_tokens") / block_tokens)).cast("long").alias("_blocks"),
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    dealt = rows.join(weights, "_source").withColumn("_draw", _hashed(F.lit("mix"), key)).withColumn("_home", F.col("_draw") % F.col("_blocks"))
-    permuted = Window.partitionBy("_source", "_home").orderBy("_draw", key, "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = docs.select(*names, count.alias("_tokens"), source.alias("_source"), mark.alias("_mark"), _hashed(F.lit("mix"), key).alias("_draw"))
+    dealt = rows.join(weights, "_source").withColumn("_home", F.col("_draw") % F.col("_blocks")).filter("_tokens > 0")
+    permuted = Window.partitionBy("_source", "_home").orderBy("_draw", key, "_mark").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_source", "_home")
     fraction = F.col("_repeats") - F.floor("_repeats")
     spent = F.coalesce(F.sum("_tokens").over(permuted), F.lit(0)) < fraction * F.sum("_tokens").over(whole)
     counted = dealt.withColumn("_times", F.floor("_repeats").cast("int") + spent.cast("int")).filter("_times > 0")
     shown = counted.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     shown = shown.withColumn("mix_block", (F.col("_home") + F.col("mix_epoch") * F.greatest(F.lit(1), F.floor(F.col("_blocks") / 4))) % F.col("_blocks"))
-    order = Window.partitionBy("mix_block").orderBy(_hashed(F.lit("order"), F.col("mix_epoch").cast("string"), key), key, "mix_epoch", "text")
+    order = Window.partitionBy("mix_block").orderBy(_hashed(F.lit("order"), F.col("mix_epoch").cast("string"), key), key, "mix_epoch", "_mark")
     return shown.withColumn("mix_order", F.row_number().over(order)).select(*names, "mix_epoch", "mix_block", "mix_order")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, and the place of each showing in the mix."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "source", tokens_of(F.col("text")).alias("n_tokens"), "mix_epoch", "mix_block", F.col("mix_order").cast("long").alias("mix_order"))
+    text = F.col("text").cast("string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", tokens_of(text).alias("n_tokens"), F.md5(F.coalesce(text, F.lit(""))).alias("mark"))
+    mixed = mix(stored(docs, "mixing"), tokens="n_tokens", tie="mark")
+    return mixed.select("doc_id", "source", "n_tokens", "mix_epoch", "mix_block", F.col("mix_order").cast("long").alias("mix_order"))
 
 
 def mixing_sql(docs: str = "documents") -> str:
@@ -150,7 +156,7 @@ w AS (
   FROM d JOIN w USING (src)
 ), homes AS (SELECT *, draw % blocks AS home FROM dealt),
 spent AS (
-  SELECT *, coalesce(sum(n) OVER (PARTITION BY src, home ORDER BY draw, coalesce(doc_id::VARCHAR, 'null'), text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY src, home ORDER BY draw, coalesce(doc_id::VARCHAR, 'null'), md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
             < (r - floor(r)) * sum(n) OVER (PARTITION BY src, home) AS more
   FROM homes
 ), shown AS (
@@ -158,5 +164,5 @@ spent AS (
 ), placed AS (SELECT *, (home + mix_epoch * greatest(1, blocks // 4)) % blocks AS mix_block FROM shown)
 SELECT doc_id, source, n::BIGINT AS n_tokens, mix_epoch::INTEGER AS mix_epoch, mix_block::BIGINT AS mix_block,
        row_number() OVER (PARTITION BY mix_block ORDER BY ('0x' || substr(md5('order:' || mix_epoch || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 10))::BIGINT,
-                          coalesce(doc_id::VARCHAR, 'null'), mix_epoch, text)::BIGINT AS mix_order
+                          coalesce(doc_id::VARCHAR, 'null'), mix_epoch, md5(text))::BIGINT AS mix_order
 FROM placed"""
