@@ -45,3 +45,45 @@ def term_matches(rows: DataFrame, text: str, terms: dict[str, str]) -> DataFrame
     some = lines.filter(F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in terms.values())))
     spans = some.select(*keys, (F.col("line_no") + 1).alias("line_no"), F.inline(accepted_spans(term_spans(F.col("line"), terms))))
     return spans.select(*keys, "line_no", "start", "end", "term", "found")
+
+
+def json_leaves(text: Column, depth: int = 4) -> Column:
+    """(pointer, value) of the texts, numbers and booleans in JSON objects and arrays, to a depth; keys with `~` or `/` are escaped."""
+    def entries(pointer: Column, value: Column) -> Column:
+        keys = F.coalesce(F.json_object_keys(F.when(value.startswith("{"), value)), F.array())
+        fields = F.coalesce(F.from_json(F.when(value.startswith("{"), value), "map<string,string>"), F.create_map().cast("map<string,string>"))
+        named = F.transform(F.array_sort(keys), lambda k: F.struct(F.concat(pointer, F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).alias("pointer"), F.try_element_at(fields, k).alias("value")))
+        items = F.coalesce(F.from_json(F.when(value.startswith("["), value), "array<string>"), F.array().cast("array<string>"))
+        listed = F.transform(items, lambda v, i: F.struct(F.concat(pointer, F.lit("/"), i.cast("string")).alias("pointer"), v.alias("value")))
+        own = F.array(F.struct(pointer.alias("pointer"), value.alias("value")))
+        return F.when(value.startswith("{"), named).when(value.startswith("["), listed).otherwise(own)
+
+    found = F.array(F.struct(F.lit("").alias("pointer"), F.trim(text).alias("value")))
+    for _ in range(depth):
+        found = F.flatten(F.transform(found, lambda e: entries(e["pointer"], e["value"])))
+    return F.filter(found, lambda e: e["value"].isNotNull())
+
+
+def first_rule(rules: list[tuple[Column, str]], otherwise: str) -> Column:
+    """The name of the first rule that holds."""
+    out = F.lit(otherwise)
+    for rule, name in reversed(rules):
+        out = F.when(rule, name).otherwise(out)
+    return out
+
+
+def selected_lines(text: Column, first: int, last: int, token: str | None = None) -> Column:
+    """(line_no, line) of the lines from first to last (from 1) that hold the token, without the rules of tables."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    wanted = F.filter(lines, lambda e: e["line_no"].between(first, last) & ~e["line"].rlike(r"^\s*\|?[\s:|-]*-[\s:|-]*$"))
+    return F.filter(wanted, lambda e: e["line"].contains(token)) if token else wanted
+
+
+def link_targets(text: Column) -> Column:
+    """Targets of Markdown links that are local: no scheme, not within the page."""
+    found = F.regexp_extract_all(text, F.lit(r"\]\(([^)\s]+)\)"), F.lit(1))
+    return F.filter(found, lambda t: ~t.rlike(r"^([a-zA-Z][a-zA-Z0-9+.-]*:|#)"))
+
+
+def heading_order(text: Column, pattern: str = r"(?m)^#+ (S[0-9]+)") -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
