@@ -170,3 +170,10 @@ def seed_mean_gain(rows: DataFrame, keys: list[str], item: str, error: str, base
     """Each item's error averaged over the seeds, and the share of items for which it is below the baseline."""
     mean = rows.groupBy(*keys, item).agg(F.avg(error).alias("mean_error"), F.max(baseline).alias("baseline"))
     return mean.groupBy(*keys).agg(F.count("*").alias("items"), F.avg((F.col("mean_error") < F.col("baseline")).cast("int")).alias("share_improved"))
+
+
+def batch_means(rows: DataFrame, keys: list[str], value: str, order: list[str], size: int) -> DataFrame:
+    """The mean of the means of batches in the order given, beside the mean of the rows: they differ where the last batch is short."""
+    batch = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size)
+    means = rows.withColumn("_batch", batch).groupBy(*keys, "_batch").agg(F.avg(value).alias("_m"), F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    return means.groupBy(*keys).agg(F.avg("_m").alias("mean_of_batches"), (F.sum("_s") / F.sum("_n")).alias("mean_of_rows"), F.count("*").alias("batches"))
