@@ -6,6 +6,9 @@ enough overlap (positional filter), and are of like size (length filter). What i
 similarity of the sets. A line goes if an earlier line is equal or similar: the lines that share a token are first held
 against the earliest of them, which settles groups of copies in linear time, and only those that it does not settle
 against all others.
+
+Most lines share no token with any other. A prefix filter in the order of the tokens' hashes, which needs no counts,
+screens those out before; the order by rarity is that among the lines that are left.
 """
 
 from __future__ import annotations
@@ -20,13 +23,17 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 #: Tokens that are kept apart as the most frequent ones, and how many the count tracks: both bound what the driver gets.
 FREQUENT, TRACKED = 1000, 100_000
+#: Lines whose ids are broadcast at most: some 80 bytes each.
+BROADCAST_ROWS = 1_000_000
 _LAST = 9223372036854775807
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
     """(doc, doc_hash, line_no, line): the lines that are not blank, their words joined by one space; line_no from 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("doc_hash"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    clean = F.trim(F.regexp_replace("line", "[ \\t\\x0B\\f\\r]+", " "))
+    line = F.col("line")
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\f")
+    clean = F.trim(F.when(odd, F.regexp_replace(line, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(line))
     return rows.withColumn("line", clean).filter("line <> ''")
 
 
@@ -48,13 +55,11 @@ def tokens(line: Column) -> Column:
 
 def _by_rarity(frequent: list[int]) -> Column:
     """The tokens of column toks in their global order: those that are not frequent by hash, then the frequent ones, rarest first."""
-    rare = F.array_sort(F.filter("toks", lambda t: ~t.isin(frequent))) if frequent else F.array_sort("toks")
     if not frequent:
-        return rare
+        return F.array_sort("toks")
     common = F.filter("toks", lambda t: t.isin(frequent))
-    return F.concat(rare, F.array_intersect(F.array(*[F.lit(t) for t in frequent]), common)) if len(frequent) <= 64 else F.when(
-        F.size(common) == 0, rare
-    ).otherwise(F.concat(rare, F.array_intersect(F.lit(frequent), common)))
+    rare = F.array_sort(F.array_except("toks", common))
+    return F.when(F.size(common) == 0, rare).otherwise(F.concat(rare, F.array_intersect(F.lit(frequent), common)))
 
 
 def frequent_tokens(lines: DataFrame) -> list[int]:
@@ -88,18 +93,31 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.filter(shared * b >= (F.size("s1") + F.size("s0") - shared) * a).select("place", "id").distinct()
 
 
-def similar_lines(lines: DataFrame, frequent: list[int] | None = None) -> DataFrame:
-    """(place, id) of the lines that resemble an earlier one. lines: distinct (line, place, id)."""
+def screened(lines: DataFrame) -> DataFrame:
+    """(id): the lines that, in the order of the tokens' hashes, share one of their first tokens with another line."""
     long = lines.filter(F.size(F.split("line", " ")) >= SHINGLE)
-    if frequent is None:
-        frequent = frequent_tokens(long)
-    ordered = long.select("place", "id", tokens(F.col("line")).alias("toks")).select("place", "id", F.size("toks").alias("m"), _by_rarity(frequent).alias("toks"))
+    toks = long.select("id", tokens(F.col("line")).alias("toks"))
+    index = toks.select("id", F.explode(F.slice(F.array_sort("toks"), F.lit(1), _needed(F.size("toks")))).alias("tok"))
+    bucket = Window.partitionBy("tok")
+    shared = index.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket))
+    return shared.filter("low < high").select("id").distinct()
+
+
+def similar_lines(lines: DataFrame, firsts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(place, id) of the lines that resemble an earlier one.
+
+    lines: (line, place, id), copies included; firsts: (id, place) of the earliest copy of each. The texts of the lines
+    that pass the screen are fetched by a broadcast of their ids up to a checked number, by a shuffle beyond it.
+    """
+    able = stored(firsts.join(screened(lines), "id", "left_semi").select("id", "place"), "lines-able")
+    wanted = F.broadcast(able) if able.count() <= broadcast_rows else able
+    texts = stored(lines.join(wanted, ["id", "place"]).dropDuplicates(["place", "id"]).select("place", "id", "line"), "line-texts")
+    frequent = frequent_tokens(texts)
+    ordered = texts.select("place", "id", tokens(F.col("line")).alias("toks")).select("place", "id", F.size("toks").alias("m"), _by_rarity(frequent).alias("toks"))
     index = ordered.select("place", "id", "m", F.posexplode(F.slice("toks", F.lit(1), _needed(F.col("m")))).alias("pos", "tok"))
     bucket = Window.partitionBy("tok")
     index = index.withColumn("n", F.count("*").over(bucket)).withColumn("first", F.min(F.struct("place", "id", "m", "pos")).over(bucket))
     index = stored(index.filter("n > 1"), "line-index")
-    able = index.select("place", "id").distinct()
-    texts = stored(long.join(able, ["place", "id"], "left_semi"), "line-texts")
     near = index.filter((F.col("first.place") < F.col("place")) & _may_match(F.col("m"), F.col("pos"), F.col("first.m"), F.col("first.pos")))
     pairs = near.select("place", "id", F.col("first.place").alias("place0"), F.col("first.id").alias("id0")).distinct()
     settled = stored(_verified(pairs, texts), "lines-settled")
@@ -112,14 +130,14 @@ def similar_lines(lines: DataFrame, frequent: list[int] | None = None) -> DataFr
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, doc_hash, line_no) of every line that goes."""
-    rows = _line_rows(docs)
-    lines = stored(rows.groupBy("line").agg(F.min(_place()).alias("place")).withColumn("id", F.xxhash64("line")), "lines")
-    gone = similar_lines(lines)
-    firsts = lines.select("id", F.xxhash64(F.lit(1), "line").alias("id2"), F.col("place").alias("first_place"))
+    rows = _line_rows(docs).withColumn("id", F.xxhash64("line"))
+    slim = stored(rows.select("doc", "doc_hash", "line_no", "id", F.xxhash64(F.lit(1), "line").alias("id2")), "lines")
+    firsts = stored(slim.groupBy("id", "id2").agg(F.min(_place()).alias("place")), "lines-first")
+    gone = similar_lines(rows.select("line", _place().alias("place"), "id"), firsts.select("id", "place"))
     gone = gone.select("id", F.col("place").alias("first_place"), F.lit(True).alias("gone"))
-    slim = rows.select("doc", "doc_hash", "line_no", _place().alias("place"), F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
-    marked = slim.join(firsts, ["id", "id2"]).join(gone, ["id", "first_place"], "left")
-    return marked.filter((F.col("place") > F.col("first_place")) | F.col("gone")).select("doc", "doc_hash", "line_no")
+    marked = firsts.withColumnRenamed("place", "first_place").join(gone, ["id", "first_place"], "left")
+    both = slim.withColumn("place", _place()).join(marked, ["id", "id2"])
+    return both.filter((F.col("place") > F.col("first_place")) | F.col("gone")).select("doc", "doc_hash", "line_no")
 
 
 def removed_by_document(docs: DataFrame) -> DataFrame:

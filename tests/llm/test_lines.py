@@ -50,6 +50,13 @@ def test_lines_equal_brute_force(spark, monkeypatch, many):
     assert {r.doc_id: r.text for r in out.collect()} == brute(docs)
 
 
+def test_fetching_by_shuffle_gives_the_same(spark, monkeypatch):
+    frame = spark.createDataFrame(corpus(), "doc_id long, text string")
+    whole = sorted(map(tuple, lines.line_report(frame).collect()), key=str)
+    monkeypatch.setattr(lines.similar_lines, "__defaults__", (0,))
+    assert sorted(map(tuple, lines.line_report(frame).collect()), key=str) == whole
+
+
 def test_query_equals_sql(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
