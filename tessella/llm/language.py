@@ -73,7 +73,7 @@ def sample(docs: DataFrame, rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES)
     able = able.filter((bucket_of(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.octet_length("text").between(1, longest))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 40)) / float(1 << 40)
     sizes = able.groupBy("lang").agg(F.count("*").alias("rows"))
-    near = able.join(sizes, "lang").filter(draw < 3.0 * rows / F.col("rows"))  # about three times as many as are taken
+    near = able.join(F.broadcast(sizes), "lang").filter(draw < 3.0 * rows / F.col("rows"))  # sizes: a row for each language; near: about three times as many as are taken
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", "text"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "text")
 
