@@ -85,14 +85,14 @@ def numbered(values: DataFrame, arm: str, order: str) -> DataFrame:
 def draws(spark: SparkSession, values: DataFrame, reps: int, seed: str) -> DataFrame:
     """(arm, rep, value): for each arm and replicate as many values as the arm has, with replacement.
 
-    Draws are made where the replicates are and looked up in the arms' values, which a study holds in thousands; only
-    what aggregates by (arm, rep) leave is shuffled.
+    Draws are made where the replicates are and looked up in the arms' values, which each task holds a share of. Their
+    number is not known to the planner, which would send all of them to every executor but for the hint.
     """
     sizes = values.groupBy("arm").agg(F.max("n").alias("n"))
     grid = spark.range(reps).select(F.col("id").alias("rep")).join(F.broadcast(sizes), F.lit(True))  # a row for each arm
     drawn = grid.select("arm", "rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
     k = hash_draw(seed, F.col("arm").cast("string"), F.col("rep").cast("string"), F.col("j").cast("string")) % F.col("n")
-    return drawn.select("arm", "rep", k.alias("k")).join(values.select("arm", "k", "value"), ["arm", "k"]).select("arm", "rep", "value")
+    return drawn.select("arm", "rep", k.alias("k")).join(values.select("arm", "k", "value").hint("shuffle_hash"), ["arm", "k"]).select("arm", "rep", "value")
 
 
 def replicate_means(spark: SparkSession, values: DataFrame, reps: int, seed: str, statistic: str = "mean") -> DataFrame:

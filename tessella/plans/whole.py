@@ -1,0 +1,40 @@
+"""The queries that run on cut tables (RS7 to RS15, RS17, JN13) over whole ones, each beside its SQL without the cut."""
+
+from __future__ import annotations
+
+from tessella.plans import inference as inf
+from tessella.plans import relations
+from tessella.plans.base import ORACLES, query
+
+#: What cuts the tables in the SQL, and what stands there for whole ones.
+CUTS = {
+    f" WHERE k < {inf.ARM})": ")",
+    f"FROM a, range({inf.REPS}) t(rep), range({inf.ARM}) u(j) WHERE j < n": f"FROM (SELECT arm, n, rep, unnest(range(n)) AS j FROM a, range({inf.REPS}) t(rep))",
+    " WHERE c_custkey <= 300": "",
+    " WHERE l_quantity <= 5": "",
+}
+EVENTS = {
+    "RS7": inf.bootstrap_means, "RS8": inf.bootstrap_contrasts, "RS9": inf.stratified_bootstrap, "RS10": inf.bootstrap_correlation,
+    "RS11": inf.bootstrap_medians, "RS12": inf.permutation_correlation, "RS13": inf.permutation_difference,
+    "RS14": inf.largest_permutation, "RS17": inf.decision,
+}
+
+
+def uncut(sql: str) -> str:
+    for cut, rest in CUTS.items():
+        sql = sql.replace(cut, rest)
+    return sql
+
+
+for _name, _run in EVENTS.items():
+    query(f"{_name}_whole", uncut(ORACLES[_name]))(lambda spark, d, run=_run: run(spark, d, None))
+
+
+@query("RS15_whole", uncut(ORACLES["RS15"]))
+def adjusted(spark, d):
+    return inf.adjusted(spark, d, "true")
+
+
+@query("JN13_whole", uncut(ORACLES["JN13"]))
+def compared_groups(spark, d):
+    return relations.compared_groups(spark, d, "true")
