@@ -4,8 +4,8 @@ A source's share of all tokens is raised to an exponent and the results are norm
 0 makes all sources equal. The exponent is found by bisection so that the mix meets a target entropy, or as low as a
 limit on repetition allows. The weights are then realised in blocks. Each source's documents are dealt to as many blocks
 as the whole mix has, every block takes whole epochs and of the last one the documents that come first in the block's own
-permutation until its share of the budget is spent. A block never holds more than its share of a source, so no source,
-however large, is ordered in one piece.
+permutation until its share of the budget is spent; what a block overspends on its last document another saves. A block
+never holds more than its share of a source, so no source, however large, is ordered in one piece.
 """
 
 from __future__ import annotations
@@ -79,15 +79,31 @@ def temperature(totals: DataFrame, gain: float = ENTROPY_GAIN, max_repeats: floa
     return joined.select("source", "tokens", F.coalesce("all_tokens", F.lit(0)).alias("all_tokens"), F.coalesce("exponent", F.lit(1.0)).alias("exponent"), weight.alias("weight"))
 
 
+def _carried(placed: DataFrame) -> DataFrame:
+    """(_source, _home, _over) of the blocks that take the document in which their share of a source ends.
+
+    The parts of these documents within the shares are added up from the longest document to the shortest, and one is
+    taken whenever the sum passes a whole number: so the tokens of those taken exceed the parts by one document at most.
+    """
+    part = F.col("_left") / F.col("_tokens")
+    ends = placed.filter("_left > 0 and _left < _tokens").select("_source", "_home", "_tokens", part.alias("_part"))
+    order = Window.partitionBy("_source").orderBy(F.desc("_tokens"), "_home")  # a row for each block, not for each document
+    upto = F.sum("_part").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.coalesce(F.sum("_part").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    taken = ends.withColumn("_over", F.ceil(upto) > F.ceil(before)).filter("_over")
+    return taken.select("_source", "_home", "_over")
+
+
 def mix(
     docs: DataFrame, gain: float = ENTROPY_GAIN, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS,
-    tokens: str | None = None, tie: str | None = None,
+    tokens: str | None = None, tie: str | None = None, carry: bool = True,
 ) -> DataFrame:
     """docs as the mix shows them, with mix_epoch (from 0), mix_block and mix_order (place within the block, from 1).
 
     As many tokens as docs have are shared out by weight. A source that gets r times its tokens stands there whole
-    floor(r) times, and for the rest every block takes, in the order of its permutation, the documents that begin
-    before the block's share is spent. Epochs of one document lie in different blocks where there are several. Null
+    floor(r) times, and for the rest every block takes, in the order of its permutation, the documents that end before
+    the block's share is spent. Of the documents that the shares end in, so many are taken, spread over all lengths, that
+    a source gets its tokens and at most its longest document more; without carry each block takes its own. Epochs of one document lie in different blocks where there are several. Null
     sources are one source, documents without a token are left out, repeated rows count apart and are ordered together;
     an empty table gives an empty result. Columns of docs named like the new ones are replaced. tokens and tie name
     columns that hold the number of tokens and the md5 of the text, where they are known.
@@ -107,8 +123,12 @@ def mix(
     permuted = Window.partitionBy("_source", "_home").orderBy("_draw", key, "_mark").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_source", "_home")
     fraction = F.col("_repeats") - F.floor("_repeats")
-    spent = F.coalesce(F.sum("_tokens").over(permuted), F.lit(0)) < fraction * F.sum("_tokens").over(whole)
-    counted = dealt.withColumn("_times", F.floor("_repeats").cast("int") + spent.cast("int")).filter("_times > 0")
+    placed = dealt.withColumn("_left", fraction * F.sum("_tokens").over(whole) - F.coalesce(F.sum("_tokens").over(permuted), F.lit(0)))
+    spent = F.col("_left") > 0
+    if carry:
+        placed = placed.join(F.broadcast(_carried(placed)), ["_source", "_home"], "left")  # a row for each source and block at most
+        spent = (F.col("_left") >= F.col("_tokens")) | (spent & F.col("_over").isNotNull())
+    counted = placed.withColumn("_times", F.floor("_repeats").cast("int") + spent.cast("int")).filter("_times > 0")
     shown = counted.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     shown = shown.withColumn("mix_block", (F.col("_home") + F.col("mix_epoch") * F.greatest(F.lit(1), F.floor(F.col("_blocks") / 4))) % F.col("_blocks"))
     order = Window.partitionBy("mix_block").orderBy(_hashed(F.lit("order"), F.col("mix_epoch").cast("string"), key), key, "mix_epoch", "_mark")
@@ -116,10 +136,10 @@ def mix(
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, and the place of each showing in the mix."""
+    """doc_id, source, n_tokens, and the place of each showing in the mix; as its SQL says, blocks carry nothing over."""
     text = F.col("text").cast("string")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", tokens_of(text).alias("n_tokens"), F.md5(F.coalesce(text, F.lit(""))).alias("mark"))
-    mixed = mix(stored(docs, "mixing"), tokens="n_tokens", tie="mark")
+    mixed = mix(stored(docs, "mixing"), tokens="n_tokens", tie="mark", carry=False)
     return mixed.select("doc_id", "source", "n_tokens", "mix_epoch", "mix_block", F.col("mix_order").cast("long").alias("mix_order"))
 
 

@@ -48,3 +48,16 @@ def test_odd_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs.filter("doc_id in (2, 3)")).count() == 0
     one = mixing.mix(docs.filter("source = 'y'")).collect()
     assert [r.mix_epoch for r in one] == [0]
+
+
+def test_a_source_with_fewer_documents_than_blocks_gets_its_share(spark):
+    words = lambda n: "w " * n
+    rows = [(i, words(50 + i % 100), "large") for i in range(400)] + [(1000 + i, words(5 + i % 20), "small") for i in range(150)] + [(2000 + i, words(10 + i % 7), "tiny") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    n = mixing.F.sum(mixing.tokens_of(mixing.F.col("text"))).alias("tokens")
+    weights = {r.source: r for r in mixing.temperature(docs.groupBy("source").agg(n), gain=0.3).collect()}
+    got = {r.source: r.tokens for r in mixing.mix(docs, gain=0.3, block_tokens=100).groupBy("source").agg(n).collect()}
+    assert all(r.all_tokens > 300 * 100 and (r.weight * r.all_tokens / r.tokens) % 1 > 0.02 for r in weights.values())
+    for source, longest in (("large", 149), ("small", 24), ("tiny", 16)):
+        r = weights[source]
+        assert -1 <= got[source] - r.weight * r.all_tokens <= longest + 1
