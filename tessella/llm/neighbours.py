@@ -4,7 +4,8 @@ Vectors are dealt to shards by hash. In a shard every vector gets one more compo
 largest inner product is the smallest distance. The graph is built in rounds: beam searches from the middle propose
 neighbours of each vector, and pruning keeps a candidate only if no kept neighbour is closer to it by the relaxed
 factor, so edges stay diverse; back edges are pruned alike. A query walks the graph of every shard with a beam, and the
-shards' best are ranked by the exact inner product in double precision.
+shards' best are ranked by the exact inner product in double precision. Equal vectors are one vertex of the graph, since
+pruning would leave most copies without an edge to them; the vertex holds their ids, and answers name them all.
 """
 
 from __future__ import annotations
@@ -135,23 +136,37 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return rows.filter(finite & F.exists("x", lambda c: c != 0))
 
 
+def vertices(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct vectors, ids, begins): begins[i] to begins[i + 1] is where the ids of vector i stand, each once and in order."""
+    at, vertex = np.unique(x + 0.0, axis=0, return_inverse=True)  # -0.0 becomes 0.0
+    pairs = np.unique(np.stack([vertex.ravel(), ids], axis=1), axis=0)
+    return at, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(at) + 1))
+
+
 def _search_shard(_: tuple, batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[pa.RecordBatch]:
     """Reads a shard's vectors (kind 0, sorted to come first) and queries (kind 1); gives each query's best of the shard."""
     names = ["query_id", "vec_id", "score"]
     ids, rows, graph = [], [], None
 
     def answers(query_ids: list, queries: list) -> pa.RecordBatch:
-        points, edges, starts, own, at = graph
+        points, edges, starts, own, begins, at = graph
         q = np.array(queries)
         met, _ = walk(points, edges, starts, np.concatenate([q, np.zeros((len(q), 1))], axis=1), max(BEAM, 2 * nearest))
         query_ids = np.array(query_ids)
-        real = (met >= 0) & (own[met] != query_ids[:, None])
-        scores = np.where(real, np.einsum("ad,abd->ab", q, at[met]), -np.inf)
-        order = np.lexsort((own[met], -scores), axis=1)[:, :nearest]
-        line = np.arange(len(q))[:, None]
-        keep = real[line, order]
-        who = np.broadcast_to(query_ids[:, None], order.shape)[keep]
-        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(own[met[line, order]][keep]), pa.array(scores[line, order][keep])], names)
+        scores = np.where(met >= 0, np.einsum("ad,abd->ab", q, at[met]), -np.inf)
+        # of each vertex the least ids, as many as may be answers beside the query's own
+        n = np.where(met >= 0, np.minimum(begins[met + 1] - begins[met], nearest + 1), 0)
+        line = np.repeat(np.arange(len(q)), n.sum(axis=1))
+        n = n.ravel()
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        found = own[np.repeat(begins[met].ravel(), n) + place]
+        scores = np.repeat(scores.ravel(), n)
+        real = found != query_ids[line]
+        line, found, scores = line[real], found[real], scores[real]
+        order = np.lexsort((found, -scores, line))
+        line, found, scores = line[order], found[order], scores[order]
+        keep = np.arange(len(line)) - np.searchsorted(line, line) < nearest
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[line[keep]]), pa.array(found[keep]), pa.array(scores[keep])], names)
 
     held_ids, held = [], []
     for batch in batches:
@@ -163,9 +178,9 @@ def _search_shard(_: tuple, batches: Iterator[pa.RecordBatch], nearest: int) ->
             if not rows:
                 continue
             if graph is None:
-                at = np.array(rows)
+                at, own, begins = vertices(np.array(rows), np.array(ids))
                 points = lengthened(at)
-                graph = (points, *build(points), np.array(ids), at)
+                graph = (points, *build(points), own, begins, at)
             held_ids.append(vec_id)
             held.append(x)
             if len(held) == TOGETHER:

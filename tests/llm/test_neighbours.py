@@ -54,3 +54,21 @@ def test_odd_rows(spark):
     assert neighbours.nearest_neighbours(frame.limit(0)).count() == 0
     twice = frame.filter("vec_id in (0, 1)").unionByName(frame.filter("vec_id = 0"))
     assert [(r.query_id, r.vec_id) for r in neighbours.nearest_neighbours(twice).collect()] == [(0, 1)]
+
+
+def test_copies_stay_in_the_index(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-8, 9, (1000, 16)).astype(float)
+    copies = np.concatenate([np.repeat(x[:1], 440, axis=0), np.repeat(x[1:4], 20, axis=0)])
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(1500), np.concatenate([x, copies]), strict=True)]
+    # queries beside a group of copies, whose answers are the least ids of it
+    rows += [(2000 + 20 * k, (3 * x[k] + rng.integers(0, 2, 16)).tolist()) for k in range(4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = exact(rows)
+    for shard in (2000, 700):
+        got = {}
+        for r in neighbours.nearest_neighbours(frame, shard=shard).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got.keys() == want.keys()
+        assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.95
+        assert all(got[q] == want[q] for q in range(2000, 2080, 20))
