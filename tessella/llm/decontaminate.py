@@ -7,6 +7,7 @@ along one diagonal. On that diagonal the longest overlap that tolerates substitu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,17 +19,29 @@ from pyspark.sql import functions as F
 from tessella.llm.common import table
 
 #: Words of a stretch that must agree (1) and that may differ (0).
-MASKS = ("11101011", "1101100111", "11001010111", "111111")
+MASKS = ("11101011", "1101100111", "11001010111", "111111", "1110011011")
 #: An overlap counts from so many words, or from the whole item if it has fewer, and from this share of equal words.
 MIN_WORDS = 13
 MIN_SAME = 0.8
 #: Words of benchmark text that are sent to the executors at once; a larger benchmark is worked off in parts.
 PART_WORDS = 2_000_000
 
+
+
+def _short_masks(n: int) -> list[str]:
+    """Masks of which one agrees wherever an item of n words stands whole: its ends, and one more piece between them than words may differ."""
+    pieces = n - math.ceil(MIN_SAME * n - 1e-9) + 1
+    inner = max(0, n - 2)
+    return ["".join("1" if i in (0, n - 1) or (i - 1) * pieces // inner == p else "0" for i in range(n)) for p in range(pieces)]
+
+
+#: The masks, and the number of words of the items that each is for; None: items of MIN_WORDS and more.
+SEEDS = [(m, None) for m in MASKS] + [(m, n) for n in range(1, MIN_WORDS) for m in _short_masks(n)]
+
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or b in _KEEP else 0x20 for b in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_GAP = max(map(len, MASKS))
+_GAP = max(len(m) for m, _ in SEEDS)
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -64,8 +77,9 @@ def index(rows: list[tuple[int, bytes | None]]) -> Index:
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws in split for w in ws}), 1)}
     texts = [np.array([vocabulary[w] for w in ws], np.int64) for ws in split]
     keys, where = [], []
-    for mask in MASKS:
-        found = [(np.full(len(at), i), at, h) for i, t in enumerate(texts) for at, h in [_stretches(t, mask)]]
+    for mask, n in SEEDS:
+        own = [(i, t) for i, t in enumerate(texts) if (len(t) == n if n else len(t) >= MIN_WORDS)]
+        found = [(np.full(len(at), i), at, h) for i, t in own for at, h in [_stretches(t, mask)]]
         item, at = (np.concatenate([x[k] for x in found] + [np.zeros(0, np.int64)]) for k in (0, 1))
         h = np.concatenate([x[2] for x in found] + [np.zeros(0, np.uint64)])
         order = np.argsort(h, kind="stable")
@@ -77,22 +91,19 @@ def index(rows: list[tuple[int, bytes | None]]) -> Index:
 def longest_overlap(same: np.ndarray, least: float = MIN_SAME) -> tuple[int, int]:
     """(start, end) of the longest stretch that begins and ends with equal words and has at least this share of them; the first of several."""
     sums = np.concatenate([[0.0], np.cumsum(same - least)]) + 1e-9 * np.arange(len(same) + 1)
-    lows = [0]
-    for i in range(1, len(sums)):
-        if sums[i] < sums[lows[-1]]:
+    equal = np.flatnonzero(same).tolist()
+    lows: list[int] = []
+    for i in equal:
+        if not lows or sums[i] < sums[lows[-1]]:
             lows.append(i)
     best = (0, 0)
-    j = len(sums) - 1
     k = len(lows) - 1
-    while j > 0 and k >= 0:
+    for j in (i + 1 for i in reversed(equal)):
         while k >= 0 and sums[j] >= sums[lows[k]]:
             if j - lows[k] >= best[1] - best[0] and j > lows[k]:
                 best = (lows[k], j)
             k -= 1
-        j -= 1
-    start, end = best
-    inside = np.flatnonzero(same[start:end])
-    return (start + int(inside[0]), start + int(inside[-1]) + 1) if len(inside) else (0, 0)
+    return best
 
 
 def overlaps(found: Index, texts: list[bytes | None]) -> list[tuple[int, int, int, int, int, int]]:
@@ -107,7 +118,9 @@ def overlaps(found: Index, texts: list[bytes | None]) -> list[tuple[int, int, in
     for b, s in zip(begins, split, strict=True):
         ids[b : b + len(s)] = s
     diagonals = []
-    for mask, keys, where in zip(MASKS, found.keys, found.where, strict=True):
+    for (mask, _), keys, where in zip(SEEDS, found.keys, found.where, strict=True):
+        if not len(keys):
+            continue
         at, h = _stretches(ids, mask)
         low = np.searchsorted(keys, h, "left")
         n = np.searchsorted(keys, h, "right") - low
@@ -117,6 +130,8 @@ def overlaps(found: Index, texts: list[bytes | None]) -> list[tuple[int, int, in
         at = np.repeat(at, n)
         doc = np.searchsorted(begins, at, "right") - 1  # a stretch lies within one text, since the gaps are not known words
         diagonals.append(np.stack([doc, where[pick, 0], at - where[pick, 1]], axis=1))
+    if not diagonals:
+        return []
     best: dict[tuple[int, int], tuple] = {}
     for doc, item, shift in np.unique(np.concatenate(diagonals), axis=0).tolist():
         own = found.texts[item]
@@ -147,7 +162,7 @@ _SCHEMA = "doc_id long, item_id long, n_words long, n_same long, doc_start long,
 def contamination(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     """A row for each document and benchmark item with an overlap that counts: its length and equal words, and where it begins (words from 0).
 
-    Null or empty texts overlap nothing, and an item that is shorter than the shortest mask is never found; repeated
+    Null or empty texts overlap nothing; repeated
     rows of docs give repeated rows, items with one id count apart, null ids are kept. An empty table on either side
     gives an empty result; further columns are ignored.
     """

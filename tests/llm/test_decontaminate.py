@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import numpy as np
 
 from tessella.llm import decontaminate as dc
@@ -73,3 +75,22 @@ def test_items_that_stand_in_documents_whole_are_found(spark):
     items = [(r.item_id, r.text) for r in bench.collect()]
     want = {(r.doc_id, i) for r in docs.collect() for i, t in items if t in (r.text or "")}
     assert want and want <= got
+
+
+def test_every_pattern_of_short_items_and_of_15_words_is_found():
+    for n in [*range(1, dc.MIN_WORDS), 15]:
+        item = [f"w{i}" for i in range(n)]
+        found = dc.index([(7, " ".join(item).encode())])
+        for k in range(n // 5 + 1):
+            for places in combinations(range(1, n - 1), k):
+                text = ["x", *("other" if i in places else w for i, w in enumerate(item)), "y"]
+                assert dc.overlaps(found, [" ".join(text).encode()]) == [(0, 0, n, n - k, 1, 0)]
+        assert dc.overlaps(found, [b"", b"x y", " ".join(item[1:]).encode()]) == ([] if n < 15 else [(2, 0, 14, 14, 0, 1)])
+
+
+def test_longest_overlap_ends_with_equal_words_before_it_is_chosen():
+    rng = np.random.default_rng(3)
+    for _ in range(1500):
+        same = rng.random(rng.integers(1, 25)) < 0.65
+        a, b = dc.longest_overlap(same)
+        assert b - a == brute_overlap(same)
