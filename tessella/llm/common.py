@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -56,5 +55,9 @@ def bucket_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def plain_name(name: str) -> str:
-    return re.sub(r"\W+", "_", name)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = "_"
+    while any(c.lower().startswith(taken) for c in df.columns):
+        taken += "_"
+    return [taken + name for name in names]

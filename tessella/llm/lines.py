@@ -8,7 +8,8 @@ against the earliest of them, which settles groups of copies in linear time, and
 against all others.
 
 Most lines share no token with any other. A prefix filter in the order of the tokens' hashes, which needs no counts,
-screens those out before; the order by rarity is that among the lines that are left.
+screens those out before. All tokens of the lines that are left are counted exactly; those that only one line has come
+first in its order, so only the others travel back to it, and a line whose lonely tokens fill its prefix is done.
 """
 
 from __future__ import annotations
@@ -16,25 +17,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import stored, table
+from tessella.llm.common import fresh, stored, table
 
 SHINGLE = 5
 #: Jaccard similarity from which a later line goes, as a fraction.
 SIMILAR = (4, 5)
-#: Tokens that are kept apart as the most frequent ones, and how many the count tracks: both bound what the driver gets.
-FREQUENT, TRACKED = 1000, 100_000
 #: Lines whose ids are broadcast at most: some 80 bytes each.
 BROADCAST_ROWS = 1_000_000
 _LAST = 9223372036854775807
+_BLANKS = " \t\x0b\f\r"
+#: The low bits of a token that give way to the size of its line in the screen; larger sizes count as the largest.
+_SIZE_BITS = 16
+#: More than an array has.
+_REST = 1 << 30
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
     """(doc, doc_hash, line_no, line): the lines that are not blank, their words joined by one space; line_no from 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("doc_hash"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    line = F.col("line")
-    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\f")
-    clean = F.trim(F.when(odd, F.regexp_replace(line, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(line))
-    return rows.withColumn("line", clean).filter("line <> ''")
+    text = F.col("text").cast("string")
+
+    def odd(x: Column) -> Column:
+        return x.contains("  ") | x.contains("\t") | x.contains("\r") | x.contains("\x0b") | x.contains("\f")
+
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("doc_hash"), odd(text).alias("odd"), text.alias("text"))
+    rows = marked.select("doc", "doc_hash", "odd", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    bare = F.trim("line", F.lit(_BLANKS))
+    clean = F.when(F.col("odd") & odd(bare), F.regexp_replace(bare, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(bare)
+    return rows.filter(bare != "").select("doc", "doc_hash", "line_no", clean.alias("line"))
 
 
 def _place() -> Column:
@@ -42,31 +51,25 @@ def _place() -> Column:
     return F.coalesce(F.col("doc"), F.lit(_LAST)).cast("decimal(38,0)") * F.lit(4294967296).cast("decimal(11,0)") + F.col("line_no")
 
 
-def tokens(line: Column) -> Column:
-    """The hashes of the line's shingles, each once."""
-    hashed = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(hashed) - SHINGLE, F.lit(0)))
+def _long(lines: DataFrame) -> DataFrame:
+    """The lines of SHINGLE words or more."""
+    return lines.filter(F.octet_length(F.substring_index("line", " ", SHINGLE - 1)) < F.octet_length("line"))
 
-    def shingle(words: Column) -> Column:
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
 
-    return F.array_distinct(F.get(F.transform(F.array(hashed), shingle), F.lit(0)))
+def tokens(line: Column) -> Column:
+    """The hashes of the shingles of a line of SHINGLE words or more, each once and in order."""
 
+    def bound(value: Column, use) -> Column:  # evaluates value once
+        return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _by_rarity(frequent: list[int]) -> Column:
-    """The tokens of column toks in their global order: those that are not frequent by hash, then the frequent ones, rarest first."""
-    if not frequent:
-        return F.array_sort("toks")
-    common = F.filter("toks", lambda t: t.isin(frequent))
-    rare = F.array_sort(F.array_except("toks", common))
-    return F.when(F.size(common) == 0, rare).otherwise(F.concat(rare, F.array_intersect(F.lit(frequent), common)))
+    def paired(a: Column, b: Column, step: int) -> Column:
+        return F.zip_with(a, F.slice(b, step + 1, _REST), lambda x, y: F.xxhash64(x, y))
 
+    def shingles(h: Column) -> Column:
+        fours = bound(paired(h, h, 1), lambda two: paired(two, two, 2))
+        return F.slice(paired(fours, h, SHINGLE - 1), F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0)))
 
-def frequent_tokens(lines: DataFrame) -> list[int]:
-    """The most frequent tokens, the most frequent last. A sketch over all tokens finds them; it decides the order only, never the result."""
-    found = lines.select(F.explode(tokens(F.col("line"))).alias("t")).agg(F.expr(f"approx_top_k(t, {FREQUENT}, {TRACKED})").alias("top")).first()
-    top = [(r["count"], r["item"]) for r in (found.top or [])]
-    return [t for n, t in sorted(top) if n > 8]
+    return F.sort_array(F.array_distinct(bound(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), shingles)))
 
 
 def _needed(m: Column) -> Column:
@@ -82,68 +85,89 @@ def _may_match(m1: Column, p1: Column, m2: Column, p2: Column) -> Column:
     return fits & ((1 + F.least(m1 - p1, m2 - p2) - 1) * (a + b) >= (m1 + m2) * a)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(place, id): the later lines of the pairs whose sets are similar enough."""
+def screened(lines: DataFrame) -> DataFrame:
+    """(id): the lines that, in the order of the tokens' hashes, share one of their first tokens with another line of like size.
+
+    A row is the line's id and one number: the token, with the line's size in its low bits. Within a token the rows stand
+    in the order of size, so a line of like size is there if and only if one stands beside it.
+    """
     a, b = SIMILAR
-    later = texts.select(F.col("place"), F.col("id"), F.col("line").alias("line1"))
-    earlier = texts.select(F.col("place").alias("place0"), F.col("id").alias("id0"), F.col("line").alias("line0"))
-    both = pairs.join(earlier, ["place0", "id0"]).join(later, ["place", "id"])
-    sets = both.select("place", "id", tokens(F.col("line1")).alias("s1"), tokens(F.col("line0")).alias("s0"))
-    shared = F.size(F.array_intersect("s1", "s0"))
-    return sets.filter(shared * b >= (F.size("s1") + F.size("s0") - shared) * a).select("place", "id").distinct()
+    most = (1 << _SIZE_BITS) - 1
+    sets = _long(lines).select("id", tokens(F.col("line")).alias("toks")).withColumn("m", F.size("toks"))
+    index = sets.select("id", "m", F.explode(F.slice("toks", F.lit(1), _needed(F.col("m")))).alias("tok"))
+    key = F.col("tok").bitwiseAND(F.lit(~most)).bitwiseOR(F.least("m", F.lit(most)).cast("long"))
+    bucket = F.shiftright("key", _SIZE_BITS)
+    rows = index.select("id", key.alias("key")).repartition(bucket)
+    beside = Window.partitionBy(bucket).orderBy("key", "id")
+    met = rows.select("id", "key", *[f(c).over(beside).alias(n + c) for f, n in ((F.lag, "before_"), (F.lead, "after_")) for c in ("id", "key")])
+    size, before, after = (F.col(c).bitwiseAND(F.lit(most)) for c in ("key", "before_key", "after_key"))
+    found = ((F.col("before_id") != F.col("id")) & (before * b >= size * a)) | ((F.col("after_id") != F.col("id")) & (size * b >= after * a))
+    return met.filter(found).select("id").distinct()
+
+
+def shared_tokens(lines: DataFrame, able: DataFrame) -> DataFrame:
+    """(key, place, m, toks) of the able lines that may match: m tokens in all, and in toks those that other able lines have too, rarest first.
+
+    lines: (line, place, id), copies included; able: (key, id, place).
+    """
+    sets = _long(lines).join(able, ["id", "place"]).select("key", tokens(F.col("line")).alias("toks"))
+    rows = sets.select("key", F.size("toks").alias("m"), F.explode("toks").alias("tok"))
+    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("tok"))).filter("n > 1")
+    ordered = counted.groupBy("key").agg(F.max("m").alias("m"), F.sort_array(F.collect_set(F.struct("n", "tok"))).alias("toks"))
+    matching = ordered.filter(F.col("m") - F.size("toks") < _needed(F.col("m")))
+    return matching.join(able.select("key", "place"), "key").select("key", "place", "m", F.col("toks.tok").alias("toks"))
 
 
-def screened(lines: DataFrame) -> DataFrame:
-    """(id): the lines that, in the order of the tokens' hashes, share one of their first tokens with another line."""
-    long = lines.filter(F.size(F.split("line", " ")) >= SHINGLE)
-    toks = long.select("id", tokens(F.col("line")).alias("toks"))
-    index = toks.select("id", F.explode(F.slice(F.array_sort("toks"), F.lit(1), _needed(F.size("toks")))).alias("tok"))
-    bucket = Window.partitionBy("tok")
-    shared = index.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket))
-    return shared.filter("low < high").select("id").distinct()
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key): the later lines of the pairs (key, key0) whose sets are similar enough."""
+    a, b = SIMILAR
+    later = sets.select("key", F.col("m").alias("m1"), F.col("toks").alias("s1"))
+    earlier = sets.select(F.col("key").alias("key0"), F.col("m").alias("m0"), F.col("toks").alias("s0"))
+    both = pairs.join(earlier, "key0").join(later, "key")
+    shared = F.size(F.array_intersect("s1", "s0"))
+    return both.filter(shared * b >= (F.col("m1") + F.col("m0") - shared) * a).select("key").distinct()
 
 
 def similar_lines(lines: DataFrame, firsts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(place, id) of the lines that resemble an earlier one.
 
-    lines: (line, place, id), copies included; firsts: (id, place) of the earliest copy of each. The texts of the lines
-    that pass the screen are fetched by a broadcast of their ids up to a checked number, by a shuffle beyond it.
+    lines: (line, place, id), copies included; firsts: (id, place) of the earliest copy of each. The lines that pass the
+    screen are found again by a broadcast of their ids up to a checked number, by a shuffle beyond it.
     """
-    able = stored(firsts.join(screened(lines), "id", "left_semi").select("id", "place"), "lines-able")
-    wanted = F.broadcast(able) if able.count() <= broadcast_rows else able
-    texts = stored(lines.join(wanted, ["id", "place"]).dropDuplicates(["place", "id"]).select("place", "id", "line"), "line-texts")
-    frequent = frequent_tokens(texts)
-    ordered = texts.select("place", "id", tokens(F.col("line")).alias("toks")).select("place", "id", F.size("toks").alias("m"), _by_rarity(frequent).alias("toks"))
-    index = ordered.select("place", "id", "m", F.posexplode(F.slice("toks", F.lit(1), _needed(F.col("m")))).alias("pos", "tok"))
-    bucket = Window.partitionBy("tok")
-    index = index.withColumn("n", F.count("*").over(bucket)).withColumn("first", F.min(F.struct("place", "id", "m", "pos")).over(bucket))
-    index = stored(index.filter("n > 1"), "line-index")
-    near = index.filter((F.col("first.place") < F.col("place")) & _may_match(F.col("m"), F.col("pos"), F.col("first.m"), F.col("first.pos")))
-    pairs = near.select("place", "id", F.col("first.place").alias("place0"), F.col("first.id").alias("id0")).distinct()
-    settled = stored(_verified(pairs, texts), "lines-settled")
-    open_ = index.filter(F.col("first.place") < F.col("place")).join(settled, ["place", "id"], "left_anti").select("tok", "place", "id", "m", "pos", F.col("first.id").alias("held_id"))
-    other = index.select("tok", *[F.col(c).alias(f"{c}0") for c in ("place", "id", "m", "pos")])
-    rest = open_.join(other, "tok").filter((F.col("place0") < F.col("place")) & (F.col("id0") != F.col("held_id")))
-    rest = rest.filter(_may_match(F.col("m"), F.col("pos"), F.col("m0"), F.col("pos0"))).select("place", "id", "place0", "id0").distinct()
-    return settled.unionByName(_verified(rest, texts)).distinct()
+    able = firsts.join(screened(lines), "id", "left_semi").select("id", "place", F.monotonically_increasing_id().alias("key"))
+    able = stored(able, "lines-able")
+    sets = stored(shared_tokens(lines, F.broadcast(able) if able.count() <= broadcast_rows else able), "line-sets")
+    lonely = F.col("m") - F.size("toks")
+    prefix = F.posexplode(F.slice("toks", F.lit(1), _needed(F.col("m")) - lonely)).alias("at", "tok")
+    index = sets.select("key", "place", "m", lonely.alias("lonely"), prefix).select("key", "place", "m", (F.col("lonely") + F.col("at")).alias("pos"), "tok")
+    index = stored(index, "line-index")
+    heads = index.groupBy("tok").agg(F.min(F.struct("place", "key", "m", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    met = index.join(heads.select("tok", "first"), "tok").filter(F.col("first.place") < F.col("place"))
+    near = met.filter(_may_match(F.col("m"), F.col("pos"), F.col("first.m"), F.col("first.pos")))
+    settled = stored(_verified(near.select("key", F.col("first.key").alias("key0")).distinct(), sets), "lines-settled")
+    open_ = met.join(settled, "key", "left_anti").select("tok", "place", "key", "m", "pos", F.col("first.key").alias("held"))
+    other = index.select(F.col("tok").alias("tok0"), *[F.col(c).alias(f"{c}0") for c in ("place", "key", "m", "pos")])
+    meets = (F.col("tok") == F.col("tok0")) & (F.col("place0") < F.col("place")) & (F.col("key0") != F.col("held"))
+    rest = open_.join(other, meets & _may_match(F.col("m"), F.col("pos"), F.col("m0"), F.col("pos0"))).select("key", "key0").distinct()
+    return able.join(settled.unionByName(_verified(rest, sets)).distinct(), "key").select("place", "id")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, doc_hash, line_no) of every line that goes."""
     rows = _line_rows(docs).withColumn("id", F.xxhash64("line"))
     slim = stored(rows.select("doc", "doc_hash", "line_no", "id", F.xxhash64(F.lit(1), "line").alias("id2")), "lines")
-    firsts = stored(slim.groupBy("id", "id2").agg(F.min(_place()).alias("place")), "lines-first")
+    firsts = stored(slim.groupBy("id", "id2").agg(F.min(_place()).alias("place"), F.count("*").alias("n")), "lines-first")
     gone = similar_lines(rows.select("line", _place().alias("place"), "id"), firsts.select("id", "place"))
     gone = gone.select("id", F.col("place").alias("first_place"), F.lit(True).alias("gone"))
     marked = firsts.withColumnRenamed("place", "first_place").join(gone, ["id", "first_place"], "left")
-    both = slim.withColumn("place", _place()).join(marked, ["id", "id2"])
-    return both.filter((F.col("place") > F.col("first_place")) | F.col("gone")).select("doc", "doc_hash", "line_no")
+    marked = marked.filter((F.col("n") > 1) | F.col("gone")).select("id", "id2", "first_place", "gone")
+    both = slim.join(marked, ["id", "id2"])
+    return both.filter((_place() > F.col("first_place")) | F.col("gone")).select("doc", "doc_hash", "line_no")
 
 
 def removed_by_document(docs: DataFrame) -> DataFrame:
     """(doc, doc_hash, removed): the numbers of the lines that go, ascending, of the documents that lose any."""
-    found = removed_lines(docs).distinct().groupBy("doc", "doc_hash").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
-    return found
+    return removed_lines(docs).groupBy("doc", "doc_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -151,26 +175,36 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Lines stand in the order of doc_id (null last), then of the text; of rows that repeat a doc_id the lines at one
     number stand at one place, and neither of them goes for the other. Blank lines stay. Null and empty texts stay as
-    they are, every row stays; further columns are kept. An empty table gives an empty result.
+    they are, every row stays; further columns are kept, whatever their names. Of equal lines (ties) the one at the
+    first place stays. A long text is worked off in time linear in its lines; it must fit into a row several times over.
+    An empty table gives an empty result.
     """
-    gone = removed_by_document(docs).select(F.col("doc").alias("_doc"), F.col("doc_hash").alias("_hash"), F.col("removed").alias("_removed"))
+    doc, own_hash, removed = fresh(docs, "doc", "hash", "removed")
+    gone = removed_by_document(docs).select(F.col("doc").alias(doc), F.col("doc_hash").alias(own_hash), F.col("removed").alias(removed))
     own = F.xxhash64(F.col("text").cast("string"))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (own == F.col("_hash")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text)
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (own == F.col(own_hash)), "left")
+    lines = F.split(F.col("text").cast("string"), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
+    kept = F.get(F.transform(F.array(lines), lambda ls: F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n")), F.lit(0))
+    out = joined.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        anew = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(anew))
     return out.select(*docs.columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed): per row of docs its lines that are not blank, and the numbers of those that go, joined by commas."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("doc_hash"),
-                       F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " ")) != "")).cast("long").alias("n_lines"))
+    """(doc_id, n_lines, n_removed, removed): per row of docs its lines that are not blank, and the numbers of those that go, joined by commas.
+
+    Nulls, ties, repeated rows, long texts and empty tables are as in dedup_lines(); further columns are ignored.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n_lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(_BLANKS)) != "")).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("doc_hash"), n_lines.alias("n_lines"))
     gone = removed_by_document(docs)
     joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc"]) & (rows["doc_hash"] == gone["doc_hash"]), "left")
-    return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+    n_removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    return joined.select("doc_id", "n_lines", n_removed.alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
