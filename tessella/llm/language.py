@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bucket_of, table
+from tessella.llm.common import bucket_of, learnable, slices, table
 
 #: Longest context, in bytes.
 ORDER = 3
-#: The bound of the training sample: rows of a language, and bytes of the longest text that is taken.
+#: The bound of the training sample: rows of a language, and characters of a text.
 TRAIN_ROWS = 400
-TRAIN_BYTES = 1 << 16
+TRAIN_CHARS = 1 << 16
 #: Documents that are predicted with less confidence are rejected by keep_identified().
 MIN_SCORE = 0.5
 _START = b"\n" * ORDER
@@ -42,9 +42,12 @@ class Model:
     escapes: list[np.ndarray]  # the code lengths of leaving them
 
 
-def codes(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the texts the code of itself and the order bytes before it, and where the texts begin."""
-    joined = np.frombuffer(b"".join([_START + t for t in texts]), np.uint8)
+def codes(texts: list[bytes], order: int = ORDER, before: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of the texts the code of itself and the order bytes before it, and where the texts begin.
+
+    before: the ORDER bytes that stand before each text, where it goes on another one.
+    """
+    joined = np.frombuffer(b"".join([(before[i] if before else _START) + t for i, t in enumerate(texts)]), np.uint8)
     lengths = np.array([len(t) for t in texts])
     begins = np.cumsum(lengths + ORDER) - lengths
     found = np.zeros(len(joined), np.uint32)
@@ -67,15 +70,18 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
-def sample(docs: DataFrame, rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES) -> DataFrame:
-    """(lang, text): at most the given rows of each language, chosen by a hash among the rows that may be learnt from."""
+def sample(docs: DataFrame, rows: int = TRAIN_ROWS, longest: int = TRAIN_CHARS) -> DataFrame:
+    """(lang, text): at most the given rows of each language, chosen by a hash among the rows that may be learnt from.
+
+    Of a text longer than the bound so many characters are learnt, from a place drawn by its id.
+    """
     able = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    able = able.filter((bucket_of(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.octet_length("text").between(1, longest))
+    able = able.filter((bucket_of(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 40)) / float(1 << 40)
     sizes = able.groupBy("lang").agg(F.count("*").alias("rows"))
     near = able.join(F.broadcast(sizes), "lang").filter(draw < 3.0 * rows / F.col("rows"))  # sizes: a row for each language; near: about three times as many as are taken
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", "text"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "text")
+    return near.withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", learnable(F.col("text"), F.col("doc_id"), longest).alias("text"))
 
 
 def learn(labelled: DataFrame) -> Model:
@@ -133,20 +139,36 @@ def code_lengths(model: Model, grams: np.ndarray) -> np.ndarray:
 
 
 def text_bits(model: Model, texts: list[bytes]) -> np.ndarray:
-    """The code length of each text in every language; long batches are worked off in steps."""
-    grams, starts = codes(texts)
+    """The code length of each text in every language; long texts are worked off in pieces, a few MB at once."""
     sums = np.zeros((len(texts), len(model.langs)))
-    owner = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(grams))))
-    for i in range(0, len(grams), _STEP):
-        bits, who = code_lengths(model, grams[i : i + _STEP]), owner[i : i + _STEP]
-        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-        sums[who[first]] += np.add.reduceat(bits, first, axis=0)
+    held: list[tuple[int, bytes, bytes]] = []
+    size = 0
+
+    def settle() -> None:
+        grams, starts = codes([t for _, t, _ in held], before=[b for *_, b in held])
+        bits = code_lengths(model, grams)
+        np.add.at(sums, [i for i, *_ in held], np.add.reduceat(bits, starts, axis=0))
+
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), _STEP):
+            held.append((i, text[at : at + _STEP], text[at - ORDER : at] if at else _START))
+            size += len(held[-1][1])
+            if size >= _STEP:
+                settle()
+                held, size = [], 0
+    if held:
+        settle()
     return sums
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; digits above the line, fractions and numerals are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """(language, score) of each text; the score is the posterior of the best language, all alike beforehand."""
-    able = [i for i, t in enumerate(texts) if t and model.langs and _LETTER.search(t)]
+    able = [i for i, t in enumerate(texts) if t and model.langs and has_letter(t)]
     langs, scores = ["und"] * len(texts), np.zeros(len(texts))
     if able:
         bits = text_bits(model, [texts[i].encode() for i in able])
@@ -163,12 +185,13 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     A null text, or one without a letter, is `und` with score 0; without any row to learn from all are. A null doc_id
     keeps its row, with held_out false. Repeated rows keep their rows; an empty table gives an empty result; further
-    columns are ignored. Ties go to the language that comes first in the alphabet.
+    columns are ignored. Ties go to the language that comes first in the alphabet. Long texts are scored whole, piece by
+    piece.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(sample(docs)) if model is None else model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             langs, scores = predict(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
@@ -179,12 +202,16 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows that have no language (`und`) or whose language is in doubt; columns and rows stay as they are."""
+    """docs without the rows that have no language (`und`) or whose language is in doubt; columns and rows stay as they are.
+
+    Null, empty and letterless texts are `und` and go. Long texts are scored whole, piece by piece; repeated rows and ties
+    go or stay alike; null ids, nulls elsewhere and further columns of any name do no harm; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learn(sample(docs)))
     names, text = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             langs, scores = predict(shared.value, batch.column(text).to_pylist())
             yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
