@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import settle, table
+from tessella.llm.common import fresh, settle, slices, table
 from tessella.llm.components import components
 
 RADIUS = 3
@@ -25,6 +25,8 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints of a bucket that are compared in one group; larger buckets are split into pairs of chunks.
 CHUNK = 4096
+#: Fingerprints times blocks of 64 lanes that are compared at once.
+STEP = 1 << 17
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -41,15 +43,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """Puts the fingerprint in the place of the text, which is the second column."""
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         found = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+        names = [n if i != 1 else "fp" for i, n in enumerate(batch.schema.names)]
+        yield pa.RecordBatch.from_arrays([c if i != 1 else pa.array(found) for i, c in enumerate(batch.columns)], names)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long. Null or wordless text gives 0."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp, further columns) of every row of (doc_id, text, ...); fp holds the 64 bits as a signed long. Null or wordless text gives 0."""
+    rest = ", ".join(f"{n} {k}" for n, k in docs.dtypes[2:])
+    return docs.mapInArrow(_fingerprints, "doc_id long, fp long" + (f", {rest}" if rest else ""))
 
 
 def _bucket_keys():
@@ -75,17 +80,16 @@ def _planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(lanes), axis=2, bitorder="little").view(np.uint64).reshape(-1, 64)
 
 
-def near_pairs(fps: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j), i < j < ends[i], whose fingerprints differ in at most radius (up to 3) bits."""
+def near_pairs(fps: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i < j < ends[i], whose fingerprints differ in at most radius (up to 3) bits; at most 64 STEP at once."""
     planes, n, one = _planes(fps), len(fps), np.uint64(1)
     all_ones = ~np.uint64(0)
     rows = np.arange(n)
     blocks = np.where(ends - 1 > rows, (ends - 1) // 64 - rows // 64 + 1, 0)
-    left, right = [], []
-    step, start = 1 << 20, 0
+    start = 0
     total = np.concatenate([[0], np.cumsum(blocks)])
     while start < n:
-        stop = max(start + 1, int(np.searchsorted(total, total[start] + step, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + STEP, "right")) - 1)
         i = np.repeat(rows[start:stop], blocks[start:stop])
         k = i // 64 + (np.arange(len(i)) - np.repeat(total[start:stop] - total[start], blocks[start:stop]))
         low, high = np.maximum(i + 1 - 64 * k, 0), np.minimum(ends[i] - 64 * k, 64)  # lanes that are later in the run
@@ -109,23 +113,23 @@ def near_pairs(fps: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> tuple
                 dead |= {0: ones | twos, 1: twos, 2: ones & twos}[radius]
             lanes = np.unpackbits((~dead).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             at, lane = np.nonzero(lanes)
-            left.append(i[at])
-            right.append(64 * k[at] + lane)
+            yield i[at], 64 * k[at] + lane
         start = stop
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least index that each index reaches over the pairs."""
+def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least index that each index reaches over the pairs, which are taken in as they come and not kept."""
     root = np.arange(n)
-    while len(i):
-        before = root.copy()
-        np.minimum.at(root, j, root[i])
-        np.minimum.at(root, i, root[j])
-        root = root[root]
-        if (root == before).all():
-            return root
+    for i, j in pairs:
+        while True:
+            a, b = root[i], root[j]
+            if (a == b).all():
+                break
+            least = np.minimum(a, b)
+            np.minimum.at(root, a, least)
+            np.minimum.at(root, b, least)
+            while (root != root[root]).any():
+                root = root[root]
     return root
 
 
@@ -135,8 +139,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def linked(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         first = np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]
         ends = np.r_[np.flatnonzero(first)[1:], len(keys)][np.cumsum(first) - 1]
-        i, j = near_pairs(fps.view(np.uint64), ends)
-        root = _roots(len(fps), i, j)
+        root = _roots(len(fps), near_pairs(fps.view(np.uint64), ends))
         at = np.flatnonzero((root != np.arange(len(fps))) & (fps != fps[root]))
         edges = np.unique(np.stack([fps[at], fps[root[at]]], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
@@ -171,26 +174,47 @@ def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return grouped.mapInArrow(_links, "a long, b long")
 
 
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, further columns) of the rows (doc_id, text, ...), and (fp, root): root is the least fingerprint that fp reaches."""
+    marked = settle(fingerprints(docs))
+    fps = settle(marked.select("fp").distinct())
+    roots = components(links(fps), "a", "b")
+    return marked, fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs, by the contract of op3.
 
     Null or wordless text has fingerprint zero and links like any other; equal fingerprints are one class, so
     copies are never paired; repeated rows give repeated rows; a null doc_id keeps its row but names no component.
-    An empty table gives an empty result, and further columns are ignored.
+    Long texts are fingerprinted whole, some MB of texts at once. An empty table gives an empty result, and further
+    columns are ignored.
     """
-    marked = settle(fingerprints(docs))
-    classes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes.select("fp")), "a", "b")
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    marked, rooted = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    ids = rooted.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but the first document (the smallest doc_id) of each group; of rows that repeat a doc_id all or none stay, rows without an id stay."""
-    drop = simhash_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id (null last), ties to the text's hash.
+
+    Rows that repeat a doc_id are told apart by their texts; of rows that repeat both one stays. Null and wordless texts
+    are one group. Long texts are fingerprinted whole; an empty table stays empty; further columns of any name are kept,
+    and of repeated rows that differ in them any may stay.
+    """
+    key, mark, drop = fresh(docs, "key", "mark", "drop")
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    marked, rooted = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), own.alias("mark")))
+    rows = marked.join(rooted, "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"))
+    later = rows.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
+    gone = later.select(name.alias(key), F.col("mark").alias(mark)).distinct()
+    left = docs.withColumns({key: name, mark: own}).join(gone, [key, mark], "left_anti")
+    again = F.row_number().over(Window.partitionBy(key, mark).orderBy(key, mark))  # in the order that the join leaves
+    return left.withColumn(drop, again).filter(F.col(drop) == 1).select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def test_bit_sliced_pairs_equal_brute_force(radius):
     base = rng.integers(0, 2**63, 12, dtype=np.uint64)
     fps = np.array([int(base[rng.integers(12)]) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 5))) for _ in range(300)], np.uint64)
     ends = np.r_[np.full(7, 7), np.full(143, 150), np.full(150, 300)]
-    i, j = simhash.near_pairs(fps, ends, radius)
+    i, j = (np.concatenate(x) for x in zip(*simhash.near_pairs(fps, ends, radius)))
     want = {(a, b) for a in range(300) for b in range(a + 1, ends[a]) if (int(fps[a]) ^ int(fps[b])).bit_count() <= radius}
     assert set(zip(i.tolist(), j.tolist())) == want
 
@@ -71,3 +71,19 @@ def test_empty_and_odd_tables(spark):
     got = simhash.simhash_groups(odd).collect()
     assert len(got) == 4 and {r.component_id for r in got if r.fingerprint != "0" * 16} == {7}
     assert {r.component_id for r in got if r.fingerprint == "0" * 16} == {None}
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "b b b b"), (5, "a a a a"), (7, "a a a a"), (5, "b b b b"), (None, "c c c c"), (None, "c c c c"), (9, None), (8, " ")]
+    docs = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, _key string, _mark int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "b b b b"), (5, "a a a a"), (None, "c c c c"), (8, " ")], key=str)
+
+
+def test_many_close_fingerprints_link_in_steps(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    fps = np.unique(np.array([sum(1 << int(b) for b in rng.choice(24, 2)) for _ in range(400)], np.uint64))
+    whole = simhash._roots(len(fps), simhash.near_pairs(fps, np.full(len(fps), len(fps))))
+    monkeypatch.setattr(simhash, "STEP", 3)
+    assert (simhash._roots(len(fps), simhash.near_pairs(fps, np.full(len(fps), len(fps)))) == whole).all() and not whole.any()
