@@ -1,17 +1,19 @@
 """License scan: Aho-Corasick finds identifier tags and notice phrases, a shunting-yard parser evaluates expressions.
 
-One automaton holds the notice phrases (as whole words) and the tag that introduces an expression. An expression such
-as `(MIT OR Apache-2.0) AND BSD-3-Clause WITH x` is turned into postfix form and evaluated to the sets of licenses
-that satisfy it: `or` joins alternatives, `and` combines them, `with` binds an exception to its license.
+One automaton over words holds the notice phrases and the tag that introduces an expression; what follows a tag on its
+line is parsed. An expression such as `(MIT OR Apache-2.0) AND BSD-3-Clause WITH x` is turned into postfix form and
+evaluated to the sets of licenses that satisfy it: `or` joins alternatives, `and` combines them, `with` binds an
+exception to its license. Where the sets would be too many, the expression stays factored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from itertools import product
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +41,8 @@ MORE = {
 }
 TAG = "spdx license identifier"
 #: What follows a tag on its line and can be part of an expression.
-EXPRESSION = re.compile(rb"spdx-license-identifier:?[ \t]*([a-z0-9.+() \t-]*)")
-#: More alternatives than this are reported as the plain list of the licenses named.
+EXPRESSION = re.compile(rb":?[ \t]*([a-z0-9.+() \t-]*)")
+#: With more alternatives than this an expression is labelled in factored form.
 MAX_ALTERNATIVES = 64
 
 _SEPARATORS = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
@@ -51,108 +53,177 @@ _WORDS = bytes(
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def automaton(phrases: dict[str, str]) -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
+@dataclass
+class Automaton:
+    """Aho-Corasick over words: states are the beginnings of phrases; 0 is the empty one."""
+
+    go: list[dict[bytes, int]] = field(default_factory=lambda: [{}])
+    fail: list[int] = field(default_factory=lambda: [0])
+    ends: list[tuple[str, ...]] = field(default_factory=lambda: [()])
+    known: set[bytes] = field(default_factory=set)
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, str]]:
+        """(place of the last word, phrase) of every place where a phrase's words stand, ends in order."""
+        known, go, fail, ends = self.known, self.go, self.fail, self.ends
+        state, last = 0, -1
+        for at in [i for i, w in enumerate(words) if w in known]:
+            if at != last + 1:  # a word of no phrase lies between
+                state = 0
+            last, word = at, words[at]
+            while state and word not in go[state]:
+                state = fail[state]
+            state = go[state].get(word, 0)
+            for phrase in ends[state]:
+                yield at, phrase
+
+
+def automaton(phrases: dict[str, str]) -> Automaton:
+    out = Automaton()
     for phrase in [*phrases, TAG]:
-        found.add_word(f" {phrase} ", phrase)
-    found.make_automaton()
-    return found
+        state = 0
+        for word in phrase.encode().split():
+            out.known.add(word)
+            if word not in out.go[state]:
+                out.go[state][word] = len(out.go)
+                out.go.append({})
+                out.fail.append(0)
+                out.ends.append(())
+            state = out.go[state][word]
+        out.ends[state] += (phrase,)
+    queue = deque(out.go[0].values())
+    while queue:
+        state = queue.popleft()
+        for word, child in out.go[state].items():
+            back = out.fail[state]
+            while back and word not in out.go[back]:
+                back = out.fail[back]
+            out.fail[child] = out.go[back].get(word, 0)
+            out.ends[child] += out.ends[out.fail[child]]
+            queue.append(child)
+    return out
 
 
-def postfix(tokens: list[str]) -> list[str] | None:
-    """The tokens of an expression in postfix order; None if they are no expression."""
+def postfix(tokens: list[str]) -> list[str]:
+    """The longest leading part of the tokens that is an expression, in postfix order; one pass."""
     out: list[str] = []
     stack: list[str] = []
-    operand = True  # whether an operand must come next
+    whole: tuple[int, list[str]] = (0, [])  # so many of out, and what was on the stack, when an expression last ended
+    operand, open_ = True, 0  # whether an operand must come next; brackets that are open
     for token in tokens:
-        if token == "(":
+        if token == "(" or token not in _BINDS and token != ")":
             if not operand:
-                return None
-            stack.append(token)
+                break
+            if token == "(":
+                stack.append(token)
+                open_ += 1
+                continue
+            out.append(token)
+            operand = False
+        elif operand:
+            break
         elif token == ")":
-            if operand:
-                return None
-            while stack and stack[-1] != "(":
+            if not open_:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
-        elif token in _BINDS:
-            if operand:
-                return None
+            open_ -= 1
+        else:
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[token]:
                 out.append(stack.pop())
             stack.append(token)
             operand = True
+        if not operand and not open_:
+            whole = len(out), stack[::-1]  # at most one operator of each kind
+    return out[: whole[0]] + whole[1]
+
+
+@dataclass
+class Terms:
+    """An expression: the alternatives' sets of licenses, None where there are too many, and the parts that its operator joins."""
+
+    sets: list[frozenset[str]] | None
+    kind: str
+    parts: tuple[str, ...]
+
+    def text(self) -> str:
+        return self.parts[0] if len(self.parts) == 1 else "(" + ("|" if self.kind == "or" else "+").join(sorted(self.parts)) + ")"
+
+
+def _joined(left: Terms, right: Terms, kind: str, most: int | None) -> Terms:
+    if kind == "with":
+        parts: tuple[str, ...] = (f"{left.text()} with {right.text()}",)
+    else:
+        own = [p for side in (left, right) for p in (side.parts if side.kind in (kind, "") else (side.text(),))]
+        parts = tuple(dict.fromkeys(own))
+    sets = None
+    if left.sets is not None and right.sets is not None:
+        if kind == "or":
+            sets = left.sets + right.sets
+        elif kind == "and":
+            sets = [a | b for a, b in product(left.sets, right.sets)]
         else:
-            if not operand:
-                return None
-            out.append(token)
-            operand = False
-    if operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+            sets = [frozenset(f"{x} with {y}" for x in a for y in b) for a, b in product(left.sets, right.sets)]
+        sets = list(dict.fromkeys(sets))
+        sets = sets if most is None or len(sets) <= most else None
+    return Terms(sets, "" if kind == "with" else kind, parts)
+
+
+def evaluated(expression: str, most: int | None = MAX_ALTERNATIVES) -> Terms | None:
+    """The expression; of a text that stops being one the longest leading part that is one counts, and without any there is none."""
+    stack: list[Terms] = []
+    for token in postfix(re.findall(r"[()]|[a-z0-9.+-]+", expression.lower())):
+        if token in _BINDS:
+            right = stack.pop()
+            stack.append(_joined(stack.pop(), right, token, most))
+        else:
+            stack.append(Terms([frozenset([token])], "", (token,)))
+    return stack[0] if stack else None
 
 
 def alternatives(expression: str) -> list[frozenset[str]]:
-    """The sets of licenses any of which satisfies the expression.
+    """The sets of licenses any of which satisfies the expression, however many."""
+    found = evaluated(expression, None)
+    return found.sets if found else []
 
-    Of a text that stops being an expression the longest leading part that is one counts; none: no set.
-    """
-    tokens = re.findall(r"[()]|[a-z0-9.+-]+", expression.lower())
-    order = next((p for n in range(len(tokens), 0, -1) if (p := postfix(tokens[:n]))), None)
-    if order is None:
-        return []
-    stack: list[list[frozenset[str]]] = []
-    for token in order:
-        if token not in _BINDS:
-            stack.append([frozenset([token])])
-            continue
-        right, left = stack.pop(), stack.pop()
-        if token == "or":
-            joined = left + right
-        elif token == "and":
-            joined = [a | b for a, b in product(left, right)]
-        else:
-            joined = [frozenset(f"{x} with {y}" for x in a for y in b) for a, b in product(left, right)]
-        joined = list(dict.fromkeys(joined))
-        if len(joined) > MAX_ALTERNATIVES:
-            joined = [frozenset().union(*joined)]
-        stack.append(joined)
-    return stack[0]
 
+def labels_of(expression: str) -> list[str]:
+    """One label for each alternative that satisfies the expression, its licenses joined by a plus sign.
 
-def label_of(sets: list[frozenset[str]]) -> list[str]:
-    """One label for each alternative: its licenses joined by a plus sign."""
-    return ["+".join(sorted(s)) for s in sets]
+    Beyond MAX_ALTERNATIVES one label for each part that the outermost `or` joins, in factored form: `(a|b)+(c|d)`.
+    """
+    found = evaluated(expression)
+    if found is None:
+        return []
+    if found.sets is not None:
+        return ["+".join(sorted(s)) for s in found.sets]
+    return list(found.parts) if found.kind == "or" else ["+".join(sorted(found.parts))]
 
 
-def scan(text: bytes, machine: ahocorasick.Automaton, phrases: dict[str, str]) -> tuple:
+def scan(text: bytes, machine: Automaton, phrases: dict[str, str]) -> tuple:
     """(n_words, n_base, first_word, last_word, base labels, all labels, score) of one text."""
-    words = text.translate(_WORDS).split()
-    line = " " + b" ".join(words).decode("latin-1") + " "
-    first = last = None
-    n_base, base, labels, tagged = 0, set(), set(), False
-    seen = counted = 0  # words that begin before the place up to which they are counted
-    for end, phrase in machine.iter(line):
+    line = text.translate(_WORDS)
+    words = line.split()
+    starts, base, labels, tags = [], set(), set(), []
+    for end, phrase in machine.find(words):
         if phrase == TAG:
-            tagged = True
+            tags.append(end)
             continue
         labels.add(phrases[phrase])
         if phrase in BASE:
-            seen, counted = seen + line.count(" ", counted, end), end
-            at = seen - phrase.count(" ") - 1
-            n_base, last = n_base + 1, at if last is None else max(last, at)
-            first = at if first is None else min(first, at)
+            starts.append(end - phrase.count(" "))
             base.add(BASE[phrase])
     found = False
-    if tagged:
-        for match in EXPRESSION.finditer(text.translate(_LOWER)):
-            named = label_of(alternatives(match[1].decode()))
-            found |= bool(named)
-            labels.update(named)
-    score = 1.0 if n_base or found else 0.5 if labels else 0.0
-    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
+    if tags:
+        lower, wanted = text.translate(_LOWER), set(tags)
+        for at, word in enumerate(re.finditer(rb"[^ ]+", line)):
+            if at in wanted:
+                named = labels_of(EXPRESSION.match(lower, word.end())[1].decode())
+                found |= bool(named)
+                labels.update(named)
+    score = 1.0 if starts or found else 0.5 if labels else 0.0
+    first, last = (min(starts), max(starts)) if starts else (None, None)
+    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
 _SCHEMA = (
@@ -164,7 +235,8 @@ def license_scan(docs: DataFrame, more: dict[str, str] | None = None) -> DataFra
     """One row per row of docs, by the contract of op10; more: phrases (as lower-case words) and labels beside the base ones.
 
     score: 1 for a base phrase or an expression after a tag, 0.5 for other notices only, else 0. A null or empty text
-    has no words and no labels; repeated rows and null ids keep their rows; further columns are ignored.
+    has no words and no labels; of a long text one task holds its words; phrases that end at one place (a tie) all count;
+    repeated rows and null ids keep their rows; an empty table gives an empty result; further columns are ignored.
     """
     phrases = {**(MORE if more is None else more), **BASE}
 

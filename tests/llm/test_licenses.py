@@ -47,3 +47,31 @@ def test_labels_and_odd_tables(spark):
     got = [(r.labels, r.base_labels, r.score) for r in licenses.license_scan(docs).collect()]
     assert sorted(got) == sorted([("apache-2.0,mit", "", 1.0), ("gpl,gpl-3", "", 0.5), ("", "", 0.0)])
     assert licenses.license_scan(docs.limit(0)).count() == 0
+
+
+def test_many_alternatives_stay_factored():
+    pairs = " AND ".join(f"(a{i} OR b{i})" for i in range(7))
+    assert licenses.labels_of(pairs) == ["+".join(f"(a{i}|b{i})" for i in range(7))]
+    names = [f"n{i}" for i in range(70)]
+    assert licenses.labels_of(" or ".join(names)) == names
+    assert licenses.labels_of(f"x or ({pairs}) or x with y") == ["x", "(" + "+".join(f"(a{i}|b{i})" for i in range(7)) + ")", "x with y"]
+    assert len(licenses.labels_of(" and ".join(f"(a{i} or b{i})" for i in range(6)))) == 64
+
+
+def test_long_expressions_take_one_pass(spark):
+    text = "SPDX License Identifier: (" + "mit or " * 200_000
+    docs = spark.createDataFrame([(1, text), (2, "spdx-license-identifier: (mit or bsd) and (x or"), (3, "spdx-license-identifier : mit\nSPDX-License-Identifier:zlib ")], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(docs).collect()}
+    assert got == {1: ("", 0.0), 2: ("bsd,mit", 1.0), 3: ("zlib", 1.0)}
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    want = {r.doc_id: brute(r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert {r.doc_id: tuple(r)[1:6] for r in licenses.op10_license_scan(spark, folder).collect()} == want
+    assert any(w[1] for w in want.values())
+
+
+def test_automaton_finds_what_ends_within_other_phrases():
+    machine = licenses.automaton({p: p for p in ("a b c d", "b c", "c", "b c e")})
+    assert sorted(machine.find(b"a b c e x a b c d c".split())) == sorted([(2, "b c"), (2, "c"), (3, "b c e"), (7, "b c"), (7, "c"), (8, "a b c d"), (9, "c")])
