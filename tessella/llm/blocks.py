@@ -12,11 +12,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block: from the least, growing to the most when there are over MANY blocks.
-LEAST_BYTES, MOST_BYTES, MANY = 2 << 20, 64 << 20, 20_000
+#: Bytes of text in a block; a task holds some 60 to 100 times as many for each block that it works on.
+BLOCK_BYTES = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 NO_ID = np.iinfo(np.int64).max
@@ -25,11 +26,11 @@ KEYS = "part int, block int, keys binary, many binary"
 HITS = "block int, keys binary"
 
 
-def blocked(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[DataFrame, int]:
+def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """((block, doc_id, text) of every row of docs, the number of blocks); a null text is empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // min(MOST_BYTES, max(least_bytes, int(total) // MANY))))
+    blocks = max(1, -(-int(total) // block_bytes))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     return rows.select(block.alias("block"), "doc_id", F.col("text").cast("binary").alias("text")), blocks
 
@@ -95,6 +96,87 @@ def window_starts(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.repeat(ends - lengths - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def runs(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, first, last) of the runs of a sorted array."""
+    edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else np.zeros(0, np.int64)
+    return [(int(part[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def each(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... start + n - 1 for each of the pairs, one after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def equal_stretches(values: np.ndarray, start: np.ndarray, length: np.ndarray, offset: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stands, same): the first of the stretches that hold the same values at the same offset, and for each stretch the place in stands of its own.
+
+    Hashes bring equal ones together; the values decide, and where they belie a hash all are told apart by value.
+    """
+    _, stands, same = np.unique(hashes, return_index=True, return_inverse=True)
+    first = stands[same]
+    rest = np.flatnonzero(first != np.arange(len(start)))
+    fits = (length[rest] == length[first[rest]]) & (offset[rest] == offset[first[rest]])
+    n = length[rest]
+    if fits.all() and (values[each(start[rest], n)] == values[each(start[first[rest]], n)]).all():
+        return stands, same
+    number: dict[tuple[int, bytes], int] = {}
+    own = [number.setdefault((o, values[a : a + m].tobytes()), len(number)) for a, m, o in zip(start.tolist(), length.tolist(), offset.tolist(), strict=True)]
+    _, stands, same = np.unique(np.array(own, np.int64), return_index=True, return_inverse=True)
+    return stands, same
+
+
+class Windows:
+    """The windows of a block's documents, set end to end as values: for each its place and that of its seed."""
+
+    def __init__(self, values: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, window: int, gram: int):
+        self.values, self.lengths, self.window = values, lengths, window
+        self.rolling = Rolling(hashes)
+        self.grams = self.rolling.all(gram)
+        self.starts = window_starts(lengths, window)
+        self.seeds = least_places(self.grams, window - gram + 1)[self.starts]
+
+    def seed_keys(self) -> np.ndarray:
+        return self.grams[np.unique(self.seeds)]
+
+    def stretches(self, hits: np.ndarray, parts: int) -> dict[str, np.ndarray]:
+        """The stretches of windows around the seeds in hits: start, n windows, seed; stands: the stretches that stand for
+        equal ones, by part; same: the place in stands of each stretch's own; part: of each in stands."""
+        keep = among(self.grams[self.seeds], hits)
+        starts, seeds = self.starts[keep], self.seeds[keep]
+        first = np.flatnonzero(np.r_[True, seeds[1:] != seeds[:-1]][: len(seeds)])
+        n = np.diff(np.r_[first, len(seeds)])
+        start, seed = starts[first], seeds[first]
+        length = n + self.window - 1
+        hashes = mixed(self.rolling(start, length) + n.astype(np.uint64)) + (seed - start).astype(np.uint64)
+        stands, same = equal_stretches(self.values, start, length, seed - start, hashes)
+        part = (mixed(self.grams[seed[stands]]) % np.uint64(parts)).astype(np.int64)
+        sort = np.lexsort((stands, part))
+        place = np.empty(len(sort), np.int64)
+        place[sort] = np.arange(len(sort))
+        return {"start": start, "n": n, "seed": seed, "same": place[same], "stands": stands[sort], "part": part[sort]}
+
+    def marked(self, s: dict[str, np.ndarray], masks: dict[int, bytes], also: np.ndarray | None = None) -> np.ndarray:
+        """Which values are covered by a window that the parts' masks mark; also: stretches all of whose windows count."""
+        n, at = s["n"], s["stands"]
+        bits = np.zeros(int(n[at].sum()), bool)
+        begins = np.cumsum(n[at]) - n[at]
+        for p, first, last in runs(s["part"]):
+            size = int(n[at[first:last]].sum())
+            bits[begins[first] : begins[first] + size] = np.unpackbits(np.frombuffer(zstandard.decompress(masks[p]), np.uint8), count=size)
+        gone = bits[each(begins[s["same"]], n)]
+        if also is not None:
+            gone |= np.repeat(also, n)
+        starts = each(s["start"], n)[gone]
+        edge = np.zeros(len(self.values) + 1, np.int64)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + self.window, -1)
+        return np.cumsum(edge)[:-1] > 0
+
+
+def packed(bits: np.ndarray) -> bytes:
+    return zstandard.compress(np.packbits(bits).tobytes(), 3)
+
+
 def keys_table(block: int, keys: np.ndarray, parts: int) -> pa.Table:
     """The rows that a block sends: for each part its keys, once each, and which stand in the block more than once."""
     keys, n = np.unique(keys, return_counts=True)

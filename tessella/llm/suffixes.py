@@ -108,40 +108,23 @@ def window_classes(stretches: list[bytes], window: int) -> tuple[np.ndarray, np.
     return classes[places], np.cumsum(n) - n
 
 
-class _Block:
-    """The documents of a block as bytes, and the stretches of windows around the seeds that are repeated."""
+class _Block(blocks.Windows):
+    """The documents of a block as bytes."""
 
     def __init__(self, rows: pa.Table, window: int, gram: int):
         self.ids, self.texts = blocks.documents_of(rows)
-        self.window = window
-        self.lengths = np.array([len(t) for t in self.texts], np.int64)
         self.text = b"".join(self.texts)
-        self.rolling = blocks.Rolling(_VALUES[np.frombuffer(self.text, np.uint8)])
-        self.grams = self.rolling.all(gram)
-        self.starts = blocks.window_starts(self.lengths, window)
-        self.seeds = blocks.least_places(self.grams, window - gram + 1)[self.starts]
-
-    def stretches(self, hits: np.ndarray, parts: int) -> dict[str, np.ndarray]:
-        """The stretches around the seeds in hits: start, windows, seed, id; same: which stretch stands for it (the first with its text); part: for each of those."""
-        keep = blocks.among(self.grams[self.seeds], hits)
-        starts, seeds = self.starts[keep], self.seeds[keep]
-        first = np.flatnonzero(np.r_[True, seeds[1:] != seeds[:-1]][: len(seeds)])
-        n = np.diff(np.r_[first, len(seeds)])
-        start, seed = starts[first], seeds[first]
+        raw = np.frombuffer(self.text, np.uint8)
+        super().__init__(raw, _VALUES[raw], np.array([len(t) for t in self.texts], np.int64), window, gram)
+
+    def ids_of(self, s: dict[str, np.ndarray]) -> np.ndarray:
+        """The document of each stretch; a null id is the greatest."""
         ids = np.array([blocks.NO_ID if i is None else i for i in self.ids], np.int64)
-        own = ids[np.searchsorted(np.cumsum(self.lengths), start, "right")] if len(start) else np.zeros(0, np.int64)
-        text = blocks.mixed(self.rolling(start, n + self.window - 1) + n.astype(np.uint64)) + (seed - start).astype(np.uint64)
-        _, stands, same = np.unique(text, return_index=True, return_inverse=True)
-        part = (blocks.mixed(self.grams[seed[stands]]) % np.uint64(parts)).astype(np.int64)
-        sort = np.lexsort((stands, part))
-        place = np.empty(len(sort), np.int64)
-        place[sort] = np.arange(len(sort))
-        return {"start": start, "n": n, "seed": seed, "id": own, "same": place[same], "stands": stands[sort], "part": part[sort]}
+        return ids[np.searchsorted(np.cumsum(self.lengths), s["start"], "right")] if len(s["start"]) else np.zeros(0, np.int64)
 
 
 def _seeds(rows: pa.Table, parts: int, window: int, gram: int) -> pa.Table:
-    own = _Block(rows, window, gram)
-    return blocks.keys_table(rows.column("block")[0].as_py(), own.grams[np.unique(own.seeds)], parts)
+    return blocks.keys_table(rows.column("block")[0].as_py(), _Block(rows, window, gram).seed_keys(), parts)
 
 
 def _stretches(rows: pa.Table, answers: pa.Table, parts: int, window: int, gram: int) -> pa.Table:
@@ -149,28 +132,23 @@ def _stretches(rows: pa.Table, answers: pa.Table, parts: int, window: int, gram:
     if rows.num_rows:
         own = _Block(rows, window, gram)
         s = own.stretches(blocks.hits_of(answers), parts)
-        at = s["stands"]
-        for p, first, last in _runs(s["part"]):
+        at, ids = s["stands"], own.ids_of(s)
+        for p, first, last in blocks.runs(s["part"]):
             mine = at[first:last]
             start, n = s["start"][mine], s["n"][mine]
             texts = b"".join([own.text[a : a + m + window - 1] for a, m in zip(start.tolist(), n.tolist(), strict=True)])
-            head = n.astype(np.uint16).tobytes() + (s["seed"][mine] - start).astype(np.uint16).tobytes() + s["id"][mine].tobytes()
+            head = n.astype(np.uint16).tobytes() + (s["seed"][mine] - start).astype(np.uint16).tobytes() + ids[mine].tobytes()
             out["part"].append(p)
             out["block"].append(rows.column("block")[0].as_py())
             out["payload"].append(len(mine).to_bytes(8, "little") + zstandard.compress(head + texts, 3))
     return pa.table({"part": pa.array(out["part"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
 
 
-def _runs(part: np.ndarray):
-    """(value, first, last) of the runs of a sorted array."""
-    edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else np.zeros(0, np.int64)
-    return [(int(part[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
 def smallest_ids(stretches: list[bytes], seeds: list[bytes], ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(least, start): for each window of the distinct stretches the least id of those given for stretches that hold it; start: of each stretch's windows.
 
-    A seed around which there is only one text is settled by it; the others go into the transform, whole seeds together.
+    Equal stretches count as one. A seed around which all are equal is settled by that; the others go into the transform,
+    whole seeds together.
     """
     n = np.array([len(s) - window + 1 for s in stretches], np.int64)
     start = np.cumsum(n) - n
@@ -228,7 +206,7 @@ def _masks(rows: pa.Table, window: int, gram: int) -> pa.Table:
     place = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     bits = least[place] < np.repeat(ids, n)
     ends = np.cumsum([n[a : a + c].sum() for a, c in zip(np.cumsum(counts) - counts, counts, strict=True)])
-    packed = [zstandard.compress(np.packbits(b).tobytes(), 3) for b in np.split(bits, ends[:-1])]
+    packed = [blocks.packed(b) for b in np.split(bits, ends[:-1])]
     return pa.table({"block": rows.column("block"), "part": rows.column("part"), "keys": pa.array(packed, pa.binary())})
 
 
@@ -236,21 +214,9 @@ def _kept(rows: pa.Table, answers: pa.Table, parts: int, window: int, gram: int)
     own = _Block(rows, window, gram)
     kinds = answers.column("part").to_numpy()
     s = own.stretches(blocks.hits_of(answers.filter(pa.array(kinds < 0))), parts)
-    masks = dict(zip(kinds.tolist(), answers.column("keys").to_pylist(), strict=True))
-    at, n = s["stands"], s["n"]
-    bits = np.zeros(int(n[at].sum()), bool)
-    begins = np.cumsum(n[at]) - n[at]
-    for p, first, last in _runs(s["part"]):
-        size = int(n[at[first:last]].sum())
-        bits[begins[first] : begins[first] + size] = np.unpackbits(np.frombuffer(zstandard.decompress(masks[p]), np.uint8), count=size)
-    place = np.repeat(begins[s["same"]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    later = s["id"] > s["id"][at][s["same"]]  # the same text stands in this block under a smaller id
-    gone = bits[place] | np.repeat(later, n)
-    starts = (np.repeat(s["start"] - (np.cumsum(n) - n), n) + np.arange(n.sum()))[gone]
-    edge = np.zeros(len(own.text) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
-    lost = np.cumsum(edge)[:-1] > 0
+    ids = own.ids_of(s)
+    later = ids > ids[s["stands"]][s["same"]]  # the same bytes stand in this block under a smaller id
+    lost = own.marked(s, dict(zip(kinds.tolist(), answers.column("keys").to_pylist(), strict=True)), later)
     raw = np.frombuffer(own.text, np.uint8)
     removed, spans, kept, a = [], [], [], 0
     for text in own.texts:
@@ -262,14 +228,15 @@ def _kept(rows: pa.Table, answers: pa.Table, parts: int, window: int, gram: int)
     return pa.table({"doc_id": pa.array(own.ids, pa.int64()), "n_bytes": pa.array(own.lengths), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
 
-def unique_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, least_bytes: int = blocks.LEAST_BYTES) -> DataFrame:
+def unique_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row of docs: the text's bytes (UTF-8) without those of strings that start in a document with a smaller id.
 
     Null and empty texts have no bytes, texts shorter than a window lose none. A null doc_id is greater than all others;
-    rows that repeat a doc_id take nothing from each other. What is left may end within a letter, so it is binary. An
-    empty table gives an empty result; further columns are ignored.
+    rows that repeat a doc_id take nothing from each other. What is left may end within a letter, so it is binary. A very
+    long text is a block of its own, which one task holds whole. An empty table gives an empty result; further columns
+    are ignored, whatever their names.
     """
-    rows, parts = blocks.blocked(docs, least_bytes)
+    rows, parts = blocks.blocked(docs, block_bytes)
     seeds = blocks.repeated(blocks.by_block(rows, lambda t: _seeds(t, parts, window, gram), blocks.KEYS))
     sent = blocks.with_answers(rows, seeds, lambda t, a: _stretches(t, a, parts, window, gram), _SENT)
     masks = sent.groupBy("part").applyInArrow(lambda t: _masks(t, window, gram), _ANSWERS)

@@ -43,8 +43,8 @@ def test_order_and_classes_equal_brute_force():
                 assert (got[k] == got[k - 1]) == (a[:least] == b[:least] and min(len(a), len(b)) >= least and least <= min(len(a), len(b)) - 1)
 
 
-@pytest.mark.parametrize("window, gram, least_bytes", [(50, 16, 1 << 20), (12, 5, 300)])
-def test_small_corpora_equal_brute_force(spark, window, gram, least_bytes):
+@pytest.mark.parametrize("window, gram, block_bytes", [(50, 16, 1 << 20), (12, 5, 300)])
+def test_small_corpora_equal_brute_force(spark, window, gram, block_bytes):
     rng = np.random.default_rng(window)
     draw = lambda n: "".join(rng.choice(list("abc dé"), n))
     shared = [draw(int(n)) for n in rng.integers(window - 2, 4 * window, 6)]
@@ -53,7 +53,7 @@ def test_small_corpora_equal_brute_force(spark, window, gram, least_bytes):
         docs.append((100 - i, draw(20) + shared[i % 6] + draw(int(rng.integers(0, 90))) + shared[rng.integers(6)][: window + 3]))
     docs += docs[-3:] + [(7, docs[-1][1][3:-3])]
     frame = spark.createDataFrame([(*d, "k", 1) for d in docs], "doc_id long, text string, kept string, block int")
-    got = [(*r[:4], hashlib.sha256(r.kept).hexdigest()) for r in suffixes.unique_bytes(frame, window, gram, least_bytes).collect()]
+    got = [(*r[:4], hashlib.sha256(r.kept).hexdigest()) for r in suffixes.unique_bytes(frame, window, gram, block_bytes).collect()]
     assert sorted(got, key=str) == brute(docs, window)
     assert suffixes.unique_bytes(frame.limit(0)).count() == 0
 
