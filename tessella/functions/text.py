@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from tessella.operators.ranking import accepted_spans
 
 
-def term_spans(text: Column, terms: dict[str, str]) -> Column:
+def term_spans(text: Column, terms) -> Column:
     """(start, end, priority, term, found) of every match of the terms' patterns as whole words, any case; places from 0.
 
     Patterns come in order of priority. Matches of one pattern do not overlap, so their places follow from the pieces
     between them.
     """
     every = []
-    for rank, (term, pattern) in enumerate(terms.items()):
-        regex = f"(?i)\\b(?:{pattern})\\b"
+    for rank, (term, pattern) in enumerate(terms):
+        regex = f"(?iU)(?<!\\w)(?:{pattern})(?!\\w)"
         found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
         pieces = F.split(text, regex)
         state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,priority:int,term:string,found:string>>)").alias("spans"))
@@ -38,30 +38,87 @@ def _placing(rank: int, term: str):
     return place
 
 
-def term_matches(rows: DataFrame, text: str, terms: dict[str, str]) -> DataFrame:
-    """A row for each accepted match: leftmost first, of those the longest, then the pattern's place in the list."""
+#: The hyphens and blanks that may join the words of a term, and the terms with their patterns, in order of priority.
+H = r"[ \t\u00a0\-\u2010-\u2015]+"
+TERMS = (
+    ("ood_penalty", rf"OOD{H}penalt(?:y|ies)"),
+    ("out_of_distribution", rf"out{H}of{H}distribution"),
+    ("in_distribution", rf"in{H}distribution"),
+    ("oxide_pretrained", rf"oxide{H}pre[-\u2010-\u2015]?train(?:ed|ing)"),
+    ("oxide_pretrained", rf"pre[-\u2010-\u2015]?train(?:ed|ing){H}(?:(?:primarily|exclusively){H})?(?:on|using){H}(?:the{H})?oxides?"),
+    ("source_domain", rf"source{H}domain"),
+    ("target_domain", rf"target{H}domain"),
+    ("domain_gap", rf"domain{H}gap"),
+    ("distribution_shift", rf"distribution{H}shift"),
+    ("domain_shift", rf"domain{H}shift"),
+    ("transfer_benefit", rf"transfer{H}benefit"),
+    ("transfer_gain", rf"transfer{H}gain"),
+    ("adaptation_onset", rf"adaptation{H}onset"),
+    ("genuine_adaptation", rf"genuine{H}adaptation"),
+    ("no_parameter_updates", rf"no{H}parameter{H}updates?"),
+    ("byte_identity", rf"byte{H}identit(?:y|ical)"),
+    ("zero_shot_state", rf"zero[-\u2010-\u2015]?shot{H}state"),
+    ("checkpoint_pinned", rf"(?:pinned|does{H}not{H}move)"),
+    ("inert", r"inert(?:ness)?"),
+    ("causal_language", r"(?:explain(?:s|ed|ing|ation)?|caus(?:e|es|ed|ing|al|ally|ality)|driv(?:e|es|en|ing)|mechanis(?:m|ms|tic|tically))"),
+    ("significance_language", r"signific(?:ant|antly|ance)"),
+    ("robustness_language", r"robust(?:ness|ly)?"),
+    ("generalization_language", r"generali[sz](?:e|es|ed|ing|ation|ability|able)"),
+    ("ood", r"OOD"),
+)
+
+
+def term_matches(rows: DataFrame, text: str, terms=TERMS) -> DataFrame:
+    """A row for each accepted match of the terms (name, pattern): leftmost first, of those the longest, then the pattern's place in the list."""
     keys = [c for c in rows.columns if c != text]
     lines = rows.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
-    some = lines.filter(F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in terms.values())))
+    some = lines.filter(F.col("line").rlike("(?iU)" + "|".join(f"(?:{p})" for _, p in terms)))
     spans = some.select(*keys, (F.col("line_no") + 1).alias("line_no"), F.inline(accepted_spans(term_spans(F.col("line"), terms))))
     return spans.select(*keys, "line_no", "start", "end", "term", "found")
 
 
-def json_leaves(text: Column, depth: int = 4) -> Column:
-    """(pointer, value) of the texts, numbers and booleans in JSON objects and arrays, to a depth; keys with `~` or `/` are escaped."""
-    def entries(pointer: Column, value: Column) -> Column:
-        keys = F.coalesce(F.json_object_keys(F.when(value.startswith("{"), value)), F.array())
-        fields = F.coalesce(F.from_json(F.when(value.startswith("{"), value), "map<string,string>"), F.create_map().cast("map<string,string>"))
-        named = F.transform(F.array_sort(keys), lambda k: F.struct(F.concat(pointer, F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).alias("pointer"), F.try_element_at(fields, k).alias("value")))
-        items = F.coalesce(F.from_json(F.when(value.startswith("["), value), "array<string>"), F.array().cast("array<string>"))
-        listed = F.transform(items, lambda v, i: F.struct(F.concat(pointer, F.lit("/"), i.cast("string")).alias("pointer"), v.alias("value")))
-        own = F.array(F.struct(pointer.alias("pointer"), value.alias("value")))
-        return F.when(value.startswith("{"), named).when(value.startswith("["), listed).otherwise(own)
+def cell_units(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, source, text): the cells of the columns as units of text, each with the column as its source."""
+    cells = F.array(*[F.struct(F.lit(f"csv:{c}").alias("source"), F.col(c).cast("string").alias("text")) for c in sorted(columns)])
+    return rows.select(*keys, F.inline(cells)).filter("text is not null")
 
-    found = F.array(F.struct(F.lit("").alias("pointer"), F.trim(text).alias("value")))
-    for _ in range(depth):
-        found = F.flatten(F.transform(found, lambda e: entries(e["pointer"], e["value"])))
-    return F.filter(found, lambda e: e["value"].isNotNull())
+
+def leaf_units(rows: DataFrame, keys: list[str], json: str) -> DataFrame:
+    """(keys, source, text): the leaves of JSON texts as units of text, each with its pointer as its source."""
+    return json_leaves(rows.select(*keys, json), json).select(*keys, F.concat(F.lit("json-pointer:"), "pointer").alias("source"), F.col("value").alias("text"))
+
+
+def _entries(pointer: Column, value: Column) -> Column:
+    """(pointer, value) of what stands in a JSON object, by key, or array; any other value stands for itself."""
+    keys = F.coalesce(F.json_object_keys(F.when(value.startswith("{"), value)), F.array())
+    fields = F.coalesce(F.from_json(F.when(value.startswith("{"), value), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+    def named(k: Column) -> Column:
+        escaped = F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        return F.struct(F.concat(pointer, F.lit("/"), escaped).alias("pointer"), F.try_element_at(fields, k).alias("value"))
+
+    items = F.coalesce(F.from_json(F.when(value.startswith("["), value), "array<string>"), F.array().cast("array<string>"))
+    listed = F.transform(items, lambda v, i: F.struct(F.concat(pointer, F.lit("/"), i.cast("string")).alias("pointer"), v.alias("value")))
+    own = F.array(F.struct(pointer.alias("pointer"), value.alias("value")))
+    return F.when(value.startswith("{"), F.transform(F.array_sort(keys), named)).when(value.startswith("["), listed).otherwise(own)
+
+
+def json_leaves(rows: DataFrame, text: str) -> DataFrame:
+    """A row (other columns, pointer, value) for each text, number and boolean in JSON objects and arrays, however deep.
+
+    One level a round, until no row holds an object or array; keys with `~` or `/` are escaped. Nulls are left out, and
+    texts that begin with a brace or bracket count as JSON.
+    """
+    keys = [c for c in rows.columns if c != text]
+    nested = F.col("value").startswith("{") | F.col("value").startswith("[")
+    level = rows.select(*keys, F.lit("").alias("pointer"), F.trim(text).alias("value")).filter("value is not null")
+    out = level.filter(~nested)
+    level = level.filter(nested)
+    while not level.isEmpty():
+        level = level.select(*keys, F.inline(_entries(F.col("pointer"), F.col("value")))).filter("value is not null")
+        out = out.unionByName(level.filter(~nested))
+        level = level.filter(nested)
+    return out
 
 
 def first_rule(rules: list[tuple[Column, str]], otherwise: str) -> Column:
@@ -80,9 +137,10 @@ def selected_lines(text: Column, first: int, last: int, token: str | None = None
 
 
 def link_targets(text: Column) -> Column:
-    """Targets of Markdown links that are local: no scheme, not within the page."""
-    found = F.regexp_extract_all(text, F.lit(r"\]\(([^)\s]+)\)"), F.lit(1))
-    return F.filter(found, lambda t: ~t.rlike(r"^([a-zA-Z][a-zA-Z0-9+.-]*:|#)"))
+    """Local targets of the links in Markdown or HTML, without what follows `#`: no scheme, not within the page."""
+    found = F.concat(F.regexp_extract_all(text, F.lit(r"\]\(([^)\s]+)\)"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?i)\bhref\s*=\s*[\"']([^\"'\s]*)[\"']"), F.lit(1)))
+    bare = F.transform(found, lambda t: F.regexp_replace(F.split_part(t, F.lit("#"), F.lit(1)), r"^<|>$", ""))
+    return F.filter(bare, lambda t: (t != "") & ~t.rlike(r"^([a-zA-Z][a-zA-Z0-9+.-]*:)"))
 
 
 def heading_order(text: Column, pattern: str = r"(?m)^#+ (S[0-9]+)") -> Column:

@@ -23,9 +23,9 @@ def verdicts(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return rows.withColumn("failed", failed).withColumn("status", F.when(F.col("failed") == "", "PASS").otherwise("FAIL"))
 
 
-def close(a: Column, b: Column, relative: float = 1e-10, absolute: float = 1e-12) -> Column:
+def close(a: Column, b: Column, relative: float = 1e-10, absolute: float | Column = 1e-12) -> Column:
     """Whether two numbers agree within the greater tolerance; two nulls agree."""
-    near = F.abs(a - b) <= F.greatest(F.lit(relative) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
+    near = F.abs(a - b) <= F.greatest(F.lit(relative) * F.greatest(F.abs(a), F.abs(b)), absolute if isinstance(absolute, Column) else F.lit(absolute))
     return F.coalesce(near, a.isNull() & b.isNull())
 
 
@@ -40,12 +40,19 @@ def recomputed(supplied: DataFrame, computed: DataFrame, keys: list[str], values
 
 
 def matches_display(actual: Column, displayed: Column) -> Column:
-    """Whether a number is what is displayed, within half a unit of the last displayed place; texts must be equal."""
-    shown = displayed.try_cast("double")
-    value = actual.try_cast("double")
-    places = F.when(F.instr(displayed, ".") > 0, F.length(displayed) - F.instr(displayed, ".")).otherwise(0)
-    near = F.abs(value - shown) <= F.lit(0.5) * F.pow(F.lit(10.0), -places) * F.lit(1 + 1e-9)
-    return F.when(shown.isNotNull() & value.isNotNull(), near).otherwise(actual == displayed)
+    """Whether a number is what is displayed, within half a unit of the last decimal place shown; other texts must be equal.
+
+    The last place follows from the decimals and the exponent of the text. Whole numbers, and those shown in tens or
+    hundreds, allow no more than 1e-10 of the value, or 1e-12.
+    """
+    number = r"^\s*[+-]?[0-9]*\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?\s*$"
+    shown, value = displayed.try_cast("double"), actual.try_cast("double")
+    power = F.coalesce(F.nullif(F.regexp_extract(displayed, number, 2), F.lit("")).cast("int"), F.lit(0))
+    last = power - F.length(F.regexp_extract(displayed, number, 1))
+    half = F.when(last < 0, F.lit(0.5) * F.pow(F.lit(10.0), last)).otherwise(0.0)
+    near = close(value, shown, absolute=F.greatest(half, F.lit(1e-12)))
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(actual == displayed, True).when(shown.isNotNull() & value.isNotNull(), finite & near).otherwise(F.trim(actual) == F.trim(displayed))
 
 
 def json_at(text: Column, pointer: str) -> Column:
@@ -68,9 +75,61 @@ def only_cell(rows: DataFrame, where: Column, column: str) -> DataFrame:
     return rows.filter(where).agg(F.when(n == 1, F.first(F.col(column).cast("string"))).otherwise(F.raise_error(F.concat(F.lit("rows that match: "), n)).cast("string")).alias("value"))
 
 
-def constant(rows: DataFrame, column: str) -> DataFrame:
-    """One row: the value that a column has everywhere; several are an error."""
-    return rows.agg(F.when(F.countDistinct(column) == 1, F.min(F.col(column).cast("string"))).otherwise(F.raise_error(F.lit(f"{column} is not constant")).cast("string")).alias("value"))
+def constant(rows: DataFrame, column: str, expected_rows: int) -> DataFrame:
+    """One row: the value that a column has in each of the expected number of rows; other numbers and several values are errors."""
+    n, text = F.count("*"), F.col(column).cast("string")
+    one = (F.countDistinct(text) + F.max(text.isNull().cast("int"))) == 1
+    fault = F.when(n != expected_rows, F.concat(F.lit(f"expected {expected_rows} rows, found "), n)).otherwise(f"{column} is not constant")
+    return rows.agg(F.when((n == expected_rows) & one, F.min(text)).otherwise(F.raise_error(fault).cast("string")).alias("value"))
+
+
+def row_count(rows: DataFrame) -> DataFrame:
+    """One row: how many rows there are, as text."""
+    return rows.agg(F.count("*").cast("string").alias("value"))
+
+
+def cell_difference(rows: DataFrame, where: Column, left: str, right: str) -> DataFrame:
+    """One row: left less right in the single row that meets the condition; none or several are an error."""
+    return only_cell(rows.withColumn("_difference", F.col(left).cast("double") - F.col(right).cast("double")), where, "_difference")
+
+
+def array_length(text: Column, pointer: str) -> Column:
+    """How many elements the array has that a pointer names in JSON text; null where there is none."""
+    return F.json_array_length(json_at(text, pointer))
+
+
+#: What a finished run of the protocol has.
+RUN = {"epochs": 50, "batch_size": 16, "learning_rate": 1e-4, "groups": ("fc", "gcn_layers.3"), "parameters": 330241}
+
+
+def run_checks(expected: dict = RUN) -> dict[str, Column]:
+    """The seventeen named checks of a run, over a frame of its recorded and recomputed values; for verdicts().
+
+    Columns: train_epochs, val_epochs, epochs, batch_size, learning_rate, best_epoch and val_best and mae with their
+    recorded_ namesakes, prediction_ids, test_ids, fixed_ids (arrays), n_finite, size, n_train, n_val, n_test, n_shared,
+    seed, recorded_seed, groups (array), parameters.
+    """
+    c = F.col
+    n = F.size("prediction_ids")
+    return {
+        "history_lengths": (c("train_epochs") == expected["epochs"]) & (c("val_epochs") == expected["epochs"]),
+        "summary_epochs": c("epochs") == expected["epochs"],
+        "batch_size": c("batch_size") == expected["batch_size"],
+        "learning_rate": close(c("learning_rate"), F.lit(expected["learning_rate"]), 0.0, 1e-12),
+        "best_epoch_matches": c("recorded_best_epoch") == c("best_epoch"),
+        "best_val_matches": close(c("recorded_val_best"), c("val_best"), 0.0, 1e-10),
+        "mae_matches": close(c("recorded_mae"), c("mae"), 0.0, 1e-10),
+        "prediction_count": n == c("n_test"),
+        "prediction_ids_unique": F.size(F.array_distinct("prediction_ids")) == n,
+        "prediction_ids_match_split": c("prediction_ids") == c("test_ids"),
+        "fixed_test_ids": c("test_ids") == c("fixed_ids"),
+        "all_predictions_finite": c("n_finite") == n,
+        "split_counts": (c("n_train") + c("n_val") == c("size")) & (F.size("test_ids") == c("n_test")),
+        "splits_disjoint": c("n_shared") == 0,
+        "config_seed": c("recorded_seed") == c("seed"),
+        "unfrozen_groups": c("groups") == F.array(*[F.lit(g) for g in expected["groups"]]),
+        "trainable_parameter_count": c("parameters") == expected["parameters"],
+    }
 
 
 def contained(path: str, root: str) -> bool:

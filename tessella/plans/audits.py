@@ -8,24 +8,51 @@ from pyspark.sql.window import Window
 from tessella.functions import text as tx
 from tessella.operators import quality as dq
 from tessella.operators import sets
+from tessella.operators.resample import spread_rank
 from tessella.plans.aggregates import rounded
 from tessella.plans.base import HISTORIES, RUNS, VECTORS, documents, histories, query, runs, table, vectors
 from tessella.sources import records, sinks
 
 
-@query("SC4", "SELECT c_name AS id, arg_max(c_mktsegment, c_custkey) AS split FROM (SELECT 'n' || c_nationkey AS c_name, c_mktsegment, c_custkey FROM customer) GROUP BY 1")
-def split_entries(spark, d):
-    rows = F.array_sort(F.collect_list(F.struct("c_custkey", F.concat(F.lit("n"), "c_nationkey").alias("id"), F.col("c_mktsegment").alias("split"))))
-    one = table(spark, d, "customer").agg(F.to_json(F.transform(rows, lambda r: F.struct(r["id"].alias("id"), r["split"].alias("split")))).alias("json"))
-    return records.last_entries(one, records.split_entries(F.col("json")))
+LABELS = ("training", " TR ", "Dev", "valid", "holdout")
+LABEL_SQL = "CASE c_custkey % 5 WHEN 0 THEN 'train' WHEN 1 THEN 'train' WHEN 4 THEN 'test' ELSE 'val' END"
 
 
-@query("SC5", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'e' || user_id WHEN 1 THEN 'e' || user_id || ';' || event_type WHEN 2 THEN user_id::VARCHAR ELSE 'JVASP-' || user_id END AS ids FROM events")
+@query("SC4", f"""WITH c AS (SELECT c_nationkey AS nation, c_custkey AS item, {LABEL_SQL} AS split FROM customer)
+SELECT nation, 'n' || nation || '-' || item % 7 AS id, arg_max(split, item) AS split FROM c WHERE nation % 3 = 0 GROUP BY 1, 2
+UNION ALL SELECT nation, 'c' || item, split FROM c WHERE nation % 3 <> 0""")
+def split_entries(spark, d):
+    """A split file for each nation, in one of three shapes: a list of rows that repeat ids, labels by id, ids by label."""
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("item"), label.alias("label"))
+    quoted = F.concat(F.lit('"c'), "item", F.lit('"'))
+    kind = F.col("item") % 3
+    names = F.when(kind == 0, F.lit('{"jid": "')).when(kind == 1, F.lit('{"jid": "", "id": " ')).otherwise('{"material_id": "')
+    keys = F.when(kind == 0, "split").when(kind == 1, "dataset_split").otherwise("subset")
+    row = F.concat(names, F.lit("n"), "nation", F.lit("-"), F.col("item") % 7, F.lit('", "'), keys, F.lit('": "'), "label", F.lit('"}'))
+
+    def joined(text):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", text.alias("text")))), lambda x: x["text"]), ", ")
+
+    listed = rows.filter("nation % 3 = 0").groupBy("nation").agg(F.concat(F.lit("["), joined(row), F.lit("]")).alias("json"))
+    named = rows.filter("nation % 3 = 1").groupBy("nation").agg(F.concat(F.lit("{"), joined(F.concat(quoted, F.lit(': "'), "label", F.lit('"'))), F.lit("}")).alias("json"))
+    by_label = rows.filter("nation % 3 = 2").groupBy("nation", "label").agg(F.min("item").alias("item"), F.concat(F.lit('": ['), joined(quoted), F.lit("]")).alias("ids"))
+    lists = by_label.groupBy("nation").agg(F.concat(F.lit('{"test": [], "note": "x", '), joined(F.concat(F.lit('"'), "label", "ids")), F.lit("}")).alias("json"))
+    files = listed.unionByName(named).unionByName(lists)
+    long = files.select("nation", F.posexplode(records.split_entries(F.col("json"))).alias("ordinal", "entry"))
+    return long.groupBy("nation", F.col("entry.id").alias("id")).agg(F.max_by("entry.split", "ordinal").alias("split"))
+
+
+@query("SC5", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'e' || user_id || ';7' WHEN 1 THEN 'e' || user_id || ';' || event_type || ';x' WHEN 2 THEN 'JVASP-' || user_id || ';' || value::DECIMAL(18,2)::VARCHAR
+ELSE 'JVASP-' || user_id || ';note' END AS ids FROM events""")
 def polymorphic_ids(spark, d):
+    """Lists of objects and numbers, an object with two lists, a list of lists, an object whose keys are ids."""
     kind, user = F.col("event_id") % 4, F.col("user_id")
     e = F.concat(F.lit('"e'), user, F.lit('"'))
-    json = F.when(kind == 0, F.concat(F.lit('{"jid": '), e, F.lit("}"))).when(kind == 1, F.concat(F.lit('{"ids": ['), e, F.lit(', {"id": "'), F.col("event_type"), F.lit('"}]}')))
-    json = json.when(kind == 2, user.cast("string")).otherwise(F.concat(F.lit('{"JVASP-'), user, F.lit('": {"a": 1}}')))
+    json = F.when(kind == 0, F.concat(F.lit('[{"file_id": '), e, F.lit(', "n": 1}, 7]')))
+    json = json.when(kind == 1, F.concat(F.lit('{"data": [{"name": "'), F.col("event_type"), F.lit('"}, "x"], "ids": ['), e, F.lit('], "other": [1]}')))
+    json = json.when(kind == 2, F.concat(F.lit('[["JVASP-'), user, F.lit('", 0.5], [{"jid_id": "'), F.col("value").cast("decimal(18,2)"), F.lit('"}, 2]]')))
+    json = json.otherwise(F.concat(F.lit('{"JVASP-'), user, F.lit('": {"a": 1}, "note": null}')))
     return table(spark, d, "events").select("event_id", F.array_join(records.ids_of(json), ";").alias("ids"))
 
 
@@ -50,6 +77,17 @@ def contiguous(spark, d):
     return records.contiguous(rows, ["label"], "id").unionByName(records.contiguous(rows.withColumn("label", F.lit(-1)), ["label"], "id"))
 
 
+@query("SC8_rows", f"WITH {VECTORS} SELECT k AS embedding_index, id, family, round(x[1] + x[64], 8) AS ends FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS k FROM vecs WHERE label < 5)")
+def embedding_rows(spark, d):
+    """Metadata of two sources, one of which names the rows of a matrix."""
+    rows = vectors(spark, d).filter("label < 5").withColumn("family", F.col("family"))
+    rows = spread_rank(rows, F.col("id"), "id").withColumn("embedding_index", F.col("rank") - 1)
+    meta = rows.select("id", F.col("family").cast("string").alias("family"), F.col("embedding_index").cast("string").alias("embedding_index"), F.lit("pool").alias("embedding_source"))
+    both = meta.unionByName(meta.withColumn("embedding_source", F.lit("head")).filter("id % 2 = 0"))
+    found = records.embedding_rows(both, rows.select("embedding_index", "x"), "pool", ["0", "1"])
+    return found.select("embedding_index", "id", F.col("family").cast("int").alias("family"), F.round(F.col("x")[0] + F.col("x")[63], 8).alias("ends"))
+
+
 @query("SC10", "SELECT doc_id, count(*) AS n_sections, max(length(line)) AS longest_title FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text <> '') WHERE trim(line) <> '' GROUP BY 1")
 def sections(spark, d):
     """Each line of a document as a heading of its own."""
@@ -103,12 +141,35 @@ def disjoint(spark, d):
     return sets.set_algebra(rows.filter("b <> 9"), rows.filter("b = 9"), "doc_id").select("n_left", "n_right", "n_both", "n_union")
 
 
-@query("DQ6", f"""WITH {HISTORIES}, r AS (SELECT run, count(*) AS n, arg_min(epoch, (loss, epoch)) AS be, min(loss) AS low, max(epoch) AS le FROM hist GROUP BY 1), f AS (SELECT run, array_to_string(list_filter([CASE WHEN n <> le THEN 'epochs' END,
-CASE WHEN NOT n >= 60 THEN 'length' END, CASE WHEN NOT be < le THEN 'boundary' END, CASE WHEN NOT low > 0.05 THEN 'floor' END], lambda c: c IS NOT NULL), ',') AS failed FROM r) SELECT run, failed, CASE WHEN failed = '' THEN 'PASS' ELSE 'FAIL' END AS status FROM f""")
+RUN_FRAME = """r AS (SELECT user_id AS run, count(*) AS n, arg_min(epoch, (value, epoch)) AS best, min(value) AS low, avg(value) AS mae,
+  list(event_id ORDER BY event_id) FILTER (event_id % 3 = 2) AS test, count(*) FILTER (event_id % 3 = 0) AS n_train, count(*) FILTER (event_id % 3 = 1) AS n_val
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events) GROUP BY 1)"""
+
+
+@query("DQ6", f"""WITH {RUN_FRAME}, f AS (SELECT run, array_to_string(list_filter([CASE WHEN n <> 50 THEN 'history_lengths' END, CASE WHEN run % 17 = 1 THEN 'summary_epochs' END, CASE WHEN run % 17 = 2 THEN 'batch_size' END,
+CASE WHEN run % 17 = 3 THEN 'learning_rate' END, CASE WHEN run % 17 = 4 THEN 'best_epoch_matches' END, CASE WHEN run % 17 = 5 THEN 'best_val_matches' END, CASE WHEN run % 17 = 6 THEN 'mae_matches' END,
+CASE WHEN run % 17 IN (7, 8) THEN 'prediction_count' END, CASE WHEN run % 17 = 8 AND len(test) > 0 THEN 'prediction_ids_unique' END, CASE WHEN run % 17 IN (7, 8) THEN 'prediction_ids_match_split' END,
+CASE WHEN run % 17 = 9 THEN 'fixed_test_ids' END, CASE WHEN run % 17 IN (10, 7, 8) THEN 'all_predictions_finite' END, CASE WHEN run % 17 = 11 THEN 'split_counts' END, CASE WHEN run % 17 = 12 THEN 'splits_disjoint' END,
+CASE WHEN run % 17 = 13 THEN 'config_seed' END, CASE WHEN run % 17 = 14 THEN 'unfrozen_groups' END, CASE WHEN run % 17 = 15 THEN 'trainable_parameter_count' END], lambda c: c IS NOT NULL), ',') AS failed FROM r)
+SELECT run, failed, CASE WHEN failed = '' THEN 'PASS' ELSE 'FAIL' END AS status FROM f""")
 def verdicts(spark, d):
-    run = histories(spark, d).groupBy("run").agg(F.count("*").alias("n"), F.min_by("epoch", F.struct("loss", "epoch")).alias("be"), F.min("loss").alias("low"), F.max("epoch").alias("le"))
-    checks = {"epochs": F.col("n") == F.col("le"), "length": F.col("n") >= 60, "boundary": F.col("be") < F.col("le"), "floor": F.col("low") > 0.05}
-    return dq.verdicts(run, checks).select("run", "failed", "status")
+    """Events of a user as a run's history and, by their ids, its splits; by user one recorded value or another is off."""
+    lost = F.col("run") % 17
+    part = F.col("event_id") % 3
+    rows = histories(spark, d).groupBy("run").agg(F.count("*").alias("n"), F.min_by("epoch", F.struct("loss", "epoch")).alias("best"), F.min("loss").alias("low"), F.avg("loss").alias("mae"))
+    ids = table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(
+        F.array_sort(F.collect_list(F.when(part == 2, F.col("event_id")))).alias("test"), F.count_if(part == 0).alias("n_train"), F.count_if(part == 1).alias("n_val")
+    )
+    run, test, more = rows.join(ids, "run"), F.col("test"), lambda k, size=1: F.when(lost == k, size).otherwise(0)
+    predicted = F.when(lost == 7, F.concat(test, F.array(F.lit(-1).cast("long")))).when(lost == 8, F.concat(test, F.slice(test, 1, 1), F.array(F.lit(-1).cast("long")))).otherwise(test)
+    frame = run.select(
+        "run", F.col("n").alias("train_epochs"), F.col("n").alias("val_epochs"), (50 + more(1)).alias("epochs"), (16 + more(2)).alias("batch_size"), (F.lit(1e-4) + more(3, 1e-6)).alias("learning_rate"),
+        F.col("best").alias("best_epoch"), (F.col("best") + more(4)).alias("recorded_best_epoch"), F.col("low").alias("val_best"), (F.col("low") + more(5)).alias("recorded_val_best"),
+        "mae", (F.col("mae") + more(6)).alias("recorded_mae"), predicted.alias("prediction_ids"), test.alias("test_ids"), F.when(lost == 9, F.array(F.lit(-2).cast("long"))).otherwise(test).alias("fixed_ids"),
+        (F.size(test) - more(10)).alias("n_finite"), (F.col("n_train") + F.col("n_val") + more(11)).alias("size"), "n_train", "n_val", F.size(test).alias("n_test"), more(12).alias("n_shared"),
+        F.col("run").alias("seed"), (F.col("run") + more(13)).alias("recorded_seed"), F.when(lost == 14, F.array(F.lit("fc"))).otherwise(F.array(F.lit("fc"), F.lit("gcn_layers.3"))).alias("groups"), (330241 + more(15)).alias("parameters"),
+    )
+    return dq.verdicts(frame, dq.run_checks()).select("run", "failed", "status")
 
 
 @query("DQ7", f"WITH {RUNS} SELECT family, n, seed, CASE WHEN seed = 0 THEN 'mae' ELSE 'not supplied' END AS fault FROM runs WHERE seed IN (0, 4)")
@@ -118,11 +179,16 @@ def recomputed(spark, d):
     return dq.recomputed(supplied, computed, ["family", "n", "seed"], ["mae"])
 
 
-@query("DQ8", "SELECT p_partkey, true AS shown_ok, p_retailprice = round(p_retailprice + 1) AS wrong_ok FROM part")
+@query("DQ8", """SELECT p_partkey, abs(p_retailprice - (floor(p_retailprice)::BIGINT || '.' || p_partkey % 10)::DOUBLE) <= 0.05 AS place_ok, p_retailprice = floor(p_retailprice) AS whole_ok,
+abs(p_retailprice - (floor(p_retailprice * 10)::BIGINT || 'e-1')::DOUBLE) <= 0.05 AS power_ok, p_size = 7 AS text_ok FROM part""")
 def matches_display(spark, d):
+    """Prices beside a decimal, their whole part and a power of ten; sizes as texts beside a word or a number."""
     price = F.col("p_retailprice").cast("string")
-    shown = F.format_string("%.1f", "p_retailprice")
-    return table(spark, d, "part").select("p_partkey", dq.matches_display(price, shown).alias("shown_ok"), dq.matches_display(price, F.format_string("%.0f", F.col("p_retailprice") + 1)).alias("wrong_ok"))
+    whole = F.floor("p_retailprice").cast("string")
+    shown = {"place_ok": F.concat(whole, F.lit("."), F.col("p_partkey") % 10), "whole_ok": whole, "power_ok": F.concat(F.floor(F.col("p_retailprice") * 10), F.lit("e-1"))}
+    size = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("size "), "p_size")).otherwise(F.col("p_size").cast("string"))
+    seven = F.when(F.col("p_partkey") % 2 == 0, F.lit("size 7 ")).otherwise("7.0")
+    return table(spark, d, "part").select("p_partkey", *[dq.matches_display(price, s).alias(n) for n, s in shown.items()], dq.matches_display(size, seven).alias("text_ok"))
 
 
 @query("DQ9", "SELECT json_extract_string(props, '/k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")
@@ -135,6 +201,21 @@ def only_cell(spark, d):
     return dq.only_cell(table(spark, d, "customer"), F.col("c_custkey") == 7, "c_name")
 
 
+@query("DQ9_selectors", """SELECT 'rows' AS selector, count(*)::VARCHAR AS value FROM customer UNION ALL SELECT 'constant', min(l_linestatus) FROM lineitem WHERE l_linestatus = 'F'
+UNION ALL SELECT 'difference', round(c_acctbal - c_custkey, 6)::VARCHAR FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'length', max(len(string_split(text, chr(10))))::VARCHAR FROM documents""")
+def selectors(spark, d):
+    customers, lines = table(spark, d, "customer"), table(spark, d, "lineitem").filter("l_linestatus = 'F'")
+    gap = dq.cell_difference(customers, F.col("c_custkey") == 7, "c_acctbal", "c_custkey")
+    json = F.concat(F.lit('{"a/b": '), F.to_json(F.split("text", "\n")), F.lit("}"))
+    longest = documents(spark, d).agg(F.max(dq.array_length(json, "/a~1b")).cast("string").alias("value"))
+    found = {"rows": dq.row_count(customers), "constant": dq.constant(lines, "l_linestatus", lines.count()), "difference": gap.select(F.round(F.col("value").cast("double"), 6).cast("string").alias("value")), "length": longest}
+    out = None
+    for name, one in found.items():
+        row = one.select(F.lit(name).alias("selector"), "value")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("DQ11", "SELECT count(*) AS n, count(*) FILTER (doc_id % 4 = 0) AS n_differ, 2::BIGINT AS largest FROM documents WHERE doc_id % 2 = 0")
 def drift(spark, d):
     docs = documents(spark, d)
@@ -148,16 +229,36 @@ def replay(spark, d):
     return a.join(b.select(F.col("digest").alias("other")), F.lit(True)).select("n", (F.col("digest") == F.col("other")).alias("same"))
 
 
+WORDS = (("license", "license"), ("version", "version"))
+
+
 @query("TX1", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT doc_id, unnest(regexp_extract_all(line, '(?i)\b(?:license|version)\b')) AS found FROM l)
 SELECT doc_id, lower(found) AS term, count(*) AS n FROM m GROUP BY 1, 2""")
 def term_counts(spark, d):
-    found = tx.term_matches(documents(spark, d).select("doc_id", "text"), "text", {"license": "license", "version": "version"})
+    """All terms, of which the test tables hold none, and two words that they do."""
+    found = tx.term_matches(documents(spark, d).select("doc_id", "text"), "text", tx.TERMS + WORDS)
     return found.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
-@query("TX2", "SELECT event_id, '/k' AS pointer, json_extract_string(props, '$.k') AS value FROM events")
+@query("TX1_units", r"""WITH u AS (SELECT page_id AS key, 'csv:html' AS source, unnest(regexp_extract_all(html, '(?i)\b(?:class|title|1[0-9])\b')) AS found FROM pages
+UNION ALL SELECT event_id, 'json-pointer:/k', unnest(regexp_extract_all('driver robust ' || json_extract_string(props, '$.k'), '\b(?:robust|1[0-9])\b')) FROM events)
+SELECT source, CASE WHEN found = 'robust' THEN 'robustness_language' WHEN found[1:1] = '1' THEN 'teens' ELSE lower(found) END AS term, count(*) AS n FROM u GROUP BY 1, 2""")
+def term_units(spark, d):
+    """Terms in the cells of a table and in the leaves of JSON texts."""
+    cells = tx.cell_units(table(spark, d, "pages").select(F.col("page_id").alias("key"), "html"), ["key"], ["html"])
+    leaves = tx.leaf_units(table(spark, d, "events").select(F.col("event_id").alias("key"), "props"), ["key"], "props")
+    marked = leaves.withColumn("text", F.concat(F.lit("driver robust "), "text"))
+    found = tx.term_matches(cells.unionByName(marked), "text", tx.TERMS + (("class", "class"), ("title", "title"), ("teens", "1[0-9]")))
+    return found.groupBy("source", "term").agg(F.count("*").alias("n"))
+
+
+@query("TX2", """SELECT event_id, '/a/' || event_type || '/0/b~1c' AS pointer, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, '/a/' || event_type || '/1', 'true' FROM events
+UNION ALL SELECT event_id, '/z', event_type FROM events""")
 def json_leaves(spark, d):
-    return table(spark, d, "events").select("event_id", F.inline(tx.json_leaves(F.col("props"), 2)))
+    """The events' own JSON, three levels further down, beside other leaves."""
+    k = F.get_json_object("props", "$.k")
+    json = F.concat(F.lit('{"z": "'), "event_type", F.lit('", "n": null, "a": {"'), "event_type", F.lit('": [{"b/c": '), k, F.lit("}, true]}}"))
+    return tx.json_leaves(table(spark, d, "events").select("event_id", json.alias("json")), "json")
 
 
 @query("TX3", "SELECT page_id, CASE WHEN contains(url, 'wiki') THEN 'wiki' WHEN regexp_matches(url, '[0-9]{3}') THEN 'numbered' ELSE 'other' END AS kind FROM pages")
@@ -171,10 +272,12 @@ def selected_lines(spark, d):
     return documents(spark, d).select("doc_id", F.inline(tx.selected_lines(F.col("text"), 2, 4, "the")))
 
 
-@query("TX5", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'p' || page_id || '.md' ELSE '' END AS targets, 'S1,S2' AS headings FROM pages")
+@query("TX5", r"""WITH t AS (SELECT page_id, html, list_concat(regexp_extract_all(html, '\]\(([^)\s]+)\)', 1), regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']([^"''\s]*)["'']', 1)) AS found FROM pages)
+SELECT page_id, array_to_string(list_filter(list_transform(found, lambda x: split_part(x, '#', 1)), lambda x: x <> '' AND NOT regexp_matches(x, '^[a-zA-Z][a-zA-Z0-9+.-]*:')), ',') AS targets,
+array_to_string(regexp_extract_all(html, '<h([1-6])[ >]', 1), ',') AS headings FROM t""")
 def links(spark, d):
-    body = F.concat(F.lit("# S1 x\n[a](https://x.y) [b](#in) "), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("[c](p"), "page_id", F.lit(".md)"))).otherwise(""), F.lit("\n## S2 y"))
-    return table(spark, d, "pages").select("page_id", F.array_join(tx.link_targets(body), ",").alias("targets"), F.array_join(tx.heading_order(body), ",").alias("headings"))
+    html = F.col("html")
+    return table(spark, d, "pages").select("page_id", F.array_join(tx.link_targets(html), ",").alias("targets"), F.array_join(tx.heading_order(html, "<h([1-6])[ >]"), ",").alias("headings"))
 
 
 @query("TX6", "SELECT CASE WHEN starts_with(source, 'src1') THEN 'first' WHEN starts_with(source, 'src') THEN 'source' ELSE 'other' END AS category, count(*) AS n FROM documents GROUP BY 1")

@@ -9,7 +9,7 @@ from tessella.operators import resample as rs
 from tessella.plans.aggregates import rounded
 from tessella.plans.base import documents, query, table
 
-REPS, ARM = 100, 200
+REPS = 100
 DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 RANKED = f"r AS (SELECT doc_id, row_number() OVER (ORDER BY {DRAW.format(chr(39) + '42:' + chr(39) + ' || doc_id')}, doc_id) AS k, count(*) OVER () AS n FROM documents)"
 HALF_EVEN = "CASE WHEN {0} - floor({0}) = 0.5 THEN 2 * round({0} / 2) ELSE round({0}) END"
@@ -64,21 +64,15 @@ def balanced(spark, d):
     return rs.balanced(documents(spark, d).select("doc_id", "lang"), "lang", "doc_id", "7")
 
 
-VALUES = f"""v AS (SELECT arm, value, k, count(*) OVER (PARTITION BY arm) AS n FROM (SELECT event_type AS arm, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k FROM events) WHERE k < {ARM})"""
+VALUES = f"""v AS (SELECT arm, value, k, count(*) OVER (PARTITION BY arm) AS n FROM (SELECT event_type AS arm, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k FROM events))"""
 REPLICATES = f"""{VALUES}, a AS (SELECT arm, max(n) AS n FROM v GROUP BY 1),
-d AS (SELECT arm, rep, {DRAW.format("'42:' || arm || ':' || rep || ':' || j")} % n AS k FROM a, range({REPS}) t(rep), range({ARM}) u(j) WHERE j < n),
+d AS (SELECT arm, rep, {DRAW.format("'42:' || arm || ':' || rep || ':' || j")} % n AS k FROM (SELECT arm, n, rep, unnest(range(n)) AS j FROM a, range({REPS}) t(rep))),
 m AS (SELECT arm, rep, avg(value) AS stat, median(value) AS med FROM d JOIN v USING (arm, k) GROUP BY 1, 2)"""
 CI = "round(quantile_cont({0}, 0.025), 8) AS ci_low, round(quantile_cont({0}, 0.975), 8) AS ci_high, round(stddev_samp({0}), 8) AS se, count(*) AS reps"
 
 
-def first_events(spark, d, arm):
-    """The events of each type, or the first so many of them."""
-    events = table(spark, d, "events")
-    return ranking.top_of_group(events, ["event_type"], [F.asc("event_id")], arm) if arm else events
-
-
-def values(spark, d, arm=ARM):
-    return rs.numbered(first_events(spark, d, arm), "event_type", "event_id")
+def values(spark, d):
+    return rs.numbered(table(spark, d, "events"), "event_type", "event_id")
 
 
 def arms(spark, d):
@@ -90,73 +84,73 @@ def fixed(df):
 
 
 @query("RS7", f"WITH {REPLICATES} SELECT arm, {CI.format('stat')} FROM m GROUP BY 1")
-def bootstrap_means(spark, d, arm=ARM):
-    return fixed(rs.interval(rs.replicate_means(spark, values(spark, d, arm), REPS, "42"), ["arm"], "stat"))
+def bootstrap_means(spark, d):
+    return fixed(rs.interval(rs.replicate_means(spark, values(spark, d), REPS, "42"), ["arm"], "stat"))
 
 
 PAIR = "two AS (SELECT a.rep, b.{0} / a.{0} AS ratio, b.{0} - a.{0} AS difference FROM m a JOIN m b USING (rep) WHERE a.arm = (SELECT min(arm) FROM v) AND b.arm = (SELECT max(arm) FROM v))"
 
 
 @query("RS8", f"WITH {REPLICATES}, {PAIR.format('stat')} SELECT 'ratio' AS kind, {CI.format('ratio')} FROM two UNION ALL SELECT 'difference', {CI.format('difference')} FROM two")
-def bootstrap_contrasts(spark, d, arm=ARM):
+def bootstrap_contrasts(spark, d):
     names = arms(spark, d)
-    pairs = rs.arm_contrasts(rs.replicate_means(spark, values(spark, d, arm), REPS, "42"), names[0], names[-1])
+    pairs = rs.arm_contrasts(rs.replicate_means(spark, values(spark, d), REPS, "42"), names[0], names[-1])
     long = pairs.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("stat")) for k in ("ratio", "difference")])))
     return fixed(rs.interval(long, ["kind"], "stat"))
 
 
 @query("RS9", f"WITH {REPLICATES}, o AS (SELECT rep, sum(stat * n) / sum(n) AS stat FROM m JOIN a USING (arm) GROUP BY 1) SELECT {CI.format('stat')} FROM o")
-def stratified_bootstrap(spark, d, arm=ARM):
-    pooled = rs.draws(spark, values(spark, d, arm), REPS, "42").groupBy("rep").agg(F.avg("value").alias("stat"))
+def stratified_bootstrap(spark, d):
+    pooled = rs.draws(spark, values(spark, d), REPS, "42").groupBy("rep").agg(F.avg("value").alias("stat"))
     return fixed(rs.interval(pooled, [], "stat"))
 
 
 @query("RS10", f"""WITH {VALUES.replace('value,', 'value, y,').replace('SELECT event_type AS arm, value, y,', 'SELECT event_type AS arm, value, (user_id % 50)::DOUBLE AS y,')}, a AS (SELECT arm, max(n) AS n FROM v GROUP BY 1),
-d AS (SELECT arm, rep, {DRAW.format("'42:' || arm || ':' || rep || ':' || j")} % n AS k FROM a, range({REPS}) t(rep), range({ARM}) u(j) WHERE j < n),
+d AS (SELECT arm, rep, {DRAW.format("'42:' || arm || ':' || rep || ':' || j")} % n AS k FROM (SELECT arm, n, rep, unnest(range(n)) AS j FROM a, range({REPS}) t(rep))),
 c AS (SELECT arm, rep, corr(value, y) AS stat FROM d JOIN v USING (arm, k) GROUP BY 1, 2) SELECT arm, {CI.format('stat')} FROM c GROUP BY 1""")
-def bootstrap_correlation(spark, d, arm=ARM):
-    pairs = rs.numbered(first_events(spark, d, arm).withColumn("value", F.struct("value", (F.col("user_id") % 50).cast("double").alias("y"))), "event_type", "event_id")
+def bootstrap_correlation(spark, d):
+    pairs = rs.numbered(table(spark, d, "events").withColumn("value", F.struct("value", (F.col("user_id") % 50).cast("double").alias("y"))), "event_type", "event_id")
     found = rs.draws(spark, pairs, REPS, "42").groupBy("arm", "rep").agg(F.corr("value.value", "value.y").alias("stat"))
     return fixed(rs.interval(found, ["arm"], "stat"))
 
 
 @query("RS11", f"WITH {REPLICATES}, {PAIR.format('med')} SELECT {CI.format('difference')} FROM two")
-def bootstrap_medians(spark, d, arm=ARM):
+def bootstrap_medians(spark, d):
     names = arms(spark, d)
-    pairs = rs.arm_contrasts(rs.replicate_means(spark, values(spark, d, arm), REPS, "42", "median"), names[0], names[-1])
+    pairs = rs.arm_contrasts(rs.replicate_means(spark, values(spark, d), REPS, "42", "median"), names[0], names[-1])
     return fixed(rs.interval(pairs, [], "difference"))
 
 
-POINTS = f"pts AS (SELECT k, value AS x, (event_id * 7919 % 1000)::DOUBLE AS y FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events WHERE event_type = (SELECT min(event_type) FROM events)) WHERE k < {ARM})"
+POINTS = f"pts AS (SELECT k, value AS x, (event_id * 7919 % 1000)::DOUBLE AS y FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events WHERE event_type = (SELECT min(event_type) FROM events)))"
 SHUFFLED = f"sh AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY {DRAW.format(chr(39) + '42:' + chr(39) + ' || rep || ' + chr(39) + ':' + chr(39) + ' || k')}, k) - 1 AS k FROM pts, range({REPS}) t(rep)), pr AS (SELECT rep, x, sh.y FROM sh JOIN pts USING (k))"
 
 
-def points(spark, d, arm=ARM):
-    first = values(spark, d, arm).filter(F.col("arm") == arms(spark, d)[0])
-    events = first_events(spark, d, arm).filter(F.col("event_type") == arms(spark, d)[0])
+def points(spark, d):
+    first = values(spark, d).filter(F.col("arm") == arms(spark, d)[0])
+    events = table(spark, d, "events").filter(F.col("event_type") == arms(spark, d)[0])
     y = rs.numbered(events.withColumn("value", (F.col("event_id") * 7919 % 1000).cast("double")), "event_type", "event_id").select("k", F.col("value").alias("y"))
     return first.select("k", F.col("value").alias("x")).join(y, "k")
 
 
 @query("RS12", f"WITH {POINTS}, {SHUFFLED}, o AS (SELECT corr(x, y) AS stat FROM pts), c AS (SELECT rep, corr(x, y) AS r FROM pr GROUP BY 1) SELECT round(stat, 8) AS stat, round((count(*) FILTER (r >= stat) + 1)::DOUBLE / (count(*) + 1), 8) AS p FROM o, c GROUP BY o.stat")
-def permutation_correlation(spark, d, arm=ARM):
-    rows = points(spark, d, arm)
+def permutation_correlation(spark, d):
+    rows = points(spark, d)
     stats = rs.permuted(rows, REPS, "42").groupBy("rep").agg(F.corr("x", "y").alias("stat"))
     return rounded(rs.permutation_p(rows.agg(F.corr("x", "y").alias("stat")), stats), 8, "stat", "p")
 
 
 @query("RS13", f"""WITH {POINTS}, {SHUFFLED}, o AS (SELECT avg(x) FILTER (y >= 500) - avg(x) FILTER (y < 500) AS stat FROM pts), c AS (SELECT rep, avg(x) FILTER (y >= 500) - avg(x) FILTER (y < 500) AS r FROM pr GROUP BY 1)
 SELECT round(stat, 8) AS stat, round((count(*) FILTER (abs(r) >= abs(stat)) + 1)::DOUBLE / (count(*) + 1), 8) AS p FROM o, c GROUP BY o.stat""")
-def permutation_difference(spark, d, arm=ARM):
-    rows = points(spark, d, arm)
+def permutation_difference(spark, d):
+    rows = points(spark, d)
     gap = (F.avg(F.when(F.col("y") >= 500, F.col("x"))) - F.avg(F.when(F.col("y") < 500, F.col("x")))).alias("stat")
     return rounded(rs.permutation_p(rows.agg(gap), rs.permuted(rows, REPS, "42").groupBy("rep").agg(gap), "two_sided"), 8, "stat", "p")
 
 
 @query("RS14", f"""WITH {POINTS}, {SHUFFLED}, dims AS (SELECT rep, i, corr(x * (1 + i) + i * y, y) AS r FROM (SELECT -1 AS rep, x, y FROM pts UNION ALL SELECT rep, x, y FROM pr), range(3) t(i) GROUP BY 1, 2),
 most AS (SELECT rep, max(abs(r)) AS m FROM dims WHERE rep >= 0 GROUP BY 1) SELECT i, round(r, 8) AS stat, round((count(*) FILTER (m >= abs(r)) + 1)::DOUBLE / (count(*) + 1), 8) AS p FROM dims, most WHERE dims.rep = -1 GROUP BY i, r""")
-def largest_permutation(spark, d, arm=ARM):
-    rows = points(spark, d, arm)
+def largest_permutation(spark, d):
+    rows = points(spark, d)
     every = rs.permuted(rows, REPS, "42").unionByName(rows.select(F.lit(-1).cast("long").alias("rep"), "x", "y"))
     long = every.select("rep", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("i"), "x").withColumn("z", F.col("x") * (1 + F.col("i")) + F.col("i") * F.col("y"))
     dims = long.groupBy("rep", "i").agg(F.corr("z", "y").alias("r"))
@@ -166,12 +160,11 @@ def largest_permutation(spark, d, arm=ARM):
     return rounded(joined, 8, "stat", "p")
 
 
-@query("RS15", """WITH t AS (SELECT (c_nationkey % 3)::BIGINT AS fam, c_custkey AS item, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey * 7919 % 1009) / 1009.0::DOUBLE END AS p FROM customer WHERE c_custkey <= 300),
+@query("RS15", """WITH t AS (SELECT (c_nationkey % 3)::BIGINT AS fam, c_custkey AS item, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey * 7919 % 1009) / 1009.0::DOUBLE END AS p FROM customer),
 r AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p, item) AS k, count(*) OVER (PARTITION BY fam) AS m FROM t WHERE p IS NOT NULL)
 SELECT fam, item, round(p, 8) AS p, round(least(1.0, min(p * m / k) OVER (PARTITION BY fam ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) AS q FROM r UNION ALL SELECT fam, item, NULL, NULL FROM t WHERE p IS NULL""")
-def adjusted(spark, d, some="c_custkey <= 300"):
-    few = table(spark, d, "customer").filter(some)
-    tests = few.select((F.col("c_nationkey") % 3).cast("long").alias("fam"), F.col("c_custkey").alias("item"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey") * 7919 % 1009 / 1009.0).alias("p"))
+def adjusted(spark, d):
+    tests = table(spark, d, "customer").select((F.col("c_nationkey") % 3).cast("long").alias("fam"), F.col("c_custkey").alias("item"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey") * 7919 % 1009 / 1009.0).alias("p"))
     return rounded(ranking.benjamini_hochberg(tests, ["fam"], "p", "item"), 8, "p", "q")
 
 
@@ -185,8 +178,8 @@ def correlations(spark, d):
 
 
 @query("RS17", f"WITH {REPLICATES}, c AS (SELECT arm, avg(stat) AS effect, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi FROM m GROUP BY 1) SELECT arm, effect > 0 AND (lo > 0 OR hi < 0) AND arm <> (SELECT min(arm) FROM v) AS passes FROM c")
-def decision(spark, d, arm=ARM):
-    means = rs.replicate_means(spark, values(spark, d, arm), REPS, "42")
+def decision(spark, d):
+    means = rs.replicate_means(spark, values(spark, d), REPS, "42")
     rows = rs.interval(means, ["arm"], "stat").join(means.groupBy("arm").agg(F.avg("stat").alias("effect")), "arm")
     return rs.decision(rows.withColumn("q", F.when(F.col("arm") == arms(spark, d)[0], 0.5).otherwise(0.001))).select("arm", "passes")
 

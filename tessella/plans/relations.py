@@ -101,12 +101,12 @@ def nearest(spark, d):
     return rounded(joins.nearest(rows.filter("label > 7"), rows.filter("label <= 7"), 5), 8, "distance")
 
 
-@query("JN13", """WITH s AS (SELECT l_suppkey, l_linestatus, list(l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS items FROM lineitem WHERE l_quantity <= 5 GROUP BY 1, 2)
+@query("JN13", """WITH s AS (SELECT l_suppkey, l_linestatus, list(l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS items FROM lineitem GROUP BY 1, 2)
 SELECT a.l_suppkey, CASE WHEN a.items = b.items THEN 'equal' WHEN list_sort(a.items) = list_sort(b.items) THEN 'order_differs' ELSE 'members_differ' END AS verdict
 FROM s a JOIN s b USING (l_suppkey) WHERE a.l_linestatus = 'F' AND b.l_linestatus = 'O'""")
-def compared_groups(spark, d, some="l_quantity <= 5"):
-    few = table(spark, d, "lineitem").filter(some).withColumn("at", F.struct("l_orderkey", "l_linenumber"))
-    return joins.compared_groups(few, ["l_suppkey"], "l_linestatus", "F", "O", "l_partkey", "at")
+def compared_groups(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("at", F.struct("l_orderkey", "l_linenumber"))
+    return joins.compared_groups(lines, ["l_suppkey"], "l_linestatus", "F", "O", "l_partkey", "at")
 
 
 QUALITY = "q AS (SELECT md5(text) AS k, doc_id, (l.doc_id IS NOT NULL)::INTEGER AS labelled, n_chars FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id))"

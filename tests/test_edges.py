@@ -89,8 +89,16 @@ def test_permutation_p_is_never_zero(spark):
 
 
 def test_display_and_tolerance(spark):
-    rows = spark.createDataFrame([("0.0341836", "0.0342"), ("0.0341836", "0.034"), ("5", "5"), ("5", "6"), ("a", "a"), ("0.05", "0.1")], "a string, d string")
-    assert [r[0] for r in rows.select(quality.matches_display(F.col("a"), F.col("d"))).collect()] == [True, True, True, False, True, True]
+    rows = spark.createDataFrame([("0.0341836", "0.0342"), ("0.0341836", "0.034"), ("5", "5"), ("5", "6"), ("a", "a"), ("0.05", "0.1"),
+                                  ("5.4", "5"), ("12.3", "12"), ("0.4", "1e-3"), ("0.0014", "1e-3"), ("1234", "1.2e3"), ("1200", "1.2e3"), ("5.0", "5"), ("inf", "5"), (" a", "a ")], "a string, d string")
+    assert [r[0] for r in rows.select(quality.matches_display(F.col("a"), F.col("d"))).collect()] == [True, True, True, False, True, True, False, False, False, True, False, True, True, False, True]
+    some = spark.createDataFrame([("a", 3.0, 1.0), ("a", 2.0, 2.0)], "v string, x double, y double")
+    assert quality.constant(some, "v", 2).first().value == "a" and quality.row_count(some).first().value == "2"
+    assert quality.cell_difference(some, F.col("x") == 3, "x", "y").first().value == "2.0"
+    assert one(spark, quality.array_length(F.lit('{"a": [1, [2], 3]}'), "/a")) == 3
+    for column, n in (("v", 3), ("x", 2)):
+        with pytest.raises(Exception, match="expected 3 rows, found 2|x is not constant"):
+            quality.constant(some, column, n).collect()
     pairs = spark.createDataFrame([(1.0, 1.0 + 1e-11), (1.0, 1.1), (None, None), (None, 1.0)], "a double, b double")
     assert [r[0] for r in pairs.select(quality.close(F.col("a"), F.col("b"))).collect()] == [True, False, True, False]
     assert quality.contained("a/../b", "/r") and not quality.contained("../b", "/r") and not quality.contained("/rx/a", "/r")
@@ -108,7 +116,7 @@ def test_histories(spark):
 
 
 def test_spans_leftmost_longest_first_ranked(spark):
-    terms = {"short": "distribution", "long": "out-of-distribution", "other": "out"}
+    terms = (("short", "distribution"), ("long", "out-of-distribution"), ("other", "out"))
     rows = spark.createDataFrame([(1, "An Out-of-Distribution test\nout, distribution"), (2, None), (3, "nothing")], "id int, t string")
     got = sorted((r.id, r.line_no, r.start, r.term, r.found) for r in tx.term_matches(rows, "t", terms).collect())
     assert got == [(1, 1, 3, "long", "Out-of-Distribution"), (1, 2, 0, "other", "out"), (1, 2, 5, "short", "distribution")]
@@ -116,8 +124,8 @@ def test_spans_leftmost_longest_first_ranked(spark):
 
 def test_json_leaves(spark):
     value = {"a/b": {"x~y": [1, {"z": "deep"}]}, "c": True}
-    got = one(spark, tx.json_leaves(F.lit(json.dumps(value)), 4))
-    assert [(r.pointer, r.value) for r in got] == [("/a~1b/x~0y/0", "1"), ("/a~1b/x~0y/1/z", "deep"), ("/c", "true")]
+    rows = spark.createDataFrame([(1, json.dumps(value)), (2, None)], "id int, j string")
+    assert sorted((r.pointer, r.value) for r in tx.json_leaves(rows, "j").collect()) == [("/a~1b/x~0y/0", "1"), ("/a~1b/x~0y/1/z", "deep"), ("/c", "true")]
 
 
 def test_split_files_of_three_shapes(spark):
@@ -127,9 +135,56 @@ def test_split_files_of_three_shapes(spark):
         assert sorted(tuple(r) for r in records.last_entries(rows, records.split_entries(F.col("t"))).collect()) == [("a", "train"), ("b", "train"), ("c", "test")]
 
 
+def test_split_files_that_are_wrong_or_odd(spark):
+    def entries(t):
+        return [tuple(r) for r in one(spark, records.split_entries(F.lit(t)))]
+
+    assert entries('{"Train": ["a", 7], "note": "x", "HOLDOUT": ["b"], "val": []}') == [("a", "train"), ("7", "train"), ("b", "test")]
+    assert entries('[{"material_id": " m ", "dataset_split": "training"}, {"jid": "", "id": "i", "split": null, "subset": "dev"}]') == [("m", "train"), ("i", "val")]
+    for wrong in ('{"a": "bogus"}', '[{"id": "a", "split": "bogus"}]', '[{"split": "val"}]', '{"train": "a"}', '"train"', '[1]'):
+        with pytest.raises(Exception, match="USER_RAISED|unknown split|no id|no list|neither"):
+            entries(wrong)
+
+
+def test_ids_in_all_forms(spark):
+    forms = {
+        '[["JVASP-1", 0.5], [{"name": "n"}]]': ["JVASP-1", "n"], '[{"file_id": 3}, {"id": null, "name": "x"}, "s", 4]': ["3", "x", "s", "4"],
+        '{"ids": ["a"], "data": {"entries": ["b"]}}': ["a", "b"], '{"JVASP-1": 1, "other": 2}': ["JVASP-1", "other"], "null": [], "{}": [], "[]": [],
+    }
+    for text, want in forms.items():
+        assert one(spark, records.ids_of(F.lit(text))) == want
+    for wrong in ('[{"n": 1}]', "[[]]", "[[[1]]]", '"a"', "5", '{"ids": "a"}', '{"ids": {"ids": {"ids": []}}}'):
+        with pytest.raises(Exception, match="no id in|no list of ids|nested too deep"):
+            one(spark, records.ids_of(F.lit(wrong)))
+
+
+def test_embedding_rows(spark):
+    meta = spark.createDataFrame([("pool", "1", "a"), ("pool", "0", "b"), ("head", "0", "a")], "embedding_source string, embedding_index string, family string")
+    matrix = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "embedding_index long, x array<double>")
+    found = records.embedding_rows(meta, matrix, "pool", ["a", "b"])
+    assert sorted((r.embedding_index, r.family, r.x) for r in found.collect()) == [(0, "b", [1.0]), (1, "a", [2.0])]
+    for source, families, rows, why in (("none", ["a", "b"], matrix, "no rows"), ("head", ["a"], matrix, "another number"), ("pool", ["a"], matrix, "unknown family")):
+        with pytest.raises(Exception, match=why):
+            records.embedding_rows(meta, rows, source, families).collect()
+    with pytest.raises(Exception, match="not contiguous"):
+        records.embedding_rows(meta.filter("family = 'a'"), matrix, "pool", ["a"]).collect()
+
+
+def test_all_terms(spark):
+    texts = ["OOD penalty", "pre-trained on the oxides", "Zero\u2011shot state", "does not move", "mechanistically", "generalisable", "robustly; OOD", "drove inertial"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = sorted((r.i, r.term) for r in tx.term_matches(rows, "t").collect())
+    want = ["ood_penalty", "oxide_pretrained", "zero_shot_state", "checkpoint_pinned", "causal_language", "generalization_language", "robustness_language"]
+    assert got == sorted([*enumerate(want), (6, "ood")])
+
+
 def test_files(spark, tmp_path):
-    (tmp_path / "s.csv").write_text("Material_ID,Subset\n a ,train\nb,test\n,val\n")
-    assert [tuple(r) for r in records.read_split_table(spark, str(tmp_path / "s.csv")).collect()] == [("a", "train"), ("b", "test")]
+    (tmp_path / "s.csv").write_text("Material_ID,Dataset_Split\n a ,training\nb,test\na,dev\n")
+    assert sorted(tuple(r) for r in records.read_split_table(spark, str(tmp_path / "s.csv")).collect()) == [("a", "val"), ("b", "test")]
+    for k, row in enumerate((",val", "c,bogus")):
+        (tmp_path / f"w{k}.csv").write_text(f"id,split\n{row}\n")
+        with pytest.raises(Exception, match="no id|unknown split"):
+            records.read_split_table(spark, str(tmp_path / f"w{k}.csv")).collect()
     (tmp_path / "r.json").write_text('[{"id": "a", "n": 1}, {"id": "b"}]')
     assert records.read_json_array(spark, str(tmp_path / "r.json"), "id string, n int").count() == 2
     run = tmp_path / "results/protocol_1/oxide/N50_seed3/leaf"

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessella.plans.inference import ARM, REPS
+from tessella.plans.inference import REPS
 from tessella.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -12,8 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_bootstrap_draws_from_all_events(spark):
     rows = duckdb.sql(f"SELECT event_type, list(value ORDER BY event_id) FROM '{FOLDER}/events.parquet' GROUP BY 1").fetchall()
-    assert max(len(v) for _, v in rows) > ARM
-    got = {r.arm: r for r in QUERIES["RS7_whole"](spark, FOLDER).collect()}
+    assert max(len(v) for _, v in rows) > 200
+    got = {r.arm: r for r in QUERIES["RS7"](spark, FOLDER).collect()}
     assert got.keys() == {a for a, _ in rows}
     for arm, v in rows:
         draw = lambda rep, j: int(hashlib.md5(f"42:{arm}:{rep}:{j}".encode()).hexdigest()[:8], 16)  # noqa: E731, B023
@@ -24,12 +24,11 @@ def test_bootstrap_draws_from_all_events(spark):
 def test_families_and_groups_are_whole(spark):
     folder = "/root/testdata/sf0.01"
     customers = duckdb.sql(f"SELECT count(*) FROM '{folder}/customer.parquet'").fetchall()[0][0]
-    assert customers > 300 and QUERIES["RS15_whole"](spark, folder).count() == customers
+    assert customers > 300 and QUERIES["RS15"](spark, folder).count() == customers
     pairs = duckdb.sql(f"SELECT count(*) FROM (SELECT l_suppkey FROM '{folder}/lineitem.parquet' WHERE l_linestatus IN ('F', 'O') GROUP BY 1 HAVING count(DISTINCT l_linestatus) = 2)").fetchall()[0][0]
-    assert QUERIES["JN13_whole"](spark, folder).count() == pairs
+    assert QUERIES["JN13"](spark, folder).count() == pairs
 
 
-def test_no_cut_is_left_in_the_sql():
-    whole = [n for n in ORACLES if n.endswith("_whole")]
-    assert len(whole) == 11
-    assert not any(c in ORACLES[n] for n in whole for c in (f"range({ARM})", f"k < {ARM}", "<= 300", "l_quantity"))
+def test_no_cut_is_in_the_sql():
+    names = [f"RS{n}" for n in (*range(7, 16), 17)] + ["JN13"]
+    assert not any(c in ORACLES[n] for n in names for c in ("range(200)", "k < ", "<= 300", "l_quantity"))
