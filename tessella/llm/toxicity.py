@@ -1,11 +1,13 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary documents, over one shared backoff.
 
-The models spell words byte by byte after at most seven bytes of the same word, so a stem tells as much as a whole word
-does. Each class has absolutely discounted counts; what they leave goes to a backoff that both share: in how many
-distinct words of the whole corpus a byte follows the same bytes (Kneser-Ney's count of contexts). A rare expression
-therefore tells nothing unless one class really uses it. A word's log-likelihood ratio counts beyond a margin, which
-keeps the noise of ordinary words out; the sum is divided by the number of words, and a logistic curve through labelled
-rows that the counts have not seen turns it into a score.
+A word is spelt byte by byte after at most seven bytes of the same word, so a stem tells as much as a whole word does.
+Each class has absolutely discounted counts of the longest contexts; what they leave goes to a backoff that both share
+and that goes on through ever shorter contexts: in how many distinct words of the whole corpus a byte follows the same
+bytes (Kneser-Ney's count of contexts), discounted alike, down to all bytes alike. Above the spelling stand pairs of
+neighbouring words: what the discounted counts of a class leave to a word after another goes to its spelling. A rare
+expression therefore tells nothing unless one class really uses it. A toxic text is mostly ordinary, so its likelihood
+of a word is mixed from both models; the log-likelihood ratio of the mixture and the ordinary model, divided by the
+number of words, goes through a logistic curve that fits labelled rows which the counts have not seen.
 """
 
 from __future__ import annotations
@@ -16,27 +18,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import bucket_of, stored, table
+from tessella.llm.common import bucket_of, learnable, slices, stored, table
 
-#: The bound of the training sample: labelled toxic rows, ordinary rows for each of them, bytes of the longest text.
+#: The bound of the training sample: labelled toxic rows, ordinary rows for each of them, characters of a text.
 TOXIC_ROWS, ORDINARY = 2000, 3
-TRAIN_BYTES = 1 << 16
+TRAIN_CHARS = 1 << 16
 #: One in so many of the sampled rows calibrates the score instead of filling the counts.
 CALIBRATE = 4
-#: What absolute discounting takes from every count, and the count from which a class knows a context.
-DISCOUNT, LEAST = 0.75, 8
-#: A word's log ratio counts beyond the margin, between the least and the most.
-MARGIN, LOWEST, HIGHEST = 3.0, -0.3, 6.0
+#: What absolute discounting takes from every count.
+DISCOUNT = 0.75
+#: Share of a toxic text's words that the toxic model is taken to account for.
+MIX = 0.01
+#: A pair of words is kept if it stands in so many sampled documents of a class; rarer ones count as unseen.
+PAIR_DOCS = 8
 #: Bytes that make a gram: the context and the byte that follows.
 GRAM = 8
 #: Distinct words that a task holds before it hands them on or forgets their ratios.
 HELD_WORDS = 400_000
 #: Longest part of a word that is spelt, in characters; longer runs are cut into pieces of this size.
 PIECE = 64
+#: Counts that travel in one row.
+SLICE = 1 << 16
 _WORD = re.compile(rf"[^\W_]{{1,{PIECE}}}")
 
 
@@ -91,8 +98,8 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS) ->
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(draw, "doc_id"))
     drawn = near.withColumn("rank", rank).filter(F.col("rank") <= most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.filter(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(drawn), "doc_id")  # bounded by toxic_rows
-    return joined.groupBy("doc_id", "toxic", (F.col("rank") % CALIBRATE == 0).alias("calibrates")).agg(F.min("text").alias("text")), sizes
+    learnt = texts.join(F.broadcast(drawn), "doc_id").withColumn("text", learnable(F.col("text"), F.col("doc_id"), TRAIN_CHARS))  # bounded by toxic_rows
+    return learnt.groupBy("doc_id", "toxic", (F.col("rank") % CALIBRATE == 0).alias("calibrates")).agg(F.min("text").alias("text")), sizes
 
 
 def _class_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,51 +114,113 @@ def _class_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([c] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n)], ["toxic", "gram", "n"])
 
 
+def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of neighbouring words of each document, a pair once."""
+    for batch in batches:
+        for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ws = words(text)
+            found = sorted(set(zip(ws, ws[1:], strict=False)))
+            columns = [pa.array([mark] * len(found), pa.int32()), pa.array([v for v, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "v", "w"])
+
+
 @dataclass
 class Model:
     keys: np.ndarray  # sorted grams
-    ratios: np.ndarray  # their log ratios, toxic over ordinary
+    logs: np.ndarray  # their log probabilities in the ordinary and the toxic model
     contexts: np.ndarray  # sorted contexts
     leave: np.ndarray  # log ratios of what the classes leave to the backoff
+    pairs: dict[tuple[str, str], float]  # log ratios of a word after another
+    before: dict[str, float]  # log ratios of what the classes leave to the spelling after a word
     slope: float = 1.0
     offset: float = 0.0
     prior: float = 0.0
 
 
-def kneser_ney(keys: np.ndarray, counts: np.ndarray, shared: np.ndarray, shared_contexts: np.ndarray) -> Model:
-    """The log ratios of two interpolated models from the class counts [2, grams] and the corpus's counts of grams and contexts."""
+def shorter(keys: np.ndarray) -> list[np.ndarray]:
+    """For each order below the longest, the sorted last bytes of the grams; of order 0 all bytes."""
+    cut = [np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1)) for k in range(GRAM - 1)]
+    return [np.arange(256, dtype=np.uint64), *cut[1:]]
+
+
+def backoff(keys: np.ndarray, grams_of: list[np.ndarray], counts: list[np.ndarray], n_words: int) -> np.ndarray:
+    """The probability of each gram's last byte in the shared model of the order below the longest.
+
+    grams_of: shorter(keys); counts: in how many places of distinct words each of them stands. Grams of none of the
+    sampled words count as unseen, and their share goes to the shorter context with the rest of the discount.
+    """
+    p = np.full(256, 1 / 256)
+    for k, (own, n) in enumerate(zip(grams_of, counts, strict=True)):
+        context, where = np.unique(own >> np.uint64(8), return_inverse=True)
+        if k:
+            at, known = _places(grams_of[k - 1], context)
+            total = np.where(known & (context != 0x20), counts[k - 1][at], n_words)  # words begin after a blank
+            below = p[np.searchsorted(grams_of[k - 1], own & np.uint64((1 << 8 * k) - 1))]
+        else:
+            total, below = np.array([n.sum()]), p
+        kept = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[where]
+        p = kept + (1 - np.bincount(where, weights=kept, minlength=len(context)))[where] * below
+    return p[np.searchsorted(grams_of[-1], keys & np.uint64((1 << 8 * (GRAM - 1)) - 1))]
+
+
+def kneser_ney(keys: np.ndarray, counts: np.ndarray, base: np.ndarray) -> Model:
+    """Two interpolated models from the class counts [2, grams] over the shared probabilities of the grams."""
     contexts, where = np.unique(keys >> np.uint64(8), return_inverse=True)
-    base = (shared + 0.5) / (shared_contexts[where] + 1.0)
     logs, leave = [], []
     for n in counts:
         total = np.bincount(where, weights=n, minlength=len(contexts))
-        known = total >= LEAST
-        own = np.where(known[where], np.maximum(n - DISCOUNT, 0) / np.maximum(total[where], 1), 0.0)
+        own = np.maximum(n - DISCOUNT, 0) / np.maximum(total[where], 1)
         rest = 1 - np.bincount(where, weights=own, minlength=len(contexts))
         logs.append(np.log(own + rest[where] * base))
         leave.append(np.log(rest))
-    return Model(keys, logs[1] - logs[0], contexts, leave[1] - leave[0])
+    return Model(keys, np.array(logs), contexts, leave[1] - leave[0], {}, {})
 
 
-def word_evidence(model: Model, ws: list[str]) -> np.ndarray:
-    """What each word tells: its log-likelihood ratio beyond the margin."""
+def spelling(model: Model, ws: list[str]) -> np.ndarray:
+    """The log-likelihood ratio of each word's spelling, toxic over ordinary."""
     keys, owner = grams(ws)
     at, known = _places(model.keys, keys)
     found = np.zeros(len(keys))
-    found[known] = model.ratios[at[known]]
+    found[known] = (model.logs[1] - model.logs[0])[at[known]]
     at, seen = _places(model.contexts, keys[~known] >> np.uint64(8))
     found[~known] = np.where(seen, model.leave[at] if len(model.leave) else 0.0, 0.0)
-    ratio = np.bincount(owner, weights=found, minlength=len(ws))
-    return np.clip(np.sign(ratio) * np.maximum(np.abs(ratio) - MARGIN, 0), LOWEST, HIGHEST)
+    return np.bincount(owner, weights=found, minlength=len(ws))
+
+
+def add_pairs(model: Model, rows: list[tuple[str, str, tuple[float, float]]], totals: dict[str, tuple[float, float]]) -> None:
+    """The model with pairs (v, w, counts by class) of words that it has learnt; totals: all pairs of each class after v."""
+    last = sorted({w for _, w, _ in rows})
+    keys, owner = grams(last)
+    at = np.searchsorted(model.keys, keys)
+    spelt = {w: x for w, *x in zip(last, *(np.exp(np.bincount(owner, weights=logs[at], minlength=len(last))).tolist() for logs in model.logs), strict=True)}
+    kept = {(v, w): [max(n - DISCOUNT, 0) / max(m, 1) for n, m in zip(ns, totals[v], strict=True)] for v, w, ns in rows}
+    rest: dict[str, list[float]] = {}
+    for (v, _), own in kept.items():
+        left = rest.setdefault(v, [1.0, 1.0])
+        for c in (0, 1):
+            left[c] -= own[c]
+    model.before = {v: float(np.log(b / a)) for v, (a, b) in rest.items()}
+    for (v, w), own in kept.items():
+        ordinary, toxic = (own[c] + rest[v][c] * spelt[w][c] for c in (0, 1))
+        model.pairs[v, w] = float(np.log(toxic / ordinary)) if ordinary > 0 and toxic > 0 else 0.0
 
 
 def evidence(model: Model, texts: list[list[str]], held: dict[str, float]) -> np.ndarray:
-    """What the words of each text tell, by word; held keeps the words' evidence from call to call."""
+    """The log-likelihood ratio of the mixture and the ordinary model, by word; held keeps the words' spelling from call to call."""
     new = list({w for ws in texts for w in ws} - held.keys())
     for i in range(0, len(new), 100_000):
         part = new[i : i + 100_000]
-        held.update(zip(part, word_evidence(model, part).tolist(), strict=True))
-    out = np.array([sum(map(held.__getitem__, ws)) / max(1, len(ws)) for ws in texts], float)
+        held.update(zip(part, spelling(model, part).tolist(), strict=True))
+    pairs, before = model.pairs, model.before
+    out = np.zeros(len(texts))
+    for i, ws in enumerate(texts):
+        if not ws:
+            continue
+        raw = np.array([held[w] for w in ws])
+        for k in [k for k, v in enumerate(ws[:-1]) if v in before]:
+            found = pairs.get((ws[k], ws[k + 1]))
+            raw[k + 1] = before[ws[k]] + raw[k + 1] if found is None else found
+        out[i] = np.log1p(MIX * np.expm1(np.minimum(raw, 500))).mean()
     if len(held) > HELD_WORDS:
         held.clear()
     return out
@@ -172,33 +241,63 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return beta[0] / scale, beta[1] - beta[0] * x.mean() / scale
 
 
-def _shared_counts(docs: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In how many distinct words of docs each gram stands, and each context of the grams."""
-    sent = docs.sparkSession.sparkContext.broadcast((keys, np.unique(keys >> np.uint64(8))))
+def _shared_counts(docs: DataFrame, grams_of: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """In how many places of distinct words of docs each gram of each order stands, and the number of these words.
+
+    Each task counts into arrays as long as the sample's grams, and slices of them are added up.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(grams_of)
+    begins = np.cumsum([0, *map(len, grams_of)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(len(x), np.int64) for x in sent.value]
+        total = np.zeros(begins[-1] + 1, np.int64)  # the last place counts the words
+
+        def settle(ws: list[str]) -> None:
+            total[-1] += len(ws)
+            found, n = np.unique(grams(ws)[0], return_counts=True)
+            for k in reversed(range(len(sent.value))):
+                cut, at = np.unique(found & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+                found, n = cut, np.bincount(at, weights=n).astype(np.int64)
+                at, known = _places(sent.value[k], found)
+                total[begins[k] + at[known]] += n[known]
+
+        ws: list[str] = []
         for batch in batches:
-            ws = batch.column(0).to_pylist()
-            if ws:
-                found = grams(ws)[0]
-                for total, wanted, own in zip(totals, sent.value, (found, found >> np.uint64(8)), strict=True):
-                    at, known = _places(wanted, own)
-                    total += np.bincount(at[known], minlength=len(wanted))
-        for kind, total in enumerate(totals):
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.int32()), pa.array(at), pa.array(total[at])], ["kind", "at", "n"])
-
-    found = corpus_words(docs).mapInArrow(run, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
-    kind, at, n = (found[c].to_numpy() for c in ("kind", "at", "n"))
-    out = [np.zeros(len(x), np.int64) for x in sent.value]
-    for k in (0, 1):
-        out[k][at[kind == k]] = n[kind == k]
-    return out[0], out[1]
+            ws += batch.column(0).to_pylist()
+            if len(ws) >= HELD_WORDS:
+                settle(ws)
+                ws = []
+        if ws:
+            settle(ws)
+        for i in range(0, len(total), SLICE):
+            if total[i : i + SLICE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([zstandard.compress(total[i : i + SLICE].tobytes(), 3)])], ["slice", "counts"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zstandard.decompress(c), np.int64) for c in rows.column("counts").to_pylist())
+        return pa.table({"slice": rows.column("slice")[:1], "counts": pa.array([zstandard.compress(total.tobytes(), 3)])})
+
+    schema = "slice int, counts binary"
+    found = corpus_words(docs).mapInArrow(run, schema).groupBy("slice").applyInArrow(added, schema).toArrow()
+    whole = np.zeros(begins[-1] + 1, np.int64)
+    for i, c in zip(found["slice"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        part = np.frombuffer(zstandard.decompress(c), np.int64)
+        whole[i * SLICE : i * SLICE + len(part)] = part
+    return [whole[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)], int(whole[-1])
+
+
+def _pairs(filling: DataFrame) -> tuple[list[tuple[str, str, tuple[float, float]]], dict[str, tuple[float, float]]]:
+    """The pairs that stand in PAIR_DOCS documents of a class with their counts, and all pairs of each class after their first words."""
+    found = stored(filling.mapInArrow(_class_pairs, "toxic int, v string, w string"), "toxicity-pairs")
+    by_class = [F.count_if(F.col("toxic") == c).alias(f"n{c}") for c in (0, 1)]
+    kept = found.groupBy("v", "w").agg(*by_class).filter(F.greatest("n0", "n1") >= PAIR_DOCS)
+    rows = [(r.v, r.w, (r.n0, r.n1)) for r in kept.collect()]
+    totals = found.join(kept.select("v").distinct(), "v", "left_semi").groupBy("v").agg(*by_class).collect()
+    return rows, {r.v: (r.n0, r.n1) for r in totals}
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model, or None if a class has no row to learn from. What the driver gets is bounded by the sample: its grams, the corpus's counts of them, and the texts that calibrate."""
+    """The model, or None if a class has no row to learn from. What the driver gets is bounded by the sample: its grams and pairs, the corpus's counts of the grams, and the texts that calibrate."""
     rows, sizes = sample(docs, labels)
     rows = stored(rows, "toxicity-sample")
     filling = rows.filter(~F.col("calibrates")).select("toxic", "text")
@@ -209,10 +308,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     keys, where = np.unique(own, return_inverse=True)
     counts = np.zeros((2, len(keys)))
     counts[marks, where] = n
-    totals = np.unique(keys >> np.uint64(8), return_inverse=True)[1]
-    known = np.max([np.bincount(totals, weights=c)[totals] >= LEAST for c in counts], axis=0)
-    keys, counts = keys[known], counts[:, known]
-    model = kneser_ney(keys, counts, *_shared_counts(docs, keys))
+    grams_of = shorter(keys)
+    model = kneser_ney(keys, counts, backoff(keys, grams_of, *_shared_counts(docs, grams_of)))
+    add_pairs(model, *_pairs(filling))
     test = rows.filter("calibrates").orderBy("doc_id").collect()
     if {r.toxic for r in test} != {0, 1}:
         test = rows.orderBy("doc_id").collect()
@@ -229,14 +327,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A text without a word scores the share of toxic labels; if a class has no row to learn from, all texts score 0.
     Of several labels of a document the greater counts, and labels other than 0 and 1 are none. A null doc_id keeps its
-    row, with held_out false; repeated rows keep their rows; an empty table gives an empty result; further columns of
-    docs or labels are ignored.
+    row, with held_out false; repeated rows keep their rows; long texts are scored whole, and learnt from in part; an empty
+    table gives an empty result; further columns of docs or labels are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, held = shared.value, {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             texts = [words(t) for t in batch.column(1).to_pylist()]
             if model is None:
                 ratios = scores = np.zeros(len(texts))
