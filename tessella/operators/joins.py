@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators.products import BLOCK_ROWS, block_pairs, matrix, squared_distances
+
+#: Pairs whose distances are taken at once.
+STEP = 1 << 18
+
 
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that break uniqueness: those that stand more than once, or hold a null."""
@@ -56,26 +63,37 @@ def paired(left: DataFrame, right: DataFrame, key: str, tolerance: float) -> Dat
     return joined.withColumn("better", F.col("error") < F.col("error_right"))
 
 
-def nearest(queries: DataFrame, references: DataFrame, k: int, own: bool = False, limit: int = 50_000) -> DataFrame:
+def nearest(queries: DataFrame, references: DataFrame, k: int, own: bool = False, limit: int = BLOCK_ROWS) -> DataFrame:
     """The k references nearest to each query by Euclidean distance: (id, rank, ref_id, distance), ties to the smaller id.
 
-    Exhaustive, so for reference sets of a checked size: one of at most limit rows is broadcast whole; a larger one is
-    worked off in hash blocks, each of which leaves k rows a query. own: a row may be its own neighbour.
+    Exhaustive: every block of queries meets every block of references, at most limit rows each, and leaves k rows for
+    each query. The product of the blocks finds who may be among them, the distances themselves decide. own: a row may
+    be its own neighbour.
     """
-    size = references.count()
-    blocks = max(1, -(-size // limit))
-    refs = references.select(F.col("id").alias("ref_id"), F.col("x").alias("y"))
-    best = None
-    for b in range(blocks):
-        part = refs if blocks == 1 else refs.filter(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)) == b)
-        pairs = queries.select("id", "x").join(F.broadcast(part), F.lit(True) if own else F.col("id") != F.col("ref_id"))
-        distance = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, c: (a - c) * (a - c)), F.lit(0.0), lambda s, v: s + v))
-        order = Window.partitionBy("id").orderBy("distance", "ref_id")
-        top = pairs.select("id", "ref_id", distance.alias("distance")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        best = top if best is None else best.unionByName(top)
-    if blocks > 1:
-        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref_id"))).filter(F.col("rank") <= k)
-    return best.select("id", "rank", "ref_id", "distance")
+    kinds = [queries.schema["id"].dataType.simpleString(), references.schema["id"].dataType.simpleString()]
+
+    def work(q: pa.Table, r: pa.Table) -> pa.Table:
+        ids, others = np.array(q.column("id").to_pylist()), np.array(r.column("id").to_pylist())
+        x, y = matrix(q), matrix(r)
+        line, found, far = (np.zeros(0, np.int64),) * 3
+        if len(x) and len(y):
+            near = squared_distances(x, y)
+            if not own:
+                near[ids[:, None] == others[None]] = np.inf
+            slack = 1e-9 * ((x * x).sum(axis=1) + (y * y).sum(axis=1).max())
+            bound = np.partition(near, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1] + slack
+            line, found = np.nonzero((near <= bound[:, None]) & np.isfinite(near))
+            far = np.concatenate([np.sqrt(((x[line[i : i + STEP]] - y[found[i : i + STEP]]) ** 2).sum(axis=1)) for i in range(0, len(line), STEP)] or [np.zeros(0)])
+            order = np.lexsort((others[found], far, line))
+            line, found, far = line[order], found[order], far[order]
+            keep = np.arange(len(line)) - np.searchsorted(line, line) < k
+            line, found, far = line[keep], found[keep], far[keep]
+        own_ids, ref_ids = q.column("id").take(pa.array(line, pa.int64())), r.column("id").take(pa.array(found, pa.int64()))
+        return pa.table({"id": own_ids, "ref_id": ref_ids, "distance": pa.array(far, pa.float64())})
+
+    best = block_pairs(queries.select("id", "x"), references.select("id", "x"), work, f"id {kinds[0]}, ref_id {kinds[1]}, distance double", limit)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref_id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "ref_id", "distance")
 
 
 def compared_groups(rows: DataFrame, group: list[str], side: str, left: str, right: str, item: str, order: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.operators.joins import nearest
+from tessella.operators.products import BLOCK_ROWS, block_pairs, matrix, squared_distances
 from tessella.operators.ranking import average_rank
 
 #: References are this many times the dimensions at least, and the condition of their covariance is at most this.
@@ -96,16 +97,29 @@ def mahalanobis(rows: DataFrame, references: DataFrame, strict: bool = False) ->
     return status, rows.select("id", "x").mapInArrow(run, "id long, distance double")
 
 
-def silhouette(rows: DataFrame, limit: int = 50_000) -> DataFrame:
-    """(id, family, silhouette) by Euclidean distance. Every row meets every other, in hash blocks of at most limit rows that are broadcast one by one."""
-    size = rows.count()
-    blocks = max(1, -(-size // limit))
-    sums = None
-    for b in range(blocks):
-        part = rows.select(F.col("id").alias("id2"), F.col("family").alias("family2"), F.col("x").alias("y")).filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        pairs = rows.join(F.broadcast(part), F.col("id") != F.col("id2"))
-        own = pairs.groupBy("id", "family", "family2").agg(F.sum(distance("x", "y")).alias("s"), F.count("*").alias("n"))
-        sums = own if sums is None else sums.unionByName(own)
+def silhouette(rows: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
+    """(id, family, silhouette) by Euclidean distance. Every block of at most limit rows meets every other and leaves the sums by family of each of its rows."""
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "family")]
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = matrix(a), matrix(b)
+        families = np.array(b.column("family").to_pylist())
+        own, other = np.array(a.column("id").to_pylist()), np.array(b.column("id").to_pylist())
+        out: dict[str, list] = {"id": [], "family": [], "family2": [], "s": [], "n": []}
+        for family in np.unique(families).tolist() if len(x) else []:
+            at = np.flatnonzero(families == family)
+            apart = own[:, None] != other[at][None]
+            far = np.sqrt(squared_distances(x, y[at])) * apart
+            out["id"] += a.column("id").to_pylist()
+            out["family"] += a.column("family").to_pylist()
+            out["family2"] += [family] * len(x)
+            out["s"] += far.sum(axis=1).tolist()
+            out["n"] += apart.sum(axis=1).tolist()
+        types = {"id": a.schema.field("id").type, "family": a.schema.field("family").type, "family2": a.schema.field("family").type, "s": pa.float64(), "n": pa.int64()}
+        return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
+
+    part = rows.select("id", "family", "x")
+    sums = block_pairs(part, part, work, f"id {kinds[0]}, family {kinds[1]}, family2 {kinds[1]}, s double, n long", limit)
     mean = sums.groupBy("id", "family", "family2").agg((F.sum("s") / F.sum("n")).alias("m"))
     ab = mean.groupBy("id", "family").agg(F.max(F.when(F.col("family2") == F.col("family"), F.col("m"))).alias("a"), F.min(F.when(F.col("family2") != F.col("family"), F.col("m"))).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
@@ -115,10 +129,10 @@ def silhouette(rows: DataFrame, limit: int = 50_000) -> DataFrame:
 def davies_bouldin(rows: DataFrame) -> DataFrame:
     """One row: the mean over families of the worst ratio of spreads to the distance of centroids."""
     c = centroids(rows, ["family"])
-    spread = rows.join(F.broadcast(c), "family").groupBy("family").agg(F.avg(distance("x", "centroid")).alias("s"))
+    spread = rows.join(c, "family").groupBy("family").agg(F.avg(distance("x", "centroid")).alias("s"))
     c = c.join(spread, "family")
     other = c.select(F.col("family").alias("f2"), F.col("centroid").alias("c2"), F.col("s").alias("s2"))
-    ratios = c.join(F.broadcast(other), F.col("family") != F.col("f2")).select("family", ((F.col("s") + F.col("s2")) / distance("centroid", "c2")).alias("r"))
+    ratios = c.join(other, F.col("family") != F.col("f2")).select("family", ((F.col("s") + F.col("s2")) / distance("centroid", "c2")).alias("r"))
     return ratios.groupBy("family").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 

@@ -44,7 +44,7 @@ def double_computation(spark, d):
     first = ag.parity(rows, ["family", "sub"]).select("family", "sub", "r2")
     mean = rows.groupBy("family", "sub").agg(F.avg("target").alias("m"))
     gap, off = F.col("prediction") - F.col("target"), F.col("target") - F.col("m")
-    second = rows.join(F.broadcast(mean), ["family", "sub"]).groupBy("family", "sub").agg((1 - F.sum(gap * gap) / F.sum(off * off)).alias("r2"))
+    second = rows.join(mean, ["family", "sub"]).groupBy("family", "sub").agg((1 - F.sum(gap * gap) / F.sum(off * off)).alias("r2"))
     faults = dq.recomputed(first, second, ["family", "sub"], ["r2"]).agg(F.count("*").alias("n_faults"))
     return first.agg(F.count("*").alias("n")).join(faults, F.lit(True))
 
