@@ -21,6 +21,8 @@ ENTROPY_GAIN = 0.5
 MAX_REPEATS = 4.0
 #: Tokens in a block of the mix, about.
 BLOCK_TOKENS = 250_000
+#: Sources whose weights are broadcast at most, some 100 bytes each; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 #: Halvings of the exponent's interval.
 STEPS = 50
 _NO_SOURCE = ""
@@ -105,7 +107,8 @@ def mix(
     the block's share is spent. Of the documents that the shares end in, so many are taken, spread over all lengths, that
     a source gets its tokens and at most its longest document more; without carry each block takes its own. Epochs of one document lie in different blocks where there are several. Null
     sources are one source, documents without a token are left out, repeated rows count apart and are ordered together;
-    an empty table gives an empty result. Columns of docs named like the new ones are replaced. tokens and tie name
+    an empty table gives an empty result. Columns of docs named like the new ones are replaced, all others kept, whatever
+    their names. A long text goes whole into a block. Ties in a permutation go by the id's text, then the text's hash. tokens and tie name
     columns that hold the number of tokens and the md5 of the text, where they are known.
     """
     names = [c for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_order")]
@@ -118,8 +121,11 @@ def mix(
         F.greatest(F.lit(1), F.ceil(F.col("all_tokens") / block_tokens)).cast("long").alias("_blocks"),
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = docs.select(*names, count.alias("_tokens"), source.alias("_source"), mark.alias("_mark"), _hashed(F.lit("mix"), key).alias("_draw"))
-    dealt = rows.join(weights, "_source").withColumn("_home", F.col("_draw") % F.col("_blocks")).filter("_tokens > 0")
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")  # so that no name of theirs meets one of these
+    rows = docs.select(row, key.alias("_key"), count.alias("_tokens"), source.alias("_source"), mark.alias("_mark"), _hashed(F.lit("mix"), key).alias("_draw"))
+    key = F.col("_key")
+    few = stored(weights, "mix-weights")
+    dealt = rows.join(F.broadcast(few) if few.count() <= BROADCAST_SOURCES else few, "_source").withColumn("_home", F.col("_draw") % F.col("_blocks")).filter("_tokens > 0")
     permuted = Window.partitionBy("_source", "_home").orderBy("_draw", key, "_mark").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_source", "_home")
     fraction = F.col("_repeats") - F.floor("_repeats")
@@ -132,7 +138,7 @@ def mix(
     shown = counted.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     shown = shown.withColumn("mix_block", (F.col("_home") + F.col("mix_epoch") * F.greatest(F.lit(1), F.floor(F.col("_blocks") / 4))) % F.col("_blocks"))
     order = Window.partitionBy("mix_block").orderBy(_hashed(F.lit("order"), F.col("mix_epoch").cast("string"), key), key, "mix_epoch", "_mark")
-    return shown.withColumn("mix_order", F.row_number().over(order)).select(*names, "mix_epoch", "mix_block", "mix_order")
+    return shown.withColumn("mix_order", F.row_number().over(order)).select("_row.*", "mix_epoch", "mix_block", "mix_order")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

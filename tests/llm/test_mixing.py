@@ -61,3 +61,11 @@ def test_a_source_with_fewer_documents_than_blocks_gets_its_share(spark):
     for source, longest in (("large", 149), ("small", 24), ("tiny", 16)):
         r = weights[source]
         assert -1 <= got[source] - r.weight * r.all_tokens <= longest + 1
+
+
+def test_columns_that_clash(spark):
+    names = ("_source", "_tokens", "_mark", "_draw", "_repeats", "_blocks", "_home", "_times", "_left", "_over", "_row", "_key", "_Part")
+    docs = spark.createDataFrame([(i, f"a b c {i}", "s" if i % 3 else None, *range(len(names))) for i in range(30)], f"doc_id long, text string, source string, {', '.join(f'{n} int' for n in names)}")
+    got = mixing.mix(docs, block_tokens=20)
+    assert got.columns == [*docs.columns, "mix_epoch", "mix_block", "mix_order"]
+    assert {tuple(r)[:3] for r in got.collect()} <= {tuple(r)[:3] for r in docs.collect()} and got.count() > 20
