@@ -119,12 +119,15 @@ def build(points: np.ndarray, seed: int = 6) -> tuple[np.ndarray, np.ndarray]:
         sort = np.argsort(target, kind="stable")
         source, target = source[sort], target[sort]
         place = np.arange(len(target)) - np.searchsorted(target, target)
-        back = np.full((n, min(4 * DEGREE, int(place.max(initial=0)) + 1)), -1)
-        fits = place < back.shape[1]
-        back[target[fits], place[fits]] = source[fits]
-        for i in range(0, n, TOGETHER):
-            own = np.arange(i, min(n, i + TOGETHER))
-            edges[own] = prune(points, own, np.concatenate([edges[own], back[own]], axis=1), relax=relax)
+        for part in range(int(place.max(initial=0)) // (4 * DEGREE) + 1):  # those of a vector with many are taken in by turns
+            back = np.full((n, 4 * DEGREE), -1)
+            fits = place // (4 * DEGREE) == part
+            back[target[fits], place[fits] % (4 * DEGREE)] = source[fits]
+            for i in range(0, n, TOGETHER):
+                own = np.arange(i, min(n, i + TOGETHER))
+                own = own[(back[own] >= 0).any(axis=1)]
+                if len(own):
+                    edges[own] = prune(points, own, np.concatenate([edges[own], back[own]], axis=1), relax=relax)
     return edges, starts
 
 
@@ -146,10 +149,20 @@ def vertices(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def _search_shard(_: tuple, batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[pa.RecordBatch]:
     """Reads a shard's vectors (kind 0, sorted to come first) and queries (kind 1); gives each query's best of the shard."""
     names = ["query_id", "vec_id", "score"]
-    ids, rows, graph = [], [], None
-
-    def answers(query_ids: list, queries: list) -> pa.RecordBatch:
-        points, edges, starts, own, begins, at = graph
+    vectors: dict[int, tuple[list, list]] = {}  # by length, since those of different lengths have no product
+    graphs: dict[int, tuple] = {}
+    asked: dict[int, tuple[list, list]] = {}
+
+    def graph_of(length: int) -> tuple:
+        if length not in graphs:
+            ids, rows = vectors.pop(length)
+            at, own, begins = vertices(np.array(rows), np.array(ids))
+            points = lengthened(at)
+            graphs[length] = (points, *build(points), own, begins, at)
+        return graphs[length]
+
+    def answers(length: int, query_ids: list, queries: list) -> pa.RecordBatch:
+        points, edges, starts, own, begins, at = graph_of(length)
         q = np.array(queries)
         met, _ = walk(points, edges, starts, np.concatenate([q, np.zeros((len(q), 1))], axis=1), max(BEAM, 2 * nearest))
         query_ids = np.array(query_ids)
@@ -168,32 +181,23 @@ def _search_shard(_: tuple, batches: Iterator[pa.RecordBatch], nearest: int) ->
         keep = np.arange(len(line)) - np.searchsorted(line, line) < nearest
         return pa.RecordBatch.from_arrays([pa.array(query_ids[line[keep]]), pa.array(found[keep]), pa.array(scores[keep])], names)
 
-    held_ids, held = [], []
     for batch in batches:
         for kind, vec_id, x in zip(*(batch.column(c).to_pylist() for c in ("kind", "vec_id", "x")), strict=True):
-            if kind == 0:
-                ids.append(vec_id)
-                rows.append(x)
-                continue
-            if not rows:
-                continue
-            if graph is None:
-                at, own, begins = vertices(np.array(rows), np.array(ids))
-                points = lengthened(at)
-                graph = (points, *build(points), own, begins, at)
-            held_ids.append(vec_id)
-            held.append(x)
-            if len(held) == TOGETHER:
-                yield answers(held_ids, held)
-                held_ids, held = [], []
-    if held:
-        yield answers(held_ids, held)
+            held = (vectors if kind == 0 else asked).setdefault(len(x), ([], []))
+            held[0].append(vec_id)
+            held[1].append(x)
+            if kind and len(held[0]) == TOGETHER and (len(x) in vectors or len(x) in graphs):
+                yield answers(len(x), *asked.pop(len(x)))
+    for length, held in asked.items():
+        if length in vectors or length in graphs:
+            yield answers(length, *held)
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id every divides, by the contract of op6.
 
-    Null, zero or non-finite vectors, and rows without a vec_id, take no part; vectors must be of one length. Equal
+    Null, zero or non-finite vectors, and rows without a vec_id, take no part; vectors of different lengths are no
+    candidates of each other. Of equal scores (ties) the smaller vec_id comes first. Equal
     vectors are candidates each; of rows that repeat a vec_id each is a query and a candidate, but none of its own
     namesakes', and the repeated answers count once. An empty table gives an empty result; further columns are ignored.
     """

@@ -72,3 +72,15 @@ def test_copies_stay_in_the_index(spark):
         assert got.keys() == want.keys()
         assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.95
         assert all(got[q] == want[q] for q in range(2000, 2080, 20))
+
+
+def test_vectors_of_different_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3 if i % 3 else 5).tolist()) for i in range(90)] + [(200, [1.0] * 9)]
+    got = neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, nearest=4).collect()
+    by_id = dict(rows)
+    for q in range(0, 90, 10):
+        own = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])]
+        others = [i for i in by_id if i != q and len(by_id[i]) == len(by_id[q])]
+        assert own == sorted(others, key=lambda i: (-np.dot(by_id[i], by_id[q]), i))[:4]
+    assert not [r for r in got if r.query_id == 200]
