@@ -13,27 +13,27 @@ from tessella.llm.simhash import keep_one
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the others go."""
+    """Documents whose language is known; the others go, null, empty and letterless texts among them. Else as keep_identified()."""
     return keep_identified(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that equal or resemble an earlier line go; all documents stay."""
+    """Lines that equal or resemble an earlier line go; all documents stay. Nulls, ties and the rest as in dedup_lines()."""
     return dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays; texts that have lost all lines are one group. Else as keep_one()."""
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go. Nulls, long texts and the rest as in keep_clean()."""
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The showings of the documents in the mix, with their places."""
+    """The showings of the documents in the mix, with their places; documents without a word go. Else as mix()."""
     return mix(docs)
 
 

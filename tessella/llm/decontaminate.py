@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import slices, table
 
 #: Words of a stretch that must agree (1) and that may differ (0).
 MASKS = ("11101011", "1101100111", "11001010111", "111111", "1110011011")
@@ -41,6 +41,8 @@ SEEDS = [(m, None) for m in MASKS] + [(m, n) for n in range(1, MIN_WORDS) for m
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or b in _KEEP else 0x20 for b in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Places in items that are laid against a document's at once; those on one diagonal count once.
+_HITS = 1 << 20
 _GAP = max(len(m) for m, _ in SEEDS)
 
 
@@ -126,10 +128,13 @@ def overlaps(found: Index, texts: list[bytes | None]) -> list[tuple[int, int, in
         n = np.searchsorted(keys, h, "right") - low
         hit = np.flatnonzero(n)
         at, low, n = at[hit], low[hit], n[hit]
-        pick = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(at, n)
-        doc = np.searchsorted(begins, at, "right") - 1  # a stretch lies within one text, since the gaps are not known words
-        diagonals.append(np.stack([doc, where[pick, 0], at - where[pick, 1]], axis=1))
+        step = np.cumsum(n) // _HITS
+        for first, last in zip(*(np.searchsorted(step, np.unique(step), side) for side in ("left", "right")), strict=True):
+            own = n[first:last]
+            pick = np.repeat(low[first:last] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            place = np.repeat(at[first:last], own)
+            doc = np.searchsorted(begins, place, "right") - 1  # a stretch lies within one text, since the gaps are not known words
+            diagonals.append(np.unique(np.stack([doc, where[pick, 0], place - where[pick, 1]], axis=1), axis=0))
     if not diagonals:
         return []
     best: dict[tuple[int, int], tuple] = {}
@@ -162,9 +167,10 @@ _SCHEMA = "doc_id long, item_id long, n_words long, n_same long, doc_start long,
 def contamination(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     """A row for each document and benchmark item with an overlap that counts: its length and equal words, and where it begins (words from 0).
 
-    Null or empty texts overlap nothing; repeated
-    rows of docs give repeated rows, items with one id count apart, null ids are kept. An empty table on either side
-    gives an empty result; further columns are ignored.
+    Null or empty texts overlap nothing; repeated rows of docs give repeated rows, items with one id count apart, null ids
+    are kept. Of an item's overlaps with a text the longest counts, then the one with more equal words, then the first.
+    Long texts are searched whole, some MB of texts at once. An empty table on either side gives an empty result; further
+    columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
@@ -172,7 +178,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_
         shared = docs.sparkSession.sparkContext.broadcast(index(part))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, 1)):
                 found = overlaps(shared.value, batch.column(1).cast(pa.binary()).to_pylist())
                 ids = batch.column(0).to_pylist()
                 columns = list(zip(*((ids[d], shared.value.items[i], *rest) for d, i, *rest in found))) or [()] * 6
@@ -184,13 +190,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
-    """docs without the rows that overlap a benchmark item; columns and rows stay as they are."""
+    """docs without the rows that overlap a benchmark item; columns and rows stay as they are.
+
+    Null, empty and wordless texts stay; long texts are searched whole, some MB of texts at once; repeated rows go or stay
+    alike; null ids on either side and further columns of any name do no harm; an empty table on either side changes nothing.
+    """
     names, text = docs.columns, docs.columns.index("text")
     for part in _parts(benchmark, part_words):
         shared = docs.sparkSession.sparkContext.broadcast(index(part))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, text)):
                 dirty = {d for d, *_ in overlaps(shared.value, batch.column(text).cast(pa.binary()).to_pylist())}
                 yield batch.filter(pa.array([i not in dirty for i in range(batch.num_rows)], pa.bool_()))
 

@@ -47,3 +47,22 @@ def test_run_is_the_registered_query(spark):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and simhash.simhash_groups(out.dropDuplicates(["doc_id"])).filter("doc_id <> component_id").count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns, an empty table."""
+    text = "the quick brown fox jumps over the lazy dog and runs away into the forest"
+    rows = [(i, f"{text} {i} w{i} x{i * 7}\nline {i}", "en", "s", 1) for i in range(40)]
+    rows += [(None, None, None, None, None), (None, "", "en", None, None), (7, "²½", None, "s", 1), (50, "word " * 200_000, "en", "t", 3), (51, text, None, None, None), (51, text, None, None, None)]
+    docs = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _key string, _removed int")
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, DATA)
+            assert out.columns[: len(docs.columns)] == docs.columns
+            kept = out.collect()
+            if name != "mixture":
+                frame = spark.createDataFrame(kept, docs.schema)
+        if frame.isEmpty():
+            assert not kept
+        else:
+            assert {50, 51} <= {r.doc_id for r in kept} and None not in {r.doc_id for r in kept}
