@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import settle, table
 
-#: Vectors of a shard, about.
-SHARD = 4000
+#: Vectors of a shard, about: every query walks every shard, so larger ones cost less in all, and smaller ones build faster.
+SHARD = 16_000
 #: Edges of a vector, width of the beam in building and in search, and the relaxation of the distance pruning.
 DEGREE, BUILD_BEAM, BEAM, RELAX = 48, 80, 160, 1.15
 #: Neighbours that a query gets, and which rows are queries.
@@ -207,7 +207,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = EVERY, nearest: int = NE
     stored = rows.select(home.alias("shard"), F.lit(0).alias("kind"), "vec_id", "x")
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "x")
-    dealt = stored.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id")
+    dealt = stored.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition's shards, one after the other: rows come sorted by shard."""
