@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a block; a task holds some 60 to 100 times as many for each block that it works on.
 BLOCK_BYTES = 2 << 20
+#: The keys of so many blocks make a part, which a task sorts: some MB.
+BLOCKS_A_PART = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 NO_ID = np.iinfo(np.int64).max
@@ -189,6 +191,11 @@ def packed(bits: np.ndarray) -> bytes:
     return zstandard.compress(np.packbits(bits).tobytes(), 3)
 
 
+def key_parts(blocks: int) -> int:
+    """In how many parts the keys of so many blocks are compared."""
+    return -(-blocks // BLOCKS_A_PART)
+
+
 def keys_table(block: int, keys: np.ndarray, parts: int) -> pa.Table:
     """The rows that a block sends: for each part its keys, once each, and which stand in the block more than once."""
     keys, n = np.unique(keys, return_counts=True)

@@ -150,7 +150,7 @@ def unique_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     which one task holds whole. An empty table gives an empty result; further columns are ignored, whatever their names.
     """
     rows, parts = blocks.blocked(docs, block_bytes)
-    seeds = blocks.repeated(blocks.by_block(rows, lambda t: _seeds(t, parts, window, gram), blocks.KEYS))
+    seeds = blocks.repeated(blocks.by_block(rows, lambda t: _seeds(t, blocks.key_parts(parts), window, gram), blocks.KEYS))
     sent = blocks.with_answers(rows, seeds, lambda t, a: _stretches(t, a, parts, window, gram), _SENT)
     masks = sent.groupBy("part").applyInArrow(lambda t: _masks(t, window, gram), _ANSWERS)
     answers = seeds.select("block", F.lit(-1).alias("part"), "keys").unionByName(masks)
