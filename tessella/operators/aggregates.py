@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators.ranking import quantile_columns, range_bounds, ranked
+
 
 def group_summary(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, mean and sample deviation of a value by group; the deviation of one run is null."""
@@ -43,9 +45,9 @@ def against_baseline(runs: DataFrame, keys: list[str], value: str, baseline: str
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, a column for each."""
-    found = rows.groupBy(*keys).agg(F.expr(f"percentile({value}, array({', '.join(map(str, at))}))").alias("q"))
-    return found.select(*keys, *[F.col("q")[i].alias(f"q{round(100 * p)}") for i, p in enumerate(at)])
+    """Exact quantiles with linear interpolation, a column for each; groups without a value are left out."""
+    real = ranked(rows.filter(F.col(value).isNotNull()).select(*keys, value), keys, value, [])
+    return real.groupBy(*keys).agg(*[q.alias(f"q{round(100 * p)}") for q, p in zip(quantile_columns(F.col(value), at), at, strict=True)])
 
 
 def residuals(rows: DataFrame) -> DataFrame:
@@ -54,33 +56,37 @@ def residuals(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"err": err, "abs_err": F.abs(err), "sq_err": err * err})
 
 
+def _top(fraction: float, value: str) -> dict[str, Column]:
+    """Aggregates over groups ranked by falling value: size and share of the sum of the top fraction (its ceiling of rows)."""
+    top = F.col("_rank") <= F.ceil(F.lit(fraction) * F.col("_n"))
+    return {"n_top": F.count_if(top), "share": F.sum(F.when(top, F.col(value))) / F.sum(value)}
+
+
 def top_share(rows: DataFrame, keys: list[str], value: str, fraction: float, ties: list[str]) -> DataFrame:
     """Size and share of the sum of the top fraction of each group (at least its ceiling of rows)."""
-    group = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_rank", F.row_number().over(group.orderBy(F.desc(value), *ties))).withColumn("_n", F.count("*").over(group))
-    top = F.col("_rank") <= F.ceil(F.lit(fraction) * F.col("_n"))
-    return ranked.groupBy(*keys).agg(F.count_if(top).alias("n_top"), (F.sum(F.when(top, F.col(value))) / F.sum(value)).alias("share"))
+    found = ranked(rows, keys, value, ties, descending=True)
+    return found.groupBy(*keys).agg(*[c.alias(n) for n, c in _top(fraction, value).items()])
 
 
 def residual_decomposition(rows: DataFrame, keys: list[str], ties: list[str], fraction: float = 0.10) -> DataFrame:
     """Bias, median and mean absolute error, root mean square, upper quantiles, share of the worst part, and the mean absolute error in each quartile of the target.
 
-    The quartiles are closed on the right at interpolated bounds. Quantiles and sums are one pass; the bounds are joined
-    back, a row for each group.
+    The quartiles are closed on the right at interpolated bounds. One ranking by error gives sums, quantiles and the worst
+    part; one by target the bounds, which are joined back, a row for each group.
     """
-    r = residuals(rows)
-    base = r.groupBy(*keys).agg(
+    r = residuals(rows).select(*keys, *[t for t in ties if t not in keys], "target", "err", "abs_err", "sq_err")
+    of_error, of_target = range_bounds(r, "abs_err", "target")
+    worst = ranked(r, keys, "abs_err", ties, True, of_error)
+    upper = quantile_columns(F.col("abs_err"), [0.5, 0.1, 0.05])  # ranks fall
+    base = worst.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("err").alias("bias"), F.avg("abs_err").alias("mae"), F.sqrt(F.avg("sq_err")).alias("rmse"),
-        F.expr("percentile(abs_err, array(0.5, 0.9, 0.95))").alias("_a"), F.expr("percentile(target, array(0.25, 0.5, 0.75))").alias("_t"),
+        *[q.alias(n) for q, n in zip(upper, ("median_ae", "p90", "p95"), strict=True)], *[c.alias(n) for n, c in _top(fraction, "abs_err").items()],
     )
-    top = top_share(r, keys, "abs_err", fraction, ties)
-    bounded = r.join(F.broadcast(base.select(*keys, "_t")), keys)
+    bounds = ranked(r.select(*keys, "target"), keys, "target", [], bounds=of_target).groupBy(*keys).agg(F.array(*quantile_columns(F.col("target"), [0.25, 0.5, 0.75])).alias("_t"))
     bucket = F.when(F.col("target") <= F.col("_t")[0], 1).when(F.col("target") <= F.col("_t")[1], 2).when(F.col("target") <= F.col("_t")[2], 3).otherwise(4)
-    by_quartile = bounded.withColumn("_b", bucket).groupBy(*keys).agg(*[F.avg(F.when(F.col("_b") == b, F.col("abs_err"))).alias(f"mae_q{b}") for b in (1, 2, 3, 4)])
-    joined = base.join(top, keys).join(by_quartile, keys)
-    return joined.select(
-        *keys, "n", "bias", "mae", F.col("_a")[0].alias("median_ae"), "rmse", F.col("_a")[1].alias("p90"), F.col("_a")[2].alias("p95"), "n_top", F.col("share").alias("top_share"),
-        *[f"mae_q{b}" for b in (1, 2, 3, 4)],
+    by_quartile = r.join(bounds, keys).withColumn("_b", bucket).groupBy(*keys).agg(*[F.avg(F.when(F.col("_b") == b, F.col("abs_err"))).alias(f"mae_q{b}") for b in (1, 2, 3, 4)])
+    return base.join(by_quartile, keys).select(
+        *keys, "n", "bias", "mae", "median_ae", "rmse", "p90", "p95", "n_top", F.col("share").alias("top_share"), *[f"mae_q{b}" for b in (1, 2, 3, 4)]
     )
 
 

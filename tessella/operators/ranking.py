@@ -7,6 +7,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Ranges of a value that are ranked apart: a task holds one range of one group.
+RANGES = 64
+
+
+def range_bounds(rows: DataFrame, *values: str | Column) -> list[list[float]]:
+    """For each value the bounds of its ranges, from one pass: approximate quantiles over all rows, ascending."""
+    at = ", ".join(str(i / RANGES) for i in range(1, RANGES))
+    kept = rows.select(*[(v if isinstance(v, Column) else F.col(v)).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+    found = kept.agg(*[F.expr(f"percentile_approx(v{i}, array({at}), {40 * RANGES})") for i in range(len(values))]).first()
+    return [sorted(set(q or [])) for q in found]
+
+
+def ranked(rows: DataFrame, keys: list[str], value: str | Column, ties: list[str], descending: bool = False, bounds: list[float] | None = None) -> DataFrame:
+    """Adds _rank, from 1, in the order of value (nulls as the least), then ties, within each group, and _n, the rows of the group.
+
+    Bounds, which are range_bounds() if not given, part the value into ranges; rows are ranked within a range and the
+    sizes of the ranges before it are added, so no task orders a whole group.
+    """
+    kept = rows.withColumn("_value", value if isinstance(value, Column) else F.col(value))
+    bounds = range_bounds(rows, value)[0] if bounds is None else bounds
+
+    def range_of(low: int, high: int) -> Column:
+        """How many of the bounds from low to high are less than the value, and low."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("_real") > bounds[middle], range_of(middle + 1, high)).otherwise(range_of(low, middle))
+
+    kept = kept.withColumn("_real", F.col("_value").cast("double"))
+    number = F.when(F.col("_value").isNull(), -1).otherwise(range_of(0, len(bounds)))
+    kept = kept.withColumn("_range", -number if descending else number)
+    order = Window.partitionBy(*keys).orderBy("_range")
+    sizes = kept.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))  # a row for each group and range
+    sizes = sizes.select(*keys, "_range", (F.sum("_size").over(order) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy(*keys)).alias("_n"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(F.desc("_value") if descending else F.asc("_value"), *ties))
+    there = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    joined = kept.withColumn("_own", own).join(sizes.withColumnsRenamed({k: f"_of_{k}" for k in keys}).withColumnRenamed("_range", "_at"), [F.col("_range") == F.col("_at"), *there])
+    return joined.withColumn("_rank", F.col("_before") + F.col("_own")).drop("_value", "_real", "_range", "_at", "_before", "_own", *[f"_of_{k}" for k in keys])
+
+
+def quantile_columns(value: Column, at: list[float]) -> list[Column]:
+    """Aggregates over the groups of ranked(), without nulls in value: the exact quantiles, interpolated between neighbours."""
+    out = []
+    for p in at:
+        place = (F.col("_n") - 1) * F.lit(p)
+        low, high = (F.max(F.when(F.col("_rank") - 1 == f(place), value)) for f in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        out.append(F.when(part == 0, low).otherwise((1 - part) * low + part * high))
+    return out
+
+
 def best_of_key(rows: DataFrame, key: str, quality: list[str], ordinal: str) -> DataFrame:
     """One row for each key: the greatest quality (column by column), of equals the first seen."""
     order = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(q) for q in quality], F.asc(ordinal))
@@ -25,20 +76,19 @@ def duplicate_report(rows: DataFrame, key: str, quality: list[str], ordinal: str
 
 def bands(rows: DataFrame, keys: list[str], value: str, tie: str, fraction: float = 0.20) -> DataFrame:
     """Adds band: the fraction (its ceiling) of greatest values is hard, of least ones easy, the rest middle."""
-    group = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_rank", F.row_number().over(group.orderBy(value, tie))).withColumn("_n", F.count("*").over(group))
     size = F.ceil(F.lit(fraction) * F.col("_n"))
     band = F.when(F.col("_rank") <= size, "easy").when(F.col("_rank") > F.col("_n") - size, "hard").otherwise("middle")
-    return ranked.withColumn("band", band).drop("_rank", "_n")
+    return ranked(rows, keys, value, [tie]).withColumn("band", band).drop("_rank", "_n")
 
 
 def quantile_buckets(rows: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
     """Adds bucket, from 1: bounds are interpolated quantiles and belong to the bucket below."""
-    bounds = rows.groupBy(*keys).agg(F.expr(f"percentile({value}, array({', '.join(map(str, at))}))").alias("_q"))
+    real = ranked(rows.filter(F.col(value).isNotNull()).select(*keys, value), keys, value, [])
+    bounds = real.groupBy(*keys).agg(F.array(*quantile_columns(F.col(value), at)).alias("_q"))
     bucket = F.lit(len(at) + 1)
     for i in reversed(range(len(at))):
         bucket = F.when(F.col(value) <= F.col("_q")[i], i + 1).otherwise(bucket)
-    return rows.join(F.broadcast(bounds), keys).withColumn("bucket", bucket).drop("_q")
+    return rows.join(bounds, keys).withColumn("bucket", bucket).drop("_q")
 
 
 def average_rank(value: str, keys: list[str] | None = None) -> Column:
@@ -58,8 +108,8 @@ def hash_draw(seed: str, *parts: Column) -> Column:
 
 
 def draw_rank(rows: DataFrame, keys: list[str], item: str, seed: str) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(hash_draw(seed, F.col(item).cast("string")), item)
-    return rows.withColumn("draw_rank", F.row_number().over(order))
+    found = ranked(rows, keys, hash_draw(seed, F.col(item).cast("string")), [item])
+    return found.withColumn("draw_rank", F.col("_rank").cast("int")).drop("_rank", "_n")
 
 
 def benjamini_hochberg(tests: DataFrame, family: list[str], p: str, item: str) -> DataFrame:

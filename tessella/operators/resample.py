@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators.ranking import average_rank, hash_draw
+from tessella.operators.ranking import average_rank, draw_rank, hash_draw
 
 #: Draws have 32 bits; rows are ranked within so many ranges of them, and the ranges' sizes are added up.
 RANGES = 4096
@@ -71,9 +71,8 @@ def budget_subset(pool: DataFrame, item: str, seed: str, n: int, n_val: int) ->
 def balanced(rows: DataFrame, label: str, item: str, seed: str) -> DataFrame:
     """As many rows of each label as the rarest has, drawn without replacement, with their draw_rank."""
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))
-    order = Window.partitionBy(label).orderBy(hash_draw(seed, F.col(item).cast("string")), item)
-    ranked = rows.withColumn("draw_rank", F.row_number().over(order))
-    return ranked.join(F.broadcast(sizes), F.col("draw_rank") <= F.col("_least")).drop("_least")
+    found = draw_rank(rows, [label], item, seed)
+    return found.join(F.broadcast(sizes), F.col("draw_rank") <= F.col("_least")).drop("_least")  # one row
 
 
 def numbered(values: DataFrame, arm: str, order: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from tessella.operators.sets import upsert
 
-#: Rows that a report table may have.
+#: Rows that a report table may have, if its caller names no other number.
 REPORT_ROWS = 1000
 
 
@@ -47,17 +47,17 @@ def updated_table(old: DataFrame, new: DataFrame, keys: list[str], order: list[s
     return upsert(old, new, keys).orderBy(*order)
 
 
-def _report(rows: DataFrame) -> list[list[str]]:
-    found = rows.limit(REPORT_ROWS + 1).collect()
-    if len(found) > REPORT_ROWS:
-        raise ValueError(f"a report table has at most {REPORT_ROWS} rows")
+def _report(rows: DataFrame, most: int) -> list[list[str]]:
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report table has at most {most} rows")
     return [["" if v is None else str(v) for v in r] for r in found]
 
 
-def markdown_table(rows: DataFrame) -> str:
-    lines = [rows.columns, ["---"] * len(rows.columns), *_report(rows)]
+def markdown_table(rows: DataFrame, most: int = REPORT_ROWS) -> str:
+    lines = [rows.columns, ["---"] * len(rows.columns), *_report(rows, most)]
     return "\n".join("| " + " | ".join(v.replace("|", "\\|") for v in line) + " |" for line in lines)
 
 
-def latex_rows(rows: DataFrame) -> str:
-    return "\n".join(" & ".join(v.replace("_", "\\_").replace("%", "\\%").replace("&", "\\&") for v in line) + r" \\" for line in _report(rows))
+def latex_rows(rows: DataFrame, most: int = REPORT_ROWS) -> str:
+    return "\n".join(" & ".join(v.replace("_", "\\_").replace("%", "\\%").replace("&", "\\&") for v in line) + r" \\" for line in _report(rows, most))

@@ -267,3 +267,19 @@ def test_sets(spark):
     r = sets.set_algebra(a, b, "k").first()
     assert (r.n_left, r.n_right, r.n_both, r.n_union, r.disjoint, r.equal) == (2, 2, 1, 3, False, False)
     assert sets.not_finite(spark.createDataFrame([(1.0, float("inf"))], "a double, b double"), ["a", "b"]).collect()[0]["column"] == "b"
+
+
+def test_ranks_and_quantiles_by_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, i, float(v) if i % 17 else None) for g in ("a", "b", None) for i, v in enumerate(np.round(rng.exponential(size=300), 1 if g == "a" else 6))]
+    frame = spark.createDataFrame(rows, "g string, i int, v double")
+    for falling in (False, True):
+        got = {(r.g, r.i): (r._rank, r._n) for r in ranking.ranked(frame, ["g"], "v", ["i"], falling).collect()}
+        for g in ("a", "b", None):
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is not None, r[2] or 0) if not falling else (r[2] is None, -(r[2] or 0)))
+            assert [got[g, r[1]] for r in own] == [(k, 300) for k in range(1, 301)]
+    found = ag.quantiles(frame.filter("g is not null"), ["g"], "v", [0.1, 0.5, 0.95]).collect()
+    for r in found:
+        want = np.percentile([v for g, _, v in rows if g == r.g and v is not None], [10, 50, 95])
+        assert (r.q10, r.q50, r.q95) == pytest.approx(tuple(want))
+    assert ranking.ranked(frame.limit(0), ["g"], "v", ["i"]).count() == 0
