@@ -208,9 +208,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
     own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     marked, rooted = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), own.alias("mark")))
-    rows = marked.join(rooted, "fp")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"))
-    later = rows.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    least = rooted.join(marked.groupBy("fp").agg(F.min(place).alias("least")), "fp")  # combined before the shuffle: copies share fp
+    first = least.groupBy("root").agg(F.min("least").alias("first"))
+    rows = marked.join(least.join(first, "root").select("fp", "first"), "fp")
+    later = rows.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
     gone = later.select(name.alias(key), F.col("mark").alias(mark)).distinct()
     left = docs.withColumns({key: name, mark: own}).join(gone, [key, mark], "left_anti")
     again = F.row_number().over(Window.partitionBy(key, mark).orderBy(key, mark))  # in the order that the join leaves
