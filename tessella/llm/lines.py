@@ -94,7 +94,7 @@ def screened(lines: DataFrame) -> DataFrame:
     a, b = SIMILAR
     most = (1 << _SIZE_BITS) - 1
     sets = _long(lines).select("id", tokens(F.col("line")).alias("toks")).withColumn("m", F.size("toks"))
-    index = sets.select("id", "m", F.explode(F.slice("toks", F.lit(1), _needed(F.col("m")))).alias("tok"))
+    index = sets.select("id", "m", F.explode_outer(F.slice("toks", F.lit(1), _needed(F.col("m")))).alias("tok"))
     key = F.col("tok").bitwiseAND(F.lit(~most)).bitwiseOR(F.least("m", F.lit(most)).cast("long"))
     bucket = F.shiftright("key", _SIZE_BITS)
     rows = index.select("id", key.alias("key")).repartition(bucket)
@@ -111,7 +111,8 @@ def shared_tokens(lines: DataFrame, able: DataFrame) -> DataFrame:
     lines: (line, place, id), copies included; able: (key, id, place).
     """
     sets = _long(lines).join(able, ["id", "place"]).select("key", tokens(F.col("line")).alias("toks"))
-    rows = sets.select("key", F.size("toks").alias("m"), F.explode("toks").alias("tok"))
+    # outer: else the planner would compute the tokens a second time, to leave out lines that have none
+    rows = sets.select("key", F.size("toks").alias("m"), F.explode_outer("toks").alias("tok"))
     counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("tok"))).filter("n > 1")
     ordered = counted.groupBy("key").agg(F.max("m").alias("m"), F.sort_array(F.collect_set(F.struct("n", "tok"))).alias("toks"))
     matching = ordered.filter(F.col("m") - F.size("toks") < _needed(F.col("m")))
@@ -128,15 +129,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(shared * b >= (F.col("m1") + F.col("m0") - shared) * a).select("key").distinct()
 
 
+def _side(rows: DataFrame, name: str, broadcast_rows: int) -> DataFrame:
+    """The rows, written; broadcast in the next join if there are no more than the checked number of them, else shuffled."""
+    rows = stored(rows, name)
+    return F.broadcast(rows) if rows.count() <= broadcast_rows else rows
+
+
 def similar_lines(lines: DataFrame, firsts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(place, id) of the lines that resemble an earlier one.
 
-    lines: (line, place, id), copies included; firsts: (id, place) of the earliest copy of each. The lines that pass the
-    screen are found again by a broadcast of their ids up to a checked number, by a shuffle beyond it.
+    lines: (line, place, id), copies included; firsts: (id, place) of the earliest copy of each.
     """
-    able = firsts.join(screened(lines), "id", "left_semi").select("id", "place", F.monotonically_increasing_id().alias("key"))
-    able = stored(able, "lines-able")
-    sets = stored(shared_tokens(lines, F.broadcast(able) if able.count() <= broadcast_rows else able), "line-sets")
+    passed = _side(screened(lines), "lines-screened", broadcast_rows)
+    able = firsts.join(passed, "id", "left_semi").select("id", "place", F.monotonically_increasing_id().alias("key"))
+    able = _side(able, "lines-able", broadcast_rows)
+    sets = stored(shared_tokens(lines, able), "line-sets")
     lonely = F.col("m") - F.size("toks")
     prefix = F.posexplode(F.slice("toks", F.lit(1), _needed(F.col("m")) - lonely)).alias("at", "tok")
     index = sets.select("key", "place", "m", lonely.alias("lonely"), prefix).select("key", "place", "m", (F.col("lonely") + F.col("at")).alias("pos"), "tok")
@@ -152,16 +159,17 @@ def similar_lines(lines: DataFrame, firsts: DataFrame, broadcast_rows: int = BRO
     return able.join(settled.unionByName(_verified(rest, sets)).distinct(), "key").select("place", "id")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc, doc_hash, line_no) of every line that goes."""
     rows = _line_rows(docs).withColumn("id", F.xxhash64("line"))
     slim = stored(rows.select("doc", "doc_hash", "line_no", "id", F.xxhash64(F.lit(1), "line").alias("id2")), "lines")
     firsts = stored(slim.groupBy("id", "id2").agg(F.min(_place()).alias("place"), F.count("*").alias("n")), "lines-first")
-    gone = similar_lines(rows.select("line", _place().alias("place"), "id"), firsts.select("id", "place"))
+    gone = similar_lines(rows.select("line", _place().alias("place"), "id"), firsts.select("id", "place"), broadcast_rows)
     gone = gone.select("id", F.col("place").alias("first_place"), F.lit(True).alias("gone"))
+    gone = _side(gone, "lines-gone", broadcast_rows)
     marked = firsts.withColumnRenamed("place", "first_place").join(gone, ["id", "first_place"], "left")
     marked = marked.filter((F.col("n") > 1) | F.col("gone")).select("id", "id2", "first_place", "gone")
-    both = slim.join(marked, ["id", "id2"])
+    both = slim.join(_side(marked, "lines-marked", broadcast_rows), ["id", "id2"])
     return both.filter((_place() > F.col("first_place")) | F.col("gone")).select("doc", "doc_hash", "line_no")
 
 

@@ -49,7 +49,7 @@ def test_lines_equal_brute_force(spark):
 def test_fetching_by_shuffle_gives_the_same(spark, monkeypatch):
     frame = spark.createDataFrame(corpus(), "doc_id long, text string")
     whole = sorted(map(tuple, lines.line_report(frame).collect()), key=str)
-    monkeypatch.setattr(lines.similar_lines, "__defaults__", (0,))
+    monkeypatch.setattr(lines.removed_lines, "__defaults__", (0,))
     assert sorted(map(tuple, lines.line_report(frame).collect()), key=str) == whole
 
 
@@ -69,3 +69,11 @@ def test_odd_tables(spark):
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "z " * 30000)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.text) for r in lines.dedup_lines(twice).collect())
     assert got == [(0, ""), (1, "a b c d e f"), (1, "a b c d e f"), (2, "z " * 30000)]
+
+
+def test_columns_that_clash_and_many_lines(spark):
+    text = "\n".join(f"w{i % 50} b{i}" for i in range(20_000)) + "\nw1 b1"
+    frame = spark.createDataFrame([(1, text, "a", 1, 2), (2, "w1 b1\nnew", None, 3, 4)], "doc_id long, text string, _doc string, _Removed int, _hash int")
+    got = lines.dedup_lines(frame)
+    assert got.columns == frame.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {1: text[: -len("\nw1 b1")], 2: "new"}
