@@ -32,17 +32,23 @@ _SIZE_BITS = 16
 _REST = 1 << 30
 
 
+def _odd(text: Column) -> Column:
+    """Whether the text has other blanks within a line than single spaces."""
+    return text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
+
+
+def _bare(line: Column, odd: Column) -> Column:
+    """The line without blanks at its ends; where there are none but spaces, by the trim that is much faster."""
+    return F.when(odd, F.trim(line, F.lit(_BLANKS))).otherwise(F.trim(line))
+
+
 def _line_rows(docs: DataFrame) -> DataFrame:
     """(doc, doc_hash, line_no, line): the lines that are not blank, their words joined by one space; line_no from 0."""
     text = F.col("text").cast("string")
-
-    def odd(x: Column) -> Column:
-        return x.contains("  ") | x.contains("\t") | x.contains("\r") | x.contains("\x0b") | x.contains("\f")
-
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("doc_hash"), odd(text).alias("odd"), text.alias("text"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("doc_hash"), _odd(text).alias("odd"), text.alias("text"))
     rows = marked.select("doc", "doc_hash", "odd", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    bare = F.trim("line", F.lit(_BLANKS))
-    clean = F.when(F.col("odd") & odd(bare), F.regexp_replace(bare, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(bare)
+    bare = _bare(F.col("line"), F.col("odd"))
+    clean = F.when(F.col("odd") & _odd(bare), F.regexp_replace(bare, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(bare)
     return rows.filter(bare != "").select("doc", "doc_hash", "line_no", clean.alias("line"))
 
 
@@ -108,9 +114,11 @@ def screened(lines: DataFrame) -> DataFrame:
 def shared_tokens(lines: DataFrame, able: DataFrame) -> DataFrame:
     """(key, place, m, toks) of the able lines that may match: m tokens in all, and in toks those that other able lines have too, rarest first.
 
-    lines: (line, place, id), copies included; able: (key, id, place).
+    lines: (line, doc, line_no, id), copies included; able: (key, id, place).
     """
-    sets = _long(lines).join(able, ["id", "place"]).select("key", tokens(F.col("line")).alias("toks"))
+    own = able.withColumnRenamed("id", "able_id")
+    first = (F.col("id") == F.col("able_id")) & (_place() - F.col("place") == 0)  # no key, so places are reckoned for able lines only
+    sets = _long(lines).join(own, first).select("key", tokens(F.col("line")).alias("toks"))
     # outer: else the planner would compute the tokens a second time, to leave out lines that have none
     rows = sets.select("key", F.size("toks").alias("m"), F.explode_outer("toks").alias("tok"))
     counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("tok"))).filter("n > 1")
@@ -138,7 +146,7 @@ def _side(rows: DataFrame, name: str, broadcast_rows: int) -> DataFrame:
 def similar_lines(lines: DataFrame, firsts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(place, id) of the lines that resemble an earlier one.
 
-    lines: (line, place, id), copies included; firsts: (id, place) of the earliest copy of each.
+    lines: (line, doc, line_no, id), copies included; firsts: (id, place) of the earliest copy of each.
     """
     passed = _side(screened(lines), "lines-screened", broadcast_rows)
     able = firsts.join(passed, "id", "left_semi").select("id", "place", F.monotonically_increasing_id().alias("key"))
@@ -164,7 +172,7 @@ def removed_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Data
     rows = _line_rows(docs).withColumn("id", F.xxhash64("line"))
     slim = stored(rows.select("doc", "doc_hash", "line_no", "id", F.xxhash64(F.lit(1), "line").alias("id2")), "lines")
     firsts = stored(slim.groupBy("id", "id2").agg(F.min(_place()).alias("place"), F.count("*").alias("n")), "lines-first")
-    gone = similar_lines(rows.select("line", _place().alias("place"), "id"), firsts.select("id", "place"), broadcast_rows)
+    gone = similar_lines(rows.select("line", "doc", "line_no", "id"), firsts.select("id", "place"), broadcast_rows)
     gone = gone.select("id", F.col("place").alias("first_place"), F.lit(True).alias("gone"))
     gone = _side(gone, "lines-gone", broadcast_rows)
     marked = firsts.withColumnRenamed("place", "first_place").join(gone, ["id", "first_place"], "left")
@@ -207,7 +215,8 @@ def line_report(docs: DataFrame) -> DataFrame:
     Nulls, ties, repeated rows, long texts and empty tables are as in dedup_lines(); further columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    n_lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(_BLANKS)) != "")).cast("long")
+    filled = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")  # all but the lines of spaces alone
+    n_lines = F.when(_odd(text), F.size(F.filter(filled, lambda x: F.trim(x, F.lit(_BLANKS)) != ""))).otherwise(F.size(filled)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("doc_hash"), n_lines.alias("n_lines"))
     gone = removed_by_document(docs)
     joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc"]) & (rows["doc_hash"] == gone["doc_hash"]), "left")
