@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators.ranking import quantile_columns, range_bounds, ranked
+from tessella.operators import distribution as ds
 
 
 def group_summary(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -46,8 +46,7 @@ def against_baseline(runs: DataFrame, keys: list[str], value: str, baseline: str
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, a column for each; groups without a value are left out."""
-    real = ranked(rows.filter(F.col(value).isNotNull()).select(*keys, value), keys, value, [])
-    return real.groupBy(*keys).agg(*[q.alias(f"q{round(100 * p)}") for q, p in zip(quantile_columns(F.col(value), at), at, strict=True)])
+    return ds.quantiles(rows, keys, value, {f"q{round(100 * p)}": p for p in at})
 
 
 def residuals(rows: DataFrame) -> DataFrame:
@@ -56,38 +55,32 @@ def residuals(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"err": err, "abs_err": F.abs(err), "sq_err": err * err})
 
 
-def _top(fraction: float, value: str) -> dict[str, Column]:
-    """Aggregates over groups ranked by falling value: size and share of the sum of the top fraction (its ceiling of rows)."""
-    top = F.col("_rank") <= F.ceil(F.lit(fraction) * F.col("_n"))
-    return {"n_top": F.count_if(top), "share": F.sum(F.when(top, F.col(value))) / F.sum(value)}
+def top_share(rows: DataFrame, keys: list[str], value: str, fraction: float) -> DataFrame:
+    """Size and share of the sum of the top fraction of each group (its ceiling of rows); ties at its end are alike. Nulls stay out."""
+    found = ds.cumulated(ds.counted(rows, keys, value).filter("value is not null"), keys, ["n"])
+    return found.groupBy(*keys).agg(*[c.alias(n) for n, c in ds.top_columns(fraction).items()])
 
 
-def top_share(rows: DataFrame, keys: list[str], value: str, fraction: float, ties: list[str]) -> DataFrame:
-    """Size and share of the sum of the top fraction of each group (at least its ceiling of rows)."""
-    found = ranked(rows, keys, value, ties, descending=True)
-    return found.groupBy(*keys).agg(*[c.alias(n) for n, c in _top(fraction, value).items()])
-
-
-def residual_decomposition(rows: DataFrame, keys: list[str], ties: list[str], fraction: float = 0.10) -> DataFrame:
+def residual_decomposition(rows: DataFrame, keys: list[str], fraction: float = 0.10) -> DataFrame:
     """Bias, median and mean absolute error, root mean square, upper quantiles, share of the worst part, and the mean absolute error in each quartile of the target.
 
-    The quartiles are closed on the right at interpolated bounds. One ranking by error gives sums, quantiles and the worst
-    part; one by target the bounds, which are joined back, a row for each group.
+    The quartiles are closed on the right at interpolated bounds. Counts of distinct errors give quantiles and the worst
+    part; counts and error sums of distinct targets the quartiles' bounds and means. Null keys are a group; rows without
+    an error count in n alone.
     """
-    r = residuals(rows).select(*keys, *[t for t in ties if t not in keys], "target", "err", "abs_err", "sq_err")
-    of_error, of_target = range_bounds(r, "abs_err", "target")
-    worst = ranked(r, keys, "abs_err", ties, True, of_error)
-    upper = quantile_columns(F.col("abs_err"), [0.5, 0.1, 0.05])  # ranks fall
-    base = worst.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("err").alias("bias"), F.avg("abs_err").alias("mae"), F.sqrt(F.avg("sq_err")).alias("rmse"),
-        *[q.alias(n) for q, n in zip(upper, ("median_ae", "p90", "p95"), strict=True)], *[c.alias(n) for n, c in _top(fraction, "abs_err").items()],
-    )
-    bounds = ranked(r.select(*keys, "target"), keys, "target", [], bounds=of_target).groupBy(*keys).agg(F.array(*quantile_columns(F.col("target"), [0.25, 0.5, 0.75])).alias("_t"))
-    bucket = F.when(F.col("target") <= F.col("_t")[0], 1).when(F.col("target") <= F.col("_t")[1], 2).when(F.col("target") <= F.col("_t")[2], 3).otherwise(4)
-    by_quartile = r.join(bounds, keys).withColumn("_b", bucket).groupBy(*keys).agg(*[F.avg(F.when(F.col("_b") == b, F.col("abs_err"))).alias(f"mae_q{b}") for b in (1, 2, 3, 4)])
-    return base.join(by_quartile, keys).select(
-        *keys, "n", "bias", "mae", "median_ae", "rmse", "p90", "p95", "n_top", F.col("share").alias("top_share"), *[f"mae_q{b}" for b in (1, 2, 3, 4)]
-    )
+    r = residuals(rows).select(*keys, "target", "err", "abs_err", "sq_err")
+    base = r.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("err").alias("bias"), F.avg("abs_err").alias("mae"), F.sqrt(F.avg("sq_err")).alias("rmse"))
+    errors = ds.cumulated(ds.counted(r, keys, "abs_err").filter("value is not null"), keys, ["n"])
+    upper = dict(zip(("median_ae", "p90", "p95"), ds.quantile_columns([0.5, 0.9, 0.95]), strict=True)) | ds.top_columns(fraction)
+    worst = errors.groupBy(*keys).agg(*[c.alias(n) for n, c in upper.items()])
+    sums = r.filter("target is not null").groupBy(*keys, F.col("target").alias("value")).agg(F.count("*").alias("n"), F.sum("abs_err").alias("_sum"), F.count("abs_err").alias("_with"))
+    targets = ds.cumulated(sums, keys, ["n"])
+    bounds = targets.groupBy(*keys).agg(F.array(*ds.quantile_columns([0.25, 0.5, 0.75])).alias("_t"))
+    bucket = F.when(F.col("value") <= F.col("_t")[0], 1).when(F.col("value") <= F.col("_t")[1], 2).when(F.col("value") <= F.col("_t")[2], 3).otherwise(4)
+    means = [(F.sum(F.when(F.col("_b") == b, F.col("_sum"))) / F.sum(F.when(F.col("_b") == b, F.col("_with")))).alias(f"mae_q{b}") for b in (1, 2, 3, 4)]
+    by_quartile = ds.beside(sums, bounds, keys).withColumn("_b", bucket).groupBy(*keys).agg(*means)
+    joined = ds.beside(ds.beside(base, worst, keys, "left"), by_quartile, keys, "left")
+    return joined.select(*keys, "n", "bias", "mae", "median_ae", "rmse", "p90", "p95", "n_top", F.col("share").alias("top_share"), *[f"mae_q{b}" for b in (1, 2, 3, 4)])
 
 
 def parity(rows: DataFrame, keys: list[str]) -> DataFrame:

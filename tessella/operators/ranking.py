@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators.distribution import beside, counted, cumulated, cuts, least_from, quantiles, upto
 
 #: Ranges of a value that are ranked apart: a task holds one range of one group.
 RANGES = 64
@@ -23,7 +24,8 @@ def ranked(rows: DataFrame, keys: list[str], value: str | Column, ties: list[str
     """Adds _rank, from 1, in the order of value (nulls as the least), then ties, within each group, and _n, the rows of the group.
 
     Bounds, which are range_bounds() if not given, part the value into ranges; rows are ranked within a range and the
-    sizes of the ranges before it are added, so no task orders a whole group.
+    sizes of the ranges before it are added. For values of which none is common, such as draws; where one may be, the
+    functions of distribution work on counts.
     """
     kept = rows.withColumn("_value", value if isinstance(value, Column) else F.col(value))
     bounds = range_bounds(rows, value)[0] if bounds is None else bounds
@@ -47,17 +49,6 @@ def ranked(rows: DataFrame, keys: list[str], value: str | Column, ties: list[str
     return joined.withColumn("_rank", F.col("_before") + F.col("_own")).drop("_value", "_real", "_range", "_at", "_before", "_own", *[f"_of_{k}" for k in keys])
 
 
-def quantile_columns(value: Column, at: list[float]) -> list[Column]:
-    """Aggregates over the groups of ranked(), without nulls in value: the exact quantiles, interpolated between neighbours."""
-    out = []
-    for p in at:
-        place = (F.col("_n") - 1) * F.lit(p)
-        low, high = (F.max(F.when(F.col("_rank") - 1 == f(place), value)) for f in (F.floor, F.ceil))
-        part = F.max(place - F.floor(place))
-        out.append(F.when(part == 0, low).otherwise((1 - part) * low + part * high))
-    return out
-
-
 def best_of_key(rows: DataFrame, key: str, quality: list[str], ordinal: str) -> DataFrame:
     """One row for each key: the greatest quality (column by column), of equals the first seen."""
     order = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(q) for q in quality], F.asc(ordinal))
@@ -75,27 +66,23 @@ def duplicate_report(rows: DataFrame, key: str, quality: list[str], ordinal: str
 
 
 def bands(rows: DataFrame, keys: list[str], value: str, tie: str, fraction: float = 0.20) -> DataFrame:
-    """Adds band: the fraction (its ceiling) of greatest values is hard, of least ones easy, the rest middle."""
-    size = F.ceil(F.lit(fraction) * F.col("_n"))
-    band = F.when(F.col("_rank") <= size, "easy").when(F.col("_rank") > F.col("_n") - size, "hard").otherwise("middle")
-    return ranked(rows, keys, value, [tie]).withColumn("band", band).drop("_rank", "_n")
+    """Adds band: the fraction (its ceiling) of greatest values is hard, of least ones easy, the rest middle.
+
+    Only the two rows at the bounds are looked for; all others are compared with them. Nulls are the least value.
+    """
+    size = F.ceil(F.lit(fraction) * F.col("n_all"))
+    marked = beside(rows, cuts(rows, keys, value, tie, {"_easy": size, "_rest": F.col("n_all") - size}), keys, "left")
+    band = F.when(upto(value, tie, F.col("_easy")), "easy").when(~upto(value, tie, F.col("_rest")), "hard").otherwise("middle")
+    return marked.withColumn("band", band).drop("_easy", "_rest")
 
 
 def quantile_buckets(rows: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
-    """Adds bucket, from 1: bounds are interpolated quantiles and belong to the bucket below."""
-    real = ranked(rows.filter(F.col(value).isNotNull()).select(*keys, value), keys, value, [])
-    bounds = real.groupBy(*keys).agg(F.array(*quantile_columns(F.col(value), at)).alias("_q"))
+    """Adds bucket, from 1: bounds are interpolated quantiles and belong to the bucket below; null keys are a group."""
+    names = {f"_q{i}": p for i, p in enumerate(at)}
     bucket = F.lit(len(at) + 1)
     for i in reversed(range(len(at))):
-        bucket = F.when(F.col(value) <= F.col("_q")[i], i + 1).otherwise(bucket)
-    return rows.join(bounds, keys).withColumn("bucket", bucket).drop("_q")
-
-
-def average_rank(value: str, keys: list[str] | None = None) -> Column:
-    """The rank of a value, tied values sharing the mean of theirs."""
-    group = Window.partitionBy(*(keys or []))
-    tied = Window.partitionBy(*(keys or []), value)
-    return F.rank().over(group.orderBy(value)) + (F.count("*").over(tied) - 1) / 2.0
+        bucket = F.when(F.col(value) <= F.col(f"_q{i}"), i + 1).otherwise(bucket)
+    return beside(rows, quantiles(rows, keys, value, names), keys).withColumn("bucket", bucket).drop(*names)
 
 
 def top_of_group(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -112,17 +99,19 @@ def draw_rank(rows: DataFrame, keys: list[str], item: str, seed: str) -> DataFra
     return found.withColumn("draw_rank", F.col("_rank").cast("int")).drop("_rank", "_n")
 
 
-def benjamini_hochberg(tests: DataFrame, family: list[str], p: str, item: str) -> DataFrame:
-    """Adds q within each family of tests; p that is null or not finite stays out and has no q."""
+def benjamini_hochberg(tests: DataFrame, family: list[str], p: str) -> DataFrame:
+    """Adds q within each family of tests; p that is null or not finite stays out and has no q.
+
+    Equal p have equal q, so the steps are taken over distinct p: the least of p times the tests over its rank, from here
+    up, within ranges of p and then over the ranges.
+    """
     ok = F.col(p).isNotNull() & ~F.isnan(p)
-    real = tests.filter(ok)
-    group = Window.partitionBy(*family)
-    m = F.count("*").over(group)
-    rank = F.row_number().over(group.orderBy(p, item))
-    stepped = real.withColumn("_raw", F.col(p) * m / rank).withColumn("_rank", rank)
-    down = group.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    done = stepped.withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_raw", "_rank")
-    return done.unionByName(tests.filter(~ok | F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    found = cumulated(counted(tests.filter(ok), family, p), family, ["n"])
+    raw = F.col("value") * F.col("n_all") / (F.col("n_below") + F.col("n"))
+    stepped = least_from(found.withColumn("_raw", raw), family, "_raw", "_least")
+    adjusted = stepped.select(*[F.col(k).alias(f"_of_{k}") for k in family], F.col("value").alias("_p"), F.least(F.lit(1.0), "_least").alias("q"))
+    there = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in family]
+    return tests.join(adjusted, [F.col(p) == F.col("_p"), *there], "left").drop("_p", *[f"_of_{k}" for k in family])
 
 
 def accepted_spans(spans: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators.ranking import average_rank, draw_rank, hash_draw
+from tessella.operators import distribution as ds
+from tessella.operators.ranking import draw_rank, hash_draw
 
 #: Draws have 32 bits; rows are ranked within so many ranges of them, and the ranges' sizes are added up.
 RANGES = 4096
@@ -102,8 +103,9 @@ def replicate_means(spark: SparkSession, values: DataFrame, reps: int, seed: str
 def interval(rows: DataFrame, keys: list[str], stat: str) -> DataFrame:
     """The 2.5 and 97.5 percentiles of the finite values, their deviation and number; a group without any is left out."""
     fine = rows.filter(F.col(stat).isNotNull() & ~F.isnan(stat) & (F.abs(stat) != float("inf")))
-    found = fine.groupBy(*keys).agg(F.expr(f"percentile({stat}, array(0.025, 0.975))").alias("_q"), F.stddev_samp(stat).alias("se"), F.count("*").alias("reps"))
-    return found.select(*keys, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"), "se", "reps")
+    ends = ds.quantiles(fine, keys, stat, {"ci_low": 0.025, "ci_high": 0.975})
+    spread = fine.groupBy(*keys).agg(F.stddev_samp(stat).alias("se"), F.count("*").alias("reps"))
+    return ds.beside(ends, spread, keys).select(*keys, "ci_low", "ci_high", "se", "reps")
 
 
 def arm_contrasts(stats: DataFrame, first: str, second: str) -> DataFrame:
@@ -127,8 +129,9 @@ def permutation_p(observed: DataFrame, stats: DataFrame, alternative: str = "gre
 
 
 def correlations(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Pearson's and Spearman's correlation by group."""
-    ranked = rows.select(*keys, x, y, average_rank(x, keys).alias("_rx"), average_rank(y, keys).alias("_ry"))
+    """Pearson's and Spearman's correlation by group, over the rows that have both values."""
+    both = rows.select(*keys, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = ds.average_ranks(ds.average_ranks(both, keys, x, "_rx"), keys, y, "_ry")
     return ranked.groupBy(*keys).agg(F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from tessella.operators.joins import nearest
 from tessella.operators.products import BLOCK_ROWS, block_pairs, matrix, squared_distances
-from tessella.operators.ranking import average_rank
+from tessella.operators import distribution as ds
 
 #: References are this many times the dimensions at least, and the condition of their covariance is at most this.
 LEAST_PER_DIMENSION, MOST_CONDITION = 5, 1e12
@@ -144,12 +144,11 @@ def neighbour_purity(rows: DataFrame, k: int) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """The area under the curve by average ranks; null where a class is missing."""
-    ranked = rows.withColumn("_r", average_rank(score, keys))
-    pos = F.count_if(F.col(label) == 1)
-    neg = F.count_if(F.col(label) != 1)
-    area = (F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2) / (pos * neg)
-    return ranked.groupBy(*keys).agg(F.when((pos > 0) & (neg > 0), area).alias("auc"))
+    """The area under the curve from the counts of both classes at each score; null where a class is missing. Null scores stay out."""
+    counts = rows.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("value")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    found = ds.cumulated(counts, keys, ["pos", "neg"])
+    area = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)) / (F.max("pos_all") * F.max("neg_all"))
+    return found.groupBy(*keys).agg(F.when((F.max("pos_all") > 0) & (F.max("neg_all") > 0), area).alias("auc"))
 
 
 def folded(rows: DataFrame, label: str, item: str, folds: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import ranking
+from tessella.operators import distribution, ranking
 from tessella.operators import resample as rs
 from tessella.plans.aggregates import rounded
 from tessella.plans.base import documents, query, table
@@ -165,7 +165,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p, item) AS k, coun
 SELECT fam, item, round(p, 8) AS p, round(least(1.0, min(p * m / k) OVER (PARTITION BY fam ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) AS q FROM r UNION ALL SELECT fam, item, NULL, NULL FROM t WHERE p IS NULL""")
 def adjusted(spark, d):
     tests = table(spark, d, "customer").select((F.col("c_nationkey") % 3).cast("long").alias("fam"), F.col("c_custkey").alias("item"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey") * 7919 % 1009 / 1009.0).alias("p"))
-    return rounded(ranking.benjamini_hochberg(tests, ["fam"], "p", "item"), 8, "p", "q")
+    return rounded(ranking.benjamini_hochberg(tests, ["fam"], "p"), 8, "p", "q")
 
 
 AVERAGE = "rank() OVER (PARTITION BY p_brand ORDER BY {0}) + (count(*) OVER (PARTITION BY p_brand, {0}) - 1) / 2.0"
@@ -191,8 +191,8 @@ def materiality(spark, d):
     rows = table(spark, d, "events").select(F.col("event_type").alias("metric"), "event_id", (F.col("value") - 10).alias("v"))
 
     def scenario(part, name):
-        found = part.groupBy("metric").agg(F.avg("v").alias("effect"), F.expr("percentile(v, array(0.4, 0.6))").alias("q"))
-        return found.select("metric", F.lit(name).alias("scenario"), "effect", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+        ends = distribution.quantiles(part, ["metric"], "v", {"ci_low": 0.4, "ci_high": 0.6})
+        return part.groupBy("metric").agg(F.avg("v").alias("effect")).join(ends, "metric").withColumn("scenario", F.lit(name))
 
     return rs.materiality(scenario(rows, "all").unionByName(scenario(rows.filter("event_id % 2 = 0"), "kept")), "metric", "all", "kept")
 
@@ -205,9 +205,10 @@ def statistics(spark, d):
     part = table(spark, d, "part")
     found = rs.correlations(part, ["p_brand"], "p_size", "p_retailprice")
     large, price = F.col("p_size") > 25, F.col("p_retailprice")
-    gaps = part.groupBy("p_brand").agg(
-        (F.avg(F.when(large, price)) - F.avg(F.when(~large, price))).alias("mean_difference"), (F.median(F.when(large, price)) - F.median(F.when(~large, price))).alias("median_difference")
-    )
+    means = part.groupBy("p_brand").agg((F.avg(F.when(large, price)) - F.avg(F.when(~large, price))).alias("mean_difference"))
+    middle = distribution.quantiles(part.withColumn("large", large), ["p_brand", "large"], "p_retailprice", {"median": 0.5})
+    side = [F.max(F.when(mark, F.col("median"))) for mark in (F.col("large"), ~F.col("large"))]
+    gaps = means.join(middle.groupBy("p_brand").agg((side[0] - side[1]).alias("median_difference")), "p_brand")
     names = ("pearson", "spearman", "mean_difference", "median_difference")
     long = found.join(gaps, "p_brand").select("p_brand", F.inline(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).alias("value")) for n in names])))
     return rounded(long, 8, "value")

@@ -78,7 +78,7 @@ def test_bounds_ties_and_constant_targets(spark):
 
 def test_benjamini_hochberg(spark):
     rows = spark.createDataFrame([(1, 1, 0.01), (1, 2, 0.04), (1, 3, 0.03), (1, 4, float("nan")), (1, 5, None)], "f int, i int, p double")
-    got = {r.i: r.q for r in ranking.benjamini_hochberg(rows, ["f"], "p", "i").collect()}
+    got = {r.i: r.q for r in ranking.benjamini_hochberg(rows, ["f"], "p").collect()}
     assert {k: v and round(v, 9) for k, v in got.items()} == {1: 0.03, 2: 0.04, 3: 0.04, 4: None, 5: None}
 
 

@@ -5,7 +5,7 @@ from tests.compare import connection, difference
 
 FOLDER = "/root/testdata/sf0.001"
 #: Queries that SQL cannot express; other tests hold them against hand-made cases or numpy.
-BEYOND_SQL = {"VE4", "VE9", "VE11", "WN9"}
+BEYOND_SQL = {"VE4", "VE9", "VE11"}
 
 
 @pytest.fixture(scope="module")
