@@ -10,11 +10,14 @@ driver nor a task sees more of them than counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,8 +32,6 @@ CAPACITY = 1024
 #: The token that ends a document.
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct stretches whose tokens a task remembers.
-KNOWN = 300_000
 #: Counts of (part, length) that are broadcast at most, some 30 bytes each; more are joined by a shuffle.
 BROADCAST_COUNTS = 1_000_000
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -46,39 +47,37 @@ def _opens(data: np.ndarray) -> np.ndarray:
     return found
 
 
-class _Encoder:
-    """Token ids of stretches of text; each distinct stretch is tokenized once as long as it is remembered."""
-
-    def __init__(self, vocabulary: str):
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # a text that spells one is a text
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def __call__(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and where those of each begin and the last end."""
-        first = _opens(data)
-        ends = begins[1:][begins[1:] > 0]
-        first[ends - 1] = False
-        first[begins[:-1][begins[:-1] < len(data)]] = True
-        places = np.flatnonzero(first)
-        offsets = np.append(places, len(data)).astype(np.int32)
-        stretches = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        distinct = stretches.dictionary.to_pylist()
-        new = [s for s in distinct if s not in self.known]
-        if len(self.known) + len(new) > KNOWN:
-            self.known, new = {}, distinct
-        for low in range(0, len(new), 10_000):
-            some = new[low : low + 10_000]
-            for s, e in zip(some, self.tokenizer.encode_batch([s.decode("utf-8", "replace") for s in some], add_special_tokens=False), strict=True):
-                self.known[s] = np.array(e.ids, np.uint32)
-        ids = [self.known[s] for s in distinct]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat, at = np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum(sizes) - sizes
-        code = np.asarray(stretches.indices)
-        n = sizes[code]
-        upto = np.concatenate(([0], np.cumsum(n)))
-        found = flat[np.repeat(at[code] - upto[:-1], n) + np.arange(upto[-1])]
-        return found, upto[np.searchsorted(places, begins)]
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others by turns from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def encoder(vocabulary: str) -> Callable[[str], list[int]]:
+    """The ids of a text by a file of the tokenizers library, without special tokens; a text that spells one is a text.
+
+    A byte-level vocabulary whose ids follow the order of its merges is a table of ranks, and tiktoken gives the same ids
+    from it in a quarter of the time.
+    """
+    told = json.loads(Path(vocabulary).read_text("utf-8"))
+    model, split = told["model"], told.get("pre_tokenizer") or {}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model.get("merges", [])]
+    plain = not told.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if plain and model.get("type", "BPE") == "BPE" and all(model["vocab"].get(m) == 256 + i for i, m in enumerate(merged)):
+        byte, special = _byte_of(), {t["content"] for t in told.get("added_tokens", [])}
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        return tiktoken.Encoding(Path(vocabulary).stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def _encoded(encode: Callable[[str], list[int]], data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts end to end, and where those of each begin and the last end."""
+    held = data.tobytes()
+    each = [np.array(encode(held[a:b].decode("utf-8", "replace")), np.uint32) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+    return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate(([0], np.cumsum([len(x) for x in each])))
 
 
 def _cut(ids: np.ndarray, begins: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
@@ -103,7 +102,7 @@ def pieces_of(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _Encoder(path)
+        encode = encoder(path)
 
         def out(doc_ids: pa.Array, ids: np.ndarray, begins: np.ndarray) -> pa.RecordBatch:
             row, piece, start, length = _cut(ids, begins, capacity)
@@ -115,7 +114,7 @@ def pieces_of(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_
             data, begins = bytes_of(batch.column(1))
             going, held = -1, []  # a text that comes in parts
             for part, starts, rows in pieces(data, begins, _opens):
-                ids, at = encode(part, starts)
+                ids, at = _encoded(encode, part, starts)
                 if going >= 0 and rows[0] != going:
                     whole = np.concatenate([*held, np.array([end_id], np.uint32)])
                     yield out(batch.column(0).slice(going, 1), whole, np.array([0, len(whole)]))

@@ -70,18 +70,25 @@ def test_pieces_are_the_tokens_of_whole_texts():
     draw = random.Random(3)
     alphabet = [" ", " ", "  ", "\n", "\t", " ", "é", "a", "b", "'s", "1", "!", " ", "語", "\x1f"]
     texts = ODD + ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(400)]
-    encode = packing._Encoder(public_tokenizers.path(packing.VOCABULARY))
+    encode = packing.encoder(public_tokenizers.path(packing.VOCABULARY))
     data, begins = words.bytes_of(packing.pa.array(texts))
     want = [tokens(t) for t in texts]
     for step in (16, 100, 1 << 20):
         got = {}
         for part, starts, rows in words.pieces(data, begins, packing._opens, step):
-            ids, at = encode(part, starts)
+            ids, at = packing._encoded(encode, part, starts)
             for i, row in enumerate(rows):
                 got.setdefault(int(row), []).extend(ids[at[i] : at[i + 1]].tolist())
         assert [[*got.get(i, []), 2] for i in range(len(texts))] == want
 
 
+def test_other_vocabularies_are_left_to_their_library():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    encode = packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert [encode(x) for x in ODD[1:16]] == [t.encode(x, add_special_tokens=False).ids for x in ODD[1:16]]
+
+
 def test_places_and_sequences(spark):
     texts = ODD + ["same short text"] * 500 + ["word " * n for n in range(0, 1500, 7)]
     docs = spark.createDataFrame([(i if i % 11 else None, t, 1, "z") for i, t in enumerate(texts)], "doc_id long, text string, offset int, part string").repartition(5)
