@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.operators import distribution as ds
-from tessella.operators.ranking import draw_rank, hash_draw
+from tessella.operators.ranking import draw_rank, hash_draw, ranked
 
 #: Draws have 32 bits; rows are ranked within so many ranges of them, and the ranges' sizes are added up.
 RANGES = 4096
@@ -77,9 +77,9 @@ def balanced(rows: DataFrame, label: str, item: str, seed: str) -> DataFrame:
 
 
 def numbered(values: DataFrame, arm: str, order: str) -> DataFrame:
-    """(arm, k, value, n): the values of each arm numbered from 0 in the order given."""
-    group = Window.partitionBy(arm)
-    return values.select(F.col(arm).alias("arm"), "value", (F.row_number().over(group.orderBy(order)) - 1).alias("k"), F.count("*").over(group).alias("n"))
+    """(arm, k, value, n): the values of each arm numbered from 0 in the order of a number that is no tie; ranged, not sorted in one task."""
+    found = ranked(values.select(F.col(arm).alias("arm"), "value", order), ["arm"], order, [])
+    return found.select("arm", "value", (F.col("_rank") - 1).alias("k"), F.col("_n").alias("n"))
 
 
 def draws(spark: SparkSession, values: DataFrame, reps: int, seed: str) -> DataFrame:
@@ -108,24 +108,10 @@ def interval(rows: DataFrame, keys: list[str], stat: str) -> DataFrame:
     return ds.beside(ends, spread, keys).select(*keys, "ci_low", "ci_high", "se", "reps")
 
 
-def arm_contrasts(stats: DataFrame, first: str, second: str) -> DataFrame:
-    """(rep, ratio, difference) of two arms, replicate by replicate; a zero denominator gives no ratio."""
-    a, b = (stats.filter(F.col("arm") == x).select("rep", F.col("stat").alias(n)) for x, n in ((first, "a"), (second, "b")))
-    return a.join(b, "rep").select("rep", F.when(F.col("a") != 0, F.col("b") / F.col("a")).alias("ratio"), (F.col("b") - F.col("a")).alias("difference"))
-
-
-def permuted(rows: DataFrame, reps: int, seed: str) -> DataFrame:
-    """(rep, x, y) for rows (k, x, y), k from 0: in each replicate the ys change places. k orders the ranks."""
-    shuffled = rows.select("k", "y").join(F.broadcast(rows.sparkSession.range(reps).select(F.col("id").alias("rep"))), F.lit(True))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(hash_draw(seed, F.col("rep").cast("string"), F.col("k").cast("string")), "k")) - 1
-    return shuffled.select("rep", "y", place.alias("k")).join(rows.select("k", "x"), "k").select("rep", "x", "y")
-
-
-def permutation_p(observed: DataFrame, stats: DataFrame, alternative: str = "greater") -> DataFrame:
-    """observed (one row, stat) with p: one more than the replicates at least as extreme, over one more than all."""
-    extreme = {"greater": F.col("r") >= F.col("stat"), "less": F.col("r") <= F.col("stat"), "two_sided": F.abs("r") >= F.abs("stat")}[alternative]
-    joined = observed.join(stats.select(F.col("stat").alias("r")), F.lit(True))  # one observed row
-    return joined.groupBy("stat").agg(((F.count_if(extreme) + 1) / (F.count("r") + 1)).alias("p"))
+def arm_contrasts(stats: DataFrame) -> DataFrame:
+    """(rep, ratio, difference) of the last arm by name against the first, replicate by replicate; a zero denominator gives no ratio."""
+    ends = stats.groupBy("rep").agg(F.min_by("stat", "arm").alias("a"), F.max_by("stat", "arm").alias("b"))
+    return ends.select("rep", F.when(F.col("a") != 0, F.col("b") / F.col("a")).alias("ratio"), (F.col("b") - F.col("a")).alias("difference"))
 
 
 def correlations(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

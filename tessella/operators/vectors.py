@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators import distribution as ds
 from tessella.operators.joins import nearest
 from tessella.operators.products import BLOCK_ROWS, block_pairs, matrix, squared_distances
-from tessella.operators import distribution as ds
+from tessella.operators.resample import correlations
 
 #: References are this many times the dimensions at least, and the condition of their covariance is at most this.
 LEAST_PER_DIMENSION, MOST_CONDITION = 5, 1e12
@@ -216,9 +217,9 @@ def majority_share(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 def dimension_correlations(rows: DataFrame, value: str) -> DataFrame:
-    """(dim, pearson): each dimension against a property; null and NaN values are left out."""
+    """(dim, pearson, spearman): each dimension against a property; null and NaN values are left out."""
     fine = rows.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return fine.select(F.posexplode("x").alias("dim", "v"), F.col(value).cast("double").alias("p")).groupBy("dim").agg(F.corr("v", "p").alias("pearson"))
+    return correlations(fine.select(F.posexplode("x").alias("dim", "v"), F.col(value).cast("double").alias("p")), ["dim"], "v", "p")
 
 
 def expanded(rows: DataFrame, keys: list[str], sources: list[str]) -> DataFrame:

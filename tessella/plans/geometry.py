@@ -114,10 +114,13 @@ def majority_share(spark, d):
     return rounded(ve.majority_share(documents(spark, d), ["source"], "lang"), 8, "majority_share")
 
 
-@query("VE16", f"WITH {FLAT} SELECT dim::INTEGER AS dim, round(corr(v, label::DOUBLE), 8) AS pearson FROM flat WHERE id % 9 <> 0 GROUP BY 1")
+RANK = "(rank() OVER (PARTITION BY dim ORDER BY {0}) + (count(*) OVER (PARTITION BY dim, {0}) - 1) / 2.0)::DOUBLE"
+
+
+@query("VE16", f"WITH {FLAT}, r AS (SELECT dim, v, label::DOUBLE AS p, {RANK.format('v')} AS a, {RANK.format('label')} AS b FROM flat WHERE id % 9 <> 0) SELECT dim::INTEGER AS dim, round(corr(v, p), 8) AS pearson, round(corr(a, b), 8) AS spearman FROM r GROUP BY 1")
 def dimension_correlations(spark, d):
     rows = vectors(spark, d).withColumn("p", F.when(F.col("id") % 9 != 0, F.col("label").cast("double")))
-    return rounded(ve.dimension_correlations(rows, "p"), 8, "pearson")
+    return rounded(ve.dimension_correlations(rows, "p"), 8, "pearson", "spearman")
 
 
 @query("VE17", f"WITH {FLAT} SELECT label, dim::INTEGER AS dim, round(avg(v), 8) + 0.0 AS v FROM flat GROUP BY 1, 2")

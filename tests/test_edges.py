@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import normalize as nz
 from tessella.functions import text as tx
 from tessella.operators import aggregates as ag
-from tessella.operators import joins, quality, ranking, resample, sets, vectors
+from tessella.operators import joins, permutations, quality, ranking, resample, sets, vectors
 from tessella.sources import records, sinks
 
 
@@ -85,7 +85,7 @@ def test_benjamini_hochberg(spark):
 def test_permutation_p_is_never_zero(spark):
     observed = spark.createDataFrame([(5.0,)], "stat double")
     stats = spark.range(9999).select(F.lit(0.0).alias("stat"))
-    assert resample.permutation_p(observed, stats).first().p == pytest.approx(1 / 10000)
+    assert permutations.p_values(observed, stats, []).first().p == pytest.approx(1 / 10000)
 
 
 def test_display_and_tolerance(spark):
