@@ -23,6 +23,9 @@ MASK = (1 << 31) - 1
 WIDTHS = 256
 #: Keys of replicates, or rows, that are broadcast at most, some 100 bytes each.
 BROADCAST_ROWS = 1_000_000
+#: Permuted rows of a partition, about, and most partitions.
+PART_ROWS = 500_000
+MOST_PARTS = 10_000
 #: Rows of a block of vectors.
 BLOCK_ROWS = 512
 
@@ -54,8 +57,10 @@ def placed(rows: DataFrame, reps: int, seed: str) -> DataFrame:
     every = grid.join(F.broadcast(rows.sparkSession.range(reps).select(F.col("id").alias("rep"))), F.lit(True))
     draw = [hash_draw(seed, F.col("arm").cast("string"), F.col("rep").cast("string"), F.lit(str(i))).bitwiseAND(MASK).bitwiseOR(1).alias(f"_key{i}") for i in range(ROUNDS)]
     keyed = every.select("*", *draw)
-    few = arms.count() * reps <= BROADCAST_ROWS
-    out = rows.join(F.broadcast(keyed) if few else keyed, "arm").withColumns({"_left": F.floor(F.col("k") / F.col("_b")), "_right": F.pmod("k", "_b")})
+    total, n_arms = arms.agg(F.sum("n"), F.count("*")).first()
+    few = n_arms * reps <= BROADCAST_ROWS
+    dealt = rows.repartition(max(1, min(MOST_PARTS, (total or 0) * reps // PART_ROWS)), "arm", "k")  # before they are multiplied
+    out = dealt.join(F.broadcast(keyed) if few else keyed, "arm").withColumns({"_left": F.floor(F.col("k") / F.col("_b")), "_right": F.pmod("k", "_b")})
     for i in range(ROUNDS):
         own, other, size = ("_left", "_right", "_a") if i % 2 == 0 else ("_right", "_left", "_b")
         out = out.withColumn(own, F.pmod(F.col(own) + _mixed(F.col(other), F.col(f"_key{i}")), F.col(size)))
