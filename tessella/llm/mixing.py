@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import stored, table
+from tessella.operators.distribution import cumulated
 
 #: Share of the way from the natural mix's entropy to that of equal sources that the mix goes.
 ENTROPY_GAIN = 0.5
@@ -23,6 +24,8 @@ MAX_REPEATS = 4.0
 BLOCK_TOKENS = 250_000
 #: Sources whose weights are broadcast at most, some 100 bytes each; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: A document counts as so many parts where a share ends within it.
+PARTS = 1 << 20
 #: Halvings of the exponent's interval.
 STEPS = 50
 _NO_SOURCE = ""
@@ -86,26 +89,27 @@ def _carried(placed: DataFrame) -> DataFrame:
 
     The parts of these documents within the shares are added up from the longest document to the shortest, and one is
     taken whenever the sum passes a whole number: so the tokens of those taken exceed the parts by one document at most.
+    Parts are whole numbers of PARTS, and the sums run within ranges of the order and then over the ranges, so that no
+    window holds all blocks of a source.
     """
-    part = F.col("_left") / F.col("_tokens")
-    ends = placed.filter("_left > 0 and _left < _tokens").select("_source", "_home", "_tokens", part.alias("_part"))
-    order = Window.partitionBy("_source").orderBy(F.desc("_tokens"), "_home")  # a row for each block, not for each document
-    upto = F.sum("_part").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.coalesce(F.sum("_part").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    taken = ends.withColumn("_over", F.ceil(upto) > F.ceil(before)).filter("_over")
-    return taken.select("_source", "_home", "_over")
+    part = F.floor(F.col("_left") / F.col("_tokens") * PARTS).cast("long")
+    place = (F.lit(1 << 31) - F.col("_tokens")) * F.lit(1 << 32) + F.col("_home")  # by falling length, then block
+    ends = placed.filter("_left > 0 and _left < _tokens").select("_source", "_home", part.alias("part"), place.alias("value"))
+    summed = cumulated(ends, ["_source"], ["part"])  # a row for each block, not for each document
+    wholes = [F.floor((x + (PARTS - 1)) / PARTS) for x in (F.col("part_below"), F.col("part_below") + F.col("part"))]
+    return summed.filter(wholes[1] > wholes[0]).select("_source", "_home", F.lit(True).alias("_over"))
 
 
 def mix(
     docs: DataFrame, gain: float = ENTROPY_GAIN, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS,
-    tokens: str | None = None, tie: str | None = None, carry: bool = True,
+    tokens: str | None = None, tie: str | None = None,
 ) -> DataFrame:
     """docs as the mix shows them, with mix_epoch (from 0), mix_block and mix_order (place within the block, from 1).
 
     As many tokens as docs have are shared out by weight. A source that gets r times its tokens stands there whole
     floor(r) times, and for the rest every block takes, in the order of its permutation, the documents that end before
     the block's share is spent. Of the documents that the shares end in, so many are taken, spread over all lengths, that
-    a source gets its tokens and at most its longest document more; without carry each block takes its own. Epochs of one document lie in different blocks where there are several. Null
+    a source gets its tokens and at most its longest document more. Epochs of one document lie in different blocks where there are several. Null
     sources are one source, documents without a token are left out, repeated rows count apart and are ordered together;
     an empty table gives an empty result. Columns of docs named like the new ones are replaced, all others kept, whatever
     their names. A long text goes whole into a block. Ties in a permutation go by the id's text, then the text's hash. tokens and tie name
@@ -130,10 +134,9 @@ def mix(
     whole = Window.partitionBy("_source", "_home")
     fraction = F.col("_repeats") - F.floor("_repeats")
     placed = dealt.withColumn("_left", fraction * F.sum("_tokens").over(whole) - F.coalesce(F.sum("_tokens").over(permuted), F.lit(0)))
-    spent = F.col("_left") > 0
-    if carry:
-        placed = placed.join(F.broadcast(_carried(placed)), ["_source", "_home"], "left")  # a row for each source and block at most
-        spent = (F.col("_left") >= F.col("_tokens")) | (spent & F.col("_over").isNotNull())
+    over = _carried(placed).toDF("_of", "_at", "_over")  # a row for each source and block at most
+    placed = placed.join(over, (F.col("_source") == F.col("_of")) & (F.col("_home") == F.col("_at")), "left")
+    spent = (F.col("_left") >= F.col("_tokens")) | ((F.col("_left") > 0) & F.col("_over").isNotNull())
     counted = placed.withColumn("_times", F.floor("_repeats").cast("int") + spent.cast("int")).filter("_times > 0")
     shown = counted.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     shown = shown.withColumn("mix_block", (F.col("_home") + F.col("mix_epoch") * F.greatest(F.lit(1), F.floor(F.col("_blocks") / 4))) % F.col("_blocks"))
@@ -141,15 +144,15 @@ def mix(
     return shown.withColumn("mix_order", F.row_number().over(order)).select("_row.*", "mix_epoch", "mix_block", "mix_order")
 
 
-def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, and the place of each showing in the mix; as its SQL says, blocks carry nothing over."""
+def op2_mixing(spark: SparkSession, sf_dir: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, source, n_tokens, and the place of each showing in the mix."""
     text = F.col("text").cast("string")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", tokens_of(text).alias("n_tokens"), F.md5(F.coalesce(text, F.lit(""))).alias("mark"))
-    mixed = mix(stored(docs, "mixing"), tokens="n_tokens", tie="mark", carry=False)
+    mixed = mix(stored(docs, "mixing"), tokens="n_tokens", tie="mark", block_tokens=block_tokens)
     return mixed.select("doc_id", "source", "n_tokens", "mix_epoch", "mix_block", F.col("mix_order").cast("long").alias("mix_order"))
 
 
-def mixing_sql(docs: str = "documents") -> str:
+def mixing_sql(docs: str = "documents", block_tokens: int = BLOCK_TOKENS) -> str:
     """The rows of op2 in SQL, from the named table."""
     return f"""
 WITH RECURSIVE counted AS (
@@ -175,18 +178,22 @@ halved(i, lo, hi, rlo, rhi) AS (
 ), a AS (SELECT round(greatest(hi, rhi), 9) AS a FROM halved WHERE i = {STEPS}),
 w AS (
   SELECT src, pow(p, a) / (SELECT sum(pow(p, a)) FROM s, a) * (SELECT sum(n) FROM t) / n AS r,
-         greatest(1, ceil((SELECT sum(n) FROM t) / {BLOCK_TOKENS}))::BIGINT AS blocks
+         greatest(1, ceil((SELECT sum(n) FROM t) / {block_tokens}))::BIGINT AS blocks
   FROM s, a
 ), dealt AS (
   SELECT d.*, r, blocks, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 10))::BIGINT AS draw
   FROM d JOIN w USING (src)
 ), homes AS (SELECT *, draw % blocks AS home FROM dealt),
 spent AS (
-  SELECT *, coalesce(sum(n) OVER (PARTITION BY src, home ORDER BY draw, coalesce(doc_id::VARCHAR, 'null'), md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-            < (r - floor(r)) * sum(n) OVER (PARTITION BY src, home) AS more
+  SELECT *, (r - floor(r)) * sum(n) OVER (PARTITION BY src, home)
+            - coalesce(sum(n) OVER (PARTITION BY src, home ORDER BY draw, coalesce(doc_id::VARCHAR, 'null'), md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over
   FROM homes
-), shown AS (
-  SELECT *, unnest(range(floor(r)::BIGINT + more::BIGINT)) AS mix_epoch FROM spent
+), ends AS (SELECT src, home, n, floor(left_over / n * {PARTS})::BIGINT AS part FROM spent WHERE left_over > 0 AND left_over < n),
+summed AS (SELECT src, home, part, sum(part) OVER (PARTITION BY src ORDER BY n DESC, home) AS upto FROM ends),
+carried AS (SELECT src, home FROM summed WHERE (upto + {PARTS - 1}) // {PARTS} > (upto - part + {PARTS - 1}) // {PARTS}),
+more AS (SELECT s.*, left_over >= s.n OR (left_over > 0 AND c.src IS NOT NULL) AS more FROM spent s LEFT JOIN carried c ON s.src = c.src AND s.home = c.home),
+shown AS (
+  SELECT *, unnest(range(floor(r)::BIGINT + more::BIGINT)) AS mix_epoch FROM more
 ), placed AS (SELECT *, (home + mix_epoch * greatest(1, blocks // 4)) % blocks AS mix_block FROM shown)
 SELECT doc_id, source, n::BIGINT AS n_tokens, mix_epoch::INTEGER AS mix_epoch, mix_block::BIGINT AS mix_block,
        row_number() OVER (PARTITION BY mix_block ORDER BY ('0x' || substr(md5('order:' || mix_epoch || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 10))::BIGINT,
