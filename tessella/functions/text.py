@@ -2,30 +2,77 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.ranking import accepted_spans
+from tessella.operators.storage import settled
+
+_NO_SPANS = "cast(array() as array<struct<start:int,end:int,priority:int,term:string,found:string>>)"
 
 
 def term_spans(text: Column, terms) -> Column:
     """(start, end, priority, term, found) of every match of the terms' patterns as whole words, any case; places from 0.
 
     Patterns come in order of priority. Matches of one pattern do not overlap, so their places follow from the pieces
-    between them.
+    between them. A pattern is only tried on a text that holds one of its fixed words.
     """
-    every = []
+    every, plain = [], _folded(text)
     for rank, (term, pattern) in enumerate(terms):
         regex = f"(?iU)(?<!\\w)(?:{pattern})(?!\\w)"
         found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
         pieces = F.split(text, regex)
-        state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,priority:int,term:string,found:string>>)").alias("spans"))
+        state = F.struct(F.lit(0).alias("at"), F.expr(_NO_SPANS).alias("spans"))
 
         zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("0"), found.alias("1"))
-        every.append(F.aggregate(zipped, state, _placing(rank, term))["spans"])
+        spans = F.aggregate(zipped, state, _placing(rank, term))["spans"]
+        words = fixed_words(pattern)
+        every.append(F.when(_any_of(plain, words), spans).otherwise(F.expr(_NO_SPANS)) if words else spans)
     return F.concat(*every)
 
 
+def _folded(text: Column) -> Column:
+    """Lower case as patterns that ignore case see it: two letters that lower() leaves alone match a plain one."""
+    return F.translate(F.lower(text), "\u017f\u0131", "si")
+
+
+def _any_of(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def _branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern, also where all of it is one group."""
+    if pattern.startswith("(?:") and pattern.endswith(")"):
+        depth = [pattern[: i + 1].count("(") - pattern[: i + 1].count(")") for i in range(len(pattern))]
+        if min(depth[:-1]) > 0:
+            return _branches(pattern[3:-1])
+    parts, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def fixed_words(pattern: str) -> list[str]:
+    """Words in lower case of which every match holds at least one, from the parts of each alternative that are neither optional nor choices; none if an alternative has none."""
+    found = []
+    for branch in _branches(pattern):
+        bare = re.sub(r"\[[^\]]*\][*+?]?|\\.", " ", branch)
+        while (less := re.sub(r"\([^()]*\)[*+?]?", " ", bare)) != bare:
+            bare = less
+        words = re.findall("[a-z]{3,}", re.sub(r"\w[*?]|\{[^}]*\}", " ", bare).lower())
+        if not words:
+            return []
+        found.append(max(words, key=len))
+    return found
+
+
 def _placing(rank: int, term: str):
     """Moves past a piece and a match, and notes where the match stands."""
 
@@ -72,7 +119,8 @@ def term_matches(rows: DataFrame, text: str, terms=TERMS) -> DataFrame:
     """A row for each accepted match of the terms (name, pattern): leftmost first, of those the longest, then the pattern's place in the list."""
     keys = [c for c in rows.columns if c != text]
     lines = rows.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
-    some = lines.filter(F.col("line").rlike("(?iU)" + "|".join(f"(?:{p})" for _, p in terms)))
+    words = [fixed_words(pattern) for _, pattern in terms]
+    some = lines.filter(_any_of(_folded(F.col("line")), sorted({w for ws in words for w in ws}))) if all(words) else lines
     spans = some.select(*keys, (F.col("line_no") + 1).alias("line_no"), F.inline(accepted_spans(term_spans(F.col("line"), terms))))
     return spans.select(*keys, "line_no", "start", "end", "term", "found")
 
@@ -88,37 +136,26 @@ def leaf_units(rows: DataFrame, keys: list[str], json: str) -> DataFrame:
     return json_leaves(rows.select(*keys, json), json).select(*keys, F.concat(F.lit("json-pointer:"), "pointer").alias("source"), F.col("value").alias("text"))
 
 
-def _entries(pointer: Column, value: Column) -> Column:
-    """(pointer, value) of what stands in a JSON object, by key, or array; any other value stands for itself."""
-    keys = F.coalesce(F.json_object_keys(F.when(value.startswith("{"), value)), F.array())
-    fields = F.coalesce(F.from_json(F.when(value.startswith("{"), value), "map<string,string>"), F.create_map().cast("map<string,string>"))
-
-    def named(k: Column) -> Column:
-        escaped = F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-        return F.struct(F.concat(pointer, F.lit("/"), escaped).alias("pointer"), F.try_element_at(fields, k).alias("value"))
-
-    items = F.coalesce(F.from_json(F.when(value.startswith("["), value), "array<string>"), F.array().cast("array<string>"))
-    listed = F.transform(items, lambda v, i: F.struct(F.concat(pointer, F.lit("/"), i.cast("string")).alias("pointer"), v.alias("value")))
-    own = F.array(F.struct(pointer.alias("pointer"), value.alias("value")))
-    return F.when(value.startswith("{"), F.transform(F.array_sort(keys), named)).when(value.startswith("["), listed).otherwise(own)
-
-
 def json_leaves(rows: DataFrame, text: str) -> DataFrame:
     """A row (other columns, pointer, value) for each text, number and boolean in JSON objects and arrays, however deep.
 
-    One level a round, until no row holds an object or array; keys with `~` or `/` are escaped. Nulls are left out, and
-    texts that begin with a brace or bracket count as JSON.
+    Types tell a leaf, so a text that looks like JSON within JSON is a text. Keys with `~` or `/` are escaped, nulls are
+    left out, and a text that is no JSON stands for itself. One level a round; what is left to open is kept between
+    rounds, so the rows are read once.
     """
     keys = [c for c in rows.columns if c != text]
-    nested = F.col("value").startswith("{") | F.col("value").startswith("[")
-    level = rows.select(*keys, F.lit("").alias("pointer"), F.trim(text).alias("value")).filter("value is not null")
-    out = level.filter(~nested)
-    level = level.filter(nested)
-    while not level.isEmpty():
-        level = level.select(*keys, F.inline(_entries(F.col("pointer"), F.col("value")))).filter("value is not null")
-        out = out.unionByName(level.filter(~nested))
-        level = level.filter(nested)
-    return out
+    nested = F.to_json("_v").rlike(r"^[{\[]")  # texts are quoted there
+    parsed = rows.filter(F.col(text).isNotNull()).select(*keys, F.lit("").alias("_at"), F.try_parse_json(text).alias("_v"), F.col(text).alias("_own"))
+    out = parsed.filter("_v is null").select(*keys, F.col("_at").alias("pointer"), F.col("_own").alias("value"))
+    level = parsed.filter("_v is not null").drop("_own")
+    escaped = F.replace(F.replace("_key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    while True:
+        out = out.unionByName(level.filter(~nested & ~F.is_variant_null("_v")).select(*keys, F.col("_at").alias("pointer"), F.try_variant_get("_v", "$", "string").alias("value")))
+        left = settled(level.filter(nested))
+        if left.isEmpty():
+            return out
+        opened = left.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_v").outer()).toDF("_pos", "_key", "_child"))
+        level = opened.select(*keys, F.concat("_at", F.lit("/"), F.coalesce(escaped, F.col("_pos").cast("string"))).alias("_at"), F.col("_child").alias("_v"))
 
 
 def first_rule(rules: list[tuple[Column, str]], otherwise: str) -> Column:

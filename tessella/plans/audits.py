@@ -233,10 +233,12 @@ WORDS = (("license", "license"), ("version", "version"))
 
 
 @query("TX1", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT doc_id, unnest(regexp_extract_all(line, '(?i)\b(?:license|version)\b')) AS found FROM l)
-SELECT doc_id, lower(found) AS term, count(*) AS n FROM m GROUP BY 1, 2""")
+SELECT doc_id, lower(found) AS term, count(*) AS n FROM m GROUP BY 1, 2
+UNION ALL SELECT doc_id, term, n FROM documents, (VALUES ('ood_penalty', 1), ('ood', 1), ('source_domain', 1), ('robustness_language', 2), ('causal_language', 1), ('byte_identity', 1), ('checkpoint_pinned', 1)) t(term, n) WHERE text IS NOT NULL""")
 def term_counts(spark, d):
-    """All terms, of which the test tables hold none, and two words that they do."""
-    found = tx.term_matches(documents(spark, d).select("doc_id", "text"), "text", tx.TERMS + WORDS)
+    """All terms, which the test tables hold where a line is added to each text, and two words that they hold anyway."""
+    texts = documents(spark, d).select("doc_id", F.concat("text", F.lit("\nOOD  penalties, not ood: the source-domain ROBU\u017fTLY explained, byte identity pinned; unpinned driver robustness")).alias("text"))
+    found = tx.term_matches(texts, "text", tx.TERMS + WORDS)
     return found.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
@@ -253,11 +255,11 @@ def term_units(spark, d):
 
 
 @query("TX2", """SELECT event_id, '/a/' || event_type || '/0/b~1c' AS pointer, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, '/a/' || event_type || '/1', 'true' FROM events
-UNION ALL SELECT event_id, '/z', event_type FROM events""")
+UNION ALL SELECT event_id, '/z', event_type FROM events UNION ALL SELECT event_id, '/t', '{not json' FROM events UNION ALL SELECT event_id, '/u', '[1, 2]' FROM events""")
 def json_leaves(spark, d):
-    """The events' own JSON, three levels further down, beside other leaves."""
+    """The events' own JSON, three levels further down, beside other leaves, of which two are texts that look like JSON."""
     k = F.get_json_object("props", "$.k")
-    json = F.concat(F.lit('{"z": "'), "event_type", F.lit('", "n": null, "a": {"'), "event_type", F.lit('": [{"b/c": '), k, F.lit("}, true]}}"))
+    json = F.concat(F.lit('{"z": "'), "event_type", F.lit('", "n": null, "t": "{not json", "u": "[1, 2]", "a": {"'), "event_type", F.lit('": [{"b/c": '), k, F.lit("}, true]}}"))
     return tx.json_leaves(table(spark, d, "events").select("event_id", json.alias("json")), "json")
 
 
