@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.functions import normalize as nz
 from tessella.operators import aggregates as ag
 from tessella.operators import quality as dq
 from tessella.operators import sets
+from tessella.operators.storage import shared_dir
 from tessella.plans.aggregates import TIES, rounded
 from tessella.plans.base import PREDICTIONS, documents, predictions, query, runs, table
+from tessella.sources import archives
 
 
 @query("SC9", "SELECT replace(c_name, '#', '_') AS id, c_acctbal AS target FROM customer WHERE c_custkey % 10 <> 0")
@@ -26,6 +30,16 @@ def report_lines(spark, d):
     return table(spark, d, "nation").select(F.concat(F.lit("| "), "n_name", F.lit(" | "), "n_regionkey", F.lit(" |")).alias("line"))
 
 
+@query("SK8", "SELECT doc_id || '.txt' AS name, octet_length(encode(text)) AS size, sha256(text) AS sha256, true AS same FROM documents")
+def written_files(spark, d):
+    """Every document as a file, in the manifest of the write and as read and hashed again."""
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    docs = documents(spark, d).select(F.concat(F.col("doc_id"), F.lit(".txt")).alias("name"), "text")
+    manifest = archives.write_files(docs, "name", "text", path)
+    again = archives.files_of(spark, path).select("name", F.col("sha256").alias("found"))
+    return manifest.join(again, "name", "left").select("name", "size", "sha256", F.coalesce(F.col("sha256") == F.col("found"), F.lit(False)).alias("same"))
+
+
 @query("SK9", "SELECT doc_id, strlen(text)::BIGINT AS bytes, sha256(text) || '  doc/' || doc_id AS line FROM documents")
 def manifest(spark, d):
     return documents(spark, d).select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.concat(F.sha2("text", 256), F.lit("  doc/"), "doc_id").alias("line"))
