@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.operators import distribution as ds
+from tessella.operators.ranking import ranked
 
 
 def group_summary(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -173,6 +173,6 @@ def seed_mean_gain(rows: DataFrame, keys: list[str], item: str, error: str, base
 
 def batch_means(rows: DataFrame, keys: list[str], value: str, order: list[str], size: int) -> DataFrame:
     """The mean of the means of batches in the order given, beside the mean of the rows: they differ where the last batch is short."""
-    batch = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size)
-    means = rows.withColumn("_batch", batch).groupBy(*keys, "_batch").agg(F.avg(value).alias("_m"), F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    batch = F.floor((F.col("_rank") - 1) / size)
+    means = ranked(rows, keys, order[0], order[1:]).withColumn("_batch", batch).groupBy(*keys, "_batch").agg(F.avg(value).alias("_m"), F.sum(value).alias("_s"), F.count(value).alias("_n"))
     return means.groupBy(*keys).agg(F.avg("_m").alias("mean_of_batches"), (F.sum("_s") / F.sum("_n")).alias("mean_of_rows"), F.count("*").alias("batches"))

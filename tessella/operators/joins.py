@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators.distribution import beside
 from tessella.operators.products import BLOCK_ROWS, block_pairs, matrix, squared_distances
+from tessella.operators.ranking import ranked
 
 #: Pairs whose distances are taken at once.
 STEP = 1 << 18
@@ -96,10 +98,18 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, own: bool = False
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "ref_id", "distance")
 
 
-def compared_groups(rows: DataFrame, group: list[str], side: str, left: str, right: str, item: str, order: str) -> DataFrame:
-    """For each group the lists of two sides: equal, in another order, or of other members."""
-    lists = rows.groupBy(*group, side).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, item))), lambda p: p[item]).alias("items"))
-    a = lists.filter(F.col(side) == left).select(*group, F.col("items").alias("a"))
-    b = lists.filter(F.col(side) == right).select(*group, F.col("items").alias("b"))
-    same = F.when(F.col("a") == F.col("b"), "equal").when(F.array_sort("a") == F.array_sort("b"), "order_differs").otherwise("members_differ")
-    return a.join(b, group).select(*group, same.alias("verdict"))
+def compared_groups(rows: DataFrame, group: list[str], side: str, left: str, right: str, item: str, order: list[str]) -> DataFrame:
+    """For each group that has both sides: equal, in another order, or of other members.
+
+    Members are compared by their counts, and where these agree the items by their places, which come from ranges of
+    the first column of the order, a number; no group is gathered. Rows that tie in the order are ordered by the item.
+    """
+    two = rows.filter(F.col(side).isin(left, right)).select(*group, side, item, *order)
+    first = F.col(side) == left
+    counts = two.groupBy(*group, item).agg(F.count_if(first).alias("_l"), F.count_if(~first).alias("_r"))
+    members = counts.groupBy(*group).agg(F.sum("_l").alias("_left"), F.sum("_r").alias("_right"), F.bool_and(F.col("_l") == F.col("_r")).alias("_same"))
+    placed = ranked(two, [*group, side], order[0], [*order[1:], item])
+    at = placed.groupBy(*group, "_rank").agg(F.max(F.when(first, F.col(item))).alias("_a"), F.max(F.when(~first, F.col(item))).alias("_b"))
+    ordered = at.groupBy(*group).agg(F.bool_and(F.col("_a").eqNullSafe(F.col("_b"))).alias("_ordered"))
+    verdict = F.when(~F.col("_same"), "members_differ").when(F.col("_ordered"), "equal").otherwise("order_differs")
+    return beside(members.filter("_left > 0 and _right > 0"), ordered, group).select(*group, verdict.alias("verdict"))

@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.operators import distribution as ds
 from tessella.operators.joins import nearest
 from tessella.operators.products import BLOCK_ROWS, block_pairs, matrix, squared_distances
+from tessella.operators.ranking import hash_draw, ranked
 from tessella.operators.resample import correlations
 
 #: References are this many times the dimensions at least, and the condition of their covariance is at most this.
@@ -153,8 +153,8 @@ def roc_auc(rows: DataFrame, keys: list[str], score: str, label: str) -> DataFra
 
 
 def folded(rows: DataFrame, label: str, item: str, folds: int) -> DataFrame:
-    """Adds fold: the rows of each label dealt in turn."""
-    return rows.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col(item).cast("string")))) - 1) % folds)
+    """Adds fold: the rows of each label dealt in turn, in the order of a draw; ranged, not sorted in one task."""
+    return ranked(rows, [label], hash_draw("fold", F.col(item).cast("string")), [item]).withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank", "_n")
 
 
 def cross_validated_scores(rows: DataFrame, folds: int = 5) -> DataFrame:

@@ -105,8 +105,7 @@ def nearest(spark, d):
 SELECT a.l_suppkey, CASE WHEN a.items = b.items THEN 'equal' WHEN list_sort(a.items) = list_sort(b.items) THEN 'order_differs' ELSE 'members_differ' END AS verdict
 FROM s a JOIN s b USING (l_suppkey) WHERE a.l_linestatus = 'F' AND b.l_linestatus = 'O'""")
 def compared_groups(spark, d):
-    lines = table(spark, d, "lineitem").withColumn("at", F.struct("l_orderkey", "l_linenumber"))
-    return joins.compared_groups(lines, ["l_suppkey"], "l_linestatus", "F", "O", "l_partkey", "at")
+    return joins.compared_groups(table(spark, d, "lineitem"), ["l_suppkey"], "l_linestatus", "F", "O", "l_partkey", ["l_orderkey", "l_linenumber"])
 
 
 QUALITY = "q AS (SELECT md5(text) AS k, doc_id, (l.doc_id IS NOT NULL)::INTEGER AS labelled, n_chars FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id))"

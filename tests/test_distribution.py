@@ -102,3 +102,20 @@ def test_empty(rows):
     none = rows.limit(0)
     assert ag.quantiles(none, ["g"], "v", [0.5]).count() == ranking.bands(none, ["g"], "v", "i").count() == 0
     assert ranking.benjamini_hochberg(none, ["g"], "v").count() == ag.residual_decomposition(none.select("g", F.col("v").alias("target"), F.col("v").alias("prediction")), ["g"]).count() == 0
+
+
+def test_cross_validated_areas(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, i % 2, (rng.normal(size=3) + [3.0 * (i % 2), 0, 0]).tolist(), rng.normal(size=3).tolist()) for i in range(240)]
+    rows = spark.createDataFrame(data, "id long, family int, near array<double>, noise array<double>")
+    areas = {}
+    for name in ("near", "noise"):
+        scores = vectors.cross_validated_scores(rows.select("id", "family", F.col(name).alias("x"))).withColumn("g", F.lit(1))
+        areas[name] = vectors.roc_auc(scores, ["g"], "score", "family").first().auc
+        assert scores.count() == 240 == scores.select("id").distinct().count()
+    x = np.array([r[2][0] for r in data])
+    y = np.array([r[1] for r in data])
+    best = np.mean(x[y == 1][:, None] > x[y == 0])  # of the one dimension that tells
+    assert areas["near"] == pytest.approx(best, abs=0.02) and abs(areas["noise"] - 0.5) < 0.12
+    folds = vectors.folded(rows, "family", "id", 5).groupBy("family", "fold").count().collect()
+    assert {r["count"] for r in folds} == {24} and len(folds) == 10

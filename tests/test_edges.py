@@ -283,3 +283,13 @@ def test_ranks_and_quantiles_by_ranges(spark):
         want = np.percentile([v for g, _, v in rows if g == r.g and v is not None], [10, 50, 95])
         assert (r.q10, r.q50, r.q95) == pytest.approx(tuple(want))
     assert ranking.ranked(frame.limit(0), ["g"], "v", ["i"]).count() == 0
+
+
+def test_groups_are_compared_by_counts_and_places(spark):
+    rows = [("same", s, i, str(i % 3)) for s in "ab" for i in range(50)] + [("order", s, i if s == "a" else 49 - i, str(i)) for s in "ab" for i in range(50)]
+    rows += [("members", "a", 1, "x"), ("members", "b", 1, "y"), ("times", "a", 1, "x"), ("times", "a", 2, "x"), ("times", "b", 1, "x"), ("alone", "a", 1, "x"), ("other", "c", 1, "x")]
+    rows += [(None, s, 1, None) for s in "ab"] + [("ties", s, 1, x) for s, xs in (("a", "pq"), ("b", "qp")) for x in xs]
+    frame = spark.createDataFrame(rows, "g string, side string, at int, v string").repartition(4)
+    got = {r.g: r.verdict for r in joins.compared_groups(frame, ["g"], "side", "a", "b", "v", ["at"]).collect()}
+    assert got == {"same": "equal", "order": "order_differs", "members": "members_differ", "times": "members_differ", None: "equal", "ties": "equal"}
+    assert joins.compared_groups(frame.limit(0), ["g"], "side", "a", "b", "v", ["at"]).count() == 0
