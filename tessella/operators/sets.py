@@ -31,12 +31,13 @@ def set_algebra(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
-def grid_gaps(rows: DataFrame, dims: dict[str, list]) -> DataFrame:
-    """Cells of the cross product of the listed values that no row has, and cells of rows outside it."""
+def grid_gaps(rows: DataFrame, dims: dict[str, list | DataFrame]) -> DataFrame:
+    """Cells of the cross product of the values that no row has, and cells of rows outside it. Values are listed, or the only column of a table."""
     spark = rows.sparkSession
     grid = None
     for name, values in dims.items():
-        one = spark.createDataFrame([(v,) for v in values], [name]).select(F.col(name).cast(rows.schema[name].dataType))
+        listed = values.distinct().toDF(name) if isinstance(values, DataFrame) else spark.createDataFrame([(v,) for v in values], [name])
+        one = listed.select(F.col(name).cast(rows.schema[name].dataType))
         grid = one if grid is None else grid.crossJoin(one)  # as many rows as the listed values make
     found = rows.select(*dims).distinct()
     missing = grid.join(found, list(dims), "left_anti").withColumn("gap", F.lit("missing"))

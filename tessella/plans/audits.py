@@ -77,11 +77,10 @@ def contiguous(spark, d):
     return records.contiguous(rows, ["label"], "id").unionByName(records.contiguous(rows.withColumn("label", F.lit(-1)), ["label"], "id"))
 
 
-@query("SC8_rows", f"WITH {VECTORS} SELECT k AS embedding_index, id, family, round(x[1] + x[64], 8) AS ends FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS k FROM vecs WHERE label < 5)")
+@query("SC8_rows", f"WITH {VECTORS} SELECT k AS embedding_index, id, family, round(x[1] + x[64], 8) AS ends FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS k FROM vecs)")
 def embedding_rows(spark, d):
     """Metadata of two sources, one of which names the rows of a matrix."""
-    rows = vectors(spark, d).filter("label < 5").withColumn("family", F.col("family"))
-    rows = spread_rank(rows, F.col("id"), "id").withColumn("embedding_index", F.col("rank") - 1)
+    rows = spread_rank(vectors(spark, d), F.col("id"), "id").withColumn("embedding_index", F.col("rank") - 1)
     meta = rows.select("id", F.col("family").cast("string").alias("family"), F.col("embedding_index").cast("string").alias("embedding_index"), F.lit("pool").alias("embedding_source"))
     both = meta.unionByName(meta.withColumn("embedding_source", F.lit("head")).filter("id % 2 = 0"))
     found = records.embedding_rows(both, rows.select("embedding_index", "x"), "pool", ["0", "1"])
@@ -122,8 +121,7 @@ def key_faults(spark, d):
 
 @query("DQ3", "SELECT family, seed, 'missing' AS gap FROM (SELECT DISTINCT c_mktsegment AS family FROM customer), (VALUES (5::BIGINT), (6)) t(seed)")
 def grid(spark, d):
-    families = sorted(r.family for r in runs(spark, d).select("family").distinct().collect())
-    return sets.grid_gaps(runs(spark, d), {"family": families, "seed": list(range(7))})
+    return sets.grid_gaps(runs(spark, d), {"family": runs(spark, d).select("family"), "seed": list(range(7))})
 
 
 @query("DQ4", "SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars <> length(text) THEN 'length' END, CASE WHEN n_chars > 5000 THEN 'long' END, CASE WHEN lang = 'en' THEN 'english' END], lambda c: c IS NOT NULL), ',') AS codes FROM documents")

@@ -183,7 +183,7 @@ def silu(spark, d):
 @query("FL1", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = (SELECT min(o_orderpriority) FROM orders)")
 def equal_rows(spark, d):
     orders = table(spark, d, "orders")
-    least = orders.agg(F.min("o_orderpriority")).first()[0]
+    least = orders.agg(F.min("o_orderpriority")).scalar()
     return orders.filter(sets.equals({"o_orderstatus": "F", "o_orderpriority": least})).select("o_orderkey")
 
 

@@ -93,10 +93,11 @@ def principal_components(spark, d):
     return found.withColumn("share", F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("component") + 1))
 
 
-@query("VE13", "SELECT count(*) AS n, 0.5::DOUBLE AS largest_gap FROM embeddings WHERE label < 5")
+@query("VE13", f"WITH {VECTORS} SELECT count(*) AS n, round(max(list_max(list_transform(x, lambda v: abs(v - v * 1.25)))), 8) AS largest_gap FROM vecs")
 def same_vectors(spark, d):
+    """All vectors beside ones that are a quarter longer."""
     rows = vectors(spark, d)
-    return ve.same_vectors(rows, rows.filter("label < 5").withColumn("x", F.transform("x", lambda v, i: F.when(i == 3, v + 0.5).otherwise(v)))).select("n", F.round("largest_gap", 8).alias("largest_gap"))
+    return ve.same_vectors(rows, rows.withColumn("x", F.transform("x", lambda v: v * 1.25))).select("n", F.round("largest_gap", 8).alias("largest_gap"))
 
 
 @query("VE14", """WITH m AS (SELECT event_type AS metric, event_type < 'd' AS better, avg(value) AS before, avg(value) FILTER (event_id % 3 = 0) AS after FROM events GROUP BY 1, 2)
