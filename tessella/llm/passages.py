@@ -146,8 +146,8 @@ def unique_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
 
     A window counts as repeated where its sequence of words also starts at any other place, in the same row or another;
     all places of a tie go alike. Rows that repeat a doc_id are documents of their own. Null and empty texts have no
-    words, texts shorter than a window lose none. A null doc_id keeps its row. A very long text is a block of its own,
-    which one task holds whole. An empty table gives an empty result; further columns are ignored, whatever their names.
+    words, texts shorter than a window lose none. A null doc_id keeps its row. A very long text stands whole in
+    one block, beside others that its hash deals there. An empty table gives an empty result; further columns are ignored, whatever their names.
     """
     rows, parts = blocks.blocked(docs, block_bytes)
     seeds = blocks.repeated(blocks.by_block(rows, lambda t: _seeds(t, blocks.key_parts(parts), window, gram), blocks.KEYS))

@@ -187,6 +187,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
     Null or wordless text has fingerprint zero and links like any other; equal fingerprints are one class, so
     copies are never paired; repeated rows give repeated rows; a null doc_id keeps its row but names no component.
+    A bit that just half of the shingles set is not set; a component is named by its smallest id, so ties need no rule.
     Long texts are fingerprinted whole, some MB of texts at once. An empty table gives an empty result, and further
     columns are ignored.
     """

@@ -233,8 +233,9 @@ def unique_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_
 
     Null and empty texts have no bytes, texts shorter than a window lose none. A null doc_id is greater than all others;
     rows that repeat a doc_id take nothing from each other. What is left may end within a letter, so it is binary. A very
-    long text is a block of its own, which one task holds whole. An empty table gives an empty result; further columns
-    are ignored, whatever their names.
+    long text stands whole in one block, beside others that its hash deals there. A string that several documents share
+    stays in the one of smallest id, so ties need no rule. An empty table gives an empty result; further columns are
+    ignored, whatever their names.
     """
     rows, parts = blocks.blocked(docs, block_bytes)
     seeds = blocks.repeated(blocks.by_block(rows, lambda t: _seeds(t, blocks.key_parts(parts), window, gram), blocks.KEYS))

@@ -326,7 +326,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of docs, by the contract of op9.
 
     A text without a word scores the share of toxic labels; if a class has no row to learn from, all texts score 0.
-    Of several labels of a document the greater counts, and labels other than 0 and 1 are none. A null doc_id keeps its
+    Of several labels of a document the greater counts, and labels other than 0 and 1 are none. A score of just one half
+    is predicted 1, equal texts have equal scores. A null doc_id keeps its
     row, with held_out false; repeated rows keep their rows; long texts are scored whole, and learnt from in part; an empty
     table gives an empty result; further columns of docs or labels are ignored.
     """
