@@ -175,7 +175,7 @@ PLAIN = "(event_id * 7919 % 1000)::DOUBLE"
 def points(spark, d, y=None):
     y = (F.col("event_id") * 7919 % 1000).cast("double") if y is None else y
     rows = table(spark, d, "events").select("event_type", "event_id", F.col("value").alias("x"), y.alias("y"))
-    return pm.numbered(rows, "event_type", "event_id").select("arm", "k", "n", "x", "y")
+    return settled(pm.numbered(rows, "event_type", "event_id").select("arm", "k", "n", "x", "y"))  # used several times
 
 
 def extreme(mark: str) -> str:
@@ -206,7 +206,7 @@ most AS (SELECT rep, max(abs(r)) AS m FROM dims WHERE rep >= 0 GROUP BY 1) SELEC
 def largest_permutation(spark, d):
     """Every dimension of the vectors against their label, by the largest of all dimensions."""
     rows = pm.numbered(vectors(spark, d).select(F.lit("all").alias("one"), "id", "x", F.col("label").cast("double").alias("y")), "one", "id")
-    found = settled(pm.dimension_permutations(rows.select("arm", "k", "n", "x", "y"), REPS, "42"))
+    found = settled(pm.dimension_permutations(settled(rows.select("arm", "k", "n", "x", "y")), REPS, "42"))
     return rounded(pm.largest(found), 8, "stat", "p")
 
 
@@ -244,7 +244,7 @@ def decision(spark, d):
     first = F.broadcast(events.agg(F.min("event_type").alias("first")))  # one row
     y = F.when(F.col("event_type") == F.col("first"), F.col("value")).otherwise((F.col("event_id") * 7919 % 1000).cast("double"))
     marked = events.join(first, F.lit(True)).select("event_type", "event_id", F.col("value").alias("x"), y.alias("y"))
-    rows = pm.numbered(marked, "event_type", "event_id").select("arm", "k", "n", "x", "y")
+    rows = settled(pm.numbered(marked, "event_type", "event_id").select("arm", "k", "n", "x", "y"))
     effects = rows.groupBy("arm").agg(F.corr("x", "y").alias("stat"))
     stats = pm.permuted(rows, GATE, "42").groupBy("arm", "rep").agg(F.corr("x", "y").alias("stat"))
     tested = ranking.benjamini_hochberg(settled(pm.p_values(effects, stats, ["arm"])), [], "p")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import os
 import shutil
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from pyspark.sql.types import StructType
 #: Partitions of an archive at most; members are dealt to them in turn.
 MOST_PARTITIONS = 10_000
 _STEP = 1 << 20
+_TRIES = 100
 MEMBERS = "member string, size long, packed long, crc32 long, sha256 string, content binary"
 MANIFEST = "name string, size long, sha256 string"
 
@@ -143,11 +145,12 @@ class _FileWriter(DataSourceWriter):
         self.path, self.staged = path, f"{path}.staged-{uuid.uuid4().hex}"
         if os.path.exists(path):
             raise FileExistsError(path)
+        os.makedirs(self.staged)
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         part, files = uuid.uuid4().hex, 0
         folder = f"{self.staged}/{part}"
-        os.makedirs(folder)
+        os.mkdir(folder)  # fails once the job is aborted
         with open(f"{self.staged}/{part}.csv", "w", encoding="utf-8") as manifest:
             for row in iterator:
                 name, content = checked_name(row["name"]), bytes(row["content"] or b"")
@@ -165,11 +168,20 @@ class _FileWriter(DataSourceWriter):
                 os.rename(f"{self.staged}/{m.part}", f"{final}/{m.part}")
                 os.rename(f"{self.staged}/{m.part}.csv", f"{final}/_manifest/{m.part}.csv")
         os.rename(final, self.path)
-        shutil.rmtree(self.staged, ignore_errors=True)
+        _removed(self.staged)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        shutil.rmtree(self.staged, ignore_errors=True)
-        shutil.rmtree(f"{self.staged}.whole", ignore_errors=True)
+        _removed(self.staged)
+        _removed(f"{self.staged}.whole")
+
+
+def _removed(folder: str) -> None:
+    """Removes a folder that tasks of a failed job may still write to; none of them can begin again once it is gone."""
+    for _ in range(_TRIES):
+        shutil.rmtree(folder, ignore_errors=True)
+        if not os.path.exists(folder):
+            return
+        time.sleep(0.1)
 
 
 def write_files(rows: DataFrame, name: str, content: str, path: str) -> DataFrame:
