@@ -2,8 +2,8 @@
 
 One automaton over words holds the notice phrases and the tag that introduces an expression; what follows a tag on its
 line is parsed. An expression such as `(MIT OR Apache-2.0) AND BSD-3-Clause WITH x` is turned into postfix form and
-evaluated to the sets of licenses that satisfy it: `or` joins alternatives, `and` combines them, `with` binds an
-exception to its license. Where the sets would be too many, the expression stays factored.
+evaluated to the licenses that satisfy it: `or` joins alternatives, `and` combines them, `with` binds an exception to
+its license. Alternatives within a combination stay factored, so a label is as long as its expression at most.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +41,6 @@ MORE = {
 TAG = "spdx license identifier"
 #: What follows a tag on its line and can be part of an expression.
 EXPRESSION = re.compile(rb":?[ \t]*([a-z0-9.+() \t-]*)")
-#: With more alternatives than this an expression is labelled in factored form.
-MAX_ALTERNATIVES = 64
 
 _SEPARATORS = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -140,64 +137,51 @@ def postfix(tokens: list[str]) -> list[str]:
 
 @dataclass
 class Terms:
-    """An expression: the alternatives' sets of licenses, None where there are too many, and the parts that its operator joins."""
+    """An expression: the operator that joins its parts (none for a single license), and the parts, each once, with whether brackets stand around it among others."""
 
-    sets: list[frozenset[str]] | None
     kind: str
-    parts: tuple[str, ...]
+    parts: dict[str, bool]
 
     def text(self) -> str:
-        return self.parts[0] if len(self.parts) == 1 else "(" + ("|" if self.kind == "or" else "+").join(sorted(self.parts)) + ")"
+        if len(self.parts) == 1:
+            return next(iter(self.parts))
+        return ("|" if self.kind == "or" else "+").join(sorted(f"({p})" if wide else p for p, wide in self.parts.items()))
 
+    def part(self) -> tuple[str, bool]:
+        return self.text(), len(self.parts) > 1 or any(self.parts.values())
 
-def _joined(left: Terms, right: Terms, kind: str, most: int | None) -> Terms:
+
+def _joined(left: Terms, right: Terms, kind: str) -> Terms:
     if kind == "with":
-        parts: tuple[str, ...] = (f"{left.text()} with {right.text()}",)
-    else:
-        own = [p for side in (left, right) for p in (side.parts if side.kind in (kind, "") else (side.text(),))]
-        parts = tuple(dict.fromkeys(own))
-    sets = None
-    if left.sets is not None and right.sets is not None:
-        if kind == "or":
-            sets = left.sets + right.sets
-        elif kind == "and":
-            sets = [a | b for a, b in product(left.sets, right.sets)]
-        else:
-            sets = [frozenset(f"{x} with {y}" for x in a for y in b) for a, b in product(left.sets, right.sets)]
-        sets = list(dict.fromkeys(sets))
-        sets = sets if most is None or len(sets) <= most else None
-    return Terms(sets, "" if kind == "with" else kind, parts)
+        return Terms("", {" with ".join(f"({text})" if wide else text for text, wide in (left.part(), right.part())): False})
+    if left.kind not in (kind, ""):
+        left = Terms(kind, dict([left.part()]))
+    left.kind = kind  # a chain of one operator grows in place
+    left.parts.update(right.parts if right.kind in (kind, "") else dict([right.part()]))
+    return left
 
 
-def evaluated(expression: str, most: int | None = MAX_ALTERNATIVES) -> Terms | None:
+def evaluated(expression: str) -> Terms | None:
     """The expression; of a text that stops being one the longest leading part that is one counts, and without any there is none."""
     stack: list[Terms] = []
     for token in postfix(re.findall(r"[()]|[a-z0-9.+-]+", expression.lower())):
         if token in _BINDS:
             right = stack.pop()
-            stack.append(_joined(stack.pop(), right, token, most))
+            stack.append(_joined(stack.pop(), right, token))
         else:
-            stack.append(Terms([frozenset([token])], "", (token,)))
+            stack.append(Terms("", {token: False}))
     return stack[0] if stack else None
 
 
-def alternatives(expression: str) -> list[frozenset[str]]:
-    """The sets of licenses any of which satisfies the expression, however many."""
-    found = evaluated(expression, None)
-    return found.sets if found else []
-
-
 def labels_of(expression: str) -> list[str]:
-    """One label for each alternative that satisfies the expression, its licenses joined by a plus sign.
+    """One label for each part that the outermost `or` joins, whatever their number.
 
-    Beyond MAX_ALTERNATIVES one label for each part that the outermost `or` joins, in factored form: `(a|b)+(c|d)`.
+    Licenses that hold together are joined by a plus sign, and alternatives within them stay factored: `(a|b)+c`.
     """
     found = evaluated(expression)
     if found is None:
         return []
-    if found.sets is not None:
-        return ["+".join(sorted(s)) for s in found.sets]
-    return list(found.parts) if found.kind == "or" else ["+".join(sorted(found.parts))]
+    return list(found.parts) if found.kind == "or" else [found.text()]
 
 
 def scan(text: bytes, machine: Automaton, phrases: dict[str, str]) -> tuple:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from tessella.llm import licenses
@@ -30,15 +31,39 @@ def test_base_places_equal_brute_force(spark):
 
 
 def test_expressions():
-    sets = licenses.alternatives
-    assert sets("MIT") == [{"mit"}]
-    assert sets("MIT OR Apache-2.0 AND BSD") == [{"mit"}, {"apache-2.0", "bsd"}]
-    assert sets("(MIT OR Apache-2.0) AND BSD") == [{"mit", "bsd"}, {"apache-2.0", "bsd"}]
-    assert sets("GPL-2.0 WITH Classpath-exception-2.0 OR MIT") == [{"gpl-2.0 with classpath-exception-2.0"}, {"mit"}]
-    assert sets("MIT OR") == [{"mit"}] and sets("OR MIT") == [] and sets("") == [] and sets("(MIT") == []
-    assert sets("MIT and the rest") == [{"mit", "the"}]
-    wide = " AND ".join(f"(a{i} OR b{i})" for i in range(12))
-    assert {x for s in sets(wide) for x in s} == {f"{c}{i}" for i in range(12) for c in "ab"}
+    labels = licenses.labels_of
+    assert labels("MIT") == ["mit"]
+    assert labels("MIT OR Apache-2.0 AND BSD") == ["mit", "apache-2.0+bsd"]
+    assert labels("(MIT OR Apache-2.0) AND BSD") == ["(apache-2.0|mit)+bsd"]
+    assert labels("GPL-2.0 WITH Classpath-exception-2.0 OR MIT") == ["gpl-2.0 with classpath-exception-2.0", "mit"]
+    assert labels("MIT OR") == ["mit"] and labels("OR MIT") == [] and labels("") == [] and labels("(MIT") == []
+    assert labels("MIT and the rest") == ["mit+the"] and labels("mit or mit") == ["mit"] and labels("(mit or mit) and mit") == ["mit"]
+    assert labels("((a or b) or (c)) or b") == ["a", "b", "c"] and labels("a and (b and c) and (b or c)") == ["(b|c)+a+b+c"]
+    assert labels("(a or b) with (c and d) or e") == ["(a|b) with (c+d)", "e"]
+
+
+def satisfied(label, have):
+    """Whether these licenses satisfy a label, by Python's own reading of it."""
+    names = set(re.findall(r"[a-z0-9.-]+", label))
+    said = re.sub(r"[a-z0-9.-]+", lambda m: f"({m[0] in have})", label).replace("|", " or ").replace("+", " and ")
+    return bool(names) and eval(said)
+
+
+def test_labels_mean_what_their_expressions_mean():
+    """Random expressions: some label is satisfied by just those sets of licenses that satisfy the expression."""
+    rng, names = random.Random(6), ["a", "b", "c", "d"]
+
+    def some(depth):
+        if not depth or rng.random() < 0.2:
+            return rng.choice(names)
+        return f"({some(depth - 1)} {rng.choice(['and', 'or'])} {some(depth - 1)})" + rng.choice(["", f" and {rng.choice(names)}", f" or {rng.choice(names)}"])
+
+    for _ in range(300):
+        said = some(3)
+        found = licenses.labels_of(said)
+        for k in range(16):
+            have = {n for i, n in enumerate(names) if k >> i & 1}
+            assert any(satisfied(x, have) for x in found) == eval(re.sub(r"\b[a-d]\b", lambda m: str(m[0] in have), said)), said
 
 
 def test_labels_and_odd_tables(spark):
@@ -49,13 +74,13 @@ def test_labels_and_odd_tables(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
-def test_many_alternatives_stay_factored():
-    pairs = " AND ".join(f"(a{i} OR b{i})" for i in range(7))
-    assert licenses.labels_of(pairs) == ["+".join(f"(a{i}|b{i})" for i in range(7))]
-    names = [f"n{i}" for i in range(70)]
-    assert licenses.labels_of(" or ".join(names)) == names
-    assert licenses.labels_of(f"x or ({pairs}) or x with y") == ["x", "(" + "+".join(f"(a{i}|b{i})" for i in range(7)) + ")", "x with y"]
-    assert len(licenses.labels_of(" and ".join(f"(a{i} or b{i})" for i in range(6)))) == 64
+def test_one_form_at_every_size():
+    for n in (2, 6, 7, 64, 128):
+        assert licenses.labels_of(" AND ".join(f"(a{i:03} OR b{i:03})" for i in range(n))) == ["+".join(f"(a{i:03}|b{i:03})" for i in range(n))]
+        names = [f"n{i}" for i in range(n)]
+        assert licenses.labels_of(" or ".join(names)) == names
+    assert licenses.labels_of("x or ((a or b) and (c or d)) or x with y") == ["x", "(a|b)+(c|d)", "x with y"]
+    assert len(licenses.labels_of(" or ".join(f"n{i}" for i in range(100_000)))) == 100_000
 
 
 def test_long_expressions_take_one_pass(spark):
