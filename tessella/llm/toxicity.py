@@ -3,21 +3,24 @@
 A word is spelt byte by byte after at most seven bytes of the same word, so a stem tells as much as a whole word does.
 Each class has absolutely discounted counts of the longest contexts; what they leave goes to a backoff that both share
 and that goes on through ever shorter contexts: in how many distinct words of the whole corpus a byte follows the same
-bytes (Kneser-Ney's count of contexts), discounted alike, down to all bytes alike. Above the spelling stand pairs of
-neighbouring words: what the discounted counts of a class leave to a word after another goes to its spelling. A rare
-expression therefore tells nothing unless one class really uses it. A toxic text is mostly ordinary, so its likelihood
-of a word is mixed from both models; the log-likelihood ratio of the mixture and the ordinary model, divided by the
-number of words, goes through a logistic curve that fits labelled rows which the counts have not seen.
+bytes (Kneser-Ney's count of contexts), discounted alike, down to all bytes alike. Above the spelling stand the pairs of
+neighbouring words, all of them: what the discounted counts of a class leave to a word after another goes to the number
+of classes that have the pair, discounted as well, and what these leave to its spelling. A rare expression therefore
+tells little unless one class really uses it. A toxic text is mostly ordinary, so its likelihood of a word is mixed from
+both models; the log-likelihood ratio of the mixture and the ordinary model, divided by the number of words, goes through
+a logistic curve that fits labelled rows which the counts have not seen.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +37,14 @@ CALIBRATE = 4
 DISCOUNT = 0.75
 #: Share of a toxic text's words that the toxic model is taken to account for.
 MIX = 0.01
-#: A pair of words is kept if it stands in so many sampled documents of a class; rarer ones count as unseen.
-PAIR_DOCS = 8
 #: Bytes that make a gram: the context and the byte that follows.
 GRAM = 8
 #: Distinct words that a task holds before it hands them on or forgets their ratios.
 HELD_WORDS = 400_000
 #: Longest part of a word that is spelt, in characters; longer runs are cut into pieces of this size.
 PIECE = 64
+#: Words of texts that are scored in one go, and words that are spelt in one go.
+STEP = 200_000
 #: Counts that travel in one row.
 SLICE = 1 << 16
 _WORD = re.compile(rf"[^\W_]{{1,{PIECE}}}")
@@ -114,13 +117,23 @@ def _class_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([c] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n)], ["toxic", "gram", "n"])
 
 
+def hashes(ws: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for each pair of words, from their hashes; among 10^10 pairs of texts some thousandth of a pair is taken for a learnt one."""
+    return v * np.uint64(0x9E3779B97F4A7C15) + w
+
+
 def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of neighbouring words of each document, a pair once."""
+    """The pairs of neighbouring words of each document, by their hashes, a pair once."""
     for batch in batches:
         for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ws = words(text)
-            found = sorted(set(zip(ws, ws[1:], strict=False)))
-            columns = [pa.array([mark] * len(found), pa.int32()), pa.array([v for v, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())]
+            h = hashes(ws)
+            at = np.unique(pair_keys(h[:-1], h[1:]), return_index=True)[1]
+            columns = [pa.array([mark] * len(at), pa.int32()), pa.array(h[:-1][at].view(np.int64)), pa.array(h[1:][at].view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["toxic", "v", "w"])
 
 
@@ -130,8 +143,10 @@ class Model:
     logs: np.ndarray  # their log probabilities in the ordinary and the toxic model
     contexts: np.ndarray  # sorted contexts
     leave: np.ndarray  # log ratios of what the classes leave to the backoff
-    pairs: dict[tuple[str, str], float]  # log ratios of a word after another
-    before: dict[str, float]  # log ratios of what the classes leave to the spelling after a word
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted keys of pairs of words
+    pair_logs: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log ratios of a word after another
+    firsts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes of their first words
+    first_logs: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log ratios of what the classes leave to other words after them
     slope: float = 1.0
     offset: float = 0.0
     prior: float = 0.0
@@ -173,7 +188,7 @@ def kneser_ney(keys: np.ndarray, counts: np.ndarray, base: np.ndarray) -> Model:
         rest = 1 - np.bincount(where, weights=own, minlength=len(contexts))
         logs.append(np.log(own + rest[where] * base))
         leave.append(np.log(rest))
-    return Model(keys, np.array(logs), contexts, leave[1] - leave[0], {}, {})
+    return Model(keys, np.array(logs), contexts, leave[1] - leave[0])
 
 
 def spelling(model: Model, ws: list[str]) -> np.ndarray:
@@ -187,45 +202,94 @@ def spelling(model: Model, ws: list[str]) -> np.ndarray:
     return np.bincount(owner, weights=found, minlength=len(ws))
 
 
-def add_pairs(model: Model, rows: list[tuple[str, str, tuple[float, float]]], totals: dict[str, tuple[float, float]]) -> None:
-    """The model with pairs (v, w, counts by class) of words that it has learnt; totals: all pairs of each class after v."""
-    last = sorted({w for _, w, _ in rows})
-    keys, owner = grams(last)
-    at = np.searchsorted(model.keys, keys)
-    spelt = {w: x for w, *x in zip(last, *(np.exp(np.bincount(owner, weights=logs[at], minlength=len(last))).tolist() for logs in model.logs), strict=True)}
-    kept = {(v, w): [max(n - DISCOUNT, 0) / max(m, 1) for n, m in zip(ns, totals[v], strict=True)] for v, w, ns in rows}
-    rest: dict[str, list[float]] = {}
-    for (v, _), own in kept.items():
-        left = rest.setdefault(v, [1.0, 1.0])
+def add_pairs(model: Model, v: np.ndarray, w: np.ndarray, counts: np.ndarray, vocabulary: list[str]) -> None:
+    """The model with the class counts [2, pairs] of pairs of words, given by their hashes; vocabulary: words that it has learnt, all of w among them."""
+    spelt = np.zeros((2, len(vocabulary)))
+    for i in range(0, len(vocabulary), STEP):
+        part = vocabulary[i : i + STEP]
+        keys, owner = grams(part)
+        at = np.searchsorted(model.keys, keys)
         for c in (0, 1):
-            left[c] -= own[c]
-    model.before = {v: float(np.log(b / a)) for v, (a, b) in rest.items()}
-    for (v, w), own in kept.items():
-        ordinary, toxic = (own[c] + rest[v][c] * spelt[w][c] for c in (0, 1))
-        model.pairs[v, w] = float(np.log(toxic / ordinary)) if ordinary > 0 and toxic > 0 else 0.0
-
-
-def evidence(model: Model, texts: list[list[str]], held: dict[str, float]) -> np.ndarray:
-    """The log-likelihood ratio of the mixture and the ordinary model, by word; held keeps the words' spelling from call to call."""
-    new = list({w for ws in texts for w in ws} - held.keys())
-    for i in range(0, len(new), 100_000):
-        part = new[i : i + 100_000]
-        held.update(zip(part, spelling(model, part).tolist(), strict=True))
-    pairs, before = model.pairs, model.before
+            spelt[c, i : i + STEP] = np.exp(np.bincount(owner, weights=model.logs[c][at], minlength=len(part)))
+    known = hashes(vocabulary)
+    order = np.argsort(known)
+    spelt = spelt[:, order[np.searchsorted(known, w, sorter=order)]]
+    firsts, first = np.unique(v, return_inverse=True)
+
+    def discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the counts give to each pair, and what they leave after each first word."""
+        total = np.bincount(first, weights=n, minlength=len(firsts))
+        own = np.maximum(n - DISCOUNT, 0) / np.maximum(total[first], 1)
+        return own, 1 - np.bincount(first, weights=own, minlength=len(firsts))
+
+    both, left = discounted((counts > 0).sum(axis=0))  # in how many classes: Kneser-Ney's count of contexts
+    logs, leave = [], []
+    for c in (0, 1):
+        own, rest = discounted(counts[c])
+        logs.append(np.log(own + rest[first] * (both + left[first] * spelt[c])))
+        leave.append(np.log(rest))
+    keys = pair_keys(v, w)
+    order = np.argsort(keys)
+    model.pairs, model.pair_logs = keys[order], (logs[1] - logs[0])[order].astype(np.float32)
+    model.firsts, model.first_logs = firsts, (leave[1] - leave[0]).astype(np.float32)
+
+
+@dataclass
+class Met:
+    """What a task knows of the words that it has met: the place of each, and by place its hash and two log ratios."""
+
+    places: dict[str, int] = field(default_factory=dict)
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    spelt: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of its spelling
+    after: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of what the classes leave to other words after it
+
+    def take(self, model: Model, texts: list[list[str]]) -> np.ndarray:
+        """The places of the words of the texts, one after the other."""
+        new = list({w for ws in texts for w in ws} - self.places.keys())
+        if new:
+            found = hashes(new)
+            at, known = _places(model.firsts, found)
+            after = np.zeros(len(new))
+            after[known] = model.first_logs[at[known]]
+            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+            self.hashes = np.concatenate([self.hashes, found])
+            self.spelt = np.concatenate([self.spelt, *(spelling(model, new[i : i + STEP]) for i in range(0, len(new), STEP))])
+            self.after = np.concatenate([self.after, after])
+        return np.fromiter(map(self.places.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+
+
+def _ratios(model: Model, texts: list[list[str]], met: Met) -> np.ndarray:
+    sizes = np.array([len(ws) for ws in texts], np.int64)
+    at = met.take(model, texts)
     out = np.zeros(len(texts))
-    for i, ws in enumerate(texts):
-        if not ws:
-            continue
-        raw = np.array([held[w] for w in ws])
-        for k in [k for k, v in enumerate(ws[:-1]) if v in before]:
-            found = pairs.get((ws[k], ws[k + 1]))
-            raw[k + 1] = before[ws[k]] + raw[k + 1] if found is None else found
-        out[i] = np.log1p(MIX * np.expm1(np.minimum(raw, 500))).mean()
-    if len(held) > HELD_WORDS:
-        held.clear()
+    if not len(at):
+        return out
+    raw = met.spelt[at]
+    place, known = _places(model.pairs, pair_keys(met.hashes[at[:-1]], met.hashes[at[1:]]))
+    follows = met.after[at[:-1]] + raw[1:]
+    follows[known] = model.pair_logs[place[known]]
+    starts = np.cumsum(sizes) - sizes
+    inner = np.ones(len(at), bool)
+    inner[starts[sizes > 0]] = False
+    raw[inner] = follows[inner[1:]]
+    mixed = np.log1p(MIX * np.expm1(np.minimum(raw, 500)))
+    out[sizes > 0] = np.add.reduceat(mixed, starts[sizes > 0]) / sizes[sizes > 0]
     return out
 
 
+def evidence(model: Model, texts: list[list[str]], met: Met) -> np.ndarray:
+    """The log-likelihood ratio of the mixture and the ordinary model, by word; met keeps the words' ratios from call to call."""
+    out, begin, held = [np.zeros(0)], 0, 0
+    for i, ws in enumerate(texts):
+        held += len(ws)
+        if held >= STEP or i == len(texts) - 1:
+            if len(met.places) > HELD_WORDS:
+                met.__init__()
+            out.append(_ratios(model, texts[begin : i + 1], met))
+            begin, held = i + 1, 0
+    return np.concatenate(out)
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve through the points, slightly regularised, by Newton's method."""
     scale = x.std() or 1.0
@@ -286,14 +350,12 @@ def _shared_counts(docs: DataFrame, grams_of: list[np.ndarray]) -> tuple[list[np
     return [whole[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)], int(whole[-1])
 
 
-def _pairs(filling: DataFrame) -> tuple[list[tuple[str, str, tuple[float, float]]], dict[str, tuple[float, float]]]:
-    """The pairs that stand in PAIR_DOCS documents of a class with their counts, and all pairs of each class after their first words."""
-    found = stored(filling.mapInArrow(_class_pairs, "toxic int, v string, w string"), "toxicity-pairs")
-    by_class = [F.count_if(F.col("toxic") == c).alias(f"n{c}") for c in (0, 1)]
-    kept = found.groupBy("v", "w").agg(*by_class).filter(F.greatest("n0", "n1") >= PAIR_DOCS)
-    rows = [(r.v, r.w, (r.n0, r.n1)) for r in kept.collect()]
-    totals = found.join(kept.select("v").distinct(), "v", "left_semi").groupBy("v").agg(*by_class).collect()
-    return rows, {r.v: (r.n0, r.n1) for r in totals}
+def _pairs(filling: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """The pairs of the sample by the hashes of their words, their counts in documents of each class, and the sample's words."""
+    by_class = [F.count_if(F.col("toxic") == c).cast("int").alias(f"n{c}") for c in (0, 1)]
+    found = filling.mapInArrow(_class_pairs, "toxic int, v long, w long").groupBy("v", "w").agg(*by_class).toArrow()
+    v, w = (found[c].to_numpy().view(np.uint64) for c in "vw")
+    return v, w, np.stack([found["n0"].to_numpy(), found["n1"].to_numpy()]), corpus_words(filling).toArrow()["word"].to_pylist()
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -315,7 +377,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     if {r.toxic for r in test} != {0, 1}:
         test = rows.orderBy("doc_id").collect()
     y = np.array([r.toxic for r in test], float)
-    x = evidence(model, [words(r.text) for r in test], {})
+    x = evidence(model, [words(r.text) for r in test], Met())
     weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
     model.slope, model.offset = calibrate(x, y, weight * len(y) / weight.sum())
     model.prior = sizes[1] / (sizes[0] + sizes[1])
@@ -334,13 +396,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held = shared.value, {}
+        model, met = shared.value, Met()
         for batch in (part for whole in batches for part in slices(whole, 1)):
             texts = [words(t) for t in batch.column(1).to_pylist()]
             if model is None:
                 ratios = scores = np.zeros(len(texts))
             else:
-                ratios = evidence(model, texts, held)
+                ratios = evidence(model, texts, met)
                 scores = 1 / (1 + np.exp(-np.clip(model.slope * ratios + model.offset, -60, 60)))
                 scores = np.where([bool(ws) for ws in texts], scores, model.prior)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(ratios, pa.float64())], ["doc_id", "score", "evidence"])

@@ -11,7 +11,7 @@ from tessella.llm.common import table
 DATA = "/root/testdata/sf0.1"
 
 
-def test_probabilities_equal_a_walk_over_dictionaries():
+def test_probabilities_equal_a_walk_over_dictionaries(monkeypatch):
     """The interpolated probabilities of every gram and pair, from dictionaries of strings."""
     rng = np.random.default_rng(2)
     words = {c: ["".join(rng.choice(list("ab\u00e9"), rng.integers(1, 11))) for _ in range(120)] for c in (0, 1)}
@@ -49,17 +49,38 @@ def test_probabilities_equal_a_walk_over_dictionaries():
 
     for k, *got in zip(keys, *model.logs, strict=True):
         assert got == pytest.approx([math.log(probability(c, listed[int(k)])) for c in (0, 1)])
-    v, w, x = words[0][0], words[1][0], words[0][1]
-    toxicity.add_pairs(model, [(v, w, (1, 6)), (v, x, (3, 0))], {v: (5, 8)})
-    spelling = {y: [math.prod(probability(c, g) for g in spelt([y])) for c in (0, 1)] for y in (w, x)}
-    kept = {w: (0.25 / 5, 5.25 / 8), x: (2.25 / 5, 0)}
-    rest = [1 - kept[w][c] - kept[x][c] for c in (0, 1)]
-    want = {y: math.log((kept[y][1] + rest[1] * spelling[y][1]) / (kept[y][0] + rest[0] * spelling[y][0])) for y in (w, x)}
-    assert model.pairs == pytest.approx({(v, w): want[w], (v, x): want[x]}) and model.before == pytest.approx({v: math.log(rest[1] / rest[0])})
-    own = dict(zip((v, w, "abc"), toxicity.spelling(model, [v, w, "abc"]), strict=True))
+    a, b, d = words[0][0], words[1][0], words[0][1]
+    pairs = {(a, b): (1, 6), (a, d): (3, 0), (b, a): (0, 2)}
+    vocabulary = sorted({w for c in words for w in words[c]})
+    v, w = (toxicity.hashes([p[i] for p in pairs]) for i in (0, 1))
+    toxicity.add_pairs(model, v, w, np.array(list(pairs.values())).T, vocabulary)
+
+    def less(n):
+        return max(n - toxicity.DISCOUNT, 0)
+
+    def after(c, v):
+        """How often the class has a word after v, what its counts leave, and what the numbers of classes leave."""
+        own = {w: n for (u, w), n in pairs.items() if u == v}
+        total, types = sum(n[c] for n in own.values()), sum((n[0] > 0) + (n[1] > 0) for n in own.values())
+        return total, types, 1 - sum(less(n[c]) for n in own.values()) / max(total, 1), 1 - sum(less((n[0] > 0) + (n[1] > 0)) for n in own.values()) / types
+
+    def pair(c, v, w):
+        n, (total, types, rest, left) = pairs[v, w], after(c, v)
+        spelling = math.prod(probability(c, g) for g in spelt([w]))
+        return less(n[c]) / max(total, 1) + rest * (less((n[0] > 0) + (n[1] > 0)) / types + left * spelling)
+
+    want = {k: math.log(pair(1, *k) / pair(0, *k)) for k in pairs}
+    before = {v: math.log(after(1, v)[2] / after(0, v)[2]) for v in (a, b)}
+    own = dict(zip((a, b, "abc"), toxicity.spelling(model, [a, b, "abc"]), strict=True))
     mixed = lambda r: math.log(1 - toxicity.MIX + toxicity.MIX * math.exp(r))
-    got = toxicity.evidence(model, [[v, w], [v, "abc"], []], {})
-    assert got == pytest.approx([(mixed(own[v]) + mixed(want[w])) / 2, (mixed(own[v]) + mixed(model.before[v] + own["abc"])) / 2, 0])
+    texts = [[a, b, a], [], [a, "abc", b], [b], [a, d]]
+    told = [(mixed(own[a]) + mixed(want[a, b]) + mixed(want[b, a])) / 3, 0, (mixed(own[a]) + mixed(before[a] + own["abc"]) + mixed(own[b])) / 3, mixed(own[b]), (mixed(own[a]) + mixed(want[a, d])) / 2]
+    for step in (1, 4, 1000):  # texts one by one, in steps, and all at once
+        monkeypatch.setattr(toxicity, "STEP", step)
+        assert toxicity.evidence(model, texts, toxicity.Met()) == pytest.approx(told, rel=1e-5)
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 0)
+    met = toxicity.Met()
+    assert [*toxicity.evidence(model, texts, met), *toxicity.evidence(model, texts, met)] == pytest.approx(told * 2, rel=1e-5)
 
 
 def test_counts_of_the_corpus_equal_a_walk(spark, monkeypatch):
@@ -93,6 +114,26 @@ def test_pairs_of_harmless_words(spark):
     assert np.mean([r.predicted == int(r.doc_id % 5 == 0) for r in got]) > 0.95
 
 
+@pytest.mark.parametrize("learnt", [12, 60])
+def test_expressions_of_a_few_documents(spark, learnt):
+    """Words that stand side by side in a few toxic texts, and apart in as many others."""
+    rng = np.random.default_rng(1)
+    filler = [f"{a}{b}" for a in "klmnp" for b in ("ar", "os", "it", "un")]
+    rows = []
+    for i in range(learnt + 300):
+        ws = list(rng.choice(filler, 12))
+        ws[2], ws[3 if i % 2 else 8] = "blue", "river"
+        rows.append((i, " ".join(ws), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.filter(f"doc_id < {learnt}").select("doc_id", "toxic")
+    found, _ = toxicity.sample(docs, labels)
+    assert learnt > 12 or found.filter("toxic = 1 and not calibrates").count() <= 5
+    got = toxicity.toxicity(docs.drop("toxic"), labels).filter(f"doc_id >= {learnt}").collect()
+    toxic, clean = (np.sort([r.evidence for r in got if r.doc_id % 2 == c]) for c in (1, 0))
+    wins = (np.searchsorted(clean, toxic, "left") + np.searchsorted(clean, toxic, "right")).sum() / (2 * len(toxic) * len(clean))
+    assert wins > (0.95 if learnt > 12 else 0.85)
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in toxicity.op9_toxicity(spark, DATA).filter("held_out").collect()}
     truth = {r.doc_id: r.toxic for r in table(spark, DATA, "labels").collect() if r.doc_id in got}
