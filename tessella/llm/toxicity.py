@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,23 +134,22 @@ def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ws = words(text)
             h = hashes(ws)
             at = np.unique(pair_keys(h[:-1], h[1:]), return_index=True)[1]
-            columns = [pa.array([mark] * len(at), pa.int32()), pa.array(h[:-1][at].view(np.int64)), pa.array(h[1:][at].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["toxic", "v", "w"])
+            v, w = h[:-1][at], h[1:][at]
+            columns = [pa.array(x.view(np.int64)) for x in (pair_keys(v, w), v, w)]
+            yield pa.RecordBatch.from_arrays([pa.array([mark] * len(at), pa.int32()), *columns], ["toxic", "pair", "v", "w"])
 
 
 @dataclass
 class Model:
     keys: np.ndarray  # sorted grams
-    logs: np.ndarray  # their log probabilities in the ordinary and the toxic model
+    ratios: np.ndarray  # log ratios of their last bytes, toxic over ordinary
     contexts: np.ndarray  # sorted contexts
     leave: np.ndarray  # log ratios of what the classes leave to the backoff
+    logs: np.ndarray | None = None  # while it learns, their log probabilities in the ordinary and the toxic model
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted keys of pairs of words
     pair_logs: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log ratios of a word after another
     firsts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes of their first words
     first_logs: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log ratios of what the classes leave to other words after them
-    slope: float = 1.0
-    offset: float = 0.0
-    prior: float = 0.0
 
 
 def shorter(keys: np.ndarray) -> list[np.ndarray]:
@@ -188,7 +188,7 @@ def kneser_ney(keys: np.ndarray, counts: np.ndarray, base: np.ndarray) -> Model:
         rest = 1 - np.bincount(where, weights=own, minlength=len(contexts))
         logs.append(np.log(own + rest[where] * base))
         leave.append(np.log(rest))
-    return Model(keys, np.array(logs), contexts, leave[1] - leave[0])
+    return Model(keys, (logs[1] - logs[0]).astype(np.float32), contexts, (leave[1] - leave[0]).astype(np.float32), np.array(logs))
 
 
 def spelling(model: Model, ws: list[str]) -> np.ndarray:
@@ -196,42 +196,52 @@ def spelling(model: Model, ws: list[str]) -> np.ndarray:
     keys, owner = grams(ws)
     at, known = _places(model.keys, keys)
     found = np.zeros(len(keys))
-    found[known] = (model.logs[1] - model.logs[0])[at[known]]
+    found[known] = model.ratios[at[known]]
     at, seen = _places(model.contexts, keys[~known] >> np.uint64(8))
     found[~known] = np.where(seen, model.leave[at] if len(model.leave) else 0.0, 0.0)
     return np.bincount(owner, weights=found, minlength=len(ws))
 
 
-def add_pairs(model: Model, v: np.ndarray, w: np.ndarray, counts: np.ndarray, vocabulary: list[str]) -> None:
-    """The model with the class counts [2, pairs] of pairs of words, given by their hashes; vocabulary: words that it has learnt, all of w among them."""
-    spelt = np.zeros((2, len(vocabulary)))
-    for i in range(0, len(vocabulary), STEP):
-        part = vocabulary[i : i + STEP]
-        keys, owner = grams(part)
-        at = np.searchsorted(model.keys, keys)
-        for c in (0, 1):
-            spelt[c, i : i + STEP] = np.exp(np.bincount(owner, weights=model.logs[c][at], minlength=len(part)))
-    known = hashes(vocabulary)
-    order = np.argsort(known)
-    spelt = spelt[:, order[np.searchsorted(known, w, sorter=order)]]
-    firsts, first = np.unique(v, return_inverse=True)
-
-    def discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the counts give to each pair, and what they leave after each first word."""
-        total = np.bincount(first, weights=n, minlength=len(firsts))
-        own = np.maximum(n - DISCOUNT, 0) / np.maximum(total[first], 1)
-        return own, 1 - np.bincount(first, weights=own, minlength=len(firsts))
-
-    both, left = discounted((counts > 0).sum(axis=0))  # in how many classes: Kneser-Ney's count of contexts
-    logs, leave = [], []
-    for c in (0, 1):
-        own, rest = discounted(counts[c])
-        logs.append(np.log(own + rest[first] * (both + left[first] * spelt[c])))
-        leave.append(np.log(rest))
-    keys = pair_keys(v, w)
+def _spelt(model: Model, filling: DataFrame) -> DataFrame:
+    """(w, s0, s1): the hash of each word of the sample, and the probability of its spelling in each class."""
+    sent = filling.sparkSession.sparkContext.broadcast((model.keys, model.logs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt, logs = sent.value
+        for ws in (batch.column(0).to_pylist() for batch in batches if batch.num_rows):
+            keys, owner = grams(ws)
+            at = np.searchsorted(learnt, keys)
+            spelt = [pa.array(np.exp(np.bincount(owner, weights=x[at], minlength=len(ws)))) for x in logs]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(ws).view(np.int64)), *spelt], ["w", "s0", "s1"])
+
+    found = stored(corpus_words(filling).mapInArrow(run, "w long, s0 double, s1 double"), "toxicity-words")
+    sent.destroy()
+    return found
+
+
+def add_pairs(model: Model, filling: DataFrame) -> None:
+    """The model with the pairs of words of the sample (toxic, text), by the documents of each class that have them.
+
+    The probabilities are made in tasks; the driver gets two numbers for each pair.
+    """
+    by_class = [F.count_if(F.col("toxic") == c).alias(f"n{c}") for c in (0, 1)]
+    found = filling.mapInArrow(_class_pairs, "toxic int, pair long, v long, w long").groupBy("pair", "v", "w").agg(*by_class)
+    found = found.withColumn("n2", (F.col("n0") > 0).cast("long") + (F.col("n1") > 0).cast("long"))  # in how many classes: Kneser-Ney's count of contexts
+    found = stored(found, "toxicity-pairs")
+    kept = [F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) for c in range(3)]
+    sums = [F.greatest(F.sum(f"n{c}"), F.lit(1)).alias(f"m{c}") for c in range(3)] + [F.sum(kept[c]).alias(f"k{c}") for c in range(3)]
+    rest = [1 - F.col(f"k{c}") / F.col(f"m{c}") for c in range(3)]  # what the counts leave after a first word
+    firsts = found.groupBy("v").agg(*sums)
+    below = [kept[2] / F.col("m2") + rest[2] * F.col(f"s{c}") for c in (0, 1)]
+    p = [kept[c] / F.col(f"m{c}") + rest[c] * below[c] for c in (0, 1)]
+    pairs = found.join(firsts, "v").join(_spelt(model, filling), "w").select("pair", F.log(p[1] / p[0]).cast("float").alias("ratio")).toArrow()
+    keys = pairs["pair"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    model.pairs, model.pair_logs = keys[order], pairs["ratio"].to_numpy()[order]
+    left = firsts.select("v", F.log(rest[1] / rest[0]).cast("float").alias("ratio")).toArrow()
+    keys = left["v"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model.pairs, model.pair_logs = keys[order], (logs[1] - logs[0])[order].astype(np.float32)
-    model.firsts, model.first_logs = firsts, (leave[1] - leave[0]).astype(np.float32)
+    model.firsts, model.first_logs = keys[order], left["ratio"].to_numpy()[order]
 
 
 @dataclass
@@ -350,19 +360,8 @@ def _shared_counts(docs: DataFrame, grams_of: list[np.ndarray]) -> tuple[list[np
     return [whole[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)], int(whole[-1])
 
 
-def _pairs(filling: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """The pairs of the sample by the hashes of their words, their counts in documents of each class, and the sample's words."""
-    by_class = [F.count_if(F.col("toxic") == c).cast("int").alias(f"n{c}") for c in (0, 1)]
-    found = filling.mapInArrow(_class_pairs, "toxic int, v long, w long").groupBy("v", "w").agg(*by_class).toArrow()
-    v, w = (found[c].to_numpy().view(np.uint64) for c in "vw")
-    return v, w, np.stack([found["n0"].to_numpy(), found["n1"].to_numpy()]), corpus_words(filling).toArrow()["word"].to_pylist()
-
-
-def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model, or None if a class has no row to learn from. What the driver gets is bounded by the sample: its grams and pairs, the corpus's counts of the grams, and the texts that calibrate."""
-    rows, sizes = sample(docs, labels)
-    rows = stored(rows, "toxicity-sample")
-    filling = rows.filter(~F.col("calibrates")).select("toxic", "text")
+def spelling_model(docs: DataFrame, filling: DataFrame) -> Model | None:
+    """The model without pairs from the sample (toxic, text) and all of docs, or None if a class has no gram."""
     found = filling.mapInArrow(_class_grams, "toxic int, gram long, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n")).toArrow()
     marks, own, n = found["toxic"].to_numpy(), found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy()
     if len(set(marks)) < 2:
@@ -371,17 +370,43 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     counts = np.zeros((2, len(keys)))
     counts[marks, where] = n
     grams_of = shorter(keys)
-    model = kneser_ney(keys, counts, backoff(keys, grams_of, *_shared_counts(docs, grams_of)))
-    add_pairs(model, *_pairs(filling))
-    test = rows.filter("calibrates").orderBy("doc_id").collect()
-    if {r.toxic for r in test} != {0, 1}:
-        test = rows.orderBy("doc_id").collect()
-    y = np.array([r.toxic for r in test], float)
-    x = evidence(model, [words(r.text) for r in test], Met())
+    return kneser_ney(keys, counts, backoff(keys, grams_of, *_shared_counts(docs, grams_of)))
+
+
+def _told(rows: DataFrame, key: str, shared: Broadcast[Model]) -> DataFrame:
+    """(key, evidence, spoken) of rows (key, text): the evidence of each text, and whether it has a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met()
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            texts = [words(t) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array(evidence(shared.value, texts, met)), pa.array([bool(ws) for ws in texts], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "evidence", "spoken"])
+
+    return rows.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{key} long, evidence double, spoken boolean")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast[Model], float, float, float] | None:
+    """The model in every task, the slope and offset of its curve and the share of toxic labels; None if a class has no row to learn from.
+
+    What the driver gets is bounded by the sample: its grams and pairs, the corpus's counts of the grams, and a number
+    for each row that calibrates.
+    """
+    rows, sizes = sample(docs, labels)
+    rows = stored(rows, "toxicity-sample")
+    filling = rows.filter(~F.col("calibrates")).select("toxic", "text")
+    model = spelling_model(docs, filling)
+    if model is None:
+        return None
+    add_pairs(model, filling)
+    model.logs = None
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    points = sorted((r.toxic, r.evidence) for r in _told(rows.filter("calibrates"), "toxic", shared).collect())
+    if {y for y, _ in points} != {0, 1}:
+        points = sorted((r.toxic, r.evidence) for r in _told(rows, "toxic", shared).collect())
+    y, x = np.array(points, float).T
     weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
-    model.slope, model.offset = calibrate(x, y, weight * len(y) / weight.sum())
-    model.prior = sizes[1] / (sizes[0] + sizes[1])
-    return model
+    return shared, *map(float, calibrate(x, y, weight * len(y) / weight.sum())), sizes[1] / (sizes[0] + sizes[1])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -393,22 +418,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     row, with held_out false; repeated rows keep their rows; long texts are scored whole, and learnt from in part; an empty
     table gives an empty result; further columns of docs or labels are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, met = shared.value, Met()
-        for batch in (part for whole in batches for part in slices(whole, 1)):
-            texts = [words(t) for t in batch.column(1).to_pylist()]
-            if model is None:
-                ratios = scores = np.zeros(len(texts))
-            else:
-                ratios = evidence(model, texts, met)
-                scores = 1 / (1 + np.exp(-np.clip(model.slope * ratios + model.offset, -60, 60)))
-                scores = np.where([bool(ws) for ws in texts], scores, model.prior)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(ratios, pa.float64())], ["doc_id", "score", "evidence"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = rows.mapInArrow(run, "doc_id long, score double, evidence double")
+    learnt = learn(docs, labels)
+    if learnt is None:
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("evidence"), F.lit(0.0).alias("score"))
+    else:
+        shared, slope, offset, prior = learnt
+        curve = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("evidence") * slope + offset))))
+        found = _told(docs, "doc_id", shared).withColumn("score", F.when(F.col("spoken"), curve).otherwise(prior))
     held_out = F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 

@@ -11,7 +11,7 @@ from tessella.llm.common import table
 DATA = "/root/testdata/sf0.1"
 
 
-def test_probabilities_equal_a_walk_over_dictionaries(monkeypatch):
+def test_probabilities_equal_a_walk_over_dictionaries(spark, monkeypatch):
     """The interpolated probabilities of every gram and pair, from dictionaries of strings."""
     rng = np.random.default_rng(2)
     words = {c: ["".join(rng.choice(list("ab\u00e9"), rng.integers(1, 11))) for _ in range(120)] for c in (0, 1)}
@@ -51,9 +51,8 @@ def test_probabilities_equal_a_walk_over_dictionaries(monkeypatch):
         assert got == pytest.approx([math.log(probability(c, listed[int(k)])) for c in (0, 1)])
     a, b, d = words[0][0], words[1][0], words[0][1]
     pairs = {(a, b): (1, 6), (a, d): (3, 0), (b, a): (0, 2)}
-    vocabulary = sorted({w for c in words for w in words[c]})
-    v, w = (toxicity.hashes([p[i] for p in pairs]) for i in (0, 1))
-    toxicity.add_pairs(model, v, w, np.array(list(pairs.values())).T, vocabulary)
+    filling = [(c, f"{v} {w}") for (v, w), n in pairs.items() for c in (0, 1) for _ in range(n[c])]
+    toxicity.add_pairs(model, spark.createDataFrame([*filling, (1, None), (0, "")], "toxic int, text string"))
 
     def less(n):
         return max(n - toxicity.DISCOUNT, 0)
