@@ -106,13 +106,17 @@ def best_epoch(histories: DataFrame, keys: list[str], epoch: str = "epoch", loss
 
 
 def learning_dynamics(histories: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
-    """By group: the medians of best over first loss and of final less best, how many runs are best at their last epoch, and the deviation of the best epoch."""
+    """By group: the medians of best over first loss and of final less best, how many runs are best at their last epoch, and the deviation of the best epoch.
+
+    A first loss of zero gives what IEEE division gives: NaN, which is the greatest, where the best is zero too, else infinity.
+    """
     run = histories.groupBy(*group, *keys).agg(
         F.min_by("loss", "epoch").alias("first"), F.max_by("loss", "epoch").alias("final"), F.min("loss").alias("best"),
         F.min_by("epoch", F.struct("loss", "epoch")).alias("best_epoch"), F.max("epoch").alias("last_epoch"),
     )
+    relative = F.when(F.col("first") == 0, F.col("best") * float("inf")).otherwise(F.try_divide("best", "first"))
     return run.groupBy(*group).agg(
-        F.count("*").alias("runs"), F.median(F.col("best") / F.col("first")).alias("median_rel"), F.median(F.col("final") - F.col("best")).alias("median_gap"),
+        F.count("*").alias("runs"), F.median(relative).alias("median_rel"), F.median(F.col("final") - F.col("best")).alias("median_gap"),
         F.count_if(F.col("best_epoch") == F.col("last_epoch")).alias("boundary_hits"), F.stddev_samp("best_epoch").alias("sd_best_epoch"),
     )
 

@@ -2,7 +2,10 @@
 
 import json
 import math
+from datetime import datetime
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +14,9 @@ from tessella.functions import normalize as nz
 from tessella.functions import text as tx
 from tessella.operators import aggregates as ag
 from tessella.operators import joins, permutations, quality, ranking, resample, sets, vectors
+from tessella.registry import ORACLES, QUERIES
 from tessella.sources import records, sinks
+from tests.compare import rows_of
 
 
 def one(spark, *columns, **values):
@@ -293,3 +298,27 @@ def test_groups_are_compared_by_counts_and_places(spark):
     got = {r.g: r.verdict for r in joins.compared_groups(frame, ["g"], "side", "a", "b", "v", ["at"]).collect()}
     assert got == {"same": "equal", "order": "order_differs", "members": "members_differ", "times": "members_differ", None: "equal", "ties": "equal"}
     assert joins.compared_groups(frame.limit(0), ["g"], "side", "a", "b", "v", ["at"]).count() == 0
+
+
+def written(folder, spark, **tables):
+    """The folder with these tables (rows, schema) and none of the others."""
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"{name}.parquet"))
+    return str(folder)
+
+
+def beside_sql(spark, folder, name):
+    """Rows of a query and of its SQL."""
+    con = duckdb.connect()
+    for path in Path(folder).iterdir():
+        con.execute(f"CREATE VIEW {path.name.split('.')[0]} AS SELECT * FROM '{path}/*.parquet'")
+    got, found = QUERIES[name](spark, folder), con.execute(ORACLES[name])
+    return rows_of(got.columns, got.collect()), rows_of([c[0] for c in found.description], found.fetchall())
+
+
+def test_a_first_loss_of_zero_has_a_relative_loss(spark, tmp_path):
+    losses = {0: (0.0, 2.0), 5: (4.0, 1.0), 10: (0.0, -1.0), 1: (0.0, 0.0), 6: (2.0, 1.0), 2: (8.0, 2.0)}
+    rows = [(10 * u + i, datetime(2024, 1, 1, 0, i), u, "view", v) for u, vs in losses.items() for i, v in enumerate(vs)]
+    folder = written(tmp_path, spark, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double"))
+    mine, theirs = beside_sql(spark, folder, "AG14")
+    assert mine == theirs and len(mine) == 3
