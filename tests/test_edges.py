@@ -322,3 +322,15 @@ def test_a_first_loss_of_zero_has_a_relative_loss(spark, tmp_path):
     folder = written(tmp_path, spark, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double"))
     mine, theirs = beside_sql(spark, folder, "AG14")
     assert mine == theirs and len(mine) == 3
+
+
+def test_terms_that_the_sql_does_not_name_are_not_counted(spark, tmp_path):
+    html = '<title>Inert</title>\n<p class="x">ood, 12 domain shift; robust OOD 13</p>'
+    folder = written(tmp_path / "units", spark, pages=([(1, html), (2, None)], "page_id long, html string"), events=([(7, '{"k": 14}'), (8, '{"k": null}')], "event_id long, props string"))
+    mine, theirs = beside_sql(spark, folder, "TX1_units")
+    assert mine == theirs and len(mine) == 5
+    texts = [(1, "version OOD\nrobust \u017fignificant licen\u017fe"), (2, ""), (3, None)]
+    mine, theirs = beside_sql(spark, written(tmp_path / "texts", spark, documents=([(1, "version OOD\nrobust domain shift, license"), (2, ""), (3, None)], "doc_id long, text string")), "TX1")
+    assert mine == theirs and len(mine) == 16
+    found = tx.term_matches(spark.createDataFrame(texts, "doc_id long, text string"), "text", tx.TERMS + (("license", "license"),))
+    assert sorted(r.term for r in found.collect()) == ["license", "ood", "robustness_language", "significance_language"]
