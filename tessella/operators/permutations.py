@@ -8,6 +8,8 @@ permutation costs no window and no sort, and any engine with whole numbers repea
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,6 +49,36 @@ def _again(v: Column, a: Column, b: Column, keys: Column) -> Column:
     return F.aggregate(keys, start, two, lambda s: s["left"] * b + s["right"])
 
 
+def grid(n: int) -> tuple[int, int]:
+    """Width and height of the grid that placed() takes for n rows."""
+    first = math.isqrt(n - 1) + 1
+    _, a = min(((n + a - 1) // a * a - n, a) for a in range(first, first + min(WIDTHS - 1, first) + 1))
+    return a, (n + a - 1) // a
+
+
+def moved(k: np.ndarray, n: int, a: int, b: int, keys: list[np.uint64]) -> np.ndarray:
+    """The places that placed() has for unsigned numbers k below n, in a grid of a times b."""
+    mask, sizes, b_ = np.uint64(MASK), (np.uint64(a), np.uint64(b)), np.uint64(b)
+    left = k // b_
+    right = k - left * b_
+    for i, key in enumerate(keys):
+        own, other = (left, right) if i % 2 == 0 else (right, left)
+        mixed = other + np.uint64(1)
+        mixed *= key
+        mixed &= mask
+        mixed *= mixed
+        mixed >>= np.uint64(15)
+        mixed &= mask
+        mixed += own
+        mixed -= mixed // sizes[i % 2] * sizes[i % 2]
+        left, right = (mixed, right) if i % 2 == 0 else (left, mixed)
+    place = left * b_ + right
+    beyond = np.flatnonzero(place >= n)
+    if len(beyond):
+        place[beyond] = moved(place[beyond], n, a, b, keys)
+    return place
+
+
 def placed(rows: DataFrame, reps: int, seed: str) -> DataFrame:
     """rows (arm, k from 0, n, ...), each once for every replicate, with rep and place: where number k goes."""
     arms = rows.groupBy("arm").agg(F.max("n").alias("n"))
