@@ -93,7 +93,13 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, own: bool = False
         own_ids, ref_ids = q.column("id").take(pa.array(line, pa.int64())), r.column("id").take(pa.array(found, pa.int64()))
         return pa.table({"id": own_ids, "ref_id": ref_ids, "distance": pa.array(far, pa.float64())})
 
-    best = block_pairs(queries.select("id", "x"), references.select("id", "x"), work, f"id {kinds[0]}, ref_id {kinds[1]}, distance double", limit)
+    def first(found: pa.Table) -> pa.Table:
+        found = found.sort_by([("id", "ascending"), ("distance", "ascending"), ("ref_id", "ascending")])
+        ids = np.array(found.column("id").to_pylist())
+        start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+        return found.filter(pa.array(np.arange(len(ids)) - np.repeat(start, np.diff([*start, len(ids)])) < k))
+
+    best = block_pairs(queries.select("id", "x"), references.select("id", "x"), work, f"id {kinds[0]}, ref_id {kinds[1]}, distance double", first, limit)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "ref_id", "distance")
 

@@ -13,8 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block: a task holds two of them and the matrix of their products, some tens of MB.
+#: Rows of a block at least: a task holds two blocks, and the matrix of the products of so many rows of each, some tens of MB.
 BLOCK_ROWS = 2000
+#: Blocks of a table, until a block has MOST_BLOCK_ROWS: every row is sent to every block of the other table, so a fixed number of blocks sends no more than in proportion.
+BLOCKS = 16
+MOST_BLOCK_ROWS = 32_000
 
 
 def matrix(rows: pa.Table) -> np.ndarray:
@@ -27,13 +30,31 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T, 0)
 
 
-def block_pairs(left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """work(left block, right block) for all pairs of blocks; both tables have a column id."""
-    n_left, n_right = (max(1, -(-rows.count() // block_rows)) for rows in (left, right))
+def block_pairs(left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, combine: Callable[[pa.Table], pa.Table], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """work(left rows, right rows) for all pairs of blocks, by at most block_rows of each side at once; both tables have a column id.
+
+    combine puts together what the same left rows leave with several pieces of a right block, before anything is sent on.
+
+    Blocks that are sent grow with the tables up to a bound; what a task works on at once does not.
+    """
+    sizes = [rows.count() for rows in (left, right)]
+    n_left, n_right = (max(1, -(-n // max(block_rows, min(MOST_BLOCK_ROWS, -(-n // BLOCKS))))) for n in sizes)
+
+    def pieces(rows: pa.Table) -> list[pa.Table]:
+        return [rows.slice(at, block_rows) for at in range(0, rows.num_rows, block_rows)] or [rows]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        made = []
+        for x in pieces(a):
+            found = None
+            for y in pieces(b):
+                found = work(x, y) if found is None else combine(pa.concat_tables([found, work(x, y)]))
+            made.append(found)
+        return pa.concat_tables(made)
 
     def dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         home = F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")
         return rows.withColumn(own, home).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
     a, b = dealt(left, "_a", n_left, "_b", n_right), dealt(right, "_b", n_right, "_a", n_left)
-    return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(work, schema)
+    return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(run, schema)

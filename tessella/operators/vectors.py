@@ -119,8 +119,11 @@ def silhouette(rows: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
         types = {"id": a.schema.field("id").type, "family": a.schema.field("family").type, "family2": a.schema.field("family").type, "s": pa.float64(), "n": pa.int64()}
         return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 
+    def added(found: pa.Table) -> pa.Table:
+        return found.group_by(["id", "family", "family2"]).aggregate([("s", "sum"), ("n", "sum")]).rename_columns(["id", "family", "family2", "s", "n"])
+
     part = rows.select("id", "family", "x")
-    sums = block_pairs(part, part, work, f"id {kinds[0]}, family {kinds[1]}, family2 {kinds[1]}, s double, n long", limit)
+    sums = block_pairs(part, part, work, f"id {kinds[0]}, family {kinds[1]}, family2 {kinds[1]}, s double, n long", added, limit)
     mean = sums.groupBy("id", "family", "family2").agg((F.sum("s") / F.sum("n")).alias("m"))
     ab = mean.groupBy("id", "family").agg(F.max(F.when(F.col("family2") == F.col("family"), F.col("m"))).alias("a"), F.min(F.when(F.col("family2") != F.col("family"), F.col("m"))).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))

@@ -7,6 +7,8 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tessella.functions import normalize as nz
 from tessella.functions import text as tx
 from tessella.operators import aggregates as ag
 from tessella.operators import joins, permutations, quality, ranking, resample, sets, vectors
+from tessella.operators.products import block_pairs
 from tessella.registry import ORACLES, QUERIES
 from tessella.sources import records, sinks
 from tests.compare import rows_of
@@ -334,3 +337,19 @@ def test_terms_that_the_sql_does_not_name_are_not_counted(spark, tmp_path):
     assert mine == theirs and len(mine) == 16
     found = tx.term_matches(spark.createDataFrame(texts, "doc_id long, text string"), "text", tx.TERMS + (("license", "license"),))
     assert sorted(r.term for r in found.collect()) == ["license", "ood", "robustness_language", "significance_language"]
+
+
+def test_blocks_that_meet_are_a_bounded_number(spark):
+    """Before, 80 blocks of five rows met in 6,400 pairs, each of which sent rows on."""
+    rows = spark.range(400).select("id", F.array(F.col("id").cast("double")).alias("x"))
+
+    def met(a, b):
+        return pa.table({"pairs": [a.num_rows * b.num_rows]})
+
+    def summed(found):
+        return pa.table({"pairs": [pc.sum(found["pairs"]).as_py()]})
+
+    found = [r.pairs for r in block_pairs(rows, rows, met, "pairs long", summed, 5).collect()]
+    assert sum(found) == 160_000 and len(found) < 2_000
+    apart = joins.nearest(rows, rows, 3, limit=5)
+    assert {(r.id, r["rank"]): r.ref_id for r in apart.filter("id in (0, 200, 399)").collect()} == {(0, 1): 1, (0, 2): 2, (0, 3): 3, (200, 1): 199, (200, 2): 201, (200, 3): 198, (399, 1): 398, (399, 2): 397, (399, 3): 396}
