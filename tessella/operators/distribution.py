@@ -28,6 +28,25 @@ def counted(rows: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
     return rows.select(*keys, (value if isinstance(value, Column) else F.col(value)).alias("value")).groupBy(*keys, "value").agg(F.count("*").alias("n"))
 
 
+def means(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, mean): how many rows a group has, and the mean of its values in double precision, whatever the order of the rows.
+
+    Values are split into two whole multiples of powers of two that are so large, by the group's size and greatest value,
+    that sums of either are exact. Groups with values beyond 1e200, or none beyond 1e-200, are averaged as they come.
+    """
+    size = F.abs(value).cast("double")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count(value).alias("_known"), F.max(size).alias("_most"))
+    bits = F.ceil(F.log2(F.col("_known") + 1.0))
+    scaled = sizes.withColumn("_bits", bits).withColumn("_unit", F.when(F.col("_most").between(1e-200, 1e200), F.pow(F.lit(2.0), F.floor(F.log2("_most")) + 2 + F.col("_bits") - 52)))
+    every = beside(rows.select(*keys, F.col(value).cast("double").alias("_v")), scaled.select(*keys, "_unit", "_bits"), keys)
+    high = F.rint(F.col("_v") / F.col("_unit"))
+    small = F.col("_unit") * F.pow(F.lit(2.0), F.col("_bits") - 52)
+    low = F.rint((F.col("_v") - high * F.col("_unit")) / small)
+    sums = every.groupBy(*keys).agg(F.sum(high).alias("_high"), F.sum(low).alias("_low"), F.avg("_v").alias("_plain"))
+    total = F.col("_high") * F.col("_unit") + F.col("_low") * small
+    return beside(scaled, sums, keys).select(*keys, "n", F.when(F.col("_unit").isNull(), F.col("_plain")).otherwise(total / F.col("_known")).alias("mean"))
+
+
 def cumulated(counts: DataFrame, keys: list[str], weights: list[str], levels: int = LEVELS) -> DataFrame:
     """counts, with one row for each (keys, value), with range and for each weight w: w_below, its sum over the smaller values of the group, and w_all.
 

@@ -83,7 +83,8 @@ def overlap(spark, d):
 SELECT seed, count(*) AS pairs, count(*) FILTER (a.error < b.error) AS better FROM a JOIN b USING (user_id) WHERE abs(a.target - b.target) <= 3 GROUP BY 1""")
 def paired(spark, d):
     events = table(spark, d, "events")
-    tuned = events.groupBy("user_id", F.col("event_type").alias("seed")).agg(F.avg("value").alias("error"), F.count("*").cast("double").alias("target"))
+    tuned = distribution.means(events.select("user_id", F.col("event_type").alias("seed"), "value"), ["user_id", "seed"], "value")  # a mean may tie with the median
+    tuned = tuned.select("user_id", "seed", F.col("mean").alias("error"), F.col("n").cast("double").alias("target"))
     zero = events.groupBy("user_id").agg(F.median("value").alias("error"), F.round(F.count("*") / 5.0).alias("target"))
     return joins.paired(tuned, zero, "user_id", 3.0).groupBy("seed").agg(F.count("*").alias("pairs"), F.count_if("better").alias("better"))
 

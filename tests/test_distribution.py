@@ -1,10 +1,15 @@
+import math
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import aggregates as ag
 from tessella.operators import distribution as ds
 from tessella.operators import ranking, resample, vectors
+from tessella.registry import QUERIES
 
 #: Nine tenths of the rows of a group have one value; another group has no key, one a single row, one only nulls.
 ROWS = [("a", i, 0.0 if i % 10 else float(i % 97)) for i in range(3000)] + [(None, i, float(i * 7 % 300)) for i in range(800)] + [("b", 1, -2.5), ("c", 1, None), ("a", 9000, None)]
@@ -119,3 +124,14 @@ def test_cross_validated_areas(spark):
     assert areas["near"] == pytest.approx(best, abs=0.02) and abs(areas["noise"] - 0.5) < 0.12
     folds = vectors.folded(rows, "family", "id", 5).groupBy("family", "fold").count().collect()
     assert {r["count"] for r in folds} == {24} and len(folds) == 10
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    big = 2.0**54
+    ways = [[big, 1.0, -big, -1.0], [-1.0, 1.0, big, -big], [0.1, 0.7, 0.2, 1e-9], [3.0, None, float("inf")], [None], [0.0, 0.0]]
+    rows = [(str(i), v) for i, way in enumerate(ways) for v in way]
+    got = {r.g: (r.n, r["mean"]) for r in ds.means(spark.createDataFrame(rows, "g string, v double").coalesce(1), ["g"], "v").collect()}
+    assert got == {"0": (4, 0.0), "1": (4, 0.0), "2": (4, math.fsum(ways[2]) / 4), "3": (3, math.inf), "4": (1, None), "5": (2, 0.0)}
+    table = pa.table({"user_id": [0] * 4 + [1] * 4, "event_type": ["a"] * 8, "value": ways[0] + ways[1]})
+    pq.write_table(table, tmp_path / "events.parquet")  # both users' means are zero, as their medians
+    assert [tuple(r) for r in QUERIES["JN10"](spark, str(tmp_path)).collect()] == [("a", 2, 0)]
