@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tessella.llm import suffixes
+from tessella.llm import blocks, suffixes
 from tessella.llm.common import table
 
 
@@ -63,3 +63,17 @@ def test_query_equals_brute_force(spark):
     want = brute([(r.doc_id, r.text) for r in table(spark, folder, "documents").collect()])
     assert sorted(map(tuple, suffixes.op8_suffixes(spark, folder).collect()), key=str) == want
     assert sum(r[2] for r in want) > 0
+
+
+def test_seeds_are_looked_up_once_each_not_for_every_window(monkeypatch):
+    asked = []
+    found = blocks.among
+    monkeypatch.setattr(blocks, "among", lambda keys, wanted: asked.append(len(keys)) or found(keys, wanted))
+    rng = np.random.default_rng(5)
+    raw = rng.integers(0, 256, 5000).astype(np.uint8)
+    own = blocks.Windows(raw, suffixes._VALUES[raw], np.array([3000, 20, 1980]), 50, 16)
+    hits = np.sort(own.seed_keys()[::2])
+    s = own.stretches(hits, 3)
+    assert asked == [len(np.unique(own.seeds))] and asked[0] < len(own.starts) / 10
+    covered = np.concatenate([np.arange(a, a + n) for a, n in zip(s["start"], s["n"], strict=True)])
+    assert sorted(covered) == own.starts[np.isin(own.grams[own.seeds], hits)].tolist()
