@@ -25,6 +25,9 @@ from tessella.operators.products import matrix, squared_distances
 #: Rows of a block, about, and cells of a matrix of multiplicities that is held at once.
 BLOCK_ROWS = 4096
 CELLS = 1 << 18
+#: From so many rows a block that repeats none looks its multiplicities up, so many cells at once: what stays in a core's caches.
+TABLED_ROWS = 1024
+TABLED_CELLS = 1 << 16
 #: Most halvings of an arm, and most partitions that the blocks are dealt to.
 MOST_LEVELS = 12
 MOST_PARTS = 10_000
@@ -59,15 +62,21 @@ class Draws:
                 self.own = left
 
     def chunks(self, wanted: np.ndarray | None = None) -> Iterator[tuple[slice, np.ndarray]]:
-        """(replicates, multiplicities of the rows in each); only the chunks that hold a wanted replicate."""
+        """(replicates, multiplicities of the rows in each); only the chunks that hold a wanted replicate. A matrix holds until the next is asked for."""
         items = len(self.weights)
         step, upto = max(1, CELLS // items), np.cumsum(self.weights)
+        tabled = _Tabled(items) if items == upto[-1] and items >= TABLED_ROWS else None
         for low in range(0, self.reps, step):
             own = self.own[low : low + step]
             if wanted is not None and not wanted[low : low + step].any():
                 continue
             rng = _generator(*self.place, "rows", low)
-            if upto[-1] > 2 * items:  # a common value stands for many rows
+            if tabled:
+                for at, times in tabled.drawn(rng, own):
+                    at = slice(low + at.start, low + at.stop)
+                    if wanted is None or wanted[at].any():
+                        yield at, times
+            elif upto[-1] > 2 * items:  # a common value stands for many rows
                 yield slice(low, low + len(own)), rng.multinomial(own, self.weights / upto[-1])
             else:
                 row = rng.integers(0, upto[-1], int(own.sum()))
@@ -75,6 +84,40 @@ class Draws:
                 yield slice(low, low + len(own)), np.bincount(np.repeat(np.arange(len(own)) * items, own) + row, minlength=len(own) * items).reshape(len(own), items)
 
 
+class _Tabled:
+    """Multiplicities of rows of equal chance, most of them from a table.
+
+    Poisson variates of one mean are, given their sum, the multiplicities of as many draws. So every row takes a variate
+    of a mean that leaves the sum a little short of the draws, and the rest is drawn row by row; where the sum is above
+    the draws, all of them are. A variate is what a table says of 16 random bits, and where these do not decide, more bits do.
+    """
+
+    def __init__(self, items: int):
+        mean = 1 - 2.5 * np.sqrt(2 / items)  # the draws of a block vary as the sum does
+        k = np.arange(1, 64)
+        self.items, self.steps = items, np.cumsum(np.exp(-mean) * np.r_[1.0, np.cumprod(mean / k)])
+        self.table = np.searchsorted(self.steps, np.arange(1 << 16) / (1 << 16), "right").astype(np.int8)
+        self.table[np.minimum((self.steps * (1 << 16)).astype(np.int64), (1 << 16) - 1)] = -1
+        self.rows = max(1, TABLED_CELLS // items)
+        self.counts, self.times = np.empty(self.rows * items, np.int8), np.empty((self.rows, items))
+
+    def drawn(self, rng: np.random.Generator, own: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """(replicates, multiplicities) for replicates of own draws each; a matrix is overwritten by the next."""
+        for low in range(0, len(own), self.rows):
+            draws = own[low : low + self.rows]
+            times = self.times[: len(draws)]
+            words = rng.integers(0, 1 << 64, -(-times.size // 4), np.uint64).view(np.uint16)[: times.size]
+            counts = self.table.take(words, out=self.counts[: times.size], mode="clip")
+            open_ = np.flatnonzero(counts < 0)
+            counts[open_] = np.searchsorted(self.steps, (words[open_] + rng.random(len(open_))) / (1 << 16), "right")
+            np.copyto(times, counts.reshape(times.shape))
+            rest = draws - times.sum(axis=1).astype(np.int64)
+            times[rest < 0] = 0
+            rest = np.where(rest < 0, draws, rest)
+            np.add.at(times.ravel(), np.repeat(np.arange(len(draws)) * self.items, rest) + rng.integers(0, self.items, int(rest.sum())), 1.0)
+            yield slice(low, low + len(draws)), times
+
+
 def _shape(counts: DataFrame, block_rows: int) -> tuple[int, int]:
     """Halvings and partitions for arms of so many rows each (column count): three numbers reach the driver."""
     largest, total, arms = counts.agg(F.max("count"), F.sum("count"), F.count("*")).first()
@@ -138,7 +181,7 @@ def multiplicities(blocks: Blocks, order: str, reps: int, seed: str) -> DataFram
     def work(draws: Draws, rows: pa.Table) -> Iterator[pa.Table]:
         for reps_, times in draws.chunks():
             rep, place = np.nonzero(times)
-            yield pa.table({"arm": [draws.place[1]] * len(rep), "rep": rep + reps_.start, "block": np.full(len(rep), draws.place[2]), "place": place, "times": times[rep, place]})
+            yield pa.table({"arm": [draws.place[1]] * len(rep), "rep": rep + reps_.start, "block": np.full(len(rep), draws.place[2]), "place": place, "times": times[rep, place].astype(np.int64)})
 
     return _worked(blocks, order, reps, seed, work, "arm string, rep long, block long, place long, times long")
 
@@ -151,7 +194,7 @@ def replicate_sums(blocks: Blocks, order: str, columns: list[str], reps: int, se
         values = np.column_stack([np.asarray(rows[c], np.float64) for c in columns])
         sums = np.empty((draws.reps, len(columns)))
         for reps_, times in draws.chunks():
-            sums[reps_] = times.astype(np.float64) @ values
+            sums[reps_] = times.astype(np.float64, copy=False) @ values
         yield pa.table({"arm": [draws.place[1]] * draws.reps, "rep": np.arange(draws.reps), "n": draws.own} | {c: sums[:, i] for i, c in enumerate(columns)})
 
     made = _worked(blocks, order, reps, seed, work, ", ".join(["arm string, rep long, n long", *[f"{c} double" for c in columns]]))
@@ -253,7 +296,7 @@ def replicate_davies_bouldin(rows: DataFrame, reps: int, seed: str, block_rows:
         x = matrix(own)
         sums = np.empty((reps, x.shape[1]))
         for at, times in draws.chunks():
-            sums[at] = times.astype(np.float64) @ x
+            sums[at] = times.astype(np.float64, copy=False) @ x
         dims = np.tile(np.arange(x.shape[1]), reps)
         return pa.table({"arm": [draws.place[1]] * len(dims), "rep": np.repeat(np.arange(reps), x.shape[1]), "dim": dims, "v": sums.ravel(), "n": np.repeat(draws.own, x.shape[1])})
 

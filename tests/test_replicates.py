@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -125,3 +126,29 @@ def test_plans_hold_no_window_by_replicate(spark, rows):
     plan = pm.permuted(numbered, 5, "s")._jdf.queryExecution().optimizedPlan().toString()
     assert "rep#" in plan and not any("Window" in line and "rep#" in line for line in plan.splitlines())
     assert rs.interval(rp.replicate_means(rows.limit(0), "g", "v", 5, "s"), ["arm"], "stat").count() == 0
+
+
+def test_blocks_of_distinct_rows_look_their_multiplicities_up():
+    items, reps = 2048, 4000
+    draws = rp.Draws("s", "a", 0, [{"whole": 2 * items, "left": items}], np.ones(items, np.int64), reps)
+    total, square, beside, seen, spent = np.zeros(items), np.zeros(items), 0.0, 0, []
+    steps = draws.chunks()
+    while True:
+        start = time.process_time()
+        at, times = next(steps, (None, None))
+        if at is None:
+            break
+        spent.append((time.process_time() - start) / times.size)
+        assert at.start == seen and (times.sum(axis=1) == draws.own[at]).all()
+        seen, total, square, beside = at.stop, total + times.sum(axis=0), square + (times**2).sum(axis=0), beside + (times[:, 1:] * times[:, :-1]).sum()
+    n, p = draws.own.astype(float), 1 / items
+    assert seen == reps and n.std() > 20
+    assert abs(total - n.sum() * p).max() < 6 * np.sqrt(n.sum() * p)
+    assert square.sum() / (n + n * (n - 1) * p).sum() == pytest.approx(1, abs=0.002)
+    assert beside / (n * (n - 1) * p * p).sum() / (items - 1) == pytest.approx(1, abs=0.002)
+    plain, rng = [], np.random.default_rng(0)
+    for _ in range(20):
+        start = time.process_time()
+        np.bincount(rng.integers(0, items, 1 << 18) + np.repeat(np.arange(128) * items, items), minlength=1 << 18)
+        plain.append((time.process_time() - start) / (1 << 18))
+    assert np.median(spent) < 0.75 * np.median(plain)  # draw by draw
