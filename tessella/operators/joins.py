@@ -14,6 +14,8 @@ from tessella.operators.ranking import ranked
 
 #: Pairs whose distances are taken at once.
 STEP = 1 << 18
+#: Rows of a partition where compressed sizes say little of the memory that rows take.
+PART_ROWS = 1 << 18
 
 
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,13 +111,15 @@ def compared_groups(rows: DataFrame, group: list[str], side: str, left: str, rig
 
     Members are compared by their counts, and where these agree the items by their places, which come from ranges of
     the first column of the order, a number; no group is gathered. Rows that tie in the order are ordered by the item.
+    Partitions are as many as the rows need.
     """
     two = rows.filter(F.col(side).isin(left, right)).select(*group, side, item, *order)
     first = F.col(side) == left
-    counts = two.groupBy(*group, item).agg(F.count_if(first).alias("_l"), F.count_if(~first).alias("_r"))
+    parts = -(-two.count() // PART_ROWS) or 1
+    counts = two.repartition(parts, *group, item).groupBy(*group, item).agg(F.count_if(first).alias("_l"), F.count_if(~first).alias("_r"))
     members = counts.groupBy(*group).agg(F.sum("_l").alias("_left"), F.sum("_r").alias("_right"), F.bool_and(F.col("_l") == F.col("_r")).alias("_same"))
-    placed = ranked(two, [*group, side], order[0], [*order[1:], item])
-    at = placed.groupBy(*group, "_rank").agg(F.max(F.when(first, F.col(item))).alias("_a"), F.max(F.when(~first, F.col(item))).alias("_b"))
+    placed = ranked(two, [*group, side], order[0], [*order[1:], item], parts=parts)
+    at = placed.select(*group, side, item, "_rank").repartition(parts, *group, "_rank").groupBy(*group, "_rank").agg(F.max(F.when(first, F.col(item))).alias("_a"), F.max(F.when(~first, F.col(item))).alias("_b"))
     ordered = at.groupBy(*group).agg(F.bool_and(F.col("_a").eqNullSafe(F.col("_b"))).alias("_ordered"))
     verdict = F.when(~F.col("_same"), "members_differ").when(F.col("_ordered"), "equal").otherwise("order_differs")
     return beside(members.filter("_left > 0 and _right > 0"), ordered, group).select(*group, verdict.alias("verdict"))

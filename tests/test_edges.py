@@ -353,3 +353,14 @@ def test_blocks_that_meet_are_a_bounded_number(spark):
     assert sum(found) == 160_000 and len(found) < 2_000
     apart = joins.nearest(rows, rows, 3, limit=5)
     assert {(r.id, r["rank"]): r.ref_id for r in apart.filter("id in (0, 200, 399)").collect()} == {(0, 1): 1, (0, 2): 2, (0, 3): 3, (200, 1): 199, (200, 2): 201, (200, 3): 198, (399, 1): 398, (399, 2): 397, (399, 3): 396}
+
+
+def test_rows_are_ranked_and_compared_in_as_many_partitions_as_they_need(spark, monkeypatch):
+    rows = [(g, s, i * 7 % 50, i) for g in range(6) for s in "ab" for i in range(50)]
+    rows += [(6, s, i if s == "a" else 49 - i, i) for s in "ab" for i in range(50)]
+    frame = spark.createDataFrame(rows, "g int, side string, v int, at int")
+    monkeypatch.setattr(joins, "PART_ROWS", 40)
+    found = joins.compared_groups(frame, ["g"], "side", "a", "b", "v", ["at"])
+    assert {r.g: r.verdict for r in found.collect()} == {g: "equal" if g < 6 else "order_differs" for g in range(7)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3 and plan.count(f", {-(-len(rows) // 40)}") >= 3
