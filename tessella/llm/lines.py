@@ -68,12 +68,8 @@ def tokens(line: Column) -> Column:
     def bound(value: Column, use) -> Column:  # evaluates value once
         return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def paired(a: Column, b: Column, step: int) -> Column:
-        return F.zip_with(a, F.slice(b, step + 1, _REST), lambda x, y: F.xxhash64(x, y))
-
     def shingles(h: Column) -> Column:
-        fours = bound(paired(h, h, 1), lambda two: paired(two, two, 2))
-        return F.slice(paired(fours, h, SHINGLE - 1), F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0)))
+        return F.transform(F.slice(h, SHINGLE, _REST), lambda last, i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE - 1)], last))
 
     return F.sort_array(F.array_distinct(bound(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), shingles)))
 

@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessella.llm import lines
 
@@ -77,3 +78,12 @@ def test_columns_that_clash_and_many_lines(spark):
     got = lines.dedup_lines(frame)
     assert got.columns == frame.columns
     assert {r.doc_id: r.text for r in got.collect()} == {1: text[: -len("\nw1 b1")], 2: "new"}
+
+
+def test_a_token_is_one_hash_of_five_words(spark):
+    words = "a b c d e f a b c d e".split()
+    hashes = [F.xxhash64(F.lit(w)) for w in words]
+    rows = spark.createDataFrame([(" ".join(words),), ("a b c d",)], "line string")
+    want = F.array_sort(F.array_distinct(F.array(*[F.xxhash64(*hashes[i : i + 5]) for i in range(len(words) - 4)])))
+    got = [r[0] for r in rows.select(lines.tokens(F.col("line"))).collect()]
+    assert got == [rows.select(want).first()[0], []] and len(got[0]) == 6  # the first five words stand twice
