@@ -7,8 +7,8 @@ similarity of the sets. A line goes if an earlier line is equal or similar: the
 against the earliest of them, which settles groups of copies in linear time, and only those that it does not settle
 against all others.
 
-Most lines share no token with any other. A prefix filter in the order of the tokens' hashes, which needs no counts,
-screens those out before. All tokens of the lines that are left are counted exactly; those that only one line has come
+Most lines share no token with any other, or only a phrase. A prefix filter in the order of the tokens' hashes, which
+needs no counts and asks for several common tokens, screens those out before. All tokens of the lines that are left are counted exactly; those that only one line has come
 first in its order, so only the others travel back to it, and a line whose lonely tokens fill its prefix is done.
 """
 
@@ -26,6 +26,8 @@ SIMILAR = (4, 5)
 BROADCAST_ROWS = 1_000_000
 _LAST = 9223372036854775807
 _BLANKS = " \t\x0b\f\r"
+#: How many of a line's first tokens must stand in other lines too, for the screen to keep it; lines of few tokens need fewer.
+MEETINGS = 3
 #: The low bits of a token that give way to the size of its line in the screen; larger sizes count as the largest.
 _SIZE_BITS = 16
 #: More than an array has.
@@ -88,23 +90,32 @@ def _may_match(m1: Column, p1: Column, m2: Column, p2: Column) -> Column:
 
 
 def screened(lines: DataFrame) -> DataFrame:
-    """(id): the lines that, in the order of the tokens' hashes, share one of their first tokens with another line of like size.
+    """(id): the lines that, in the order of the tokens' hashes, share some of their first tokens with other lines of like size.
 
-    A row is the line's id and one number: the token, with the line's size in its low bits. Within a token the rows stand
-    in the order of size, so a line of like size is there if and only if one stands beside it.
+    Two similar lines have the least MEETINGS of their common tokens, or all of fewer, among the first of each, if both
+    show MEETINGS - 1 tokens more than one common token would take. So a line goes on only if so many of its rows meet
+    rows of others; a line that shares a phrase by chance seldom does. Copies of a line may count a meeting twice, which
+    keeps lines rather than losing any.
+
+    A row is the line's id and one number: the token, with the line's size in its low bits. Tokens of a single line go
+    first, by a window that needs no order. Within a token the rows left stand in the order of size, so a line of like
+    size is there if and only if one stands beside it.
     """
     a, b = SIMILAR
     most = (1 << _SIZE_BITS) - 1
     sets = _long(lines).select("id", tokens(F.col("line")).alias("toks")).withColumn("m", F.size("toks"))
-    index = sets.select("id", "m", F.explode_outer(F.slice("toks", F.lit(1), _needed(F.col("m")))).alias("tok"))
+    index = sets.select("id", "m", F.explode_outer(F.slice("toks", F.lit(1), _needed(F.col("m")) + (MEETINGS - 1))).alias("tok"))
     key = F.col("tok").bitwiseAND(F.lit(~most)).bitwiseOR(F.least("m", F.lit(most)).cast("long"))
     bucket = F.shiftright("key", _SIZE_BITS)
+    alike = Window.partitionBy(bucket)
     rows = index.select("id", key.alias("key")).repartition(bucket)
-    beside = Window.partitionBy(bucket).orderBy("key", "id")
+    rows = rows.select("id", "key", F.min("id").over(alike).alias("least"), F.max("id").over(alike).alias("most")).filter("least < most")
+    beside = alike.orderBy("key", "id")
     met = rows.select("id", "key", *[f(c).over(beside).alias(n + c) for f, n in ((F.lag, "before_"), (F.lead, "after_")) for c in ("id", "key")])
     size, before, after = (F.col(c).bitwiseAND(F.lit(most)) for c in ("key", "before_key", "after_key"))
     found = ((F.col("before_id") != F.col("id")) & (before * b >= size * a)) | ((F.col("after_id") != F.col("id")) & (size * b >= after * a))
-    return met.filter(found).select("id").distinct()
+    meetings = met.filter(found).groupBy("id").agg(F.count("*").alias("n"), F.max(size).alias("m"))
+    return meetings.filter(F.col("n") >= F.least(F.lit(MEETINGS), F.ceil(F.col("m") * a / b))).select("id")
 
 
 def shared_tokens(lines: DataFrame, able: DataFrame) -> DataFrame:

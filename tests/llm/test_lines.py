@@ -87,3 +87,28 @@ def test_a_token_is_one_hash_of_five_words(spark):
     want = F.array_sort(F.array_distinct(F.array(*[F.xxhash64(*hashes[i : i + 5]) for i in range(len(words) - 4)])))
     got = [r[0] for r in rows.select(lines.tokens(F.col("line"))).collect()]
     assert got == [rows.select(want).first()[0], []] and len(got[0]) == 6  # the first five words stand twice
+
+
+def passed(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    return {r.id for r in lines.screened(rows).collect()}
+
+
+def test_a_phrase_in_common_does_not_pass_the_screen(spark):
+    assert passed(spark, [f"p{i % 20} q r s t a{i} b{i} c{i}" for i in range(200)]) == set()  # one shingle of four
+    near = ["a b c d e f g h i j k l m n o p q r s t u v w x y z " + x for x in ("1", "2")]
+    assert passed(spark, [*near, near[0].replace("z", "_") + " 3 4 5 6 7 8"]) >= {0, 1}
+
+
+def test_the_screen_keeps_every_pair_at_the_bound(spark):
+    rng = np.random.default_rng(7)
+    texts, pairs = [], []
+    for common in (1, 2, 3, 4, 5, 8, 12, 16, 20, 36, 40, 80):  # shingles that both have; all others differ
+        for extra in range(common // 4 + 1):
+            for _ in range(3):
+                body = [f"w{rng.integers(1 << 40)}" for _ in range(common + 4)]
+                more = [f"x{rng.integers(1 << 40)}" for _ in range(common // 4)]
+                pairs.append((len(texts), len(texts) + 1))
+                texts += [" ".join(more[:extra] + body), " ".join(body + more[extra:])]
+    kept = passed(spark, texts)
+    assert all({i, j} <= kept or texts[i] == texts[j] for i, j in pairs)
