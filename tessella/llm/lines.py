@@ -177,7 +177,8 @@ def similar_lines(lines: DataFrame, firsts: DataFrame, broadcast_rows: int = BRO
 def removed_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc, doc_hash, line_no) of every line that goes."""
     rows = _line_rows(docs).withColumn("id", F.xxhash64("line"))
-    slim = stored(rows.select("doc", "doc_hash", "line_no", "id", F.xxhash64(F.lit(1), "line").alias("id2")), "lines")
+    rows = stored(rows.select("doc", "doc_hash", "line_no", "line", "id", F.xxhash64(F.lit(1), "line").alias("id2")), "lines")
+    slim = rows.drop("line")
     firsts = stored(slim.groupBy("id", "id2").agg(F.min(_place()).alias("place"), F.count("*").alias("n")), "lines-first")
     gone = similar_lines(rows.select("line", "doc", "line_no", "id"), firsts.select("id", "place"), broadcast_rows)
     gone = gone.select("id", F.col("place").alias("first_place"), F.lit(True).alias("gone"))
