@@ -95,7 +95,8 @@ def screened(lines: DataFrame) -> DataFrame:
     Two similar lines have the least MEETINGS of their common tokens, or all of fewer, among the first of each, if both
     show MEETINGS - 1 tokens more than one common token would take. So a line goes on only if so many of its rows meet
     rows of others; a line that shares a phrase by chance seldom does. Copies of a line may count a meeting twice, which
-    keeps lines rather than losing any.
+    keeps lines rather than losing any. Two tokens of one line that agree in all bits above the size would count as one
+    meeting; like a clash of two lines' ids, that is left to chance.
 
     A row is the line's id and one number: the token, with the line's size in its low bits. Tokens of a single line go
     first, by a window that needs no order. Within a token the rows left stand in the order of size, so a line of like
