@@ -364,3 +364,10 @@ def test_rows_are_ranked_and_compared_in_as_many_partitions_as_they_need(spark,
     assert {r.g: r.verdict for r in found.collect()} == {g: "equal" if g < 6 else "order_differs" for g in range(7)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 3 and plan.count(f", {-(-len(rows) // 40)}") >= 3
+
+
+def test_bootstrap_means_draw_all_replicates_of_the_study(spark, tmp_path):
+    rows = [(i, datetime(2024, 1, 1), i, "view" if i % 3 else "click", i * 7 % 10 / 2) for i in range(12)] + [(12, datetime(2024, 1, 1), 1, "view", None)]
+    folder = written(tmp_path, spark, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double"))
+    mine, theirs = beside_sql(spark, folder, "RS7")
+    assert mine == theirs and len(mine) == 2 and all(50_000 in r for r in mine)

@@ -57,3 +57,11 @@ def test_no_draw_or_place_is_a_row(spark, rows):
     values = rows.select("arm", "k", "n", F.col("x").alias("value"))
     for made in (lookups.drawn_sums(values, "value", 50, "42"), lookups.permuted_correlations(rows, 50, "42"), rs.replicate_means(values, 50, "42")):
         assert "_hash" not in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and "InArrow" in plan and made.count() == 100
+
+
+@pytest.mark.parametrize("block_rows", [7, 1 << 22])
+def test_replicates_that_are_drawn_together_are_those_of_draws(spark, rows, block_rows, monkeypatch):
+    """Numbers of replicates and rows that change their length, in pieces that part both."""
+    monkeypatch.setattr(lookups, "DRAWS", 16)
+    values = rows.select("arm", "k", "n", F.col("x").alias("value"))
+    same(lookups.drawn_sums(values, "value", 104, "42", block_rows), rs.draws(spark, values, 104, "42").groupBy("arm", "rep").agg(F.sum("value").alias("s")), "s")
