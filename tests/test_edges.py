@@ -371,3 +371,13 @@ def test_bootstrap_means_draw_all_replicates_of_the_study(spark, tmp_path):
     folder = written(tmp_path, spark, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double"))
     mine, theirs = beside_sql(spark, folder, "RS7")
     assert mine == theirs and len(mine) == 2 and all(50_000 in r for r in mine)
+
+
+def test_all_terms_of_all_lines_are_counted(spark, tmp_path):
+    """Before, terms that the added line does not hold were looked for and thrown away, and those it holds were counted in no other line."""
+    rows = [(1, "version OOD\nrobust domain shift, inert\nİNERT license; in distribution shift"), (2, "pre-trained on the oxidesé ſource domain gap zero‐shot state_ ood"), (3, ""), (4, None), (None, "licenses unpinned cauſal does not\nmove")]
+    mine, theirs = beside_sql(spark, written(tmp_path, spark, documents=(rows, "doc_id long, text string")), "TX1")
+    assert mine == theirs
+    got = {(doc, term): (n, others) for doc, n, others, term in mine}
+    assert got[1, "ood"] == (2, "domain_shift:1,in_distribution:1,inert:2") and got[1, "robustness_language"][0] == 3 and got[1, "license"][0] == 1
+    assert got[2, "source_domain"] == (2, "") and got[2, "ood"][0] == 2 and got[None, "causal_language"] == (2, "") and got[3, "ood"] == (1, "") and (4, "ood") not in got
