@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.operators.distribution import beside
-from tessella.operators.products import BLOCK_ROWS, block_pairs, matrix, squared_distances
+from tessella.operators.products import BLOCK_ROWS, blocks_of, matrix, met
 from tessella.operators.ranking import ranked
 
-#: Pairs whose distances are taken at once.
+#: Pairs whose distances are taken at once; rows that are seen before the first bound, and rows of a product.
 STEP = 1 << 18
+FIRST, TILE = 512, 2048
+#: Blocks of references, until a block has MOST_REFERENCES, some 200 MB with what is made of it: each leaves rows for every query.
+FEW_BLOCKS, MOST_REFERENCES = 4, 131_072
 #: Rows of a partition where compressed sizes say little of the memory that rows take.
 PART_ROWS = 1 << 18
 
@@ -67,41 +70,106 @@ def paired(left: DataFrame, right: DataFrame, key: str, tolerance: float) -> Dat
     return joined.withColumn("better", F.col("error") < F.col("error_right"))
 
 
+def _distances(x: np.ndarray, y: np.ndarray, line: np.ndarray, found: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.sqrt(((x[line[i : i + STEP]] - y[found[i : i + STEP]]) ** 2).sum(axis=1)) for i in range(0, len(line), STEP)] or [np.zeros(0)])
+
+
+def _first_copies(y: np.ndarray, code: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows, ordered by code, without those of a vector that has smaller codes, so many and different ones."""
+    order = np.argsort(code, kind="stable")
+    bits = np.ascontiguousarray(y[order]).view(np.uint64)
+    mixed = (bits * np.random.default_rng(0).integers(1, 1 << 63, bits.shape[1], np.uint64)).sum(axis=1, dtype=np.uint64)
+    _, first, group, times = np.unique(mixed, return_index=True, return_inverse=True, return_counts=True)
+    if times.max() <= most or (bits != bits[first[group]]).any():  # rare, or one sum of different vectors
+        return order
+    by = np.argsort(group, kind="stable")  # a group's rows, by code
+    new = np.r_[True, (group[by][1:] != group[by][:-1]) | (code[order][by][1:] != code[order][by][:-1])]
+    number = np.cumsum(new)
+    start = np.searchsorted(group[by], group[by])
+    return order[np.sort(by[number - number[start] < most])]
+
+
+def nearest_rows(x: np.ndarray, own: np.ndarray, y: np.ndarray, code: np.ndarray, k: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the k rows of y with the least (distance, code) for each row of x, in that order, but for those whose code is its own.
+
+    Vectors that are not finite have no neighbours and are none. Products in single precision, with room for their
+    rounding, tell which rows may be nearer than the k found so far, which are looked at again whenever the rows seen
+    have doubled; the distances themselves decide.
+    """
+    fine = np.flatnonzero(np.isfinite((x * x).sum(axis=1)))
+    other = np.flatnonzero(np.isfinite((y * y).sum(axis=1)))
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(fine) or not len(other):
+        return none
+    other = other[_first_copies(y[other], code[other], k + 1)]
+    x, own, y, code = x[fine], own[fine], y[other], code[other]
+    centre = y.mean(axis=0)
+    u, v = x - centre, y - centre
+    square, length = (u * u).sum(axis=1), (v * v).sum(axis=1)
+    kind = np.float32 if 1e-20 < max(square.max(), length.max()) < 1e30 else np.float64
+    widest = np.sqrt(max((x * x).sum(axis=1).max(), (y * y).sum(axis=1).max()))
+    rounding = np.finfo(kind).eps * (np.sqrt(square * length.max()) + length.max())  # of the products
+    slack = (x.shape[1] + 8) * (rounding + np.finfo(float).eps * (square + length.max() + widest * np.sqrt(square + length.max())))  # of distances, and of moving the vectors
+    left, right = np.column_stack([u, np.ones(len(u))]).astype(kind), np.column_stack([v, -length / 2]).astype(kind)
+    made = []
+    for at in range(0, len(x), step):
+        part = slice(at, at + step)
+        rows, mine, a = left[part], own[part], x[part]
+        line, found, far = none
+        bound, last = np.full(len(rows), np.inf), np.full(len(rows), len(y))
+        space, done = np.empty((len(rows), TILE), kind), 0
+        while done < len(y):
+            upto = min(len(y), max(FIRST, 2 * done))
+            if done:
+                least = (square[part] - bound * bound * (1 + 1e-9)) / 2 - slack[part]
+            else:
+                near = rows @ right[:upto].T
+                near[mine[:, None] == code[None, :upto]] = -np.inf
+                least = np.partition(near, upto - k, axis=1)[:, upto - k] - 2.0 * slack[part] if upto >= k else np.full(len(rows), -np.inf)
+            least = np.nextafter(least.astype(kind), kind(-np.inf))[:, None]
+            lines, founds, fars, more = [line], [found], [far], 0
+            for low in range(done, upto, TILE):
+                high = min(upto, low + TILE)
+                near = np.matmul(rows, right[low:high].T, out=space[:, : high - low]) if high - low == TILE else rows @ right[low:high].T
+                hit, met_ = np.divmod(np.flatnonzero(near >= least), high - low)
+                met_ += low
+                there = mine[hit] != code[met_]
+                hit, met_ = hit[there], met_[there]
+                distance = _distances(a, y, hit, met_)
+                closer = (distance < bound[hit]) | ((distance == bound[hit]) & (met_ < last[hit]))
+                lines, founds, fars, more = [*lines, hit[closer]], [*founds, met_[closer]], [*fars, distance[closer]], more + int(closer.sum())
+                if more > STEP or high == upto:
+                    line, found, far = (np.concatenate(c) for c in (lines, founds, fars))
+                    order = np.lexsort((found, far, line))  # rows of y stand by code
+                    line, found, far = line[order], found[order], far[order]
+                    place = np.arange(len(line)) - np.searchsorted(line, line)
+                    last_one = place == k - 1
+                    bound[line[last_one]], last[line[last_one]] = far[last_one], found[last_one]
+                    line, found, far = line[place < k], found[place < k], far[place < k]
+                    lines, founds, fars, more = [line], [found], [far], 0
+            done = upto
+        made.append((fine[line + at], other[found], far))
+    return tuple(np.concatenate(c) for c in zip(*made, strict=True))
+
+
 def nearest(queries: DataFrame, references: DataFrame, k: int, own: bool = False, limit: int = BLOCK_ROWS) -> DataFrame:
     """The k references nearest to each query by Euclidean distance: (id, rank, ref_id, distance), ties to the smaller id.
 
-    Exhaustive: every block of queries meets every block of references, at most limit rows each, and leaves k rows for
-    each query. The product of the blocks finds who may be among them, the distances themselves decide. own: a row may
-    be its own neighbour.
+    Exhaustive: every block of queries meets every block of references, and leaves k rows for each query. A block of
+    references is as large as a task may hold, so that few rows are left. own: a row may be its own neighbour.
     """
     kinds = [queries.schema["id"].dataType.simpleString(), references.schema["id"].dataType.simpleString()]
 
-    def work(q: pa.Table, r: pa.Table) -> pa.Table:
-        ids, others = np.array(q.column("id").to_pylist()), np.array(r.column("id").to_pylist())
-        x, y = matrix(q), matrix(r)
-        line, found, far = (np.zeros(0, np.int64),) * 3
-        if len(x) and len(y):
-            near = squared_distances(x, y)
-            if not own:
-                near[ids[:, None] == others[None]] = np.inf
-            slack = 1e-9 * ((x * x).sum(axis=1) + (y * y).sum(axis=1).max())
-            bound = np.partition(near, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1] + slack
-            line, found = np.nonzero((near <= bound[:, None]) & np.isfinite(near))
-            far = np.concatenate([np.sqrt(((x[line[i : i + STEP]] - y[found[i : i + STEP]]) ** 2).sum(axis=1)) for i in range(0, len(line), STEP)] or [np.zeros(0)])
-            order = np.lexsort((others[found], far, line))
-            line, found, far = line[order], found[order], far[order]
-            keep = np.arange(len(line)) - np.searchsorted(line, line) < k
-            line, found, far = line[keep], found[keep], far[keep]
-        own_ids, ref_ids = q.column("id").take(pa.array(line, pa.int64())), r.column("id").take(pa.array(found, pa.int64()))
-        return pa.table({"id": own_ids, "ref_id": ref_ids, "distance": pa.array(far, pa.float64())})
-
-    def first(found: pa.Table) -> pa.Table:
-        found = found.sort_by([("id", "ascending"), ("distance", "ascending"), ("ref_id", "ascending")])
-        ids = np.array(found.column("id").to_pylist())
-        start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-        return found.filter(pa.array(np.arange(len(ids)) - np.repeat(start, np.diff([*start, len(ids)])) < k))
-
-    best = block_pairs(queries.select("id", "x"), references.select("id", "x"), work, f"id {kinds[0]}, ref_id {kinds[1]}, distance double", first, limit)
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        line, found, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if q.num_rows and r.num_rows:
+            _, code = np.unique(np.array(q.column("id").to_pylist() + r.column("id").to_pylist()), return_inverse=True)
+            mine = np.full(q.num_rows, -1) if own else code[: q.num_rows]
+            line, found, far = nearest_rows(matrix(q), mine, matrix(r), code[q.num_rows :], k, min(limit, 1000))
+        return pa.table({"id": q.column("id").take(pa.array(line)), "ref_id": r.column("id").take(pa.array(found)), "distance": pa.array(far)})
+
+    n_left, n_right = blocks_of(queries.count(), limit), blocks_of(references.count(), limit, FEW_BLOCKS, MOST_REFERENCES)
+    best = met(queries.select("id", "x"), references.select("id", "x"), run, f"id {kinds[0]}, ref_id {kinds[1]}, distance double", n_left, n_right, 2 * n_left * n_right)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "ref_id", "distance")
 

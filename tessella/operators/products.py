@@ -37,8 +37,6 @@ def block_pairs(left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.
 
     Blocks that are sent grow with the tables up to a bound; what a task works on at once does not.
     """
-    sizes = [rows.count() for rows in (left, right)]
-    n_left, n_right = (max(1, -(-n // max(block_rows, min(MOST_BLOCK_ROWS, -(-n // BLOCKS))))) for n in sizes)
 
     def pieces(rows: pa.Table) -> list[pa.Table]:
         return [rows.slice(at, block_rows) for at in range(0, rows.num_rows, block_rows)] or [rows]
@@ -52,9 +50,21 @@ def block_pairs(left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.
             made.append(found)
         return pa.concat_tables(made)
 
+    return met(left, right, run, schema, *[blocks_of(rows.count(), block_rows) for rows in (left, right)])
+
+
+def blocks_of(rows: int, least: int, blocks: int = BLOCKS, most: int = MOST_BLOCK_ROWS) -> int:
+    """Into how many blocks a table goes: so many, but of at least and at most so many rows."""
+    return max(1, -(-rows // max(least, min(most, -(-rows // blocks)))))
+
+
+def met(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, n_left: int, n_right: int, parts: int | None = None) -> DataFrame:
+    """run(left block, right block) for all pairs of blocks of two tables with a column id, in so many partitions if that is given."""
+
     def dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         home = F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")
-        return rows.withColumn(own, home).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+        sent = rows.withColumn(own, home).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+        return sent.repartition(parts, "_a", "_b") if parts else sent
 
     a, b = dealt(left, "_a", n_left, "_b", n_right), dealt(right, "_b", n_right, "_a", n_left)
     return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(run, schema)

@@ -381,3 +381,34 @@ def test_all_terms_of_all_lines_are_counted(spark, tmp_path):
     got = {(doc, term): (n, others) for doc, n, others, term in mine}
     assert got[1, "ood"] == (2, "domain_shift:1,in_distribution:1,inert:2") and got[1, "robustness_language"][0] == 3 and got[1, "license"][0] == 1
     assert got[2, "source_domain"] == (2, "") and got[2, "ood"][0] == 2 and got[None, "causal_language"] == (2, "") and got[3, "ood"] == (1, "") and (4, "ood") not in got
+
+
+def test_neighbours_beside_brute_force(monkeypatch):
+    """Ties, copies, vectors that are not finite, and values that single precision cannot tell apart or hold."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(joins, "FIRST", 8)
+    monkeypatch.setattr(joins, "TILE", 16)
+    for way in ("plain", "grid", "small", "great", "far off", "copies"):
+        y = rng.integers(0, 2, (150, 4)).astype(float) if way == "grid" else rng.normal(size=(150, 4))
+        y = {"small": y * 1e-30, "great": y * 1e20 + 5e20, "far off": y * 1e-6 + 1000}.get(way, y)
+        if way == "copies":
+            y[rng.random(150) < 0.5], y[3, 0], y[5, 1] = y[0], np.nan, np.inf
+        x, code, own = np.concatenate([y[::3], np.ones((1, 4))]), rng.permutation(150) // 2, rng.integers(-1, 75, 51)
+        line, found, far = joins.nearest_rows(x, own, y, code, 6, 20)
+        want = []
+        for i, row in enumerate(x):
+            distance = np.sqrt(((row - y) ** 2).sum(axis=1))
+            order = [n for n in np.lexsort((code, distance)) if code[n] != own[i] and np.isfinite(distance[n])]
+            want += [(i, code[n], distance[n]) for n in order[:6]]
+        assert list(zip(line, code[found], far, strict=True)) == want, way
+
+
+def test_exact_products_are_not_taken_for_all_pairs(spark, monkeypatch):
+    """Before, the least distances of every 2,000 by 2,000 rows were selected anew; now few pairs are looked at beyond one product."""
+    seen, plain = [], joins._distances
+    monkeypatch.setattr(joins, "_distances", lambda x, y, line, found: seen.append(len(line)) or plain(x, y, line, found))
+    y = np.random.default_rng(1).normal(size=(20_000, 16))
+    joins.nearest_rows(y[:200], np.arange(200), y, np.arange(20_000), 15, 100)
+    assert 200 * 15 <= sum(seen) < 200 * 150
+    rows = spark.range(40).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    assert joins.nearest(rows, rows, 3, limit=5).count() == 120
